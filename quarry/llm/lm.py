@@ -244,8 +244,9 @@ def score(docs: DataFrame, trains: str, path: str | None = None, rounds: int = R
     table = spark.sparkContext.broadcast((top["h"].to_numpy().astype(np.int64).view(U)[order], top["c"].to_numpy().astype(np.int64)[order], top["logp"].to_numpy().astype(np.float64)[order]))
     floor = float(np.log10(n + v + 1))
     end_log = logs[1] / np.log(10)
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    rows = rows.select("_row", F.col("text").cast("string").alias("text"))
+    others = [c for c in docs.columns if c != "text"]
+    rows = docs.select(*others, F.monotonically_increasing_id().alias("_row"), F.col("text").cast("string").alias("text"))
+    rest = len(others) + 1
 
     def looked_up(batches):
         """For each row its sums over common words, and (h, uses) of the others."""
@@ -255,9 +256,8 @@ def score(docs: DataFrame, trains: str, path: str | None = None, rounds: int = R
         index = pd.Index(hashes)
         base = np.log10(c + 1.0) - floor
         for b in batches:
-            ids = np.asarray(b.column(0))
-            for x, y in _chunks(b.column(1)):
-                low, starts, stops, at = tokens(b.column(1).slice(x, y - x))
+            for x, y in _chunks(b.column(rest)):
+                low, starts, stops, at = tokens(b.column(rest).slice(x, y - x))
                 h = run_hashes(prefix_sums(low), starts, stops)
                 row = np.repeat(np.arange(y - x), np.diff(at))
                 slot = index.get_indexer(h)
@@ -272,22 +272,22 @@ def score(docs: DataFrame, trains: str, path: str | None = None, rounds: int = R
                 where = np.flatnonzero(first)
                 uses = np.diff(np.append(where, len(order)))
                 lists = np.concatenate([[0], np.cumsum(np.bincount(rare_row[where], minlength=y - x))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[x:y]), pa.array(np.diff(at).astype(np.int64)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), pa.ListArray.from_arrays(lists, pa.array(rare_h[where].view(np.int64))), pa.ListArray.from_arrays(lists, pa.array(uses.astype(np.int32)))], ["_row", "words", "known", "base", "logp", "h", "uses"])
-
-    part = common.written(rows.mapInArrow(looked_up, "_row long, words long, known long, base double, logp double, h array<long>, uses array<int>"), "lm-part")
-    rare = part.select("_row", F.explode(F.arrays_zip("h", "uses")).alias("w")).select("_row", F.col("w.h").alias("h"), F.col("w.uses").alias("uses"))
-    rare = rare.join(scored.select("h", "c", F.col("logp").alias("lp")), "h").groupBy("_row").agg(F.sum(F.col("uses") * (F.col("c") > 0).cast("long")).alias("known2"), F.sum(F.col("uses") * (F.log10(F.col("c") + 1.0) - F.lit(floor))).alias("base2"), F.sum(F.col("uses") * F.col("lp")).alias("logp2"))
+                own_rows = b.slice(x, y - x).columns[:rest]
+                yield pa.RecordBatch.from_arrays([*own_rows, pa.array(np.diff(at).astype(np.int64)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), pa.ListArray.from_arrays(lists, pa.array(rare_h[where].view(np.int64))), pa.ListArray.from_arrays(lists, pa.array(uses.astype(np.int32)))], [*others, "_row", "_words", "_known", "_base", "_logp", "_h", "_uses"])
+
+    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in others)
+    schema += "_row long, _words long, _known long, _base double, _logp double, _h array<long>, _uses array<int>"
+    part = common.written(rows.mapInArrow(looked_up, schema), "lm-part")
+    rare = part.select("_row", F.explode(F.arrays_zip("_h", "_uses")).alias("w")).select("_row", F.col("w._h").alias("h"), F.col("w._uses").alias("uses"))
+    rare = rare.join(scored.select("h", "c", "logp"), "h").groupBy("_row").agg(F.sum(F.col("uses") * (F.col("c") > 0).cast("long")).alias("_known2"), F.sum(F.col("uses") * (F.log10(F.col("c") + 1.0) - F.lit(floor))).alias("_base2"), F.sum(F.col("uses") * F.col("logp")).alias("_logp2"))
     end_base = float(np.log10(ends + 1.0) - floor)
-    keep = docs.withColumn("_row", F.monotonically_increasing_id()).drop("text")
-    out = keep.join(part.drop("h", "uses"), "_row").join(rare, "_row", "left")
-    zero = F.lit(0)
-    return out.select(
-        *[c for c in docs.columns if c != "text"],
-        (F.col("words") + 1).alias("n_tokens"),
-        (F.col("known") + F.coalesce("known2", zero) + F.lit(int(ends > 0))).cast("long").alias("n_known"),
+    return part.join(rare, "_row", "left").select(
+        *others,
+        (F.col("_words") + 1).alias("n_tokens"),
+        (F.col("_known") + F.coalesce("_known2", F.lit(0)) + F.lit(int(ends > 0))).cast("long").alias("n_known"),
         F.lit(int(n)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("base2", F.lit(0.0)) + F.lit(end_base)).alias("base_score"),
-        (F.col("logp") + F.coalesce("logp2", F.lit(0.0)) + F.lit(end_log)).alias("score"),
+        (F.col("_base") + F.coalesce("_base2", F.lit(0.0)) + F.lit(end_base)).alias("base_score"),
+        (F.col("_logp") + F.coalesce("_logp2", F.lit(0.0)) + F.lit(end_log)).alias("score"),
     )
 
 
