@@ -1,22 +1,65 @@
-"""The corpus pipeline: stages from documents to packed sequences."""
+"""The corpus pipeline: from documents to packed sequences.
+
+Each stage works on all that its predecessor kept and, but for the last, returns
+the columns of documents.  Null texts stay null until they are packed (as empty
+texts); rows of one doc_id are kept or dropped together.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.llm import common, decontaminate, near_dup, packing, substring, toxicity
+
+#: Bytes of a repeated passage that goes: fewer than fifty words have.
+REPEAT_BYTES = 256
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents scored 0.5 or more."""
+    model = toxicity.trained_on(docs.select("doc_id", "text"), common.table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).where("score < 0.5").select(docs.columns)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each class of near copies; of rows that repeat a doc_id, one."""
+    found = near_dup.near_duplicates(docs.select("doc_id", "text"))
+    gone = found.where("NOT kept").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    again = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if again.take(1):
+        once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        kept = kept.join(again, "doc_id", "left_anti").unionByName(once).select(docs.columns)
+    return kept
+
 
-from quarry.llm import common, decontaminate, packing
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts passages that repeat out of the texts."""
+    left = substring.remove_repeats(docs.withColumn("_none", F.col("text").isNull()), REPEAT_BYTES, with_text=True)
+    text = F.when(~F.col("_none"), F.col("kept"))
+    size = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return left.withColumn("text", text).withColumn("n_chars", size).select(docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a window of a benchmark item."""
     found = decontaminate.contamination(docs, common.table(spark, sf_dir, "benchmark"))
     return found.where("NOT contaminated").select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences; one row for each piece."""
     return packing.pack(docs)
 
 
-STAGES = [("decontamination", without_benchmark), ("packing", packed)]
+STAGES = [
+    ("toxicity", without_toxic),
+    ("near_dedup", without_near_copies),
+    ("substring_dedup", without_repeats),
+    ("decontamination", without_benchmark),
+    ("packing", packed),
+]
 ORACLE_SQL = None
 
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, sharding, token_file, vectors
+from . import decontaminate, language, lm, near_dup, packing, sharding, substring, token_file, toxicity, vectors
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op2_near_dup": near_dup.op2_near_dup,
+    "op3_substring_dedup": substring.op3_substring_dedup,
+    "op4_toxicity": toxicity.op4_toxicity,
+    "op5_lm_score": lm.op5_lm_score,
     "op6_decontamination": decontaminate.op6_decontamination,
+    "op7_language": language.op7_language,
     "op8_sharding": sharding.op8_sharding,
     "op9_embedding_dedup": vectors.op9_embedding_dedup,
     "op10_token_binary": token_file.op10_token_binary,
