@@ -365,7 +365,9 @@ query("eval_compare", f"SELECT id, CASE WHEN b.passed IS NULL THEN 'new' WHEN n.
 query("eval_weighted", "SELECT l_orderkey, l_linenumber, round(0.15 * l_tax + 0.15 * l_discount + 0.30 * l_quantity, 6) AS composite, CASE WHEN l_returnflag = 'R' THEN 0.15 * l_tax + 0.15 * l_discount + 0.30 * l_quantity < 2.0 ELSE 0.15 * l_tax + 0.15 * l_discount + 0.30 * l_quantity >= 3.0 END AS passed FROM lineitem")(lambda s, d: _weighted(t(s, d, "lineitem")))
 query("eval_advisory", "SELECT lang, CASE WHEN avg(quality) >= 0.8 THEN 'pass' WHEN avg(quality) >= 0.5 THEN 'warning' ELSE 'fail' END AS status FROM documents JOIN labels USING (doc_id) GROUP BY 1")(lambda s, d: t(s, d, "documents").join(t(s, d, "labels"), "doc_id").groupBy("lang").agg(F.avg("quality").alias("r")).select("lang", evals.advisory(F.col("r")).alias("status")))
 query("eval_overlap", "SELECT o_custkey, round(len(list_intersect(e, a)) / len(a), 6) AS precision_, round(len(list_intersect(e, a)) / len(e), 6) AS recall_ FROM (SELECT o_custkey, list(DISTINCT o_orderkey % 5) AS e, list(DISTINCT o_orderkey % 7) AS a FROM orders GROUP BY 1)")(lambda s, d: _overlap(t(s, d, "orders")))
-query("eval_line_similarity", "SELECT b.item_id, round(jaro_winkler_similarity(left(b.text, 60), left(d.text, 60)), 6) AS sim FROM benchmark b JOIN documents d ON d.doc_id = b.item_id")(lambda s, d: t(s, d, "benchmark").join(t(s, d, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("o")), "item_id").select("item_id", F.round(S.jaro_winkler(F.substring("text", 1, 60), F.substring("o", 1, 60)), 6).alias("sim")))
+query("eval_line_similarity", "SELECT a.p_partkey, round(jaro_winkler_similarity(a.p_name, b.p_name), 6) AS sim FROM part a JOIN part b ON b.p_partkey = (a.p_partkey * 7 + 3) % 200")(
+    lambda s, d: t(s, d, "part").withColumn("k", (F.col("p_partkey") * 7 + 3) % 200).join(t(s, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("o")), "k").select("p_partkey", F.round(S.jaro_winkler("p_name", "o"), 6).alias("sim"))
+)
 query("eval_progress", "SELECT user_id, round(count(*) / 60.0, 6) AS rate, CASE WHEN count(*) / 60.0 >= 0.001 THEN round((200 - count(*)) / (count(*) / 60.0), 6) END AS seconds_left FROM events GROUP BY 1")(lambda s, d: _progress(t(s, d, "events")))
 
 
