@@ -52,6 +52,12 @@ def written(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return out
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Deletes scratch tables of written() that no later step reads, so the folder holds only what is still needed."""
+    for df in tables:
+        remove_path(df.sparkSession, df.scratch)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -212,6 +212,7 @@ def train(docs: DataFrame, most: int = TRAIN_ROWS) -> Model:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(x, y - x), pa.array(n.astype(np.int64)), pa.array(list(h.astype(float)), pa.list_(pa.float64()))], ["lang", "n", "h"])
 
     got = picked.where("kept").select("lang", "text").mapInArrow(measured, "lang string, n long, h array<double>").toPandas()
+    common.dropped(picked)
     got = got[(got["n"] > 0) & got["lang"].isin(model.langs)]
     if len(got):
         model.calibrate(np.stack(got["h"].to_numpy()), got["n"].to_numpy(), np.searchsorted(model.langs, got["lang"].to_numpy().astype(str)))

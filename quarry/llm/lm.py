@@ -239,6 +239,7 @@ def score(docs: DataFrame, trains: str, path: str | None = None, rounds: int = R
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(out / np.log(10))], ["h", "c", "total", "logp"])
 
     scored = common.written(words.mapInArrow(marginal, "h long, c long, total long, logp double"), "lm-scored")
+    common.dropped(words)
     top = scored.orderBy(F.desc("total"), "h").limit(common_words).select("h", "c", "logp").toPandas()  # common_words rows
     order = np.argsort(top["h"].to_numpy().view(U) if len(top) else np.zeros(0, U))
     table = spark.sparkContext.broadcast((top["h"].to_numpy().astype(np.int64).view(U)[order], top["c"].to_numpy().astype(np.int64)[order], top["logp"].to_numpy().astype(np.float64)[order]))

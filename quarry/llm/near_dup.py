@@ -213,6 +213,8 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     classes = common.written(classes, "near-classes")
     firsts = live.join(classes, (live["digest"] == classes["digest"]) & (live["doc_id"] == classes["rep"])).select("cid", "n", "words")
     firsts = common.written(firsts.dropDuplicates(["cid"]), "near-firsts")
+    ids = common.written(base.select("doc_id", "digest"), "near-ids")
+    common.dropped(base)
 
     def sketched(batches):
         """Pairs found among the texts of a batch (bucket null), and the leaders of each bucket."""
@@ -282,7 +284,9 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left = firsts.select(F.col("cid").alias("a"), F.col("words").alias("wa"))
     right = firsts.select(F.col("cid").alias("b"), F.col("words").alias("wb"))
-    both = common.written(found, "near-pairs").join(left, "a").join(right, "b").select("a", "b", "wa", "wb")
+    found = common.written(found, "near-pairs")
+    common.dropped(led)
+    both = found.join(left, "a").join(right, "b").select("a", "b", "wa", "wb")
 
     def verified(batches):
         for b in batches:
@@ -291,7 +295,8 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["a", "b"])
 
     links = common.written(both.mapInArrow(verified, "a long, b long"), "near-links")
-    return classed(base, classes, links)
+    common.dropped(found, firsts)
+    return classed(ids, classes, links)
 
 
 def classed(base: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:

@@ -103,7 +103,7 @@ def covered(n: int, lo, hi, size: int) -> np.ndarray:
 
 
 def intervals(docs: DataFrame, size: int) -> DataFrame:
-    """row, lo, hi: starts lo..hi of windows of `size` bytes that repeat, of docs(row, text)."""
+    """row and at, a list of (lo, hi): starts lo..hi of windows of `size` bytes that repeat, of docs(row, text)."""
     def anchor_rows(batches):
         for b in batches:
             ids = np.asarray(b.column(0))
@@ -218,7 +218,9 @@ def intervals(docs: DataFrame, size: int) -> DataFrame:
         every = cut.where(F.col("m") > HOT).drop("m").mapInArrow(exploded, "f long, h long, row long, s int, n long")
         again = every.groupBy("f", "h").agg(F.count("*").alias("c")).where("c > 1").select("f", "h")
         result = result.union(every.where("n = 1").join(again, ["f", "h"]).select("row", F.col("s").alias("lo"), F.col("s").alias("hi")))
-    return result
+    starts = common.written(result.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("at")), "repeat-spans")
+    common.dropped(found, contexts, fine, *([cut] if hot else []))
+    return starts
 
 
 def remove_repeats(docs: DataFrame, size: int = 400, with_text: bool = False) -> DataFrame:
@@ -235,8 +237,7 @@ def remove_repeats(docs: DataFrame, size: int = 400, with_text: bool = False) ->
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     # An id from content alone is the same whenever it is computed; equal rows share it, and their spans.
     docs = docs.withColumn("text", text).withColumn("_row", F.xxhash64(F.col("doc_id").cast("string"), "text"))
-    starts = intervals(docs.select(F.col("_row").alias("row"), "text"), size)
-    starts = starts.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("_at")).withColumnRenamed("row", "_row")
+    starts = intervals(docs.select(F.col("_row").alias("row"), "text"), size).select(F.col("row").alias("_row"), F.col("at").alias("_at"))
     both = docs.join(starts, "_row", "left")
     others = [c for c in docs.columns if c not in ("_row", "text")]
     both = both.select(*others, "text", "_at")

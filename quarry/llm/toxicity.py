@@ -159,6 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, identity=I
                 yield pa.RecordBatch.from_arrays([label.slice(x, y - x), lists[0], lists[1], pa.array([o is not None for o in other])], ["toxic", "f", "g", "named"])
 
     got = rows.mapInArrow(selected, "toxic int, f array<int>, g array<int>, named boolean").toPandas()  # at most `most` rows of selected features
+    common.dropped(rows)
     sample = [(int(t > 0), np.asarray(f, np.int64), np.asarray(g, np.int64) if named else None) for t, f, g, named in got.itertuples(index=False)]
     return Model(hashes, *fit(sample, len(hashes)))
 
