@@ -209,10 +209,11 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = common.written(rows.mapInArrow(read, "doc_id long, digest binary, n long, words binary"), "near-words")
     live = base.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-    classes = live.groupBy("digest").agg(F.min("doc_id").alias("rep")).withColumn("cid", F.monotonically_increasing_id())
+    classes = live.groupBy("digest").agg(F.min("doc_id").alias("rep")).withColumn("cid", F.xxhash64("digest"))
     classes = common.written(classes, "near-classes")
     firsts = live.join(classes, (live["digest"] == classes["digest"]) & (live["doc_id"] == classes["rep"])).select("cid", "n", "words")
-    firsts = common.written(firsts.dropDuplicates(["cid"]), "near-firsts")
+    # In a fixed order, so batches, leaders and with them the links are alike on every run.
+    firsts = common.written(firsts.dropDuplicates(["cid"]).sortWithinPartitions("cid"), "near-firsts")
     ids = common.written(base.select("doc_id", "digest"), "near-ids")
     common.dropped(base)
 
