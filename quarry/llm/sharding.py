@@ -8,9 +8,9 @@ then placed under that bound, each as near as possible to an even share of what
 is left, so one huge group doesn't leave other shards empty.
 
 A greedy step needs the last group whose running total stays within a bound.
-The driver holds totals of blocks of groups only (one number for BLOCK groups)
-and reads the single block that a step ends in, keeping a few; so the check is
-exact and driver memory stays bounded.  Cuts are digests: rows find their shard
+The driver holds totals of blocks of groups only (blocks of up to BLOCK groups,
+joined across partitions where these are short) and reads the single block that a
+step ends in, keeping a few; so the check is exact and driver memory stays bounded.  Cuts are digests: rows find their shard
 by comparing, without a join.
 """
 
@@ -101,6 +101,18 @@ def minimax(sizes: Ordered, largest: int, shards: int) -> tuple[int, list[int]]:
     return low, cuts
 
 
+def joined(blocks: list[dict], most: int = BLOCK) -> list[dict]:
+    """Neighbouring blocks joined while they hold no more than `most` groups, so short partitions don't cost a read each."""
+    out: list[dict] = []
+    for b in blocks:
+        if out and out[-1]["n"] + b["n"] <= most:
+            a = out[-1]
+            out[-1] = {"bytes": a["bytes"] + b["bytes"], "most": max(a["most"], b["most"]), "first": a["first"], "last": b["last"], "n": a["n"] + b["n"]}
+        else:
+            out.append(b)
+    return out
+
+
 def assign(docs: DataFrame, shards: int = 24, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, size, text_crc32, digest, shard for each row of docs.
 
@@ -116,11 +128,11 @@ def assign(docs: DataFrame, shards: int = 24, text: str = "text", doc_id: str =
     ordered = groups.repartitionByRange(common.partitions_for(docs, 1), "digest").sortWithinPartitions("digest").withColumn("rid", F.monotonically_increasing_id())
     ordered = common.written(ordered, "shard-groups")
     block = F.expr(f"shiftright(rid, 33) * {1 << 20} + (rid & {(1 << 33) - 1}) div {BLOCK}")
-    blocks = ordered.groupBy(block.alias("block")).agg(F.sum("bytes").alias("bytes"), F.max("bytes").alias("most"), F.min("rid").alias("first"), F.count("*").alias("n")).orderBy("block").collect()
+    blocks = ordered.groupBy(block.alias("block")).agg(F.sum("bytes").alias("bytes"), F.max("bytes").alias("most"), F.min("rid").alias("first"), F.max("rid").alias("last"), F.count("*").alias("n"))
+    blocks = joined([b.asDict() for b in blocks.orderBy("block").collect()])
 
     def read(b: int, *cols: str):
-        first = blocks[b]["first"]
-        return ordered.where(F.col("rid").between(first, first + blocks[b]["n"] - 1)).select(*cols).orderBy("rid").toPandas()
+        return ordered.where(F.col("rid").between(blocks[b]["first"], blocks[b]["last"])).select(*cols).toPandas().sort_values("rid")
 
     sizes = Ordered([b["bytes"] for b in blocks], lambda b: read(b, "rid", "bytes")["bytes"].to_numpy())
     _, cuts = minimax(sizes, max((b["most"] for b in blocks), default=0), shards)

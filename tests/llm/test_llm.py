@@ -91,6 +91,13 @@ def test_minimax():
         assert cap == brute(s, k) and all(0 <= b - a <= cap for a, b in zip(ends, ends[1:]))
 
 
+def test_blocks_join_up_to_their_size():
+    blocks = [{"bytes": i, "most": i, "first": 10 * i, "last": 10 * i + 1, "n": 2} for i in range(1, 6)]
+    out = sharding.joined(blocks, 4)
+    assert [(b["bytes"], b["most"], b["first"], b["last"], b["n"]) for b in out] == [(3, 2, 10, 21, 4), (7, 4, 30, 41, 4), (5, 5, 50, 51, 2)]
+    assert sharding.joined([]) == [] and sharding.joined(blocks, 1) == blocks
+
+
 def test_sharding(docs):
     rows = sharding.slotted(sharding.assign(docs, 5), ["doc_id"], 3).collect()
     assert len(rows) == docs.count()
