@@ -31,7 +31,7 @@ from .decontaminate import words_of
 SHINGLE, SIMILAR = 5, 0.8
 FUNCTIONS, TUPLE = 64, 4
 #: Share of equal samples from which a pair is aligned, and from which a text no longer leads.
-CANDIDATE, COVERED = 0.68, 0.8
+CANDIDATE, COVERED = 0.68, 0.9
 _A = (stream(FUNCTIONS, 31) | U(1)).astype(np.uint32)
 _B = stream(FUNCTIONS, 37).astype(np.uint32)
 
