@@ -9,7 +9,7 @@ a forward recursion in log space, for many words of one length at once.  Since
 no piece crosses words, a text's log probability is the sum over its words.
 
 All counts are over all training texts.  Each distinct word is scored once.  The
-COMMON most frequent words are broadcast; the rarer rest is joined by hash, so
+at most COMMON of the most frequent words are broadcast; the rarer rest is joined by hash, so
 nothing that grows with the corpus is sent to every worker or to the driver.
 Words are known by a 64-bit hash.
 """
@@ -240,9 +240,13 @@ def score(docs: DataFrame, trains: str, path: str | None = None, rounds: int = R
 
     scored = common.written(words.mapInArrow(marginal, "h long, c long, total long, logp double"), "lm-scored")
     common.dropped(words)
-    top = scored.orderBy(F.desc("total"), "h").limit(common_words).select("h", "c", "logp").toPandas()  # common_words rows
-    order = np.argsort(top["h"].to_numpy().view(U) if len(top) else np.zeros(0, U))
-    table = spark.sparkContext.broadcast((top["h"].to_numpy().astype(np.int64).view(U)[order], top["c"].to_numpy().astype(np.int64)[order], top["logp"].to_numpy().astype(np.float64)[order]))
+    # Common words are those used 2^k times or more, for the least k that leaves common_words at most.
+    above = scored.agg(*(F.count(F.when(F.col("total") >= 1 << k, 1)).alias(f"k{k}") for k in range(63))).first()
+    cut = next((1 << k for k in range(63) if above[k] <= common_words), None)
+    top = scored.where(F.col("total") >= cut if cut else F.lit(False)).select("h", "c", "logp").toArrow()  # common_words rows at most
+    order = np.argsort(top["h"].to_numpy().view(U))
+    table = spark.sparkContext.broadcast((top["h"].to_numpy().view(U)[order], top["c"].to_numpy()[order], top["logp"].to_numpy()[order]))
+    del top, order
     floor = float(np.log10(n + v + 1))
     end_log = logs[1] / np.log(10)
     others = [c for c in docs.columns if c != "text"]
