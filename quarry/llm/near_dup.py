@@ -9,9 +9,15 @@ verified by aligning their words inside a band: shingles whose words are aligned
 side by side are shared, and the similarity is shared over all shingles of both.
 
 Texts of equal words are one class, compared once.  Inside a bucket a leader, the
-text nearest to the bucket's middle, is held against the rest; those that surely
-resemble it need not lead.  This is done within each input batch before the
+text nearest to the bucket's middle, is held against the rest; those that seem to
+resemble it don't lead.  This is done within each input batch before the
 shuffle, so a large group arrives as a few leaders, and only leaders are held.
+
+Texts that didn't lead were not compared with each other.  Further rounds do so
+for the buckets where links have left more than one component: the texts of
+different components that agree in a finer sample are candidates too, at first
+the nearest of each, so that most components join, then all that still are apart.
+A large bucket is dealt out in tiles of two blocks of its texts.
 """
 
 from __future__ import annotations
@@ -31,9 +37,11 @@ from .decontaminate import words_of
 SHINGLE, SIMILAR = 5, 0.8
 FUNCTIONS, TUPLE = 64, 4
 #: Share of equal samples from which a pair is aligned, and from which a text no longer leads.
-CANDIDATE, COVERED = 0.68, 0.9
-_A = (stream(FUNCTIONS, 31) | U(1)).astype(np.uint32)
-_B = stream(FUNCTIONS, 37).astype(np.uint32)
+CANDIDATE, COVERED = 0.68, 0.8
+#: The finer sample: its functions, the share of equal samples from which a pair is aligned, and the texts of a block.
+FINE, FINE_CANDIDATE, BLOCK = 256, 0.74, 1024
+_A = (stream(FINE, 31) | U(1)).astype(np.uint32)
+_B = stream(FINE, 37).astype(np.uint32)
 
 
 def shingles(words: np.ndarray, k: int = SHINGLE) -> np.ndarray:
@@ -60,15 +68,14 @@ def labelled(h: np.ndarray) -> np.ndarray:
     return np.where(label > 0, mix(h + label.astype(U) * U(0xA24BAED4963EE407)), h)
 
 
-def sketch(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys, and a byte of each sampled minimum."""
-    h = labelled(shingles(words))
+def sampled(h: np.ndarray, functions: int) -> tuple[np.ndarray, np.ndarray]:
+    """A byte of the minimum of each function, and its place."""
     base = (h >> U(32)).astype(np.uint32)
-    best = np.full(FUNCTIONS, 0xFFFFFFFF, np.uint32)
-    where = np.zeros(FUNCTIONS, np.int64)
-    rows = np.arange(FUNCTIONS)
+    best = np.full(functions, 0xFFFFFFFF, np.uint32)
+    where = np.zeros(functions, np.int64)
+    rows, mult, flip = np.arange(functions), _A[:functions, None], _B[:functions, None]
     for a in range(0, len(base), 2048):
-        x = (base[a : a + 2048][None, :] ^ _B[:, None]) * _A[:, None]
+        x = (base[a : a + 2048][None, :] ^ flip) * mult
         x ^= x >> np.uint32(15)
         x *= np.uint32(0x2C1B3C6D)
         x ^= x >> np.uint32(13)
@@ -76,15 +83,22 @@ def sketch(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         low = x[rows, at]
         new = low < best
         best[new], where[new] = low[new], at[new] + a
+    return (best & np.uint32(255)).astype(np.uint8), where
+
+
+def sketch(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, and a byte of each sampled minimum."""
+    h = labelled(shingles(words))
+    sig, where = sampled(h, FUNCTIONS)
     place = np.sort(where.reshape(-1, TUPLE), axis=1)
     keys = np.arange(len(place)).astype(U)
     for i in range(TUPLE):
         keys = mix(keys * U(0x9E3779B97F4A7C15) + h[place[:, i]])
-    return keys, (best & np.uint32(255)).astype(np.uint8)
+    return keys, sig
 
 
 def lead(sig: np.ndarray, size: np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
-    """Candidate pairs (leader, other) among texts of one bucket, and the leaders."""
+    """Candidate pairs (leader, other) among texts of one bucket, and the leaders; the rest follow one."""
     n = len(sig)
     if n > 2:
         # Nearest to the middle first: by agreement with the commonest value of each sample.
@@ -105,6 +119,32 @@ def lead(sig: np.ndarray, size: np.ndarray) -> tuple[list[tuple[int, int]], list
     return pairs, leaders
 
 
+def apart(bucket: int, root: np.ndarray, block: np.ndarray, n: np.ndarray, sig: np.ndarray, buckets: list[set], nearest: bool) -> list[tuple[int, int]]:
+    """Candidate pairs of different components in a tile of a bucket, each in the first bucket both are in; with `nearest` one for each text at most.
+
+    A tile holds one block, compared in itself, or two, compared with each other.
+    """
+    values, own = np.unique(root, return_inverse=True)
+    if len(values) < 2:
+        return []
+    largest = np.bincount(own).argmax()
+    crossed, pairs = (block != block[0]).any(), []
+    for i in np.flatnonzero(own != largest).tolist():
+        other = (own != own[i]) & ((own == largest) | (np.arange(len(own)) > i))
+        if crossed:
+            other &= block != block[i]
+        at = np.flatnonzero(other & (np.minimum(n, n[i]) >= SIMILAR * np.maximum(n, n[i])))
+        same = (sig[at] == sig[i]).mean(1)
+        pairs += [(x, i, j) for x, j in zip(same.tolist(), at.tolist()) if x >= FINE_CANDIDATE and min(buckets[i] & buckets[j]) == bucket]
+    if nearest:
+        best: dict[int, tuple] = {}
+        for p in pairs:
+            for k in p[1:]:
+                best[k] = max(best.get(k, p), p)
+        pairs = sorted(set(best.values()))
+    return [(i, j) for _, i, j in pairs]
+
+
 def _extend(a: np.ndarray, b: np.ndarray, i: int, j: int) -> int:
     """Length of the common run from a[i] and b[j]."""
     n, at, step = min(len(a) - i, len(b) - j), 0, 32
@@ -218,7 +258,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     common.dropped(base)
 
     def sketched(batches):
-        """Pairs found among the texts of a batch (bucket null), and the leaders of each bucket."""
+        """Pairs found among the texts of a batch (bucket null), the leaders of each bucket, and those that follow (n and sig null)."""
         for b in batches:
             cid, n, words = np.asarray(b.column(0)), np.asarray(b.column(1)), b.column(2)
             if not len(cid):
@@ -227,17 +267,20 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
             keys, sig = np.stack([k for k, _ in got]), np.stack([s for _, s in got])
             bucket, row = keys.ravel().view(np.int64), np.repeat(np.arange(len(cid)), keys.shape[1])
             order = np.argsort(bucket, kind="stable")
-            pairs, up = set(), []
+            pairs, up, down = set(), [], []
             for x, y in _runs_of(bucket, order):
                 own = row[order[x:y]]
                 if y - x > 1:
                     found, leaders = lead(sig[own], n[own])
                     pairs.update((int(own[i]), int(own[j])) for i, j in found)
                     up += [order[x + i] for i in leaders]
+                    down += [order[x + i] for i in sorted(set(range(y - x)) - set(leaders))]
                 else:
                     up.append(order[x])
-            up = np.array(up)
+            up, down = np.array(up), np.array(down, np.int64)
             yield out(cid, n, sig, bucket[up], row[up], None)
+            if len(down):
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[down]), pa.array(cid[row[down]]), *(pa.nulls(len(down), t) for t in (pa.int64(), pa.int32(), pa.binary()))], NAMES)
             if pairs:
                 p = np.array(sorted(pairs))
                 yield out(cid, n, sig, None, p[:, 0], cid[p[:, 1]])
@@ -249,23 +292,28 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
             cols += [pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())]
         else:
             cols += [pa.array(n[row].astype(np.int32)), pa.array([sig[r].tobytes() for r in row.tolist()], pa.binary())]
-        return pa.RecordBatch.from_arrays(cols, ["bucket", "a", "b", "n", "sig"])
+        return pa.RecordBatch.from_arrays(cols, NAMES)
+
+    NAMES = ["bucket", "a", "b", "n", "sig"]
 
     led = common.written(firsts.mapInArrow(sketched, "bucket long, a long, b long, n int, sig binary"), "near-keys")
-    again = led.where("bucket IS NOT NULL").select("bucket", "a", "n", "sig").repartition("bucket").sortWithinPartitions("bucket", "a")
+    again = led.where("sig IS NOT NULL").select("bucket", "a", "n", "sig").repartition("bucket").sortWithinPartitions("bucket", "a")
 
     def compared(batches):
-        """Pairs among the leaders that meet in a bucket; the last bucket of a batch waits for the next one."""
+        """Pairs among the leaders that meet in a bucket, and buckets where some follow (a and b null); the last bucket of a batch waits for the next one."""
         kept = None
 
         def pairs(bucket, a, n, sig):
-            found = []
+            found, part = [], []
             for x, y in _runs_of(bucket, np.arange(len(bucket))):
                 if y - x > 1:
-                    p, _ = lead(sig[x:y], n[x:y])
+                    p, leaders = lead(sig[x:y], n[x:y])
                     found += [(a[x + i], a[x + j]) for i, j in p]
-            f = np.array(found, np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(f[:, 0]), pa.array(f[:, 1])], ["a", "b"])
+                    if len(leaders) < y - x and y - x > 2:
+                        part.append(bucket[x])
+            f, part = np.array(found, np.int64).reshape(-1, 2), np.array(part, np.int64)
+            gap = [pa.nulls(len(part), pa.int64())]
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in ([pa.array(f[:, 0]), *gap], [pa.array(f[:, 1]), *gap], [pa.nulls(len(f), pa.int64()), pa.array(part)])], ["a", "b", "bucket"])
 
         for b in batches:
             if not b.num_rows:
@@ -281,13 +329,77 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
         if kept is not None:
             yield pairs(*kept)
 
-    found = led.where("b IS NOT NULL").select("a", "b").union(again.mapInArrow(compared, "a long, b long"))
-    found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    left = firsts.select(F.col("cid").alias("a"), F.col("words").alias("wa"))
-    right = firsts.select(F.col("cid").alias("b"), F.col("words").alias("wb"))
-    found = common.written(found, "near-pairs")
-    common.dropped(led)
-    both = found.join(left, "a").join(right, "b").select("a", "b", "wa", "wb")
+    met = common.written(again.mapInArrow(compared, "a long, b long, bucket long"), "near-met")
+    found = led.where("b IS NOT NULL").select("a", "b").union(met.where("a IS NOT NULL").select("a", "b"))
+    of = components(linked(found, firsts, least))
+    # Texts of the buckets in which some only followed a leader, with the buckets each is in: one for each key at most.
+    part = led.where("b IS NULL AND sig IS NULL").select("bucket").union(met.where("bucket IS NOT NULL").select("bucket")).distinct()
+    members = led.where("b IS NULL").select("bucket", "a").join(part, "bucket", "left_semi")
+    members = common.written(members.groupBy("a").agg(F.collect_set("bucket").alias("buckets")), "near-members")
+    common.dropped(led, met)
+    for nearest in (True, False):
+        named = members.join(of, members["a"] == of["node"], "left").select("a", F.coalesce("root", "a").alias("root"), "buckets")
+        split = named.select(F.explode("buckets").alias("bucket"), "root").groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("k"))
+        split = common.written(split.where("x < y").select("bucket", F.ceil(F.col("k") / BLOCK).cast("long").alias("blocks")), "near-split")
+        if not split.take(1):
+            common.dropped(split)
+            break
+        links = linked(crossing(named, split, firsts, nearest), firsts, least)
+        if links.take(1):
+            of = components(links.union(of))
+        common.dropped(split)
+    common.dropped(firsts, members)
+    return classed(ids, classes, of)
+
+
+def crossing(named: DataFrame, split: DataFrame, firsts: DataFrame, nearest: bool) -> DataFrame:
+    """Candidates (a, b) of different components among named(a, root, buckets) that meet in the buckets of split(bucket, blocks)."""
+
+    def finer(batches):
+        for b in batches:
+            sig = [sampled(labelled(shingles(np.frombuffer(w.as_buffer(), "<u4"))), FINE)[0].tobytes() for w in b.column(4)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(sig, pa.binary())], ["a", "root", "buckets", "n", "sig"])
+
+    def pairs(batches):
+        """Candidates of each tile; the last tile of a batch waits for the next one."""
+
+        def of(t):
+            bucket, tile, a, root, block, n = (np.asarray(t.column(c).combine_chunks()) for c in ("bucket", "tile", "a", "root", "block", "n"))
+            sig = text_buffers(t.column("sig"))[0].reshape(-1, FINE)
+            edge = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (tile[1:] != tile[:-1])))
+            out, buckets = [], [set(x) for x in t.column("buckets").to_pylist()]
+            for x, y in zip(edge.tolist(), [*edge[1:].tolist(), len(bucket)]):
+                out += [(a[x + i], a[x + j]) for i, j in apart(int(bucket[x]), root[x:y], block[x:y], n[x:y], sig[x:y], buckets[x:y], nearest)]
+            f = np.array(out, np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(f[:, 0]), pa.array(f[:, 1])], ["a", "b"])
+
+        kept = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            t = t if kept is None else pa.concat_tables([kept, t])
+            bucket, tile = (np.asarray(t.column(c).combine_chunks()) for c in ("bucket", "tile"))
+            before = np.flatnonzero((bucket != bucket[-1]) | (tile != tile[-1]))
+            last = int(before[-1]) + 1 if len(before) else 0
+            if last:
+                yield of(t.slice(0, last))
+            kept = t.slice(last)
+        if kept is not None:
+            yield of(kept)
+
+    live = named.select("a", F.explode("buckets").alias("bucket")).join(split.select("bucket"), "bucket", "left_semi").select("a").distinct()
+    words = firsts.select(F.col("cid").alias("a"), "n", "words")
+    rows = named.join(live, "a", "left_semi").join(words, "a").select("a", "root", "buckets", "n", "words")
+    rows = rows.mapInArrow(finer, "a long, root long, buckets array<long>, n long, sig binary")
+    rows = rows.select("a", "root", "buckets", "n", "sig", F.explode("buckets").alias("bucket")).join(split, "bucket")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.withColumn("tile", F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).drop("other", "blocks")
+    return rows.repartition("bucket", "tile").sortWithinPartitions("bucket", "tile", "a").mapInArrow(pairs, "a long, b long")
+
+
+def linked(found: DataFrame, firsts: DataFrame, least: float) -> DataFrame:
+    """The pairs of found(a, b) whose words, in firsts(cid, words), are alike."""
 
     def verified(batches):
         for b in batches:
@@ -295,14 +407,16 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
             mask = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["a", "b"])
 
-    links = common.written(both.mapInArrow(verified, "a long, b long"), "near-links")
-    common.dropped(found, firsts)
-    return classed(ids, classes, links)
+    found = common.written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
+    left = firsts.select(F.col("cid").alias("a"), F.col("words").alias("wa"))
+    right = firsts.select(F.col("cid").alias("b"), F.col("words").alias("wb"))
+    links = common.written(found.join(left, "a").join(right, "b").select("a", "b", "wa", "wb").mapInArrow(verified, "a long, b long"), "near-links")
+    common.dropped(found)
+    return links
 
 
-def classed(base: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
-    """Classes of all rows from the links between text classes."""
-    of = components(links)
+def classed(base: DataFrame, classes: DataFrame, of: DataFrame) -> DataFrame:
+    """Classes of all rows from the components (node, root) of text classes."""
     roots = classes.join(of, classes["cid"] == of["node"], "left").select("digest", "rep", F.coalesce("root", "cid").alias("root"))
     least = roots.groupBy("root").agg(F.min("rep").alias("class_id"))
     named = roots.join(least, "root").select("digest", "class_id")
