@@ -16,6 +16,8 @@ Words are known by a 64-bit hash.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -126,7 +128,7 @@ def lattice(words: np.ndarray, p: Pieces, logp: np.ndarray, counts: np.ndarray |
 
 
 def each_length(column, most: int = 1 << 14):
-    """(rows, words as a matrix with the mark first) for words of a length; words beyond MOST_BYTES come cut into runs of it."""
+    """(rows, words as a matrix with the mark first) for words of a length."""
     data, at = text_buffers(column)
     lengths = np.diff(at)
     for size in np.unique(lengths).tolist():
@@ -139,14 +141,43 @@ def each_length(column, most: int = 1 << 14):
             yield part, out
 
 
+def long_lattice(word: np.ndarray, p: Pieces, logp: np.ndarray, count: float | None = None, expected: np.ndarray | None = None) -> float:
+    """lattice() for one long word: the arcs of all places at once, then recursions over the arcs."""
+    size = len(word)
+    sums, inverse = prefix_sums(word), powers(INVERSE, size + 1)
+    found = []
+    for length in range(1, min(p.longest, size) + 1):
+        h = mix((sums[length:] - sums[:-length]) * inverse[: size - length + 1] + _LENGTH[length : length + 1])
+        start = np.flatnonzero(p.look[(h >> U(64 - LOOK)).astype(np.int64)])
+        at = np.searchsorted(p.hashes, h[start])
+        at[at == len(p.hashes)] = 0
+        same = p.hashes[at] == h[start]
+        found.append((start[same], start[same] + length, at[same]))
+    start, end, at = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(end, kind="stable")
+    start, end, at = start[order], end[order], at[order]
+    arcs = list(zip(start.tolist(), end.tolist(), logp[at].tolist()))
+    alpha = [0.0] + [-math.inf] * size
+    for s, e, x in arcs:
+        alpha[e] = _logadd(alpha[e], alpha[s] + x)
+    if count is not None:
+        beta = [-math.inf] * size + [0.0]
+        for s, e, x in reversed(arcs):
+            beta[s] = _logadd(beta[s], beta[e] + x)
+        np.add.at(expected, at, np.exp(np.array(alpha)[start] + logp[at] + np.array(beta)[end] - alpha[size]) * count)
+    return alpha[size]
+
+
+def _logadd(x: float, y: float) -> float:
+    x, y = (x, y) if x > y else (y, x)
+    return x if y == -math.inf else x + math.log1p(math.exp(y - x))
+
+
 def long_marginal(words: np.ndarray, p: Pieces, logp: np.ndarray, counts=None, expected=None) -> np.ndarray:
-    """lattice() for words of any length, in steps of bounded width: exact, as a forward state of `longest` places carries over."""
+    """lattice() for words of any length; those beyond 4*MOST_BYTES one by one, as their places outnumber them."""
     if words.shape[1] <= 4 * MOST_BYTES:
         return lattice(words, p, logp, counts, expected)
-    total = np.zeros(len(words))
-    for a in range(0, words.shape[1], 2 * MOST_BYTES):
-        total += lattice(np.ascontiguousarray(words[:, a : a + 2 * MOST_BYTES]), p, logp, counts, expected)
-    return total
+    return np.array([long_lattice(w, p, logp, None if counts is None else counts[i], expected) for i, w in enumerate(words)])
 
 
 def tokens(column):
@@ -198,8 +229,8 @@ def score(docs: DataFrame, trains: str, path: str | None = None, rounds: int = R
     docs has text and the boolean column `trains`.  Null and empty texts are the
     end alone.  base_score is the add-one unigram of training tokens, score the
     lattice model, both log10.  Without training rows N and V are 0 and the
-    vocabulary's scores are used.  Words beyond 4*MOST_BYTES bytes are scored as
-    runs of 2*MOST_BYTES.  Rows that repeat count each; columns of the results'
+    vocabulary's scores are used.  Words of any length are scored over their whole
+    lattice.  Rows that repeat count each; columns of the results'
     names are replaced.
     """
     spark = docs.sparkSession
