@@ -236,3 +236,30 @@ def test_lattice_is_the_sum_over_segmentations():
 
     for w in (b" the", b" abcab", " né".encode()):
         assert abs(lm.lattice(np.frombuffer(w, np.uint8)[None], p, logp)[0] - math.log(total(w))) < 1e-9
+
+
+def test_long_words_over_their_whole_lattice():
+    p = lm.pieces()
+    rng = np.random.default_rng(2)
+    words = np.frombuffer(b" " + bytes(rng.choice(list(b"theinga\xc3\xa9"), 699)), np.uint8).reshape(1, -1)
+    logp, _ = p.probabilities(None, 1.0, 100.0)
+    short, long = np.zeros(len(p.hashes)), np.zeros(len(p.hashes))
+    want = lm.lattice(words, p, logp, np.array([3.0]), short)
+    got = lm.long_marginal(words, p, logp, np.array([3.0]), long)
+    assert np.allclose(got, want) and np.allclose(long, short) and np.allclose(lm.long_marginal(words, p, logp), want)
+
+
+def test_apart_finds_each_pair_across_components_once():
+    rng = np.random.default_rng(5)
+    k, base = 40, rng.integers(0, 256, near_dup.FINE, dtype=np.uint8)
+    sig = np.array([np.where(rng.random(near_dup.FINE) < 0.1, 0, base) for _ in range(k)], np.uint8)
+    root, block, n = rng.integers(0, 3, k), np.zeros(k, np.int64), np.full(k, 10)
+    both = [set(rng.choice(4, 2, replace=False).tolist()) for _ in range(k)]
+    found = {}
+    for b in range(4):
+        own = [i for i in range(k) if b in both[i]]
+        part = near_dup.apart(b, root[own], block[own], n[own], sig[own], [both[i] for i in own], False)
+        found[b] = [(own[i], own[j]) for i, j in part]
+    got = [tuple(sorted(p)) for f in found.values() for p in f]
+    want = {(i, j) for i in range(k) for j in range(i) if root[i] != root[j] and both[i] & both[j] and (sig[i] == sig[j]).mean() >= near_dup.FINE_CANDIDATE}
+    assert sorted(got) == sorted(tuple(sorted(p)) for p in want)
