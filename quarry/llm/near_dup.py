@@ -13,8 +13,9 @@ text nearest to the bucket's middle, is held against the rest; those that seem t
 resemble it don't lead.  This is done within each input batch before the
 shuffle, so a large group arrives as a few leaders, and only leaders are held.
 
-Texts that didn't lead were not compared with each other.  Further rounds do so
-for the buckets where links have left more than one component: the texts of
+Texts that didn't lead were not compared with each other, and leaders that agree
+in fewer than LIKELY samples wait.  Further rounds compare both, in the buckets
+that hold any, where links have left more than one component: the texts of
 different components that agree in a finer sample are candidates too, at first
 the nearest of each, so that most components join, then all that still are apart.
 A large bucket is dealt out in tiles of two blocks of its texts.
@@ -36,10 +37,10 @@ from .decontaminate import words_of
 
 SHINGLE, SIMILAR = 5, 0.8
 FUNCTIONS, TUPLE = 64, 4
-#: Share of equal samples from which a pair is aligned, and from which a text no longer leads.
-CANDIDATE, COVERED = 0.68, 0.8
-#: The finer sample: its functions, the share of equal samples from which a pair is aligned, and the texts of a block.
-FINE, FINE_CANDIDATE, BLOCK = 256, 0.74, 1024
+#: Share of equal samples from which a pair is aligned in the end (a pair at SIMILAR falls short in 0.4 of 10,000 cases, fewer than share no key), from which it is at once, and from which a text no longer leads.
+CANDIDATE, LIKELY, COVERED = 0.58, 0.68, 0.8
+#: The finer sample: its functions, the share of equal samples from which a pair is aligned (at SIMILAR 0.8 of 10,000 fall short), and the texts of a block.
+FINE, FINE_CANDIDATE, BLOCK = 256, 0.70, 1024
 _A = (stream(FINE, 31) | U(1)).astype(np.uint32)
 _B = stream(FINE, 37).astype(np.uint32)
 
@@ -97,8 +98,8 @@ def sketch(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys, sig
 
 
-def lead(sig: np.ndarray, size: np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
-    """Candidate pairs (leader, other) among texts of one bucket, and the leaders; the rest follow one."""
+def lead(sig: np.ndarray, size: np.ndarray) -> tuple[list[tuple[int, int]], list[int], bool]:
+    """Likely pairs (leader, other) among texts of one bucket, the leaders, and whether other candidates wait; the rest follow one."""
     n = len(sig)
     if n > 2:
         # Nearest to the middle first: by agreement with the commonest value of each sample.
@@ -106,7 +107,7 @@ def lead(sig: np.ndarray, size: np.ndarray) -> tuple[list[tuple[int, int]], list
         order = np.argsort(-(sig == middle).sum(1), kind="stable")
     else:
         order = np.arange(n)
-    pairs, leaders = [], []
+    pairs, leaders, waits = [], [], False
     while len(order):
         first, order = int(order[0]), order[1:]
         leaders.append(first)
@@ -114,9 +115,10 @@ def lead(sig: np.ndarray, size: np.ndarray) -> tuple[list[tuple[int, int]], list
             break
         same = (sig[order] == sig[first]).mean(1)
         near = np.minimum(size[order], size[first]) >= SIMILAR * np.maximum(size[order], size[first])
-        pairs += [(first, int(o)) for o in order[(same >= CANDIDATE) & near]]
+        pairs += [(first, int(o)) for o in order[(same >= LIKELY) & near]]
+        waits |= bool(((same >= CANDIDATE) & (same < LIKELY) & near).any())
         order = order[~((same >= COVERED) & near)]
-    return pairs, leaders
+    return pairs, leaders, waits
 
 
 def apart(bucket: int, root: np.ndarray, block: np.ndarray, n: np.ndarray, sig: np.ndarray, buckets: list[set], nearest: bool) -> list[tuple[int, int]]:
@@ -271,7 +273,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
             for x, y in _runs_of(bucket, order):
                 own = row[order[x:y]]
                 if y - x > 1:
-                    found, leaders = lead(sig[own], n[own])
+                    found, leaders, _ = lead(sig[own], n[own])  # those that wait meet again as leaders
                     pairs.update((int(own[i]), int(own[j])) for i, j in found)
                     up += [order[x + i] for i in leaders]
                     down += [order[x + i] for i in sorted(set(range(y - x)) - set(leaders))]
@@ -300,16 +302,16 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     again = led.where("sig IS NOT NULL").select("bucket", "a", "n", "sig").repartition("bucket").sortWithinPartitions("bucket", "a")
 
     def compared(batches):
-        """Pairs among the leaders that meet in a bucket, and buckets where some follow (a and b null); the last bucket of a batch waits for the next one."""
+        """Pairs among the leaders that meet in a bucket, and buckets where some follow or wait (a and b null); the last bucket of a batch waits for the next one."""
         kept = None
 
         def pairs(bucket, a, n, sig):
             found, part = [], []
             for x, y in _runs_of(bucket, np.arange(len(bucket))):
                 if y - x > 1:
-                    p, leaders = lead(sig[x:y], n[x:y])
+                    p, leaders, waits = lead(sig[x:y], n[x:y])
                     found += [(a[x + i], a[x + j]) for i, j in p]
-                    if len(leaders) < y - x and y - x > 2:
+                    if waits or len(leaders) < y - x and y - x > 2:
                         part.append(bucket[x])
             f, part = np.array(found, np.int64).reshape(-1, 2), np.array(part, np.int64)
             gap = [pa.nulls(len(part), pa.int64())]
@@ -332,7 +334,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     met = common.written(again.mapInArrow(compared, "a long, b long, bucket long"), "near-met")
     found = led.where("b IS NOT NULL").select("a", "b").union(met.where("a IS NOT NULL").select("a", "b"))
     of = components(linked(found, firsts, least))
-    # Texts of the buckets in which some only followed a leader, with the buckets each is in: one for each key at most.
+    # Texts of the buckets in which some only followed a leader or wait, with the buckets each is in: one for each key at most.
     part = led.where("b IS NULL AND sig IS NULL").select("bucket").union(met.where("bucket IS NOT NULL").select("bucket")).distinct()
     members = led.where("b IS NULL").select("bucket", "a").join(part, "bucket", "left_semi")
     members = common.written(members.groupBy("a").agg(F.collect_set("bucket").alias("buckets")), "near-members")

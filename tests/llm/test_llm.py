@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quarry.llm import decontaminate, language, lm, near_dup, packing, sharding, simple8b, substring, token_file, toxicity, vectors
@@ -263,3 +264,44 @@ def test_apart_finds_each_pair_across_components_once():
     got = [tuple(sorted(p)) for f in found.values() for p in f]
     want = {(i, j) for i in range(k) for j in range(i) if root[i] != root[j] and both[i] & both[j] and (sig[i] == sig[j]).mean() >= near_dup.FINE_CANDIDATE}
     assert sorted(got) == sorted(tuple(sorted(p)) for p in want)
+
+
+def test_gates_keep_pairs_near_the_threshold():
+    """Pairs of similarity 0.80 to 0.84 that share a key: all are aligned at once or wait for the finer sample, which lets them be."""
+    rng = np.random.default_rng(11)
+    met = low = 0
+    for _ in range(1500):
+        a = rng.integers(0, 2**32, 404, dtype=np.uint32)
+        b = a.copy()
+        b[10 : 10 + 16 * 9 : 16] = rng.integers(0, 2**32, 9, dtype=np.uint32)
+        if near_dup.similarity(a, b) < near_dup.SIMILAR:
+            b[10 + 16 * 8] = a[10 + 16 * 8]
+        assert 0.8 <= near_dup.similarity(a, b) < 0.84
+        (ka, sa), (kb, sb) = near_dup.sketch(a), near_dup.sketch(b)
+        if not set(ka.tolist()) & set(kb.tolist()):
+            continue
+        met += 1
+        low += (sa == sb).mean() < 0.68
+        n = np.array([len(a), len(b)])
+        pairs, _, waits = near_dup.lead(np.stack([sa, sb]), n)
+        assert pairs == [(0, 1)] or waits
+        fine = np.stack([near_dup.sampled(near_dup.labelled(near_dup.shingles(x)), near_dup.FINE)[0] for x in (a, b)])
+        assert near_dup.apart(0, np.array([0, 1]), np.zeros(2, np.int64), n, fine, [{0}, {0}], False)
+    assert met > 1400 and low > 0
+
+
+def test_near_copies_whose_samples_agree_little(spark):
+    """Pairs at 0.80 to 0.84 that agree in fewer than 0.68 of the samples are linked by the whole operator."""
+    rng, rows = np.random.default_rng(12), []
+    while len(rows) < 12:
+        a = [f"w{x}" for x in rng.integers(0, 2**40, 404)]
+        b = list(a)
+        for i in range(8):
+            b[10 + 16 * i] = f"v{rng.integers(0, 2**40)}"
+        text = [" ".join(x) for x in (a, b)]
+        words = [(near_dup.words_of(*near_dup.text_buffers(pa.array([x])))[4] >> np.uint64(32)).astype("<u4") for x in text]
+        (ka, sa), (kb, sb) = near_dup.sketch(words[0]), near_dup.sketch(words[1])
+        if (sa == sb).mean() < 0.68 and set(ka.tolist()) & set(kb.tolist()):
+            rows += [(len(rows), text[0]), (len(rows) + 1, text[1])]
+    out = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in out} == {i: i - i % 2 for i in range(12)}
