@@ -346,8 +346,15 @@ query("gap_status", "SELECT event_type, CASE WHEN event_type = 'error' THEN 'bro
 RUNS = "SELECT l_returnflag AS suite, l_partkey % 50 AS c, round(l_quantity / 10, 1) AS composite, l_quantity > 40 AS passed, CASE WHEN l_linenumber <> 3 THEN l_tax END AS cost FROM lineitem WHERE l_orderkey % 50 = {0}"
 
 
+WHOLE = RUNS.partition(" WHERE ")[0]
+
+
 def runs(s, d, rest):
-    return t(s, d, "lineitem").where(f"l_orderkey % 50 = {rest}").select(F.col("l_returnflag").alias("suite"), (F.col("l_partkey") % 50).alias("c"), F.round(F.col("l_quantity") / 10, 1).alias("composite"), (F.col("l_quantity") > 40).alias("passed"), F.when(F.col("l_linenumber") != 3, F.col("l_tax")).alias("cost"))
+    return runs_of(t(s, d, "lineitem").where(f"l_orderkey % 50 = {rest}"))
+
+
+def runs_of(li):
+    return li.select(F.col("l_returnflag").alias("suite"), (F.col("l_partkey") % 50).alias("c"), F.round(F.col("l_quantity") / 10, 1).alias("composite"), (F.col("l_quantity") > 40).alias("passed"), F.when(F.col("l_linenumber") != 3, F.col("l_tax")).alias("cost"))
 
 
 def _rounded(df, *names):
@@ -362,6 +369,12 @@ CASE1 = "SELECT suite || ':' || c AS id, bool_or(passed) AS passed, avg(composit
 query("eval_compare", f"SELECT id, CASE WHEN b.passed IS NULL THEN 'new' WHEN n.passed IS NULL THEN 'removed' WHEN b.passed AND NOT n.passed THEN 'regression' WHEN NOT b.passed AND n.passed THEN 'improvement' ELSE 'stable' END AS kind, round(n.m - b.m, 6) AS delta FROM ({CASE1.format(RUNS.format(0))}) b FULL JOIN ({CASE1.format(RUNS.format(1))}) n USING (id)")(
     lambda s, d: _rounded(evals.compare(*[evals.cases(runs(s, d, k), "suite", "c").withColumn("id", F.concat_ws(":", "suite", F.col("c").cast("string"))) for k in (0, 1)], "id"), "delta")
 )
+# The three above read a fiftieth of lineitem for a run; these read all of it, the last as two runs.
+query("eval_cases_whole", f"SELECT suite, c, count(*) AS runs, round(avg(composite), 6) AS mean_composite, round(stddev_pop(composite), 6) AS std_composite, bool_or(passed) AS passed, round(sum(coalesce(cost, 0)), 6) AS cost FROM ({WHOLE}) GROUP BY 1, 2")(lambda s, d: _rounded(evals.cases(runs_of(t(s, d, "lineitem")), "suite", "c"), "mean_composite", "std_composite", "cost"))
+query("eval_suites_whole", f"WITH r AS ({WHOLE}), p AS (SELECT suite, c, bool_or(passed) AS ok FROM r GROUP BY 1, 2) SELECT r.suite, round(avg(composite), 6) AS mean_composite, round(var_pop(composite), 6) AS var_composite, round(sum(coalesce(cost, 0)), 6) AS total_cost, (SELECT count(*) FROM p WHERE p.suite = r.suite) AS cases, (SELECT count(*) FROM p WHERE p.suite = r.suite AND ok) AS passing, round((SELECT avg(CAST(ok AS INT)) FROM p WHERE p.suite = r.suite), 6) AS pass_rate FROM r GROUP BY r.suite")(lambda s, d: _rounded(evals.suites(runs_of(t(s, d, "lineitem")), "suite", "c"), "mean_composite", "var_composite", "total_cost", "pass_rate"))
+query("eval_compare_whole", f"SELECT id, CASE WHEN b.passed IS NULL THEN 'new' WHEN n.passed IS NULL THEN 'removed' WHEN b.passed AND NOT n.passed THEN 'regression' WHEN NOT b.passed AND n.passed THEN 'improvement' ELSE 'stable' END AS kind, round(n.m - b.m, 6) AS delta FROM ({CASE1.format(WHOLE + ' WHERE l_orderkey % 2 = 0')}) b FULL JOIN ({CASE1.format(WHOLE + ' WHERE l_orderkey % 2 = 1')}) n USING (id)")(
+    lambda s, d: _rounded(evals.compare(*[evals.cases(runs_of(t(s, d, "lineitem").where(f"l_orderkey % 2 = {k}")), "suite", "c").withColumn("id", F.concat_ws(":", "suite", F.col("c").cast("string"))) for k in (0, 1)], "id"), "delta")
+)
 query("eval_weighted", "SELECT l_orderkey, l_linenumber, round(0.15 * l_tax + 0.15 * l_discount + 0.30 * l_quantity, 6) AS composite, CASE WHEN l_returnflag = 'R' THEN 0.15 * l_tax + 0.15 * l_discount + 0.30 * l_quantity < 2.0 ELSE 0.15 * l_tax + 0.15 * l_discount + 0.30 * l_quantity >= 3.0 END AS passed FROM lineitem")(lambda s, d: _weighted(t(s, d, "lineitem")))
 query("eval_advisory", "SELECT lang, CASE WHEN avg(quality) >= 0.8 THEN 'pass' WHEN avg(quality) >= 0.5 THEN 'warning' ELSE 'fail' END AS status FROM documents JOIN labels USING (doc_id) GROUP BY 1")(lambda s, d: t(s, d, "documents").join(t(s, d, "labels"), "doc_id").groupBy("lang").agg(F.avg("quality").alias("r")).select("lang", evals.advisory(F.col("r")).alias("status")))
 query("eval_overlap", "SELECT o_custkey, round(len(list_intersect(e, a)) / len(a), 6) AS precision_, round(len(list_intersect(e, a)) / len(e), 6) AS recall_ FROM (SELECT o_custkey, list(DISTINCT o_orderkey % 5) AS e, list(DISTINCT o_orderkey % 7) AS a FROM orders GROUP BY 1)")(lambda s, d: _overlap(t(s, d, "orders")))

@@ -1,8 +1,10 @@
+import decimal
 import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
+from quarry import suite
 from quarry.functions import chunks
 from quarry.functions import scalar as S
 from quarry.operators import eventlog, tables
@@ -75,3 +77,17 @@ def test_streaming_matches_batch(spark, tmp_path):
     q.awaitTermination()
     batch = eventlog.rate_limited(e, "user", "ts", 2, 600).groupBy("user").agg(F.count_if("allowed").alias("passed"))
     assert sorted(map(tuple, spark.table("r").select("user", "passed").collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_evaluation_of_the_whole_table(spark):
+    duckdb, d = pytest.importorskip("duckdb"), "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS FROM '{d}/lineitem.parquet'")
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").count()
+    assert sum(r.runs for r in suite.QUERIES["eval_cases_whole"](spark, d).collect()) == rows
+    for name in ("eval_cases_whole", "eval_suites_whole", "eval_compare_whole"):
+        got = suite.QUERIES[name](spark, d)
+        want = con.execute(suite.SQL[name])
+        at = [got.columns.index(c[0]) for c in want.description]
+        show = lambda r: [round(float(x), 4) + 0.0 if isinstance(x, (float, decimal.Decimal)) else x for x in r]
+        assert sorted(map(str, (show([r[i] for i in at]) for r in got.collect()))) == sorted(map(str, map(show, want.fetchall()))), name
