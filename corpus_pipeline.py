@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from quarry.llm import common, decontaminate, near_dup, packing, substring, toxicity
 
-#: Bytes of a repeated passage that goes: fewer than fifty words have.
-REPEAT_BYTES = 256
+#: A repeated passage goes if it has so many bytes, or so many words, cut at blanks.
+REPEAT_BYTES, REPEAT_WORDS = 256, 51
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages that repeat out of the texts."""
-    left = substring.remove_repeats(docs.withColumn("_none", F.col("text").isNull()), REPEAT_BYTES, with_text=True)
+    left = substring.remove_repeats(docs.withColumn("_none", F.col("text").isNull()), REPEAT_BYTES, with_text=True, words=REPEAT_WORDS)
     text = F.when(~F.col("_none"), F.col("kept"))
     size = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return left.withColumn("text", text).withColumn("n_chars", size).select(docs.columns)

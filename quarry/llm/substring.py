@@ -28,9 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .bytesio import U, mix, prefix_sums, run_hashes, text_buffers
+from .bytesio import U, mix, prefix_sums, run_hashes, runs, text_buffers
 
 GRAM, PIECE, HOT = 32, 1 << 20, 50_000
+#: ASCII white space, which cuts words.
+BLANK = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -223,9 +225,38 @@ def intervals(docs: DataFrame, size: int) -> DataFrame:
     return starts
 
 
-def remove_repeats(docs: DataFrame, size: int = 400, with_text: bool = False) -> DataFrame:
+def passages(docs: DataFrame, words: int, size: int) -> DataFrame:
+    """row and at, as of intervals(): passages of `words` words and under `size` bytes that repeat, each as one (lo, hi).
+
+    Longer ones are strings of `size` bytes, so only those of short words are held against each other, whole.
+    """
+
+    def short(batches):
+        for b in batches:
+            ids, text = np.asarray(b.column(0)), b.column(1)
+            for x, y in common.slices(len(text), np.diff(text_buffers(text)[1]).tolist(), PIECE):
+                data, rows = text_buffers(text.slice(x, y - x))
+                starts, ends, at = runs(~BLANK[data], rows)
+                i = np.arange(max(0, len(starts) - words + 1))
+                row = np.searchsorted(at, i, "right") - 1
+                ok = (i + words <= at[row + 1]) & (ends[i + words - 1] - starts[i] < size)
+                row, lo, end = row[ok], starts[i[ok]], ends[i[ok] + words - 1]
+                digest = [hashlib.blake2b(data[p:q].tobytes(), digest_size=16).digest() for p, q in zip(lo.tolist(), end.tolist())]
+                cols = [pa.array(ids[x:y][row]), pa.array((lo - rows[row]).astype(np.int32)), pa.array((end - rows[row] - size).astype(np.int32)), pa.array(digest, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["row", "lo", "hi", "passage"])
+
+    found = common.written(docs.mapInArrow(short, "row long, lo int, hi int, passage binary"), "passages")
+    again = found.groupBy("passage").agg(F.count("*").alias("n")).where("n > 1").select("passage")
+    spans = found.join(again, "passage").groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("at"))
+    spans = common.written(spans, "passage-spans")
+    common.dropped(found)
+    return spans
+
+
+def remove_repeats(docs: DataFrame, size: int = 400, with_text: bool = False, words: int = 0) -> DataFrame:
     """Columns of docs with n_bytes, n_removed, n_spans, kept_sha256 for each row of docs(doc_id, text); with_text adds
-    kept, the text that is left (bytes of a character that was cut go too).
+    kept, the text that is left (bytes of a character that was cut go too); with `words` the passages of so many
+    words that repeat go too, however few their bytes are.
 
     Texts are UTF-8 bytes; null is empty; texts under `size` bytes stay whole.
     Matches lie inside a text; rows that repeat are texts of their own and so
@@ -237,7 +268,11 @@ def remove_repeats(docs: DataFrame, size: int = 400, with_text: bool = False) ->
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     # An id from content alone is the same whenever it is computed; equal rows share it, and their spans.
     docs = docs.withColumn("text", text).withColumn("_row", F.xxhash64(F.col("doc_id").cast("string"), "text"))
-    starts = intervals(docs.select(F.col("_row").alias("row"), "text"), size).select(F.col("row").alias("_row"), F.col("at").alias("_at"))
+    rows = docs.select(F.col("_row").alias("row"), "text")
+    starts = intervals(rows, size)
+    if words:
+        starts = starts.union(passages(rows, words, size)).groupBy("row").agg(F.flatten(F.collect_list("at")).alias("at"))
+    starts = starts.select(F.col("row").alias("_row"), F.col("at").alias("_at"))
     both = docs.join(starts, "_row", "left")
     others = [c for c in docs.columns if c not in ("_row", "text")]
     both = both.select(*others, "text", "_at")

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -305,3 +306,37 @@ def test_near_copies_whose_samples_agree_little(spark):
             rows += [(len(rows), text[0]), (len(rows) + 1, text[1])]
     out = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.class_id for r in out} == {i: i - i % 2 for i in range(12)}
+
+
+def test_pipeline_cuts_passages_over_fifty_words(spark):
+    """Against brute force: passages of 50 and 51 short words, of few long words, and unlike texts, between blanks of several kinds."""
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    word = lambda k: "".join(rng.choice("abcdeé") for _ in range(k))
+    plain = lambda n: "".join(word(rng.randint(1, 4)) + rng.choice(" \n\t") for _ in range(n))
+    repeats = [plain(51), plain(50), plain(60), " ".join(word(60) for _ in range(5)) + " ", "a " * 51]
+    assert all(len(r.encode()) < 256 for r in (repeats[0], repeats[2]))
+    texts = [plain(rng.randint(0, 60)) + rng.choice(repeats) + plain(rng.randint(0, 60)) + rng.choice(["", "", rng.choice(repeats)]) for _ in range(40)] + [None, "", " \n ", "x " * 51]
+    seen: dict = {}
+
+    def windows(t):
+        x = (t or "").encode()
+        yield from ((s, s + 256) for s in range(len(x) - 255))
+        at = [m.span() for m in re.finditer(rb"[^ \t\n\v\f\r]+", x)]
+        yield from ((at[i][0], at[i + 50][1]) for i in range(len(at) - 50))
+
+    for t in texts:
+        for s, e in set(windows(t)):
+            x = t.encode()[s:e]
+            seen[x] = seen.get(x, 0) + 1
+    want = {}
+    for i, t in enumerate(texts):
+        x, gone = (t or "").encode(), set()
+        for s, e in windows(t):
+            if seen[x[s:e]] > 1:
+                gone |= set(range(s, e))
+        want[i] = None if t is None else bytes(c for k, c in enumerate(x) if k not in gone).decode("utf-8", "ignore")
+    df = spark.createDataFrame([(i, t, len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    assert {r.doc_id: r.text for r in corpus_pipeline.without_repeats(spark, df, "").collect()} == want
+    assert sum(t != want[i] for i, t in enumerate(texts)) > 20
