@@ -2,7 +2,8 @@
 
 Each stage works on all that its predecessor kept and, but for the last, returns
 the columns of documents.  Null texts stay null until they are packed (as empty
-texts); rows of one doc_id are kept or dropped together.
+texts).  Near copies are decided by row: of each class one row is kept, the first
+by doc_id and digest of the text, and so is each row whose text is in no class.
 """
 
 from __future__ import annotations
@@ -23,15 +24,17 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near copies; of rows that repeat a doc_id, one."""
+    """Keeps one row of each class of near copies and all rows whose text is in none."""
+    if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").take(1):
+        found = near_dup.near_duplicates(docs.select("doc_id", "text"), by_text=True).where("root IS NOT NULL")
+        first = found.groupBy("root").agg(F.min(F.struct("doc_id", F.col("key").alias("_key"))).alias("one")).select("one.*")
+        keyed = docs.withColumn("_key", F.sha2("text", 256))
+        kept = keyed.join(first, ["doc_id", "_key"], "left_semi").dropDuplicates(["doc_id", "_key"])
+        alone = keyed.join(found.select("doc_id", F.col("key").alias("_key")).distinct(), ["doc_id", "_key"], "left_anti")
+        return kept.unionByName(alone).select(docs.columns)
     found = near_dup.near_duplicates(docs.select("doc_id", "text"))
     gone = found.where("NOT kept").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    again = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if again.take(1):
-        once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        kept = kept.join(again, "doc_id", "left_anti").unionByName(once).select(docs.columns)
-    return kept
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -229,16 +229,19 @@ def _runs_of(bucket: np.ndarray, order: np.ndarray):
     return zip([0, *edge.tolist()], [*edge.tolist(), len(s)]) if len(s) else ()
 
 
-def near_duplicates(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
+def near_duplicates(docs: DataFrame, least: float = SIMILAR, by_text: bool = False) -> DataFrame:
     """doc_id, class_id (the smallest doc_id reachable by links) and kept (whether it is that) for each row of docs(doc_id, text).
 
     Texts without words (null, empty) link with nothing.  A row without doc_id
     links with nothing, has no class and is kept.  Rows of one doc_id are one
     document, of all classes their texts fall in.  Other columns are not read;
-    no rows give no rows.
+    no rows give no rows.  by_text adds root, one for each class (null for rows
+    that link with nothing), and key, the SHA-256 of the text.
     """
+    more = ["key"] if by_text else []
+
     def read(batches):
-        names = ["doc_id", "digest", "n", "words"]
+        names = ["doc_id", "digest", "n", "words", *more]
         for b in batches:
             doc, text = b.column(0), b.column(1)
             for x, y in common.slices(len(text), _sizes(text), 1 << 20):
@@ -246,17 +249,17 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
                 cut = [h[p:q] for p, q in zip(at[:-1].tolist(), at[1:].tolist())]
                 digest = [hashlib.blake2b(c.tobytes(), digest_size=16).digest() if len(c) else None for c in cut]
                 short = [(c >> U(32)).astype("<u4").tobytes() for c in cut]
-                yield pa.RecordBatch.from_arrays([doc.slice(x, y - x), pa.array(digest, pa.binary()), pa.array(np.diff(at).astype(np.int64)), pa.array(short, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([doc.slice(x, y - x), pa.array(digest, pa.binary()), pa.array(np.diff(at).astype(np.int64)), pa.array(short, pa.binary()), *(c.slice(x, y - x) for c in b.columns[2:])], names)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = common.written(rows.mapInArrow(read, "doc_id long, digest binary, n long, words binary"), "near-words")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.sha2("text", 256).alias(k) for k in more])
+    base = common.written(rows.mapInArrow(read, "doc_id long, digest binary, n long, words binary" + ", key string" * by_text), "near-words")
     live = base.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     classes = live.groupBy("digest").agg(F.min("doc_id").alias("rep")).withColumn("cid", F.xxhash64("digest"))
     classes = common.written(classes, "near-classes")
     firsts = live.join(classes, (live["digest"] == classes["digest"]) & (live["doc_id"] == classes["rep"])).select("cid", "n", "words")
     # In a fixed order, so batches, leaders and with them the links are alike on every run.
     firsts = common.written(firsts.dropDuplicates(["cid"]).sortWithinPartitions("cid"), "near-firsts")
-    ids = common.written(base.select("doc_id", "digest"), "near-ids")
+    ids = common.written(base.select("doc_id", "digest", *more), "near-ids")
     common.dropped(base)
 
     def sketched(batches):
@@ -351,7 +354,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
             of = components(links.union(of))
         common.dropped(split)
     common.dropped(firsts, members)
-    return classed(ids, classes, of)
+    return classed(ids, classes, of, more)
 
 
 def crossing(named: DataFrame, split: DataFrame, firsts: DataFrame, nearest: bool) -> DataFrame:
@@ -417,13 +420,15 @@ def linked(found: DataFrame, firsts: DataFrame, least: float) -> DataFrame:
     return links
 
 
-def classed(base: DataFrame, classes: DataFrame, of: DataFrame) -> DataFrame:
+def classed(base: DataFrame, classes: DataFrame, of: DataFrame, more: list[str]) -> DataFrame:
     """Classes of all rows from the components (node, root) of text classes."""
     roots = classes.join(of, classes["cid"] == of["node"], "left").select("digest", "rep", F.coalesce("root", "cid").alias("root"))
     least = roots.groupBy("root").agg(F.min("rep").alias("class_id"))
-    named = roots.join(least, "root").select("digest", "class_id")
-    ids = base.select("doc_id", "digest").where("digest IS NOT NULL AND doc_id IS NOT NULL").join(named, "digest").select("doc_id", "class_id")
-    alone = base.where("digest IS NULL OR doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"))
+    named = roots.join(least, "root").select("digest", "class_id", "root")
+    named = named if more else named.drop("root")
+    own = ["root", *more] if more else []
+    ids = base.select("doc_id", "digest", *more).where("digest IS NOT NULL AND doc_id IS NOT NULL").join(named, "digest").select("doc_id", "class_id", *own)
+    alone = base.where("digest IS NULL OR doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), *([F.lit(None).cast("long").alias("root"), *more] if more else []))
     return ids.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 
 

@@ -340,3 +340,14 @@ def test_pipeline_cuts_passages_over_fifty_words(spark):
     df = spark.createDataFrame([(i, t, len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
     assert {r.doc_id: r.text for r in corpus_pipeline.without_repeats(spark, df, "").collect()} == want
     assert sum(t != want[i] for i, t in enumerate(texts)) > 20
+
+
+def test_pipeline_decides_near_copies_by_row(spark):
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(80)) for x in "abc")
+    rows = [(5, a), (5, b), (6, a), (7, c), (7, c), (7, c + " end"), (8, None), (8, ""), (9, b + " end"), (None, a)]
+    out = corpus_pipeline.without_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    got = sorted((str(r.doc_id), r.text or "") for r in out.collect())
+    third = min(c, c + " end", key=lambda x: hashlib.sha256(x.encode()).hexdigest())
+    assert got == sorted([("5", a), ("5", b), ("7", third), ("8", ""), ("8", ""), ("None", a)])
