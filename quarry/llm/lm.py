@@ -299,7 +299,8 @@ def score(docs: DataFrame, trains: str, path: str | None = None, rounds: int = R
                 slot = index.get_indexer(h)
                 hit = slot >= 0
                 own = slot[hit]
-                sums = [np.bincount(row[hit], w, y - x) for w in ((c[own] > 0).astype(float), base[own], logp[own])]
+                # Without hits bincount counts, and so gives integers.
+                sums = [np.bincount(row[hit], w, y - x).astype(np.float64) for w in ((c[own] > 0).astype(float), base[own], logp[own])]
                 rare_row, rare_h = row[~hit], h[~hit]
                 order = np.lexsort((rare_h, rare_row))
                 rare_row, rare_h = rare_row[order], rare_h[order]

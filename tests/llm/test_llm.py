@@ -221,6 +221,20 @@ def test_lm(spark, docs):
     assert np.allclose(sorted(r.base_score for r in out), base) and all(r.score < 0 and r.train_tokens == n for r in out)
 
 
+def test_lm_batches_without_common_words(spark):
+    """Partitions of nulls, of empty texts and of words of their own, beside a usual one."""
+    usual = spark.createDataFrame([(i, "a b c a", True) for i in range(50)], "doc_id long, text string, trains boolean").coalesce(1)
+    odd = [spark.createDataFrame([(100 * k + i, t and t + str(i), k % 2 == 0) for i in range(5)], usual.schema).coalesce(1) for k, t in ((1, None), (2, ""), (3, "zzq"), (4, "yyq"))]
+    rows = usual
+    for o in odd:
+        rows = rows.union(o)
+    out = {r.doc_id: r for r in lm.score(rows, "trains", common_words=3).collect()}
+    assert len(out) == 70 and out[100].n_tokens == out[200].n_tokens == 1 and out[100].score == out[200].score
+    assert out[300].n_known == 1 and out[400].n_known == 2 and out[0].n_known == 5
+    none = lm.score(usual.where("false"), "trains")
+    assert none.count() == 0 and lm.score(odd[0], "trains").where("n_known = 0").count() == 5
+
+
 def test_lattice_is_the_sum_over_segmentations():
     p = lm.pieces()
     logp = p.probabilities(None, 1.0, 10.0)[0]
