@@ -3,19 +3,23 @@
 Equal vectors are one class, compared once.  A class's unit vector is turned by
 a random rotation; the signs of its coordinates are its code, and the inner
 product of code and vector is stored as its correction factor.  Code against
-vector then gives an unbiased estimate of the inner product of two vectors, with
-a bound of SIGMAS deviations; a pair is dropped if even the upper bound is below
-the threshold, and is computed exactly in double precision otherwise.
-
-Which pairs are looked at: TABLES tables, each a key of some sign bits of
-further rotations.  Pairs at cosine 0.9 agree in a bit with probability 0.856,
-so with 12 bits and 40 tables they share no key in 1 of 850 cases, and pairs at
-0.95 in fewer than 1 of 400,000.  Bits grow with the logarithm of the rows over
-BUCKET, so a table's buckets keep their mean size, and tables grow as the chance
-of a shared key at the threshold shrinks.
-
-A pair is counted in the first table whose key it shares.  Buckets beyond SPLIT
-classes are dealt out in pairs of parts, so no task gathers one.
+another turned vector, rounded to eight bits, gives an unbiased estimate of the
+inner product, with a bound of SIGMAS deviations and the rounding; a pair is
+dropped if even the upper bound is below the threshold, and is computed exactly
+in double precision otherwise.
+
+Which pairs are looked at: tables of keys, each of some sign bits of further
+rotations.  Pairs at cosine 0.9 agree in a bit with probability 0.856, and there
+are as many tables as leave a chance of MISS that such a pair shares no key;
+pairs at 0.95 are missed in fewer than 1 of a million cases.  Bits grow with the
+logarithm of the rows over BUCKET, so a table's buckets keep their mean size.
+
+Codes and factors are stored once.  Only they go to the buckets, where rows that
+may have a partner are found; the vectors themselves are joined to these rows
+alone, which meet again in their bucket for the exact computation.  A pair is
+counted in the first table whose key it shares.  Buckets beyond SPLIT classes are
+dealt out in pairs of parts, so no task gathers one, and no pair leaves a task:
+each reduces its pairs to counts and roots, a block at a time.
 """
 
 from __future__ import annotations
@@ -28,11 +32,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .bytesio import U, stream, text_buffers
+from .bytesio import U, mix, stream, text_buffers
 from .components import components
 
 #: Mean classes to a bucket, classes to a part of a split bucket, deviations of the bound, chance of missing a pair at the threshold.
-BUCKET, SPLIT, SIGMAS, MISS = 12, 2048, 5.0, 0.0012
+BUCKET, SPLIT, SIGMAS, MISS = 256, 2048, 5.0, 0.0002
+#: Pairs that are held against each other at once, and pairs computed exactly at once.
+BLOCK, EXACT = 1 << 18, 1 << 14
 
 
 def rotation(dims: int, seed: int) -> np.ndarray:
@@ -73,21 +79,78 @@ def units(column, size: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def links(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, int]:
-    """Pairs (i, j) of unit vectors with cosine >= threshold, and how many were computed exactly.
-
-    Codes and correction factors of x are held against the rotated y.
-    """
-    dims = x.shape[1]
-    turn = _turn(dims, 0)
-    a, b = (x @ turn).astype(np.float32), (y @ turn).astype(np.float32)
-    code = np.sign(a)
-    factor = np.abs(a).sum(1) / math.sqrt(dims)
-    estimate = (code @ b.T) / math.sqrt(dims) / factor[:, None]
-    bound = SIGMAS * np.sqrt(np.maximum(0, 1 - factor**2)) / factor / math.sqrt(max(dims - 1, 1)) + 1e-4
-    i, j = np.nonzero(estimate + bound[:, None] >= threshold)
-    exact = np.einsum("ij,ij->i", x[i], y[j]) >= threshold
-    return i[exact], j[exact], len(i)
+class Codes:
+    """Codes, correction factors and rounded turned vectors of unit vectors, one row each."""
+
+    def __init__(self, dims: int, code: np.ndarray, factor: np.ndarray, turned: np.ndarray, step: np.ndarray):
+        self.dims, self.code, self.factor, self.turned, self.step = dims, code, factor, turned, step
+
+    @classmethod
+    def of(cls, x: np.ndarray) -> Codes:
+        dims = x.shape[1]
+        y = x @ _turn(dims, 0)
+        step = (np.abs(y).max(1) / 127).astype(np.float32)
+        turned = np.rint(y / np.maximum(step, np.float32(1e-30))[:, None]).astype(np.int8)
+        return cls(dims, np.packbits(y > 0, axis=1), (np.abs(y).sum(1) / math.sqrt(dims)).astype(np.float32), turned, step)
+
+    def packed(self) -> np.ndarray:
+        """Rows of bytes: factor, step, code, turned vector."""
+        both = np.stack([self.factor, self.step], 1).view(np.uint8)
+        return np.concatenate([both, self.code, self.turned.view(np.uint8)], axis=1)
+
+    @classmethod
+    def unpacked(cls, rows: np.ndarray, dims: int) -> Codes:
+        both = np.ascontiguousarray(rows[:, :8]).view(np.float32)
+        wide = -(-dims // 8)
+        return cls(dims, rows[:, 8 : 8 + wide], both[:, 0], rows[:, 8 + wide :].view(np.int8), both[:, 1])
+
+    def take(self, at) -> Codes:
+        return Codes(self.dims, self.code[at], self.factor[at], self.turned[at], self.step[at])
+
+    def signs(self) -> np.ndarray:
+        return np.unpackbits(self.code, axis=1, count=self.dims).astype(np.float32) * 2 - 1
+
+    def vectors(self) -> np.ndarray:
+        return self.turned.astype(np.float32) * self.step[:, None]
+
+    def upper(self, signs: np.ndarray, at: slice, other: np.ndarray, step: np.ndarray) -> np.ndarray:
+        """Upper bounds of the inner products of rows `at` (their signs given) with other vectors and their rounding steps."""
+        f, root = self.factor[at, None], math.sqrt(self.dims)
+        estimate = (signs[at] @ other.T) / root / f
+        bound = SIGMAS * np.sqrt(np.maximum(0, 1 - f**2)) / f / math.sqrt(max(self.dims - 1, 1))
+        return estimate + bound + step[None, :] * (root / 2) / f + np.float32(1e-4)
+
+
+def blocks(left: Codes, right: Codes, same: bool, threshold: float):
+    """(first left row, which pairs may reach the threshold) of blocks of left rows; with `same` both sides are one, and pairs count once."""
+    signs, other = left.signs(), right.vectors()
+    step = max(1, BLOCK // max(1, len(other)))
+    for a in range(0, len(signs), step):
+        may = left.upper(signs, slice(a, a + step), other, right.step) >= threshold
+        if same:
+            may &= np.arange(len(other))[None, :] > np.arange(a, a + len(may))[:, None]
+        yield a, may
+
+
+def involved(left: Codes, right: Codes, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of either side may have a partner on the other."""
+    one, two = np.zeros(len(left.factor), bool), np.zeros(len(right.factor), bool)
+    for a, may in blocks(left, right, same, threshold):
+        one[a : a + len(may)] = may.any(1)
+        two |= may.any(0)
+    return (one | two, one | two) if same else (one, two)
+
+
+def links(x: np.ndarray, left: Codes, y: np.ndarray, right: Codes, same: bool, threshold: float):
+    """Pairs (i, j) of unit vectors with cosine >= threshold, a block at a time."""
+    for a, may in blocks(left, right, same, threshold):
+        i, j = np.nonzero(may)
+        i += a
+        exact = np.zeros(len(i), bool)
+        for k in range(0, len(i), EXACT):
+            exact[k : k + EXACT] = np.einsum("ij,ij->i", x[i[k : k + EXACT]], y[j[k : k + EXACT]]) >= threshold
+        if exact.any():
+            yield i[exact], j[exact]
 
 
 def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -103,35 +166,48 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = low
 
 
-def _linked(cid, rep, mult, x, ks, table, left, right, same, threshold):
-    """Rows (class, its id, links, id of the root) of one part pair of a bucket; left and right are row numbers."""
-    n = np.zeros(len(rep), np.int64)
-    at_i, at_j = [], []
-    for a in range(0, len(left), SPLIT):
-        for b in range(0, len(right), SPLIT):
-            if same and b < a:
-                continue
-            own_l, own_r = left[a : a + SPLIT], right[b : b + SPLIT]
-            i, j, _ = links(x[own_l], x[own_r], threshold)
-            i, j = own_l[i], own_r[j]
-            if same and a == b:
-                i, j = i[i < j], j[i < j]
-            if table:
-                new = ~(ks[i, :table] == ks[j, :table]).any(1)
-                i, j = i[new], j[new]
-            np.add.at(n, i, mult[j])
-            np.add.at(n, j, mult[i])
-            at_i.append(i)
-            at_j.append(j)
-    i, j = np.concatenate(at_i), np.concatenate(at_j)
+def _linked(rep, mult, x, codes, every, table, left, right, same, threshold):
+    """For one pair of parts of a bucket, rows (number, links, number of the root) that have links; left and right are row numbers."""
+    n = np.zeros(len(rep))
+    order = np.argsort(rep, kind="stable")
+    place = np.empty(len(rep), np.int64)
+    place[order] = np.arange(len(rep))
     root = np.arange(len(rep))
-    if len(i):
-        order = np.argsort(rep, kind="stable")
-        place = np.empty(len(rep), np.int64)
-        place[order] = np.arange(len(rep))
-        root = order[_roots(len(rep), place[i], place[j])][place]
+    for i, j in links(x[left], codes.take(left), x[right], codes.take(right), same, threshold):
+        i, j = left[i], right[j]
+        if table:
+            new = np.ones(len(i), bool)
+            for t in range(table):
+                new &= every[i, t] != every[j, t]
+            i, j = i[new], j[new]
+        n += np.bincount(i, mult[j], len(rep)) + np.bincount(j, mult[i], len(rep))
+        root = _roots(len(rep), np.concatenate([np.arange(len(rep)), place[i]]), np.concatenate([root, place[j]]))
     keep = np.flatnonzero(n > 0)
-    return cid[keep], rep[keep], n[keep], rep[root[keep]]
+    return keep, n[keep].astype(np.int64), order[root][place][keep]
+
+
+def _tiles(batches, names):
+    """Whole tiles, as tables of the rows that have equal values in the columns `names`, of batches sorted by these."""
+    held, last = [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        at = np.stack([np.asarray(b.column(b.schema.get_field_index(c))).astype(np.int64) for c in names], 1)
+        edges = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1).tolist(), len(at)]
+        for x, y in zip(edges[:-1], edges[1:]):
+            cut = tuple(at[x].tolist())
+            if held and cut != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = cut
+            held.append(b.slice(x, y - x))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _bytes(column, width: int) -> np.ndarray:
+    """A binary column of one width as rows of bytes."""
+    return text_buffers(column)[0].reshape(-1, width)
 
 
 def near_duplicates(rows: DataFrame, threshold: float = 0.9, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -144,7 +220,6 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.9, vec_id: str = "vec_
     neither component nor `kept`.  Rows that repeat count each; other columns
     are not read; no rows give no rows.
     """
-    spark = rows.sparkSession
     base = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("v"))
     bad = F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     fine = F.coalesce(F.col("v").isNotNull() & ~bad & F.exists("v", lambda c: c != 0), F.lit(False)) & F.col("vec_id").isNotNull()
@@ -155,71 +230,82 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.9, vec_id: str = "vec_
     bits, tables = plan(classes.count(), threshold)
     kind = "<f4" if "float" in base.schema["v"].dataType.simpleString() else "<f8"
 
-    def keyed(batches):
+    def coded(batches):
         for b in batches:
-            v = b.column(b.schema.get_field_index("v"))
+            v = b.column(0)
             sizes = np.asarray(v.value_lengths()).astype(np.int64) if len(v) else np.zeros(0, np.int64)
-            for size in np.unique(sizes):
+            for size in np.unique(sizes).tolist():
                 for part in np.array_split(np.flatnonzero(sizes == size), -(-int((sizes == size).sum()) // 2048)):
                     own = v.take(pa.array(part))
-                    k = keys(units(own, np.array([size])), bits, tables)
-                    cid, rep, mult = (b.column(b.schema.get_field_index(c)).take(pa.array(part)) for c in ("cid", "rep", "mult"))
-                    raw = pa.array([x.tobytes() for x in np.asarray(own.flatten()).astype(kind).reshape(len(part), -1)], pa.binary())
-                    every = pa.array([x.tobytes() for x in k], pa.binary())
-                    for t in range(tables):
-                        full = np.full(len(part), t, np.int32)
-                        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(np.full(len(part), int(size), np.int32)), pa.array(k[:, t].astype(np.int64)), cid, rep, mult, raw, every], ["t", "size", "key", "cid", "rep", "mult", "raw", "every"])
-
-    bucket = ["t", "size", "key"]
-    spread = common.written(classes.mapInArrow(keyed, "t int, size int, key long, cid long, rep long, mult long, raw binary, every binary"), "vector-keys")
-    counts = spread.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / SPLIT).cast("int")
-    dealt = spread.join(counts, bucket).withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other"))
-    block = [*bucket, "p", "q"]
-    dealt = dealt.select(*block, "own", "cid", "rep", "mult", "raw", "every").repartition(*block).sortWithinPartitions(*block, "own")
+                    x = units(own, np.array([size]))
+                    k = keys(x, bits, tables)
+                    bucket = mix(k.astype(U) + (np.arange(tables).astype(U) + U(size << 20)) * U(0x9E3779B97F4A7C15)).view(np.int64)
+                    ends = np.arange(len(part) + 1, dtype=np.int32) * tables
+                    raw = [r.tobytes() for r in np.asarray(own.flatten()).astype(kind).reshape(len(part), -1)]
+                    cols = [pa.array(np.full(len(part), size, np.int32)), pa.ListArray.from_arrays(ends, pa.array(bucket.ravel()))]
+                    cols += [pa.array([r.tobytes() for r in y], pa.binary()) for y in (Codes.of(x).packed(), k)]
+                    yield pa.RecordBatch.from_arrays([*(b.column(i).take(pa.array(part)) for i in (1, 2, 3)), *cols, pa.array(raw, pa.binary())], ["cid", "rep", "mult", "size", "buckets", "code", "every", "raw"])
+
+    codes = classes.select("v", "cid", "rep", "mult").mapInArrow(coded, "cid long, rep long, mult long, size int, buckets array<long>, code binary, every binary, raw binary")
+    codes = common.written(codes, "vector-codes")
+    spread = codes.select("cid", "size", "code", F.posexplode("buckets").alias("t", "bucket"))
+    counts = spread.groupBy("bucket").agg(F.count("*").alias("n"))
+    hot = common.written(counts.where(F.col("n") > SPLIT), "vector-hot")
+    whole = spread.withColumn("own", F.lit(0)).withColumn("p", F.lit(0)).withColumn("q", F.lit(0))
+    if hot.take(1):
+        parts = F.ceil(F.col("n") / SPLIT).cast("int")
+        dealt = spread.join(hot, "bucket").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        dealt = dealt.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other"))
+        whole = whole.join(hot, "bucket", "left_anti").unionByName(dealt.select(whole.columns))
+    tile = ["bucket", "size", "p", "q"]
+    first = whole.select(*tile, "t", "own", "cid", "code").repartition("bucket", "p", "q").sortWithinPartitions(*tile, "own")
+
+    def sides(t):
+        own = np.asarray(t.column("own").combine_chunks())
+        p, q, size = (t.column(c)[0].as_py() for c in ("p", "q", "size"))
+        return np.flatnonzero(own == p), np.flatnonzero(own == q), p == q, size
+
+    def met(batches):
+        """The rows of each tile that may have a partner in it."""
+        for t in _tiles(batches, tile):
+            left, right, same, size = sides(t)
+            if t.num_rows < 2 or not len(left) or not len(right):
+                continue
+            own = Codes.unpacked(_bytes(t.column("code"), 8 + -(-size // 8) + size), size)
+            one, two = involved(own.take(left), own.take(right), same, threshold)
+            at = np.union1d(left[one], right[two])
+            if len(at):
+                yield from t.select([*tile, "t", "own", "cid"]).take(pa.array(at)).combine_chunks().to_batches()
+
+    found = first.mapInArrow(met, "bucket long, size int, p int, q int, t int, own int, cid long")
+    found = common.written(found, "vector-met")
+    exact = found.drop("size").join(codes.select("cid", "rep", "mult", "size", "code", "every", "raw"), "cid").repartition("bucket", "p", "q").sortWithinPartitions(*tile, "own")
 
     def compared(batches):
-        def one(held, cut):
-            t, size, _, p, q = cut
-            own, cid, rep, mult, raw, every = (np.concatenate([h[i] for h in held]) if i < 4 else b"".join(h[i] for h in held) for i in range(6))
-            x = np.frombuffer(raw, kind).reshape(len(rep), size).astype(np.float64)
+        held, have = [], 0
+        for t in _tiles(batches, tile):
+            left, right, same, size = sides(t)
+            cid, rep, mult = (np.asarray(t.column(c).combine_chunks()) for c in ("cid", "rep", "mult"))
+            x = _bytes(t.column("raw"), size * int(kind[2])).view(kind).astype(np.float64)
             x /= np.sqrt((x * x).sum(1, keepdims=True))
-            ks = np.frombuffer(every, np.uint32).reshape(len(rep), tables)
-            left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
-            return _linked(cid, rep, mult, x, ks, t, left, right, p == q, threshold) if len(left) and len(right) else None
-
-        def out(found):
-            cols = [np.concatenate(x) for x in zip(*found)]
-            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in cols], ["cid", "rep", "n", "root"])
-
-        held, last, found, have = [], None, [], 0
-        for b in batches:
-            cols = {c: b.column(b.schema.get_field_index(c)) for c in (*block, "own", "cid", "rep", "mult")}
-            cols = {c: np.asarray(x).astype(np.int64) for c, x in cols.items()}
-            raw, every = (b.column(b.schema.get_field_index(c)) for c in ("raw", "every"))
-            at = np.stack([cols[c] for c in block], 1)
-            edges = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1).tolist(), len(at)] if len(at) else []
-            (rb, ro), (eb, eo) = text_buffers(raw), text_buffers(every)
-            for x, y in zip(edges[:-1], edges[1:]):
-                cut = tuple(at[x].tolist())
-                if cut != last and held:
-                    if (got := one(held, last)) is not None and len(got[0]):
-                        found.append(got)
-                        have += len(got[0])
-                    held = []
-                last = cut
-                held.append((cols["own"][x:y], cols["cid"][x:y], cols["rep"][x:y], cols["mult"][x:y], bytes(rb[ro[x] : ro[y]]), bytes(eb[eo[x] : eo[y]])))
-                if have > 50_000:
-                    yield out(found)
-                    found, have = [], 0
-        if held and (got := one(held, last)) is not None and len(got[0]):
-            found.append(got)
-        if found:
-            yield out(found)
-
-    linked = common.written(dealt.mapInArrow(compared, "cid long, rep long, n long, root long"), "vector-links")
+            own = Codes.unpacked(_bytes(t.column("code"), 8 + -(-size // 8) + size), size)
+            every = _bytes(t.column("every"), 4 * tables).view(np.uint32)
+            keep, n, root = _linked(rep, mult, x, own, every, t.column("t")[0].as_py(), left, right, same, threshold)
+            if len(keep):
+                held.append((cid[keep], rep[keep], n, rep[root]))
+                have += len(keep)
+            if have > 50_000:
+                yield out(held)
+                held, have = [], 0
+        if held:
+            yield out(held)
+
+    def out(held):
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], ["cid", "rep", "n", "root"])
+
+    linked = common.written(exact.mapInArrow(compared, "cid long, rep long, n long, root long"), "vector-links")
+    common.dropped(codes, hot, found)
     n = linked.groupBy("cid").agg(F.sum("n").alias("n"))
     of = components(linked.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     # The ids of a class are one component by its smallest; a repeated id joins its classes.

@@ -180,6 +180,39 @@ def test_vectors(spark):
         vectors.SPLIT = split
 
 
+def test_vectors_with_a_dense_group_and_planted_links(spark):
+    """Links, counts and components against brute force: pairs from 0.88 to 0.99, a common vector, and a group of near copies beyond a split bucket."""
+    rng = np.random.default_rng(9)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = unit(rng.normal(size=(1500, 32)))
+    away = rng.normal(size=(700, 32))
+    away = unit(away - (away * x[:700]).sum(1, keepdims=True) * x[:700])
+    cos = np.linspace(0.88, 0.99, 700)[:, None]
+    dense = unit(x[1400] + 0.04 * rng.normal(size=(260, 32)))
+    x = np.concatenate([x, cos * x[:700] + np.sqrt(1 - cos**2) * away, dense, np.repeat(x[1450:1451], 90, 0)]).astype(np.float32)
+    y = unit(x.astype(np.float64))
+    linked = y @ y.T >= 0.9
+    np.fill_diagonal(linked, False)
+    root = np.arange(len(x))
+    while True:
+        low = np.minimum(root, np.where(linked, root[None, :], len(x)).min(1))
+        if (low == root).all():
+            break
+        root = low
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    split, bucket = vectors.SPLIT, vectors.BUCKET
+    try:
+        for vectors.SPLIT, vectors.BUCKET in ((split, bucket), (40, 16)):
+            out = {r.vec_id: r for r in vectors.near_duplicates(df.repartition(3)).collect()}
+            n = np.array([out[i].n_links for i in range(len(x))])
+            assert (n <= linked.sum(1)).all() and n.sum() >= 0.999 * linked.sum()
+            sure = n == linked.sum(1)
+            assert sure.mean() > 0.995 and np.mean([out[i].component_id == root[i] for i in range(len(x))]) > 0.995
+            assert all(r.kept == (r.component_id == r.vec_id) for r in out.values())
+    finally:
+        vectors.SPLIT, vectors.BUCKET = split, bucket
+
+
 def test_language(spark):
     rows = [(i, "the quick brown fox " * 5, "en") for i in range(40)] + [(100 + i, "der schnelle braune fuchs " * 5, "de") for i in range(40)] + [(200, None, "en"), (201, "12 34", "de"), (202, "der fuchs", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
