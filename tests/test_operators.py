@@ -64,6 +64,42 @@ def test_sql_gate(spark):
             sqlgate.sql(spark, q, ["ok"])
 
 
+def test_sql_gate_knows_functions_and_recursion(spark):
+    spark.range(3).createOrReplaceTempView("ok")
+    for q in (
+        "SELECT java_method('java.lang.System', 'getenv', 'PATH')", "SELECT reflect('java.lang.System', 'getenv', 'PATH') FROM ok",
+        "SELECT id FROM ok WHERE length(try_reflect('java.lang.System', 'getenv', 'PATH')) > 0", "SELECT upper(java_method('a', 'b')) FROM ok",
+        "SELECT * FROM (SELECT max(reflect('a', 'b')) OVER (PARTITION BY id) FROM ok)", "SELECT id, (SELECT input_file_name()) FROM ok", "SELECT * FROM stack(1, reflect('a', 'b'))",
+        "SELECT * FROM ok LATERAL VIEW stack(1, 2) t AS x", "SELECT * FROM ok ORDER BY java_method('a', 'b')", "SELECT count(*) FROM ok GROUP BY id HAVING reflect('a', 'b') = '1'",
+    ):
+        with pytest.raises(sqlgate.NotAllowed):
+            sqlgate.sql(spark, q, ["ok"])
+    q = "WITH RECURSIVE c(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM c WHERE n < 4) SELECT sum(n) AS s FROM c JOIN ok ON n > id"
+    assert sqlgate.sql(spark, q, ["ok"]).first()["s"] == 26
+    assert sqlgate.tables_of(spark, "SELECT * FROM range(3) LEFT JOIN ok USING (id) WHERE EXISTS (SELECT 1 FROM other)") == {"ok", "other"}
+    assert sqlgate.sql(spark, "SELECT x, round(avg(id), 1) AS a FROM ok LATERAL VIEW explode(array(1, 2)) t AS x GROUP BY x", ["ok"]).count() == 2
+
+
+def test_sql_of_a_tenant(spark):
+    items = spark.createDataFrame([("w1", 1), ("w2", 2), ("w1", 3)], "workspace_id string, k int")
+    shared, hidden = spark.createDataFrame([(9,)], "k int"), spark.createDataFrame([("w1", 4)], "workspace_id string, k int")
+    q = "SELECT k FROM items UNION ALL SELECT k FROM plans"
+    out = sqlgate.scoped(spark, q, {"items": items}, {"items": shared, "plans": shared}, "w1")
+    assert sorted(r.k for r in out.collect()) == [1, 3, 9]
+    assert not spark.catalog.tableExists("items")
+    hidden.createOrReplaceTempView("secrets")
+    with pytest.raises(sqlgate.NotAllowed):
+        sqlgate.scoped(spark, "SELECT * FROM secrets", {"items": items}, {}, "w1")
+
+
+def test_sql_stops_in_time(spark):
+    assert sqlgate.rows(spark.range(2)) == ['{"id":0}', '{"id":1}']
+    slow = spark.range(0, 8, 1, 8).select((F.col("id") + F.expr("java_method('java.lang.Thread', 'sleep', 20000L)").isNotNull().cast("int")).alias("x"))
+    with pytest.raises(TimeoutError):
+        sqlgate.rows(slow, seconds=1.0)
+    assert sqlgate.rows(spark.range(1)) == ['{"id":0}']
+
+
 def test_streaming_matches_batch(spark, tmp_path):
     from quarry.streaming import tail
 
