@@ -14,12 +14,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.extract import method_prefix
 from .lineage import cut
 
 # The node labels, the type labels and the relationships a count may name.
 LABELS = ("Function", "Struct", "Enum", "Trait", "Impl", "Module", "Crate", "Type", "TypeAlias", "Const", "Static", "Macro")
 ITEM_LABELS = ("Function", "Struct", "Enum", "Trait", "Impl", "TypeAlias")
 TYPE_LABELS = ("Struct", "Enum", "Trait", "Type", "TypeAlias")
+COUNTED = ("CALLS", "IMPLEMENTS", "USES_TYPE", "CONTAINS", "HAS_METHOD")
 MAX_DEPTH, MAX_LIMIT, DEFAULT_LIMIT = 5, 100, 25
 
 
@@ -149,19 +151,42 @@ class Graph:
         return self.nodes.where((F.col("label") == known_label(label)) & ((F.col("fqn") == fqn) | (F.col("name") == fqn)))
 
     def neighbours(self, name: str, depth=1, limit=None) -> DataFrame:
-        """Distinct (last relationship, node) over undirected paths of 1..depth edges, none used twice in a path."""
-        e = self.edges.withColumn("e", F.xxhash64("src", "dst", "rel"))
+        """Distinct (last relationship, node) over undirected paths of 1..depth edges, none used twice in a path.
+
+        A breadth-first search gives every arrival from a node no farther off than
+        the one arrived at.  An arrival that leads back towards the start over an
+        edge needs another way to that edge's far end; it is looked for backwards,
+        for arrivals that nothing else accounts for, and only where the start is
+        still near enough.  So paths aren't enumerated, and a hub costs its edges.
+        """
+        depth = clamp(depth, 1, MAX_DEPTH, 1)
+        e = self.edges.select("src", "dst", "rel").distinct().withColumn("e", F.xxhash64("src", "dst", "rel"))
         both = e.select(F.col("src").alias("u"), F.col("dst").alias("v"), "rel", "e").union(e.where("src <> dst").select(F.col("dst").alias("u"), F.col("src").alias("v"), "rel", "e"))
-        paths = self.named(name).select(F.col("fqn").alias("v"), F.array().cast("array<bigint>").alias("path"))
-        found, depth = None, clamp(depth, 1, MAX_DEPTH, 1)
+        levels = cut(self.named(name).select(F.col("fqn").alias("n")).distinct().withColumn("level", F.lit(0)))
+        found, back = None, None
         for d in range(1, depth + 1):
-            at = paths.select(F.col("v").alias("u"), "path")
-            paths = both.join(at, "u").where(~F.array_contains("path", F.col("e"))).select("v", "rel", F.array_append("path", F.col("e")).alias("path"))
+            step = both.join(levels.where(F.col("level") == d - 1).select(F.col("n").alias("u")), "u")
+            step = cut(step.join(levels.select(F.col("n").alias("v"), F.col("level").alias("at")), "v", "left"))
+            near = F.coalesce("at", F.lit(d)) >= d - 1
+            layer, behind = step.where(near).select(F.col("v").alias("fqn"), "rel"), step.where(~near).select("v", "rel", "e", "u")
+            found, back = (layer, behind) if found is None else (found.union(layer), back.union(behind))
             if d < depth:
-                paths = cut(paths)
-            layer = paths.select(F.col("v").alias("fqn"), "rel")
-            found = layer if found is None else found.union(layer)
-        out = self.nodes.join(found.distinct(), "fqn").select(F.col("rel").alias("relationship"), "fqn", "name", "label")
+                levels = cut(levels.union(step.where("at IS NULL").select(F.col("v").alias("n"), F.lit(d).alias("level")).distinct()))
+        found = found.distinct()
+        if depth > 1:
+            open_ = back.join(found, (F.col("v") == F.col("fqn")) & (back["rel"] == found["rel"]), "left_anti")
+            ways = cut(open_.select("v", "rel", F.col("u").alias("at"), F.array("e").alias("used")).distinct())
+            for left in range(depth - 1, 0, -1):  # edges that the other way may still have
+                if not ways.take(1):
+                    break
+                on = both.select(F.col("v").alias("at"), F.col("u").alias("next"), F.col("e").alias("f"))
+                ways = ways.join(on, "at").where(~F.array_contains("used", F.col("f")))
+                ways = ways.join(levels.where(F.col("level") < left).select(F.col("n").alias("next"), "level"), "next")
+                ways = cut(ways.select("v", "rel", F.col("next").alias("at"), F.array_sort(F.array_append("used", F.col("f"))).alias("used"), "level").distinct())
+                done = ways.where("level = 0").select(F.col("v").alias("fqn"), "rel").distinct()
+                found = cut(found.union(done).distinct())
+                ways = ways.drop("level").join(done.withColumnRenamed("fqn", "v"), ["v", "rel"], "left_anti")
+        out = self.nodes.join(found, "fqn").select(F.col("rel").alias("relationship"), "fqn", "name", "label")
         return first(out, limit, "fqn", "relationship")
 
     def with_label(self, label: str, limit=None) -> DataFrame:
@@ -193,6 +218,17 @@ class Graph:
     def relationship_counts(self) -> DataFrame:
         return self.edges.groupBy("rel").agg(F.count("*").alias("cnt"))
 
+    def count_relationship(self, rel: str) -> DataFrame:
+        if rel not in COUNTED:
+            raise ValueError(f"relationship not counted: {rel}")
+        return self.rel(rel).agg(F.count("*").alias("cnt"))
+
+    def count_label(self, label: str) -> DataFrame:
+        return self.nodes.where(F.col("label") == known_label(label)).agg(F.count("*").alias("cnt"))
+
+    def totals(self) -> tuple[DataFrame, DataFrame]:
+        return self.nodes.agg(F.count("*").alias("cnt")), self.edges.agg(F.count("*").alias("cnt"))
+
     def health(self) -> DataFrame:
         """Nodes and edges in one row."""
         return self.nodes.agg(F.count("*").alias("nodes")).crossJoin(self.edges.agg(F.count("*").alias("edges")))
@@ -223,13 +259,57 @@ class Graph:
         root = own.where("label = 'Crate'").select("fqn", "label", F.lit(None).cast("string").alias("parent"))
         return root.unionByName(flat).withColumn("depth", depth)
 
+    def tree(self, crate: str) -> DataFrame:
+        """module_tree() from the root down: fqn, label, parent, depth and path (names from the crate, in order); what hangs below no known module hangs below the crate."""
+        flat = cut(self.module_tree(crate).select("fqn", "label", "parent").distinct())
+        known = flat.select(F.col("fqn").alias("parent"))
+        flat = cut(flat.join(known.withColumn("_k", F.lit(True)), "parent", "left").withColumn("parent", F.when(F.col("label") == "Crate", None).otherwise(F.when(F.col("_k"), F.col("parent")).otherwise(F.lit(crate)))).drop("_k"))
+        front = self.nodes.sparkSession.range(1).select(F.lit(crate).alias("fqn"), F.lit("Crate").alias("label"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), F.array(F.lit(crate)).alias("path"))
+        out, below = front, flat.where("label <> 'Crate'")
+        while True:
+            up = front.select(F.col("fqn").alias("parent"), F.col("depth").alias("_d"), F.col("path").alias("_p"))
+            front = cut(below.join(up, "parent").where(~F.array_contains("_p", F.col("fqn"))).select("fqn", "label", "parent", (F.col("_d") + 1).alias("depth"), F.array_append("_p", F.col("fqn")).alias("path")))
+            if not front.take(1):
+                return out
+            out = out.unionByName(front)
+
     def item_detail(self, items: DataFrame, files: DataFrame, fqn: str) -> DataFrame:
-        """One row: the item, its file, and sorted lists of callers and callees."""
+        """One row: the item, its file, and sorted lists of callers and callees; those of an impl are of the functions under its type, without these themselves."""
         item = items.where(F.col("fqn") == fqn).join(files, "source_file_id", "left")
+
         def gathered(ids, name):
             return ids.agg(F.array_sort(F.collect_list("fqn")).alias(name))
-        seeds = self.nodes.where(F.col("fqn") == fqn)
-        return item.crossJoin(gathered(self.hop(seeds, ("CALLS",), True), "callers")).crossJoin(gathered(self.hop(seeds, ("CALLS",)), "callees"))
+
+        kind = item.select("item_type", method_prefix("fqn", "name", "signature").alias("p")).first() if "item_type" in items.columns else None
+        if kind is not None and kind["item_type"] == "impl":
+            callers, callees = self.callers_for_prefix(kind["p"], 1).select("fqn"), self.callees_for_prefix(kind["p"]).select("fqn")
+        else:
+            seeds = self.nodes.where(F.col("fqn") == fqn)
+            callers, callees = self.hop(seeds, ("CALLS",), True), self.hop(seeds, ("CALLS",))
+        return item.crossJoin(gathered(callers, "callers")).crossJoin(gathered(callees, "callees"))
+
+    def pattern(self, start: dict, *steps: tuple[dict, dict], returns: tuple[str, ...], limit=None) -> DataFrame:
+        """Rows for a chain of nodes: a node is given by its variable and wanted properties ({"as": "a", "label": ..., "name": ...}; a text that ends in * is a prefix),
+        a step by an edge ({"rel": ..., "back": bool}) and the node it leads to; returns lists `variable.property`. Read-only by its nature, and bounded like the named queries."""
+        if len(steps) > MAX_DEPTH:
+            raise ValueError(f"at most {MAX_DEPTH} steps")
+
+        def of(spec):
+            rows = self.nodes
+            for k, v in spec.items():
+                if k != "as":
+                    rows = rows.where(F.col(k).startswith(v[:-1]) if isinstance(v, str) and v.endswith("*") else F.col(k) == v)
+            return rows.select(*[F.col(c).alias(f"{spec['as']}.{c}") for c in self.nodes.columns])
+
+        out, last = of(start), start["as"]
+        for edge, node in steps:
+            a, b = ("dst", "src") if edge.get("back") else ("src", "dst")
+            hop = self.rel(edge["rel"]).select(F.col(a).alias("_a"), F.col(b).alias("_b")).distinct()
+            out = out.join(hop, F.col(f"`{last}.fqn`") == F.col("_a")).drop("_a")
+            out = out.join(of(node), F.col("_b") == F.col(f"`{node['as']}.fqn`")).drop("_b")
+            last = node["as"]
+        out = out.select(*[F.col(f"`{c}`").alias(c.replace(".", "_")) for c in returns]).distinct()
+        return out if limit is None else out.orderBy(*out.columns).limit(clamp(limit, 1, MAX_LIMIT, DEFAULT_LIMIT))
 
     def query(self, name: str, /, **params) -> DataFrame:
         """A named query with its parameters; aliases of the name parameter are tried in order."""
@@ -245,7 +325,8 @@ class Graph:
             "find_neighbors": lambda: self.neighbours(who, depth, limit),
             "find_nodes_by_label": lambda: self.with_label(who, limit),
             "find_module_contents": lambda: self.module_contents(who, limit),
-            "count_by_label": lambda: self.nodes.where(F.col("label") == known_label(who)).agg(F.count("*").alias("cnt")),
+            "count_by_label": lambda: self.count_label(who),
+            "count_label": lambda: self.count_label(who),
             "find_crate_overview": lambda: self.crate_overview(who),
             "find_crate_dependencies": lambda: self.crate_dependencies(who),
             "find_crate_dependents": lambda: self.crate_dependencies(who, True),
@@ -260,9 +341,10 @@ class Graph:
             "consistency_fqns_filtered": lambda: self.consistency_fqns(who),
             "consistency_count": lambda: self.consistency_count(who),
             "health_node_edge_counts": lambda: self.health(),
-            "count_total_nodes": lambda: self.nodes.agg(F.count("*").alias("cnt")),
-            "count_total_relationships": lambda: self.edges.agg(F.count("*").alias("cnt")),
-            "count_relationship": lambda: self.rel(params["rel"]).agg(F.count("*").alias("cnt")),
+            "consistency_count_system": lambda: self.consistency_count(who, merged=False),
+            "count_total_nodes": lambda: self.totals()[0],
+            "count_total_relationships": lambda: self.totals()[1],
+            "count_relationship": lambda: self.count_relationship(params["rel"]),
             "has_relationship": lambda: self.has_relationship(params["rel"]),
             "ping": lambda: self.nodes.sparkSession.range(1).select(F.lit(1).alias("ok")),
         }

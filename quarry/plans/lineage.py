@@ -1,15 +1,26 @@
-"""Cutting lineage: results of rounds go to the session's shared checkpoint folder, so a lost executor costs only its tasks."""
+"""Cutting lineage: results of rounds are written once below the session's shared checkpoint folder, so a lost executor costs only its tasks."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
+_own: list[str] = []
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and written to spark.checkpoint.dir; a folder of our own is set only where that is empty (one machine)."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quarry-checkpoint-"))
-    return df.checkpoint()
+    """df, computed once, as a table below spark.checkpoint.dir; a folder of our own, deleted at the end, stands in only where that is empty (one machine)."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="quarry-lineage-"))
+            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+        root = f"file://{_own[0]}"
+    path = f"{root.rstrip('/')}/quarry-cut-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

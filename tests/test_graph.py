@@ -41,3 +41,50 @@ def test_placeholders(g, spark):
     h = with_placeholders(g.nodes, g.edges.unionByName(more))
     assert [r["fqn"] for r in h.nodes.where("external").collect()] == ["c::zz"]
     assert h.edges.count() == 6
+
+
+def test_neighbours_against_all_paths(spark):
+    """Every trail of up to 4 edges of random small graphs with parallel edges and loops."""
+    import random
+
+    rng = random.Random(4)
+    for _ in range(3):
+        names = "abcdef"
+        edges = {(rng.choice(names), rng.choice(names), rng.choice(["CALLS", "USES_TYPE", "FOR"])) for _ in range(8)}
+        g = Graph(spark.createDataFrame([(x, x, "Function", "f", 1) for x in names], "fqn string, name string, label string, file_path string, start_line long"), spark.createDataFrame(sorted(edges), "src string, dst string, rel string"))
+        for depth in (1, 2, 3, 4):
+            want = set()
+
+            def walk(at, used, left):
+                for e in edges - used:
+                    for u, v in {(e[0], e[1]), (e[1], e[0])}:
+                        if u == at:
+                            want.add((e[2], v))
+                            if left > 1:
+                                walk(v, used | {e}, left - 1)
+
+            walk("a", frozenset(), depth)
+            assert {(r.relationship, r.fqn) for r in g.neighbours("a", depth).collect()} == want, (edges, depth)
+
+
+def test_tree_and_pattern(spark):
+    nodes = [("c", "c", "Crate"), ("c::m", "m", "Module"), ("c::m::n", "n", "Module"), ("c::m::n::f", "f", "Function"), ("c::x::g", "g", "Function")]
+    edges = [("c", "c::m", "CONTAINS"), ("c::m", "c::m::n", "CONTAINS"), ("c::m::n", "c::m::n::f", "CONTAINS"), ("c::x", "c::x::g", "CONTAINS"), ("c::x::g", "c::m::n::f", "CALLS")]
+    g = Graph(spark.createDataFrame([(*x, None, 1) for x in nodes], "fqn string, name string, label string, file_path string, start_line long"), spark.createDataFrame(edges, "src string, dst string, rel string"))
+    got = {r.fqn: (r.parent, r.depth, len(r.path)) for r in g.tree("c").collect()}
+    assert got == {"c": (None, 0, 1), "c::m": ("c", 1, 2), "c::m::n": ("c::m", 2, 3), "c::m::n::f": ("c::m::n", 3, 4), "c::x::g": ("c", 1, 2)}
+    rows = g.pattern({"as": "a", "label": "Function"}, ({"rel": "CALLS"}, {"as": "b", "fqn": "c::m*"}), ({"rel": "CONTAINS", "back": True}, {"as": "m"}), returns=("a.name", "b.name", "m.fqn"))
+    assert [tuple(r) for r in rows.collect()] == [("g", "f", "c::m::n")]
+    with pytest.raises(ValueError):
+        g.count_relationship("FOR")
+    assert g.count_relationship("CALLS").first()[0] == 1 and g.query("count_label", label="Module").first()[0] == 2 and g.query("consistency_count_system").first()[0] == 2
+
+
+def test_detail_of_an_impl(spark):
+    nodes = [("c::m::Foo::a", "a", "Function"), ("c::m::Foo::b", "b", "Function"), ("c::o", "o", "Function"), ("c::m::Show_Foo", "Show_Foo", "Impl")]
+    edges = [("c::o", "c::m::Foo::a", "CALLS"), ("c::m::Foo::a", "c::m::Foo::b", "CALLS"), ("c::m::Foo::b", "c::o", "CALLS")]
+    g = Graph(spark.createDataFrame([(*x, "f", 1) for x in nodes], "fqn string, name string, label string, file_path string, start_line long"), spark.createDataFrame(edges, "src string, dst string, rel string"))
+    items = spark.createDataFrame([("c::m::Show_Foo", "Show_Foo", "impl", "impl Show for Foo", 1), ("c::o", "o", "function", "fn o()", 1)], "fqn string, name string, item_type string, signature string, source_file_id long")
+    files = spark.createDataFrame([(1, "f.rs")], "source_file_id long, path string")
+    one, two = (g.item_detail(items, files, x).first() for x in ("c::m::Show_Foo", "c::o"))
+    assert (one.callers, one.callees, one.path) == (["c::o"], ["c::o"], "f.rs") and (two.callers, two.callees) == (["c::m::Foo::b"], ["c::m::Foo::a"])
