@@ -434,3 +434,6 @@ def _sql(spark, d):
 query("tenant_scope", "SELECT c_custkey FROM customer WHERE c_nationkey = 3")(lambda s, d: Graph(t(s, d, "customer").withColumn("workspace_id", F.col("c_nationkey").cast("string")), t(s, d, "orders").withColumn("workspace_id", F.lit("3"))).tenant("3").nodes.select("c_custkey"))
 query("rows_as_json", """SELECT '{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"}' AS row FROM region""")(lambda s, d: s.sql("SELECT to_json(struct(*)) AS row FROM {r}", r=t(s, d, "region")))
 query("first_rows", "SELECT n_name FROM nation ORDER BY n_name LIMIT 5")(lambda s, d: first(t(s, d, "nation").select("n_name"), 5, "n_name"))
+
+# Further queries of the suite register themselves when they are imported.
+from . import suite_code  # noqa: E402, F401
