@@ -1,29 +1,31 @@
 """Near-duplicate texts by Order MinHash and banded alignment.
 
-A text is its words (A-Z lower-cased); a shingle is five words, labelled with
-its number among equal shingles of the text.  FUNCTIONS hash functions each
-sample the minimum shingle; every TUPLE of them form a key, their shingles taken
-in text order, so a key is shared only where order is kept.  Two texts that share
-a key are candidates if their samples agree well enough.  Candidates are
-verified by aligning their words inside a band: shingles whose words are aligned
-side by side are shared, and the similarity is shared over all shingles of both.
-
-Texts of equal words are one class, compared once.  Inside a bucket a leader, the
-text nearest to the bucket's middle, is held against the rest; those that seem to
-resemble it don't lead.  This is done within each input batch before the
-shuffle, so a large group arrives as a few leaders, and only leaders are held.
-
-Texts that didn't lead were not compared with each other, and leaders that agree
-in fewer than LIKELY samples wait.  Further rounds compare both, in the buckets
-that hold any, where links have left more than one component: the texts of
-different components that agree in a finer sample are candidates too, at first
-the nearest of each, so that most components join, then all that still are apart.
-A large bucket is dealt out in tiles of two blocks of its texts.
+A text is its words (A-Z lower-cased).  Two texts are alike if their edit
+similarity, one less the word edits over the words of the longer, is 0.8 or more.
+
+Candidates: a shingle is five words, labelled with its number among equal
+shingles of the text.  FUNCTIONS hash functions each sample the minimum shingle;
+every TUPLE of them form a key, their shingles taken in text order, so a key is
+shared only where order is kept.  Texts that share a key are candidates if their
+lengths allow the similarity and samples of their labelled words agree: alike
+texts share 0.667 of these at least, whatever the edits.  Candidates are verified
+by aligning their words inside the band of edits that the similarity allows.
+
+Texts of equal words are one class, compared once.  Classes are what links
+leave connected, so not every pair is aligned.  First each part of a bucket (a
+bucket beyond BLOCK texts has several) chooses leaders, the texts nearest to its
+middle, and each text is aligned with the leader it agrees with best.  Then one
+text of each class in a bucket stands for it, and these are compared alike.
+Last, in the buckets that still hold several classes, the candidates of different
+classes are aligned, in tiles of two blocks of the bucket.  There only the texts
+outside its largest class ask, so the cost grows with the square of a bucket's
+texts only where these are unlike each other.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +38,17 @@ from .components import components
 from .decontaminate import words_of
 
 SHINGLE, SIMILAR = 5, 0.8
-FUNCTIONS, TUPLE = 64, 4
-#: Share of equal samples from which a pair is aligned in the end (a pair at SIMILAR falls short in 0.4 of 10,000 cases, fewer than share no key), from which it is at once, and from which a text no longer leads.
-CANDIDATE, LIKELY, COVERED = 0.58, 0.68, 0.8
-#: The finer sample: its functions, the share of equal samples from which a pair is aligned (at SIMILAR 0.8 of 10,000 fall short), and the texts of a block.
-FINE, FINE_CANDIDATE, BLOCK = 256, 0.70, 1024
-_A = (stream(FINE, 31) | U(1)).astype(np.uint32)
-_B = stream(FINE, 37).astype(np.uint32)
+FUNCTIONS, TUPLE = 48, 2
+#: Samples of labelled words; the share of equal ones from which a pair is aligned (at the least share that SIMILAR allows 0.3 % fall short, at 0.9 none of a million), and from which a text no longer leads.
+SAMPLES, CANDIDATE, COVERED = 64, 0.5, 0.8
+#: The finer sample of the texts that classes keep apart, and its share (at the least share that SIMILAR allows 6 % fall short, at 0.82 one in 200, at 0.85 none of 10,000).
+FINE, FINE_CANDIDATE = 256, 0.62
+#: Texts of a bucket that are compared in one task.
+BLOCK = 1024
+#: Occurrences of a word beyond which an alignment keeps its places as bits.
+OFTEN = 64
+_A = (stream(256, 31) | U(1)).astype(np.uint32)
+_B = stream(256, 37).astype(np.uint32)
 
 
 def shingles(words: np.ndarray, k: int = SHINGLE) -> np.ndarray:
@@ -88,18 +94,22 @@ def sampled(h: np.ndarray, functions: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys, and a byte of each sampled minimum."""
+    """Keys of sampled shingles, and a byte of each sampled minimum of labelled words."""
     h = labelled(shingles(words))
-    sig, where = sampled(h, FUNCTIONS)
-    place = np.sort(where.reshape(-1, TUPLE), axis=1)
+    place = np.sort(sampled(h, FUNCTIONS)[1].reshape(-1, TUPLE), axis=1)
     keys = np.arange(len(place)).astype(U)
     for i in range(TUPLE):
         keys = mix(keys * U(0x9E3779B97F4A7C15) + h[place[:, i]])
-    return keys, sig
+    return keys, sampled(labelled(shingles(words, 1)), SAMPLES)[0]
 
 
-def lead(sig: np.ndarray, size: np.ndarray) -> tuple[list[tuple[int, int]], list[int], bool]:
-    """Likely pairs (leader, other) among texts of one bucket, the leaders, and whether other candidates wait; the rest follow one."""
+def near(x, y):
+    """Whether lengths in words allow the similarity."""
+    return np.minimum(x, y) >= SIMILAR * np.maximum(x, y)
+
+
+def lead(sig: np.ndarray, size: np.ndarray) -> list[tuple[int, int, float]]:
+    """For each text of a part of a bucket that has one, the candidate (leader, text, agreement) it agrees with best; a text that agrees well with a leader doesn't lead."""
     n = len(sig)
     if n > 2:
         # Nearest to the middle first: by agreement with the commonest value of each sample.
@@ -107,132 +117,134 @@ def lead(sig: np.ndarray, size: np.ndarray) -> tuple[list[tuple[int, int]], list
         order = np.argsort(-(sig == middle).sum(1), kind="stable")
     else:
         order = np.arange(n)
-    pairs, leaders, waits = [], [], False
-    while len(order):
+    most, leader = np.zeros(n), np.full(n, -1)
+    while len(order) > 1:
         first, order = int(order[0]), order[1:]
-        leaders.append(first)
-        if not len(order):
-            break
         same = (sig[order] == sig[first]).mean(1)
-        near = np.minimum(size[order], size[first]) >= SIMILAR * np.maximum(size[order], size[first])
-        pairs += [(first, int(o)) for o in order[(same >= LIKELY) & near]]
-        waits |= bool(((same >= CANDIDATE) & (same < LIKELY) & near).any())
-        order = order[~((same >= COVERED) & near)]
-    return pairs, leaders, waits
+        ok = near(size[order], size[first])
+        better = ok & (same >= CANDIDATE) & (same > most[order])
+        most[order[better]], leader[order[better]] = same[better], first
+        order = order[~(ok & (same >= COVERED))]
+    found = np.flatnonzero(leader >= 0)
+    return list(zip(leader[found].tolist(), found.tolist(), most[found].tolist()))
 
 
-def apart(bucket: int, root: np.ndarray, block: np.ndarray, n: np.ndarray, sig: np.ndarray, buckets: list[set], nearest: bool) -> list[tuple[int, int]]:
-    """Candidate pairs of different components in a tile of a bucket, each in the first bucket both are in; with `nearest` one for each text at most.
+def apart(part: dict, sig: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Links (i, j) between classes in a tile: i of the texts outside the bucket's largest class, j of the tile's own texts.
 
-    A tile holds one block, compared in itself, or two, compared with each other.
+    A pair that meets in several buckets is looked at in the first of both only,
+    by number of the key; classes that a link joins are one from then on.
     """
-    values, own = np.unique(root, return_inverse=True)
-    if len(values) < 2:
-        return []
-    largest = np.bincount(own).argmax()
-    crossed, pairs = (block != block[0]).any(), []
-    for i in np.flatnonzero(own != largest).tolist():
-        other = (own != own[i]) & ((own == largest) | (np.arange(len(own)) > i))
-        if crossed:
-            other &= block != block[i]
-        at = np.flatnonzero(other & (np.minimum(n, n[i]) >= SIMILAR * np.maximum(n, n[i])))
+    label, n, keys, ids, out, t = part["root"].copy(), part["n"], part["keys"], part["a"], part["out"], int(part["t"][0])
+    links, own = [], np.flatnonzero(part["own"])
+    for i in np.flatnonzero(out).tolist():
+        # Of two texts outside, the later one asks.
+        at = own[(label[own] != label[i]) & near(n[own], n[i]) & (~out[own] | (ids[own] < ids[i]))]
+        if not len(at):
+            continue
         same = (sig[at] == sig[i]).mean(1)
-        pairs += [(x, i, j) for x, j in zip(same.tolist(), at.tolist()) if x >= FINE_CANDIDATE and min(buckets[i] & buckets[j]) == bucket]
-    if nearest:
-        best: dict[int, tuple] = {}
-        for p in pairs:
-            for k in p[1:]:
-                best[k] = max(best.get(k, p), p)
-        pairs = sorted(set(best.values()))
-    return [(i, j) for _, i, j in pairs]
-
-
-def _extend(a: np.ndarray, b: np.ndarray, i: int, j: int) -> int:
-    """Length of the common run from a[i] and b[j]."""
-    n, at, step = min(len(a) - i, len(b) - j), 0, 32
-    while at < n:
-        m = min(step, n - at)
-        differ = a[i + at : i + at + m] != b[j + at : j + at + m]
-        k = int(differ.argmax())
-        if differ[k]:
-            return at + k
-        at += m
-        step *= 4
-    return n
-
-
-def aligned_runs(a: np.ndarray, b: np.ndarray, band: int) -> list[int] | None:
-    """Lengths of the runs that an alignment with fewest edits keeps; None if it takes more than `band` edits.
-
-    Furthest-reaching points on the diagonals inside the band, edit by edit.
+        hit = same >= FINE_CANDIDATE
+        if t:
+            hit &= ~(keys[at, :t] == keys[i, :t]).any(1)
+        at = at[hit][np.argsort(-same[hit], kind="stable")]
+        for j in at.tolist():
+            if label[j] != label[i] and similarity(part["words"][i], part["words"][j], least) >= least:
+                links.append((i, j))
+                label[label == label[j]] = label[i]
+    return links
+
+
+def _common_ends(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """Words that two texts share at their beginnings, and behind these at their ends."""
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[:n] != b[:n])
+    head = int(differ[0]) if len(differ) else n
+    n -= head
+    differ = np.flatnonzero(a[len(a) - n :][::-1] != b[len(b) - n :][::-1])
+    return head, int(differ[0]) if len(differ) else n
+
+
+def edits(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
+    """Fewest insertions, deletions and substitutions of words that turn a into b; None if more than `most`.
+
+    Columns of the alignment's table as bit vectors of their differences, of
+    which only the rows inside the band are kept: the band moves down a row with
+    each column.
     """
-    goal, rounds, d = len(b) - len(a), [], 0
-    reach = {0: _extend(a, b, 0, 0)}
-    while True:
-        rounds.append(reach)
-        if reach.get(goal, -1) >= len(a):
-            break
-        d += 1
-        if d > band:
+    head, end = _common_ends(a, b)
+    a, b = a[head : len(a) - end], b[head : len(b) - end]
+    rows, columns = len(a), len(b)
+    if abs(rows - columns) > most:
+        return None
+    if not rows or not columns:
+        return max(rows, columns)
+    spare = (most - abs(rows - columns)) // 2
+    up, down = spare + max(0, columns - rows), spare + max(0, rows - columns)
+    down = min(down, rows)
+    width = up + down + 1
+    full, last = (1 << width) - 1, width - 1
+    places: dict[int, list[int]] = {}
+    for i, w in enumerate(a.tolist(), 1):
+        places.setdefault(w, []).append(i)
+    bits = {}
+    for w, at in places.items():
+        if len(at) > OFTEN:
+            mark = np.zeros(rows + 1, np.uint8)
+            mark[at] = 1
+            bits[w] = int.from_bytes(np.packbits(mark, bitorder="little").tobytes(), "little")
+    # Before the first column, row i stands at bit i - 1 + up; rows under 1 are outside the table.
+    plus, minus, cost = full & ~((1 << up) - 1), 0, down
+    turn = rows - down  # from this column on the last row lies in the band
+    for j, w in enumerate(b.tolist(), 1):
+        top = j - up  # the row of bit 0
+        if w in bits:
+            same = (bits[w] >> top if top >= 0 else bits[w] << -top) & full
+        else:
+            at, same = places.get(w, ()), 0
+            for k in range(bisect_left(at, top), len(at)):
+                if at[k] > top + last:
+                    break
+                same |= 1 << (at[k] - top)
+        diagonal = (((same & plus) + plus) ^ plus | same | minus) & full
+        right_more = minus | full & ~(diagonal | plus)
+        right_less = diagonal & plus
+        if j <= turn:
+            cost += not diagonal >> last & 1
+        else:
+            bit = rows - top
+            cost += (right_more >> bit & 1) - (right_less >> bit & 1)
+        if cost - (columns - max(j, turn)) > most:
             return None
-        new = {}
-        for k in range(-d, d + 1):
-            if abs(goal - k) > band - d + 1:
-                continue
-            i = max(reach.get(k, -2) + 1, reach.get(k + 1, -2) + 1, reach.get(k - 1, -2))
-            i = min(i, len(a), len(b) - k)
-            if i < 0 or i + k < 0:
-                continue
-            new[k] = i + _extend(a, b, i, i + k)
-        reach = new
-    kept, k, i = [], goal, len(a)
-    for d in range(len(rounds) - 1, 0, -1):
-        last = rounds[d - 1]
-        steps = ((last.get(k, -2) + 1, k), (last.get(k + 1, -2) + 1, k + 1), (last.get(k - 1, -2), k - 1))
-        best = max(steps)
-        start = min(best[0], len(a), len(b) - k)
-        kept.append(i - start)
-        k = best[1]
-        i = min(last[k], i)
-    kept.append(i)
-    return kept
+        down_one = diagonal >> 1
+        plus = right_less | full & ~(down_one | right_more)
+        minus = down_one & right_more
+    return cost if cost <= most else None
 
 
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> float:
-    """Share of five-word shingles that the alignment of two texts' words keeps; 0 if it is under `least`."""
-    k = max(1, min(SHINGLE, len(a), len(b)))
-    na, nb = len(a) - k + 1, len(b) - k + 1
-    need = least * (na + nb) / (1 + least)
-    if min(na, nb) < need:
+    """One less the word edits between two texts over the words of the longer; 0 if it is under `least`, or a text has no words."""
+    longer = max(len(a), len(b))
+    most = int((1 - least) * longer + 1e-9)
+    if not min(len(a), len(b)) or longer - min(len(a), len(b)) > most:
         return 0.0
     if len(a) == len(b) and (a == b).all():
         return 1.0
-    common_ = np.intersect1d(labelled(shingles(a, k)), labelled(shingles(b, k)), assume_unique=True)
-    if len(common_) < need:
-        return 0.0
-    # An edit costs a shingle at least on one side, so more edits than this can't reach `least`.
-    kept = aligned_runs(a, b, int(na + nb - 2 * need) + 1)
-    if kept is None:
+    # Words that are no match cost an edit each.
+    if longer - len(np.intersect1d(labelled(shingles(a, 1)), labelled(shingles(b, 1)), assume_unique=True)) > most:
         return 0.0
-    shared = sum(max(0, r - k + 1) for r in kept)
-    value = shared / (na + nb - shared)
-    return value if value >= least else 0.0
+    found = edits(a, b, most)
+    return 0.0 if found is None else 1 - found / longer
 
 
 def _sizes(text):
     return np.diff(np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1]).tolist() if len(text) else []
 
 
-def _runs_of(bucket: np.ndarray, order: np.ndarray):
-    s = bucket[order]
-    edge = np.flatnonzero(s[1:] != s[:-1]) + 1
-    return zip([0, *edge.tolist()], [*edge.tolist(), len(s)]) if len(s) else ()
-
-
 def near_duplicates(docs: DataFrame, least: float = SIMILAR, by_text: bool = False) -> DataFrame:
     """doc_id, class_id (the smallest doc_id reachable by links) and kept (whether it is that) for each row of docs(doc_id, text).
 
-    Texts without words (null, empty) link with nothing.  A row without doc_id
+    Texts without words (null, empty) link with nothing; a text under six words
+    links with equal words only, as it has one shingle.  A row without doc_id
     links with nothing, has no class and is kept.  Rows of one doc_id are one
     document, of all classes their texts fall in.  Other columns are not read;
     no rows give no rows.  by_text adds root, one for each class (null for rows
@@ -252,155 +264,162 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR, by_text: bool = Fal
                 yield pa.RecordBatch.from_arrays([doc.slice(x, y - x), pa.array(digest, pa.binary()), pa.array(np.diff(at).astype(np.int64)), pa.array(short, pa.binary()), *(c.slice(x, y - x) for c in b.columns[2:])], names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.sha2("text", 256).alias(k) for k in more])
-    base = common.written(rows.mapInArrow(read, "doc_id long, digest binary, n long, words binary" + ", key string" * by_text), "near-words")
+    base = rows.mapInArrow(read, "doc_id long, digest binary, n long, words binary" + ", key string" * by_text)
+    base = common.written(base.withColumn("rid", F.monotonically_increasing_id()), "near-words")
     live = base.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-    classes = live.groupBy("digest").agg(F.min("doc_id").alias("rep")).withColumn("cid", F.xxhash64("digest"))
-    classes = common.written(classes, "near-classes")
-    firsts = live.join(classes, (live["digest"] == classes["digest"]) & (live["doc_id"] == classes["rep"])).select("cid", "n", "words")
+    classes = live.groupBy("digest").agg(F.min(F.struct("doc_id", "rid")).alias("one"))
+    classes = common.written(classes.select("digest", F.col("one.doc_id").alias("rep"), F.col("one.rid").alias("rid"), F.xxhash64("digest").alias("cid")), "near-classes")
+    # Joined by the row, not by the digest, so copies of one text are spread.
+    firsts = live.select("rid", "n", "words").join(classes.select("rid", "cid").hint("merge"), "rid").select("cid", "n", "words")
     # In a fixed order, so batches, leaders and with them the links are alike on every run.
-    firsts = common.written(firsts.dropDuplicates(["cid"]).sortWithinPartitions("cid"), "near-firsts")
+    firsts = common.written(firsts.sortWithinPartitions("cid"), "near-firsts")
     ids = common.written(base.select("doc_id", "digest", *more), "near-ids")
     common.dropped(base)
 
     def sketched(batches):
-        """Pairs found among the texts of a batch (bucket null), the leaders of each bucket, and those that follow (n and sig null)."""
         for b in batches:
-            cid, n, words = np.asarray(b.column(0)), np.asarray(b.column(1)), b.column(2)
-            if not len(cid):
-                continue
-            got = [sketch(np.frombuffer(w.as_buffer(), "<u4")) for w in words]
-            keys, sig = np.stack([k for k, _ in got]), np.stack([s for _, s in got])
-            bucket, row = keys.ravel().view(np.int64), np.repeat(np.arange(len(cid)), keys.shape[1])
-            order = np.argsort(bucket, kind="stable")
-            pairs, up, down = set(), [], []
-            for x, y in _runs_of(bucket, order):
-                own = row[order[x:y]]
-                if y - x > 1:
-                    found, leaders, _ = lead(sig[own], n[own])  # those that wait meet again as leaders
-                    pairs.update((int(own[i]), int(own[j])) for i, j in found)
-                    up += [order[x + i] for i in leaders]
-                    down += [order[x + i] for i in sorted(set(range(y - x)) - set(leaders))]
-                else:
-                    up.append(order[x])
-            up, down = np.array(up), np.array(down, np.int64)
-            yield out(cid, n, sig, bucket[up], row[up], None)
-            if len(down):
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[down]), pa.array(cid[row[down]]), *(pa.nulls(len(down), t) for t in (pa.int64(), pa.int32(), pa.binary()))], NAMES)
-            if pairs:
-                p = np.array(sorted(pairs))
-                yield out(cid, n, sig, None, p[:, 0], cid[p[:, 1]])
-
-    def out(cid, n, sig, bucket, row, other):
-        m = len(row)
-        cols = [pa.array(bucket) if bucket is not None else pa.nulls(m, pa.int64()), pa.array(cid[row]), pa.array(other) if other is not None else pa.nulls(m, pa.int64())]
-        if bucket is None:
-            cols += [pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())]
-        else:
-            cols += [pa.array(n[row].astype(np.int32)), pa.array([sig[r].tobytes() for r in row.tolist()], pa.binary())]
-        return pa.RecordBatch.from_arrays(cols, NAMES)
-
-    NAMES = ["bucket", "a", "b", "n", "sig"]
-
-    led = common.written(firsts.mapInArrow(sketched, "bucket long, a long, b long, n int, sig binary"), "near-keys")
-    again = led.where("sig IS NOT NULL").select("bucket", "a", "n", "sig").repartition("bucket").sortWithinPartitions("bucket", "a")
-
-    def compared(batches):
-        """Pairs among the leaders that meet in a bucket, and buckets where some follow or wait (a and b null); the last bucket of a batch waits for the next one."""
-        kept = None
-
-        def pairs(bucket, a, n, sig):
-            found, part = [], []
-            for x, y in _runs_of(bucket, np.arange(len(bucket))):
-                if y - x > 1:
-                    p, leaders, waits = lead(sig[x:y], n[x:y])
-                    found += [(a[x + i], a[x + j]) for i, j in p]
-                    if waits or len(leaders) < y - x and y - x > 2:
-                        part.append(bucket[x])
-            f, part = np.array(found, np.int64).reshape(-1, 2), np.array(part, np.int64)
-            gap = [pa.nulls(len(part), pa.int64())]
-            return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in ([pa.array(f[:, 0]), *gap], [pa.array(f[:, 1]), *gap], [pa.nulls(len(f), pa.int64()), pa.array(part)])], ["a", "b", "bucket"])
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            data, _ = text_buffers(b.column(3))
-            new = (np.asarray(b.column(0)), np.asarray(b.column(1)), np.asarray(b.column(2)), data.reshape(-1, FUNCTIONS))
-            if kept is not None:
-                new = tuple(np.concatenate(x) for x in zip(kept, new))
-            last = int(np.searchsorted(new[0], new[0][-1]))
-            if last:
-                yield pairs(*(x[:last] for x in new))
-            kept = tuple(x[last:] for x in new)
-        if kept is not None:
-            yield pairs(*kept)
-
-    met = common.written(again.mapInArrow(compared, "a long, b long, bucket long"), "near-met")
-    found = led.where("b IS NOT NULL").select("a", "b").union(met.where("a IS NOT NULL").select("a", "b"))
-    of = components(linked(found, firsts, least))
-    # Texts of the buckets in which some only followed a leader or wait, with the buckets each is in: one for each key at most.
-    part = led.where("b IS NULL AND sig IS NULL").select("bucket").union(met.where("bucket IS NOT NULL").select("bucket")).distinct()
-    members = led.where("b IS NULL").select("bucket", "a").join(part, "bucket", "left_semi")
-    members = common.written(members.groupBy("a").agg(F.collect_set("bucket").alias("buckets")), "near-members")
-    common.dropped(led, met)
-    for nearest in (True, False):
-        named = members.join(of, members["a"] == of["node"], "left").select("a", F.coalesce("root", "a").alias("root"), "buckets")
-        split = named.select(F.explode("buckets").alias("bucket"), "root").groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("k"))
-        split = common.written(split.where("x < y").select("bucket", F.ceil(F.col("k") / BLOCK).cast("long").alias("blocks")), "near-split")
-        if not split.take(1):
-            common.dropped(split)
-            break
-        links = linked(crossing(named, split, firsts, nearest), firsts, least)
+            got = [sketch(np.frombuffer(w.as_buffer(), "<u4")) for w in b.column(2)]
+            keys = np.concatenate([k for k, _ in got]).view(np.int64) if got else np.zeros(0, np.int64)
+            ends = np.arange(len(got) + 1, dtype=np.int32) * (FUNCTIONS // TUPLE)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.int32()), pa.array([x.tobytes() for _, x in got], pa.binary()), pa.ListArray.from_arrays(ends, pa.array(keys))], ["a", "n", "sig", "buckets"])
+
+    sketches = common.written(firsts.mapInArrow(sketched, "a long, n int, sig binary, buckets array<long>"), "near-sketches")
+    every = sketches.select("a", F.posexplode("buckets").alias("t", "bucket"))
+    shared = common.written(every.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1"), "near-shared")
+    members = common.written(every.join(shared.select("bucket").hint("merge"), "bucket"), "near-members")
+    texts = sketches.select("a", "n", "sig")
+    of = components(linked(led(members, shared, texts), firsts, least))
+
+    def named():
+        return members.join(of.hint("merge"), members["a"] == of["node"], "left").select("bucket", "t", "a", F.coalesce("root", "a").alias("root"))
+
+    def split(rows):
+        """Buckets that hold several classes."""
+        return rows.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("bucket")
+
+    stand = named().groupBy("bucket", "root").agg(F.min("a").alias("a"))
+    stand = common.written(stand.join(split(stand).hint("merge"), "bucket").select("bucket", "a"), "near-stand")
+    counts = common.written(stand.groupBy("bucket").agg(F.count("*").alias("k")), "near-shared")
+    links = linked(led(stand, counts, texts), firsts, least)
+    if links.take(1):
+        of = components(links.union(of))
+    common.dropped(stand, counts)
+    rows = common.written(named(), "near-named")
+    open_ = common.written(rows.join(split(rows).hint("merge"), "bucket"), "near-open")
+    if open_.take(1):
+        links = common.written(crossing(open_, sketches, firsts, least), "near-links")
         if links.take(1):
             of = components(links.union(of))
-        common.dropped(split)
-    common.dropped(firsts, members)
+    common.dropped(rows, open_)
+    common.dropped(firsts, sketches, shared, members)
     return classed(ids, classes, of, more)
 
 
-def crossing(named: DataFrame, split: DataFrame, firsts: DataFrame, nearest: bool) -> DataFrame:
-    """Candidates (a, b) of different components among named(a, root, buckets) that meet in the buckets of split(bucket, blocks)."""
+def _parts(batches, names):
+    """Whole parts, as tables: rows that have equal values in the columns `names`, by which batches are sorted."""
+    held = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        edge = np.zeros(b.num_rows, bool)
+        for c in names:
+            x = np.asarray(b.column(b.schema.get_field_index(c)))
+            edge[1:] |= x[1:] != x[:-1]
+            edge[0] |= bool(held) and held[-1].column(held[-1].schema.get_field_index(c))[-1].as_py() != x[0]
+        cuts = [0, *np.flatnonzero(edge).tolist(), b.num_rows]
+        for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])):
+            if k and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            if y > x:
+                held.append(b.slice(x, y - x))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _columns(t, samples: int) -> tuple[dict, np.ndarray]:
+    """Columns of a part as arrays, its keys and words among them, and its samples."""
+    cols = {c: np.asarray(t.column(c).combine_chunks()) for c in t.column_names if c not in ("sig", "keys", "words")}
+    if "keys" in t.column_names:
+        cols["keys"] = text_buffers(t.column("keys"))[0].view(np.uint32).reshape(t.num_rows, -1)
+    if "words" in t.column_names:
+        cols["words"] = [np.frombuffer(w.as_buffer(), "<u4") for w in t.column("words").combine_chunks()]
+    return cols, text_buffers(t.column("sig"))[0].reshape(-1, samples)
+
+
+def _found(batches, names, samples: int, of):
+    """Rows (a, b, same) that `of` finds in each part of two rows or more."""
+    out, have = [], 0
+    for t in _parts(batches, names):
+        if t.num_rows > 1:
+            part, sig = _columns(t, samples)
+            got = of(part, sig)
+            if got:
+                i, j, same = (np.array(x) for x in zip(*got))
+                out.append((part["a"][i], part["a"][j], same.astype(np.float64)))
+                have += len(got)
+        if have > 50_000:
+            yield _batch(out)
+            out, have = [], 0
+    if out:
+        yield _batch(out)
+
+
+def _batch(out):
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["a", "b", "same"])
+
+
+def _blocks(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """rows with the block of each in its bucket, of counts(bucket, k)."""
+    blocks = F.ceil(F.col("k") / BLOCK).cast("long")
+    return rows.join(counts.withColumn("blocks", blocks).drop("k").hint("merge"), "bucket").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")))
+
+
+def led(members: DataFrame, counts: DataFrame, texts: DataFrame) -> DataFrame:
+    """For each text the candidate (a, b) it agrees with best among leaders of the blocks that members(bucket, a) share."""
+    tile = ("bucket", "block")
+    rows = _blocks(members, counts).join(texts.hint("merge"), "a").select(*tile, "a", "n", "sig")
+    rows = rows.repartition(*tile).sortWithinPartitions(*tile, "a")
+    return _best(rows.mapInArrow(lambda batches: _found(batches, tile, SAMPLES, lambda part, sig: lead(sig, part["n"])), "a long, b long, same double"))
+
+
+def _best(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("b").agg(F.max(F.struct("same", F.negative("a").alias("a"))).alias("one")).select(F.negative("one.a").alias("a"), "b")
+
+
+def crossing(rows: DataFrame, sketches: DataFrame, firsts: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between different classes that meet in a bucket of rows(bucket, t, a, root).
+
+    Texts outside a bucket's largest class are held against all of the bucket, in
+    tiles of a block of either; they are aligned there, so no pair leaves a task
+    that isn't a link.
+    """
 
     def finer(batches):
         for b in batches:
-            sig = [sampled(labelled(shingles(np.frombuffer(w.as_buffer(), "<u4"))), FINE)[0].tobytes() for w in b.column(4)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(sig, pa.binary())], ["a", "root", "buckets", "n", "sig"])
-
-    def pairs(batches):
-        """Candidates of each tile; the last tile of a batch waits for the next one."""
-
-        def of(t):
-            bucket, tile, a, root, block, n = (np.asarray(t.column(c).combine_chunks()) for c in ("bucket", "tile", "a", "root", "block", "n"))
-            sig = text_buffers(t.column("sig"))[0].reshape(-1, FINE)
-            edge = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (tile[1:] != tile[:-1])))
-            out, buckets = [], [set(x) for x in t.column("buckets").to_pylist()]
-            for x, y in zip(edge.tolist(), [*edge[1:].tolist(), len(bucket)]):
-                out += [(a[x + i], a[x + j]) for i, j in apart(int(bucket[x]), root[x:y], block[x:y], n[x:y], sig[x:y], buckets[x:y], nearest)]
-            f = np.array(out, np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(f[:, 0]), pa.array(f[:, 1])], ["a", "b"])
-
-        kept = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            t = pa.Table.from_batches([b])
-            t = t if kept is None else pa.concat_tables([kept, t])
-            bucket, tile = (np.asarray(t.column(c).combine_chunks()) for c in ("bucket", "tile"))
-            before = np.flatnonzero((bucket != bucket[-1]) | (tile != tile[-1]))
-            last = int(before[-1]) + 1 if len(before) else 0
-            if last:
-                yield of(t.slice(0, last))
-            kept = t.slice(last)
-        if kept is not None:
-            yield of(kept)
-
-    live = named.select("a", F.explode("buckets").alias("bucket")).join(split.select("bucket"), "bucket", "left_semi").select("a").distinct()
-    words = firsts.select(F.col("cid").alias("a"), "n", "words")
-    rows = named.join(live, "a", "left_semi").join(words, "a").select("a", "root", "buckets", "n", "words")
-    rows = rows.mapInArrow(finer, "a long, root long, buckets array<long>, n long, sig binary")
-    rows = rows.select("a", "root", "buckets", "n", "sig", F.explode("buckets").alias("bucket")).join(split, "bucket")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.withColumn("tile", F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).drop("other", "blocks")
-    return rows.repartition("bucket", "tile").sortWithinPartitions("bucket", "tile", "a").mapInArrow(pairs, "a long, b long")
+            keys = np.asarray(b.column(3).flatten()).astype(np.int64).view(U).reshape(b.num_rows, -1)
+            short = [x.tobytes() for x in (keys >> U(32)).astype(np.uint32)]
+            sig = [sampled(labelled(shingles(np.frombuffer(w.as_buffer(), "<u4"), 1)), FINE)[0].tobytes() for w in b.column(2)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sig, pa.binary()), pa.array(short, pa.binary())], ["a", "n", "words", "sig", "keys"])
+
+    def of(part, sig):
+        return [(i, j, 1.0) for i, j in apart(part, sig, least)]
+
+    live = rows.select("a").distinct()
+    texts = sketches.select("a", "n", "buckets").join(live.hint("merge"), "a").join(firsts.select(F.col("cid").alias("a"), "words").hint("merge"), "a")
+    texts = texts.select("a", "n", "words", "buckets").mapInArrow(finer, "a long, n int, words binary, sig binary, keys binary")
+    sizes = rows.groupBy("bucket", "root").agg(F.count("*").alias("k"))
+    per = sizes.groupBy("bucket").agg(F.sum("k").alias("k"), F.max(F.struct("k", "root")).alias("most"))
+    per = per.select("bucket", "k", F.col("most.root").alias("largest"), F.ceil((F.col("k") - F.col("most.k")) / BLOCK).cast("long").alias("others"))
+    rows = _blocks(rows, per).withColumn("out", F.col("root") != F.col("largest")).withColumn("other", F.pmod(F.xxhash64("a", F.lit(1)), F.col("others")))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    tile = lambda p, q: F.struct(p.alias("p"), q.alias("q"))
+    asked = F.transform(upto("others"), lambda q: tile(F.col("block"), q))
+    asking = F.when(F.col("out"), F.transform(upto("blocks"), lambda p: tile(p, F.col("other")))).otherwise(F.slice(asked, 1, 0))
+    rows = rows.withColumn("tile", F.explode(F.array_union(asked, asking))).select("bucket", "tile.p", "tile.q", "t", "a", "root", (F.col("tile.p") == F.col("block")).alias("own"), (F.col("out") & (F.col("tile.q") == F.col("other"))).alias("out"))
+    names = ("bucket", "p", "q")
+    rows = rows.join(texts.hint("merge"), "a").repartition(*names).sortWithinPartitions(*names, "a")
+    return rows.mapInArrow(lambda batches: _found(batches, names, FINE, of), "a long, b long, same double").select("a", "b")
 
 
 def linked(found: DataFrame, firsts: DataFrame, least: float) -> DataFrame:
@@ -413,21 +432,24 @@ def linked(found: DataFrame, firsts: DataFrame, least: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["a", "b"])
 
     found = common.written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
-    left = firsts.select(F.col("cid").alias("a"), F.col("words").alias("wa"))
-    right = firsts.select(F.col("cid").alias("b"), F.col("words").alias("wb"))
-    links = common.written(found.join(left, "a").join(right, "b").select("a", "b", "wa", "wb").mapInArrow(verified, "a long, b long"), "near-links")
-    common.dropped(found)
+    # Only the words of texts in a pair are moved.
+    asked = common.written(found.select(F.col("a").alias("cid")).union(found.select("b")).distinct(), "near-asked")
+    words = common.written(firsts.select("cid", "words").join(asked.hint("merge"), "cid"), "near-asked-words")
+    left = words.select(F.col("cid").alias("a"), F.col("words").alias("wa"))
+    right = words.select(F.col("cid").alias("b"), F.col("words").alias("wb"))
+    links = common.written(found.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "wa", "wb").mapInArrow(verified, "a long, b long"), "near-links")
+    common.dropped(found, asked, words)
     return links
 
 
 def classed(base: DataFrame, classes: DataFrame, of: DataFrame, more: list[str]) -> DataFrame:
     """Classes of all rows from the components (node, root) of text classes."""
-    roots = classes.join(of, classes["cid"] == of["node"], "left").select("digest", "rep", F.coalesce("root", "cid").alias("root"))
+    roots = classes.join(of.hint("merge"), classes["cid"] == of["node"], "left").select("digest", "rep", F.coalesce("root", "cid").alias("root"))
     least = roots.groupBy("root").agg(F.min("rep").alias("class_id"))
-    named = roots.join(least, "root").select("digest", "class_id", "root")
+    named = roots.join(least.hint("merge"), "root").select("digest", "class_id", "root")
     named = named if more else named.drop("root")
     own = ["root", *more] if more else []
-    ids = base.select("doc_id", "digest", *more).where("digest IS NOT NULL AND doc_id IS NOT NULL").join(named, "digest").select("doc_id", "class_id", *own)
+    ids = base.select("doc_id", "digest", *more).where("digest IS NOT NULL AND doc_id IS NOT NULL").join(named.hint("merge"), "digest").select("doc_id", "class_id", *own)
     alone = base.where("digest IS NULL OR doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), *([F.lit(None).cast("long").alias("root"), *more] if more else []))
     return ids.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 
