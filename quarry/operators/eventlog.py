@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,18 +78,119 @@ def buckets(events: DataFrame, ts: str, unit: str, *by: str) -> DataFrame:
 
 
 def rate_limited(requests: DataFrame, key: str, ts: str, limit: int, seconds: int = 60) -> DataFrame:
-    """key, ts, remaining, allowed: a window opens at a key's first request and the first one after it has passed opens the next."""
+    """key, ts, remaining, allowed: a window opens at a key's first request and the first one after it has passed opens the next.
+
+    Requests stream by in order of key and time, a window at a time, so a busy key
+    takes no more memory than another; requests without a time are left out.
+    """
     schema = f"`{key}` {requests.schema[key].dataType.simpleString()}, `{ts}` {requests.schema[ts].dataType.simpleString()}, remaining long, allowed boolean"
 
-    def run(pdf):
-        pdf = pdf.sort_values(ts).reset_index(drop=True)
-        start, n, left, ok = None, 0, [], []
-        for t in pdf[ts]:
-            if start is None or (t - start).total_seconds() >= seconds:
-                start, n = t, 0
-            n += 1
-            left.append(max(0, limit - n))
-            ok.append(n <= limit)
-        return pdf[[key, ts]].assign(remaining=left, allowed=ok)
-
-    return requests.select(key, ts).groupBy(key).applyInPandas(run, schema)
+    def run(batches):
+        last, start, n = object(), 0, 0
+        for pdf in batches:
+            keys, when = pdf[key].tolist(), pdf[ts].astype("datetime64[ns]").to_numpy().astype(np.int64)
+            seen = np.zeros(len(keys), np.int64)
+            i = 0
+            while i < len(keys):
+                if keys[i] != last or when[i] - start >= seconds * 1_000_000_000:
+                    last, start, n = keys[i], when[i], 0
+                end = i + 1
+                while end < len(keys) and keys[end] == last and when[end] - start < seconds * 1_000_000_000:
+                    end += 1
+                seen[i:end] = n + np.arange(1, end - i + 1)
+                n, i = n + end - i, end
+            yield pdf.assign(remaining=np.maximum(0, limit - seen), allowed=seen <= limit)
+
+    return requests.select(key, ts).where(F.col(ts).isNotNull()).repartition(key).sortWithinPartitions(key, ts).mapInPandas(run, schema)
+
+
+# -- kinds of events ---------------------------------------------------------
+
+# Kinds of typed events, and the fields each must have and may have.
+KINDS = {
+    "reasoning": ("agent string, text string, reasoning string", ("agent",)), "tool_call": ("agent string, tool string, args string, result string", ("agent", "tool")), "agent_dispatch": ("agent string", ("agent",)),
+    "error": ("error string, stage string", ()), "file_edit": ("path string", ("path",)), "phase_change": ("phase string", ("phase",)), "container_kept_alive": ("container_id string", ()),
+}
+#: Fields that a transcript search looks into, by kind.
+SEARCHED = {"reasoning": ("text", "reasoning", "agent"), "tool_call": ("tool", "args", "result", "agent"), "agent_dispatch": ("agent",), "error": ("error", "stage"), "file_edit": ("path",), "phase_change": ("phase",), "container_kept_alive": ("container_id",)}
+
+
+def typed(log: DataFrame, kind: str = "event_type", content: str = "content") -> DataFrame:
+    """Adds decoded (kind, and the fields of all kinds) and raw: a kind that isn't known, content that is no object, or one without what its kind must have is `unknown` and keeps its raw text."""
+    names = sorted({f.split()[0] for fields, _ in KINDS.values() for f in fields.split(", ")})
+    got = {n: F.get_json_object(content, f"$.{n}") for n in names}
+    is_object = F.coalesce(F.col(content).rlike(r"^\s*\{") & F.try_parse_json(content).isNotNull(), F.lit(False))
+    told = F.coalesce(F.get_json_object(content, "$.kind"), F.col(kind))
+    ok = F.lit(False)
+    for k, (_, needed) in KINDS.items():
+        one = told == k
+        for n in needed:
+            one = one & got[n].isNotNull()
+        ok = ok | one
+    ok = F.coalesce(ok & is_object, F.lit(False))
+    return log.withColumn("decoded", F.struct(F.when(ok, told).otherwise("unknown").alias("kind"), *[F.when(ok, got[n]).alias(n) for n in names])).withColumn("raw", F.when(~ok, F.col(content)))
+
+
+def parts(messages: DataFrame, part: str = "part") -> DataFrame:
+    """event_type and content (JSON) of the parts of agent messages, one text of JSON each: what a part is goes by its type, unknown types stay whole."""
+    at = lambda *n: F.coalesce(*[F.nullif(F.get_json_object(part, f"$.{x}"), F.lit("{}")) for x in n])
+    kind = F.get_json_object(part, "$.type")
+    agent = F.col("agent")
+    event = F.when(kind.isin("text", "reasoning", "step-start", "step-finish"), "reasoning").when(kind.isin("tool", "tool-invocation"), "tool_call").otherwise("unknown")
+    content = (
+        F.when(kind == "text", F.to_json(F.struct(agent.alias("agent"), at("text").alias("text")))).when(kind == "reasoning", F.to_json(F.struct(agent.alias("agent"), at("text").alias("reasoning"))))
+        .when(kind == "step-start", F.to_json(F.struct(agent.alias("agent"), at("id").alias("step_start")))).when(kind == "step-finish", F.to_json(F.struct(agent.alias("agent"), at("reason").alias("step_finish"))))
+        .when(kind.isin("tool", "tool-invocation"), F.to_json(F.struct(agent.alias("agent"), at("toolName", "tool").alias("tool"), at("args", "state.input").alias("args"), at("result", "state.output").alias("result"))))
+        .otherwise(F.to_json(F.struct(F.coalesce(kind, F.lit("")).alias("raw_type"), F.col(part).alias("raw"))))
+    )
+    return messages.withColumn("event_type", event).withColumn("content", content)
+
+
+def tool_status(result: Column) -> Column:
+    """pending without a result, error if it is a text that begins so or an object that says so, else completed."""
+    is_object = F.coalesce(result.rlike(r"^\s*\{"), F.lit(False))
+    err = F.get_json_object(result, "$.error")
+    wrong = F.when(is_object, (F.get_json_object(result, "$.is_error") == "true") | (err != "")).otherwise(result.rlike(r"(?i)^\s*error\b"))
+    return F.when(result.isNull(), "pending").when(F.coalesce(wrong, F.lit(False)), "error").otherwise("completed")
+
+
+def labels(groups: DataFrame) -> Column:
+    """The line that stands for a group of n events of a kind; `first` are the decoded fields of its first event."""
+    n, f = F.col("n"), lambda c: F.col(f"first.{c}")
+    many = lambda what: F.concat(n.cast("string"), F.lit(f" {what}"))
+    one = lambda k, single, plural: F.when(F.col("kind") == k, F.when(n == 1, single).otherwise(many(plural) if isinstance(plural, str) else plural))
+    tool = F.concat(F.lit("tool: "), f("tool"), F.lit(" → "), tool_status(f("result")))
+    return F.when(n == 0, "empty group").otherwise(F.coalesce(
+        one("tool_call", tool, F.concat(n.cast("string"), F.lit(" tool calls ("), f("tool"), F.lit("…)"))), one("reasoning", F.lit("reasoning"), "reasoning events"),
+        one("agent_dispatch", F.concat(F.lit("dispatch "), f("agent")), "agent dispatches"), one("phase_change", F.concat(F.lit("phase: "), f("phase")), "phase changes"), one("error", F.lit("error"), "errors"),
+        one("file_edit", F.concat(F.lit("file: "), f("path")), "file edits"), one("container_kept_alive", F.lit("container heartbeat"), "container heartbeats"), F.when(n == 1, F.lit("unknown event")).otherwise(many("unknown events")),
+    ))
+
+
+def matching(log: DataFrame, query: str, kind: str = "event_type", decoded: str = "decoded") -> DataFrame:
+    """Events whose kind or shown fields hold a text, whatever its case; an empty query finds nothing."""
+    q = query.strip().lower()
+    if not q:
+        return log.where(F.lit(False))
+    shown = F.lit("")
+    for k, names in SEARCHED.items():
+        shown = F.when(F.col(f"{decoded}.kind") == k, F.concat_ws(" ", *[F.col(f"{decoded}.{n}") for n in names])).otherwise(shown)
+    return log.where(F.lower(F.concat_ws(" ", F.col(kind), shown)).contains(q))
+
+
+def after_id(log: DataFrame, execution: str, value, last: int) -> DataFrame:
+    """Replay behind an id: rows are chosen by id and come by seq, so they may differ from after() where ids and numbers disagree."""
+    return log.where((F.col(execution) == value) & (F.col("id") > last)).orderBy("seq")
+
+
+def oldest(log: DataFrame, key: str, seq: str, capacity: int) -> DataFrame:
+    """The smallest number that a ring of each key still holds, and how many it holds."""
+    return ring(log, key, seq, capacity).groupBy(key).agg(F.min(seq).alias("oldest_seq"), F.count("*").alias("held"))
+
+
+def recent(audit: DataFrame, limit: int, operation: str | None = None, status: str | None = None, order: str = "ts") -> DataFrame:
+    """The newest audit entries, of an operation or status if one is given."""
+    for c, v in (("operation", operation), ("status", status)):
+        if v is not None:
+            audit = audit.where(F.col(c) == v)
+    return audit.orderBy(F.desc(order)).limit(int(limit))

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import clip_bytes, cosine, vector
+from ..functions.scalar import clip_bytes, cosine_to
 
 
 def semantic(points: DataFrame, query: list[float], k: int = 10, threshold: float | None = None, where: Column | None = None, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """The k nearest points by cosine; filters come before the top-k, a bounded sort in each partition."""
     rows = points if where is None else points.where(where)
-    scored = rows.withColumn("score", cosine(embedding, vector(query))).where(F.col("score").isNotNull())
+    scored = rows.withColumn("score", cosine_to(embedding, query)).where(F.col("score").isNotNull())
     if threshold is not None:
         scored = scored.where(F.col("score") >= threshold)
     return scored.drop(embedding).orderBy(F.desc("score"), key).limit(int(k))

@@ -16,6 +16,8 @@ from .functions import scalar as S
 from .operators import audit, evals, eventlog, search, tables
 from .plans import sqlgate
 from .plans.graph import Graph, crate_of, first, parent_of, with_placeholders
+from .plans.lineage import cut
+from .sources import files
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -41,7 +43,19 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
 # -- the graph ---------------------------------------------------------------
 
 
+_stored: dict[tuple[str, str], Graph] = {}
+
+
 def graph_of(spark: SparkSession, d: str) -> Graph:
+    """The graph of a folder of tables, stored once for a session: queries read it, they don't build it."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _stored:
+        g = made_graph(spark, d)
+        _stored[key] = Graph(cut(g.nodes), cut(g.edges))
+    return _stored[key]
+
+
+def made_graph(spark: SparkSession, d: str) -> Graph:
     r, n, c, s, p, o, li = (t(spark, d, x) for x in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"))
     mods = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name", F.concat_ws("::", "r_name", "n_name").alias("m"))
     cu = c.join(mods, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("k"), F.concat_ws("::", "m", "c_name").alias("fqn"), F.col("c_name").alias("name"), "n_name", "m")
@@ -68,9 +82,11 @@ def graph_of(spark: SparkSession, d: str) -> Graph:
         return df.select(src.alias("src"), dst.alias("dst"), F.lit(rel).alias("rel"))
 
     a, b = cu.select(F.col("k").alias("ak"), F.col("fqn").alias("af")), cu.select(F.col("k").alias("bk"), F.col("fqn").alias("bf"))
-    calls = o.select(F.col("o_custkey").alias("ak"), ((F.col("o_custkey") * 13 + F.col("o_orderkey") % 3) % 1500).alias("bk")).distinct().join(a, "ak").join(b, "bk")
+    many = c.agg(F.count("*").alias("nc")).crossJoin(p.agg(F.count("*").alias("np")))
+    o = o.crossJoin(many)
+    calls = o.select(F.col("o_custkey").alias("ak"), ((F.col("o_custkey") * 13 + F.col("o_orderkey") % 3) % F.col("nc")).alias("bk")).distinct().join(a, "ak").join(b, "bk")
     impl = li.select("l_suppkey", "l_partkey").distinct().join(p, F.col("l_partkey") == F.col("p_partkey")).select("l_suppkey", brand.alias("b")).distinct().join(su, F.col("l_suppkey") == F.col("k"))
-    uses = o.select("o_custkey", (F.col("o_orderkey") % 200).alias("pk")).distinct().join(p, F.col("pk") == F.col("p_partkey")).select("o_custkey", kind.alias("b")).distinct().join(cu, F.col("o_custkey") == F.col("k"))
+    uses = o.select("o_custkey", (F.col("o_orderkey") % F.col("np")).alias("pk")).distinct().join(p, F.col("pk") == F.col("p_partkey")).select("o_custkey", kind.alias("b")).distinct().join(cu, F.col("o_custkey") == F.col("k"))
     r2 = r.select(F.col("r_regionkey").alias("k2"), F.col("r_name").alias("n2"))
     deps = r.join(r2, (F.col("k2") == (F.col("r_regionkey") + 1) % 5) | (F.col("k2") == (F.col("r_regionkey") + 2) % 5))
     edges = edge(mods, F.col("r_name"), F.col("m"), "CONTAINS")
@@ -92,9 +108,9 @@ nodes AS (SELECT r_name AS fqn, r_name AS name, 'Crate' AS label, CAST(NULL AS V
  UNION ALL SELECT DISTINCT 'types::' || p_brand, p_brand, 'Trait', 'src/types.rs', 0 FROM part
  UNION ALL SELECT DISTINCT 'types::' || p_type, p_type, 'Enum', 'src/types.rs', 0 FROM part),
 edges AS (SELECT r_name AS src, m AS dst, 'CONTAINS' AS rel FROM mods UNION ALL SELECT m, fqn, 'CONTAINS' FROM cu UNION ALL SELECT m, fqn, 'CONTAINS' FROM su
- UNION ALL SELECT DISTINCT a.fqn, b.fqn, 'CALLS' FROM orders JOIN cu a ON o_custkey = a.k JOIN cu b ON b.k = (o_custkey * 13 + o_orderkey % 3) % 1500
+ UNION ALL SELECT DISTINCT a.fqn, b.fqn, 'CALLS' FROM orders JOIN cu a ON o_custkey = a.k JOIN cu b ON b.k = (o_custkey * 13 + o_orderkey % 3) % (SELECT count(*) FROM customer)
  UNION ALL SELECT DISTINCT su.fqn, 'types::' || p_brand, 'IMPLEMENTS' FROM lineitem JOIN su ON l_suppkey = su.k JOIN part ON l_partkey = p_partkey
- UNION ALL SELECT DISTINCT cu.fqn, 'types::' || p_type, 'USES_TYPE' FROM orders JOIN cu ON o_custkey = cu.k JOIN part ON p_partkey = o_orderkey % 200
+ UNION ALL SELECT DISTINCT cu.fqn, 'types::' || p_type, 'USES_TYPE' FROM orders JOIN cu ON o_custkey = cu.k JOIN part ON p_partkey = o_orderkey % (SELECT count(*) FROM part)
  UNION ALL SELECT a.r_name, b.r_name, 'DEPENDS_ON' FROM region a JOIN region b ON b.r_regionkey = (a.r_regionkey + 1) % 5 OR b.r_regionkey = (a.r_regionkey + 2) % 5)
 """
 IS = "(name = '{0}' OR fqn = '{0}')"
@@ -196,8 +212,9 @@ def _score(df):
 
 query("semantic_search", f"SELECT vec_id, label, round({COS}, 6) AS score FROM embeddings ORDER BY {COS} DESC, vec_id LIMIT 10")(lambda s, d: _score(search.semantic(t(s, d, "embeddings"), VECTOR)))
 query("semantic_search_filtered", f"SELECT vec_id, label, round({COS}, 6) AS score FROM embeddings WHERE label = 3 AND {COS} >= 0.05 ORDER BY {COS} DESC, vec_id LIMIT 20")(lambda s, d: _score(search.semantic(t(s, d, "embeddings"), VECTOR, 20, 0.05, F.col("label") == 3)))
-query("search_docs", f"SELECT doc_id, source AS source_file, round({COS}, 6) AS score FROM embeddings JOIN documents ON vec_id = doc_id ORDER BY {COS} DESC, vec_id LIMIT 10")(
-    lambda s, d: _score(search.docs(t(s, d, "embeddings").withColumnRenamed("vec_id", "doc_id").join(t(s, d, "documents").select("doc_id"), "doc_id", "left_semi"), t(s, d, "documents").withColumnRenamed("source", "source_file"), VECTOR)).drop("content_preview")
+CLIP = "CASE WHEN strlen(text) > 500 THEN left(text, (SELECT max(k) FROM range(125, 501) r(k) WHERE strlen(left(text, k)) <= 500)) || '...' ELSE text END"
+query("search_docs", f"SELECT doc_id, source AS source_file, {CLIP} AS content_preview, round({COS}, 6) AS score FROM embeddings JOIN documents ON vec_id = doc_id ORDER BY {COS} DESC, vec_id LIMIT 10")(
+    lambda s, d: _score(search.docs(t(s, d, "embeddings").withColumnRenamed("vec_id", "doc_id").join(t(s, d, "documents").select("doc_id"), "doc_id", "left_semi"), t(s, d, "documents").withColumnRenamed("source", "source_file"), VECTOR))
 )
 
 
@@ -207,10 +224,11 @@ def aggregate_search(spark, d):
     return _score(search.aggregate(t(spark, d, "embeddings"), items, None, VECTOR))
 
 
-@query("aggregate_search_graph", f"WITH top AS (SELECT vec_id, round({COS}, 6) AS score FROM embeddings ORDER BY {COS} DESC, vec_id LIMIT 10), e AS (SELECT DISTINCT o_custkey AS src, o_orderkey % 500 AS dst FROM orders) SELECT vec_id, score, c_name, coalesce((SELECT string_agg(CAST(src AS VARCHAR), ',' ORDER BY src) FROM e WHERE dst = vec_id), '') AS callers, coalesce((SELECT string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) FROM e WHERE src = vec_id), '') AS callees FROM top LEFT JOIN customer ON c_custkey = vec_id")
+@query("aggregate_search_graph", f"WITH top AS (SELECT vec_id, round({COS}, 6) AS score FROM embeddings ORDER BY {COS} DESC, vec_id LIMIT 10), e AS (SELECT DISTINCT o_custkey AS src, o_orderkey % (SELECT count(*) FROM embeddings) AS dst FROM orders) SELECT vec_id, score, c_name, coalesce((SELECT string_agg(CAST(src AS VARCHAR), ',' ORDER BY src) FROM e WHERE dst = vec_id), '') AS callers, coalesce((SELECT string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) FROM e WHERE src = vec_id), '') AS callees FROM top LEFT JOIN customer ON c_custkey = vec_id")
 def _aggregate_graph(spark, d):
     items = t(spark, d, "customer").select(F.col("c_custkey").alias("vec_id"), "c_name")
-    edges = t(spark, d, "orders").select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") % 500).alias("dst"))
+    many = t(spark, d, "embeddings").agg(F.count("*").alias("ne"))
+    edges = t(spark, d, "orders").crossJoin(many).select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") % F.col("ne")).alias("dst"))
     out = _score(search.aggregate(t(spark, d, "embeddings").drop("label"), items, edges, VECTOR))
     join = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
     return out.withColumn("callers", join("callers")).withColumn("callees", join("callees"))
@@ -308,7 +326,7 @@ query("transcript_search", "SELECT conv_id, turn FROM conversations WHERE contai
 # -- audits ----------------------------------------------------------------------
 
 WS = "SELECT c_custkey AS id, c_name AS fqn, CASE WHEN c_custkey % 97 = 0 THEN [] WHEN c_custkey % 89 = 0 THEN ['Workspace_' || c_nationkey, 'Workspace_x'] ELSE ['Workspace_' || c_nationkey] END AS ws FROM customer"
-WE = f"n AS ({WS}), e AS (SELECT DISTINCT o_custkey AS src, (o_custkey * 13 + o_orderkey % 3) % 1500 AS dst FROM orders), x AS (SELECT src, dst, a.ws[1] AS wa, b.ws[1] AS wb FROM e JOIN n a ON a.id = src JOIN n b ON b.id = dst WHERE len(a.ws) = 1 AND len(b.ws) = 1 AND a.ws[1] <> b.ws[1])"
+WE = f"n AS ({WS}), e AS (SELECT DISTINCT o_custkey AS src, (o_custkey * 13 + o_orderkey % 3) % (SELECT count(*) FROM customer) AS dst FROM orders), x AS (SELECT src, dst, a.ws[1] AS wa, b.ws[1] AS wb FROM e JOIN n a ON a.id = src JOIN n b ON b.id = dst WHERE len(a.ws) = 1 AND len(b.ws) = 1 AND a.ws[1] <> b.ws[1])"
 
 
 def tenant_nodes(s, d):
@@ -318,7 +336,8 @@ def tenant_nodes(s, d):
 
 
 def tenant_edges(s, d):
-    return t(s, d, "orders").select(F.col("o_custkey").alias("src"), ((F.col("o_custkey") * 13 + F.col("o_orderkey") % 3) % 1500).alias("dst")).distinct()
+    o = t(s, d, "orders").crossJoin(t(s, d, "customer").agg(F.count("*").alias("nc")))
+    return o.select(F.col("o_custkey").alias("src"), ((F.col("o_custkey") * 13 + F.col("o_orderkey") % 3) % F.col("nc")).alias("dst")).distinct()
 
 
 query("audit_multi_label", f"SELECT id FROM ({WS}) WHERE len(ws) > 1")(lambda s, d: audit.multi_label(tenant_nodes(s, d)).select("id"))
@@ -343,14 +362,7 @@ query("gap_status", "SELECT event_type, CASE WHEN event_type = 'error' THEN 'bro
 
 # -- evaluation --------------------------------------------------------------------
 
-RUNS = "SELECT l_returnflag AS suite, l_partkey % 50 AS c, round(l_quantity / 10, 1) AS composite, l_quantity > 40 AS passed, CASE WHEN l_linenumber <> 3 THEN l_tax END AS cost FROM lineitem WHERE l_orderkey % 50 = {0}"
-
-
-WHOLE = RUNS.partition(" WHERE ")[0]
-
-
-def runs(s, d, rest):
-    return runs_of(t(s, d, "lineitem").where(f"l_orderkey % 50 = {rest}"))
+RUNS = "SELECT l_returnflag AS suite, l_partkey % 50 AS c, round(l_quantity / 10, 1) AS composite, l_quantity > 40 AS passed, CASE WHEN l_linenumber <> 3 THEN l_tax END AS cost FROM lineitem"
 
 
 def runs_of(li):
@@ -363,23 +375,17 @@ def _rounded(df, *names):
     return df
 
 
-query("eval_cases", f"SELECT suite, c, count(*) AS runs, round(avg(composite), 6) AS mean_composite, round(stddev_pop(composite), 6) AS std_composite, bool_or(passed) AS passed, round(sum(coalesce(cost, 0)), 6) AS cost FROM ({RUNS.format(0)}) GROUP BY 1, 2")(lambda s, d: _rounded(evals.cases(runs(s, d, 0), "suite", "c"), "mean_composite", "std_composite", "cost"))
-query("eval_suites", f"WITH r AS ({RUNS.format(0)}), p AS (SELECT suite, c, bool_or(passed) AS ok FROM r GROUP BY 1, 2) SELECT r.suite, round(avg(composite), 6) AS mean_composite, round(var_pop(composite), 6) AS var_composite, round(sum(coalesce(cost, 0)), 6) AS total_cost, (SELECT count(*) FROM p WHERE p.suite = r.suite) AS cases, (SELECT count(*) FROM p WHERE p.suite = r.suite AND ok) AS passing, round((SELECT avg(CAST(ok AS INT)) FROM p WHERE p.suite = r.suite), 6) AS pass_rate FROM r GROUP BY r.suite")(lambda s, d: _rounded(evals.suites(runs(s, d, 0), "suite", "c"), "mean_composite", "var_composite", "total_cost", "pass_rate"))
 CASE1 = "SELECT suite || ':' || c AS id, bool_or(passed) AS passed, avg(composite) AS m FROM ({0}) GROUP BY 1"
-query("eval_compare", f"SELECT id, CASE WHEN b.passed IS NULL THEN 'new' WHEN n.passed IS NULL THEN 'removed' WHEN b.passed AND NOT n.passed THEN 'regression' WHEN NOT b.passed AND n.passed THEN 'improvement' ELSE 'stable' END AS kind, round(n.m - b.m, 6) AS delta FROM ({CASE1.format(RUNS.format(0))}) b FULL JOIN ({CASE1.format(RUNS.format(1))}) n USING (id)")(
-    lambda s, d: _rounded(evals.compare(*[evals.cases(runs(s, d, k), "suite", "c").withColumn("id", F.concat_ws(":", "suite", F.col("c").cast("string"))) for k in (0, 1)], "id"), "delta")
-)
-# The three above read a fiftieth of lineitem for a run; these read all of it, the last as two runs.
-query("eval_cases_whole", f"SELECT suite, c, count(*) AS runs, round(avg(composite), 6) AS mean_composite, round(stddev_pop(composite), 6) AS std_composite, bool_or(passed) AS passed, round(sum(coalesce(cost, 0)), 6) AS cost FROM ({WHOLE}) GROUP BY 1, 2")(lambda s, d: _rounded(evals.cases(runs_of(t(s, d, "lineitem")), "suite", "c"), "mean_composite", "std_composite", "cost"))
-query("eval_suites_whole", f"WITH r AS ({WHOLE}), p AS (SELECT suite, c, bool_or(passed) AS ok FROM r GROUP BY 1, 2) SELECT r.suite, round(avg(composite), 6) AS mean_composite, round(var_pop(composite), 6) AS var_composite, round(sum(coalesce(cost, 0)), 6) AS total_cost, (SELECT count(*) FROM p WHERE p.suite = r.suite) AS cases, (SELECT count(*) FROM p WHERE p.suite = r.suite AND ok) AS passing, round((SELECT avg(CAST(ok AS INT)) FROM p WHERE p.suite = r.suite), 6) AS pass_rate FROM r GROUP BY r.suite")(lambda s, d: _rounded(evals.suites(runs_of(t(s, d, "lineitem")), "suite", "c"), "mean_composite", "var_composite", "total_cost", "pass_rate"))
-query("eval_compare_whole", f"SELECT id, CASE WHEN b.passed IS NULL THEN 'new' WHEN n.passed IS NULL THEN 'removed' WHEN b.passed AND NOT n.passed THEN 'regression' WHEN NOT b.passed AND n.passed THEN 'improvement' ELSE 'stable' END AS kind, round(n.m - b.m, 6) AS delta FROM ({CASE1.format(WHOLE + ' WHERE l_orderkey % 2 = 0')}) b FULL JOIN ({CASE1.format(WHOLE + ' WHERE l_orderkey % 2 = 1')}) n USING (id)")(
+query("eval_cases", f"SELECT suite, c, count(*) AS runs, round(avg(composite), 6) AS mean_composite, round(stddev_pop(composite), 6) AS std_composite, bool_or(passed) AS passed, round(sum(coalesce(cost, 0)), 6) AS cost FROM ({RUNS}) GROUP BY 1, 2")(lambda s, d: _rounded(evals.cases(runs_of(t(s, d, "lineitem")), "suite", "c"), "mean_composite", "std_composite", "cost"))
+query("eval_suites", f"WITH r AS ({RUNS}), p AS (SELECT suite, c, bool_or(passed) AS ok FROM r GROUP BY 1, 2) SELECT r.suite, round(avg(composite), 6) AS mean_composite, round(var_pop(composite), 6) AS var_composite, round(sum(coalesce(cost, 0)), 6) AS total_cost, (SELECT count(*) FROM p WHERE p.suite = r.suite) AS cases, (SELECT count(*) FROM p WHERE p.suite = r.suite AND ok) AS passing, round((SELECT avg(CAST(ok AS INT)) FROM p WHERE p.suite = r.suite), 6) AS pass_rate FROM r GROUP BY r.suite")(lambda s, d: _rounded(evals.suites(runs_of(t(s, d, "lineitem")), "suite", "c"), "mean_composite", "var_composite", "total_cost", "pass_rate"))
+query("eval_compare", f"SELECT id, CASE WHEN b.passed IS NULL THEN 'new' WHEN n.passed IS NULL THEN 'removed' WHEN b.passed AND NOT n.passed THEN 'regression' WHEN NOT b.passed AND n.passed THEN 'improvement' ELSE 'stable' END AS kind, round(n.m - b.m, 6) AS delta FROM ({CASE1.format(RUNS + ' WHERE l_orderkey % 2 = 0')}) b FULL JOIN ({CASE1.format(RUNS + ' WHERE l_orderkey % 2 = 1')}) n USING (id)")(
     lambda s, d: _rounded(evals.compare(*[evals.cases(runs_of(t(s, d, "lineitem").where(f"l_orderkey % 2 = {k}")), "suite", "c").withColumn("id", F.concat_ws(":", "suite", F.col("c").cast("string"))) for k in (0, 1)], "id"), "delta")
 )
 query("eval_weighted", "SELECT l_orderkey, l_linenumber, round(0.15 * l_tax + 0.15 * l_discount + 0.30 * l_quantity, 6) AS composite, CASE WHEN l_returnflag = 'R' THEN 0.15 * l_tax + 0.15 * l_discount + 0.30 * l_quantity < 2.0 ELSE 0.15 * l_tax + 0.15 * l_discount + 0.30 * l_quantity >= 3.0 END AS passed FROM lineitem")(lambda s, d: _weighted(t(s, d, "lineitem")))
 query("eval_advisory", "SELECT lang, CASE WHEN avg(quality) >= 0.8 THEN 'pass' WHEN avg(quality) >= 0.5 THEN 'warning' ELSE 'fail' END AS status FROM documents JOIN labels USING (doc_id) GROUP BY 1")(lambda s, d: t(s, d, "documents").join(t(s, d, "labels"), "doc_id").groupBy("lang").agg(F.avg("quality").alias("r")).select("lang", evals.advisory(F.col("r")).alias("status")))
 query("eval_overlap", "SELECT o_custkey, round(len(list_intersect(e, a)) / len(a), 6) AS precision_, round(len(list_intersect(e, a)) / len(e), 6) AS recall_ FROM (SELECT o_custkey, list(DISTINCT o_orderkey % 5) AS e, list(DISTINCT o_orderkey % 7) AS a FROM orders GROUP BY 1)")(lambda s, d: _overlap(t(s, d, "orders")))
-query("eval_line_similarity", "SELECT a.p_partkey, round(jaro_winkler_similarity(a.p_name, b.p_name), 6) AS sim FROM part a JOIN part b ON b.p_partkey = (a.p_partkey * 7 + 3) % 200")(
-    lambda s, d: t(s, d, "part").withColumn("k", (F.col("p_partkey") * 7 + 3) % 200).join(t(s, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("o")), "k").select("p_partkey", F.round(S.jaro_winkler("p_name", "o"), 6).alias("sim"))
+query("eval_line_similarity", "SELECT a.p_partkey, round(jaro_winkler_similarity(a.p_name, b.p_name), 6) AS sim FROM part a JOIN part b ON b.p_partkey = (a.p_partkey * 7 + 3) % (SELECT count(*) FROM part)")(
+    lambda s, d: t(s, d, "part").crossJoin(t(s, d, "part").agg(F.count("*").alias("np"))).withColumn("k", (F.col("p_partkey") * 7 + 3) % F.col("np")).join(t(s, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("o")), "k").select("p_partkey", F.round(S.jaro_winkler("p_name", "o"), 6).alias("sim"))
 )
 query("eval_progress", "SELECT user_id, round(count(*) / 60.0, 6) AS rate, CASE WHEN count(*) / 60.0 >= 0.001 THEN round((200 - count(*)) / (count(*) / 60.0), 6) END AS seconds_left FROM events GROUP BY 1")(lambda s, d: _progress(t(s, d, "events")))
 
@@ -402,14 +408,44 @@ def _progress(e):
 
 # -- texts -------------------------------------------------------------------------
 
-query("text_clip", "SELECT doc_id, CASE WHEN strlen(text) > 500 THEN 'long' ELSE text END AS preview FROM documents")(lambda s, d: t(s, d, "documents").select("doc_id", F.when(F.octet_length("text") > 500, F.when(F.octet_length(S.clip_bytes("text")).between(500, 503), "long")).otherwise(S.clip_bytes("text")).alias("preview")))
+query("text_clip", f"SELECT doc_id, {CLIP} AS preview FROM documents")(lambda s, d: t(s, d, "documents").select("doc_id", S.clip_bytes("text").alias("preview")))
 query("text_body_size", "SELECT doc_id, CASE WHEN strlen(text) > 1000 THEN '[BODY: ' || strlen(text) || ' bytes]' ELSE text END AS body FROM documents")(lambda s, d: t(s, d, "documents").select("doc_id", S.body_or_size("text", 1000).alias("body")))
-query("text_body_preview")(lambda s, d: t(s, d, "documents").select("doc_id", S.body_preview("text").alias("preview")))
-query("text_uuid5")(lambda s, d: t(s, d, "customer").select("c_custkey", S.uuid5("c_name").alias("id")))
+PREVIEW = "WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), n AS (SELECT doc_id, len(l) AS n, list_transform(l, lambda x, i: lpad(CAST(i AS VARCHAR), 4, ' ') || ': ' || x) AS l FROM d) "
+query("text_body_preview", PREVIEW + "SELECT doc_id, array_to_string(CASE WHEN n <= 50 THEN l ELSE list_concat(list_concat(l[1:13], ['  ... (' || (n - 20) || ' lines omitted) ...']), l[n - 6:n]) END, chr(10)) AS preview FROM n")(lambda s, d: t(s, d, "documents").select("doc_id", S.body_preview("text").alias("preview")))
+UUID = "SELECT c_custkey, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(c_name)) AS h FROM customer"
+query("text_uuid5", f"SELECT c_custkey, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || '89ab'[CAST((strpos('0123456789abcdef', h[17]) - 1) % 4 + 1 AS INTEGER)] || h[18:20] || '-' || h[21:32] AS id FROM ({UUID})")(lambda s, d: t(s, d, "customer").select("c_custkey", S.uuid5("c_name").alias("id")))
 query("text_fallback", "SELECT c_custkey, coalesce(nullif(CASE WHEN c_custkey % 3 = 0 THEN '' WHEN c_custkey % 3 = 1 THEN NULL ELSE c_mktsegment END, ''), c_name) AS v FROM customer")(lambda s, d: t(s, d, "customer").select("c_custkey", S.fallback(F.when(F.col("c_custkey") % 3 == 0, "").when(F.col("c_custkey") % 3 == 1, None).otherwise(F.col("c_mktsegment")), "c_name").alias("v")))
 query("text_hash", "SELECT doc_id, sha256(text) AS h FROM documents")(lambda s, d: t(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("h")))
-query("text_chunks")(lambda s, d: chunks.exploded(t(s, d, "documents"), "doc_id", "text", chunks.text_chunks))
-query("html_sections")(lambda s, d: chunks.exploded(t(s, d, "pages"), "page_id", "html", chunks.html_sections, "section int, heading string, text string"))
+# A fold over pieces: each stands for a list of done chunks and the one being filled.
+FOLD = "list_reduce(list_transform({0}, lambda x: {{'done': []::VARCHAR[], 'cur': x}}), lambda a, b: CASE WHEN {1} THEN {{'done': list_append(a.done, {2}), 'cur': b.cur}} ELSE {{'done': a.done, 'cur': a.cur || {3} || b.cur}} END)"
+TRIM = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
+SENTENCES = FOLD.format("regexp_extract_all(p, '[^.!?\\n]*[.!?\\n]|[^.!?\\n]+')", "strlen(a.cur) + strlen(b.cur) > 500", TRIM.format("a.cur"), "''")
+# The texts hold no empty lines, so each is one paragraph.
+query("text_chunks", f"WITH p AS (SELECT doc_id, text AS p FROM documents WHERE {TRIM.format('text')} <> ''), f AS (SELECT doc_id, {SENTENCES} AS f, p FROM p), c AS (SELECT doc_id, CASE WHEN strlen(p) <= 500 THEN [{TRIM.format('p')}] WHEN {TRIM.format('f.cur')} <> '' THEN list_append(f.done, {TRIM.format('f.cur')}) ELSE f.done END AS c FROM f) SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk_index, c[i] AS chunk FROM (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS i FROM c)")(lambda s, d: chunks.exploded(t(s, d, "documents"), "doc_id", "text", chunks.text_chunks))
+SEEN = "html"
+for _tag in ("script", "style", "nav", "footer", "head"):
+    SEEN = f"regexp_replace({SEEN}, '(?is)<{_tag}\\b[^>]*>.*?(</{_tag}\\s*>|$)', '{'' if _tag == 'script' else '<i>'}', 'g')"
+SEEN = f"regexp_replace({SEEN}, '(?s)<!--.*?-->', '<i>', 'g')"
+PIECES = "list_filter(list_transform(regexp_split_to_array({0}, '</?[A-Za-z!][^>]*>'), lambda x: regexp_replace(replace(replace(replace(replace(x, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')"
+# Each page has one heading, with text before and behind it.
+query("html_sections", f"WITH p AS (SELECT page_id, regexp_split_to_array({SEEN}, '(?i)<h[1-4]\\b[^>]*>') AS p FROM pages), q AS (SELECT page_id, i, CASE WHEN i = 1 THEN '' ELSE {PIECES.format(chr(39).join(['split_part(p[i], ', '</h1>', ', 1)']))}[-1] END AS heading, array_to_string({PIECES.format('CASE WHEN i = 1 THEN p[i] ELSE split_part(p[i], ' + chr(39) + '</h1>' + chr(39) + ', 2) END')}, ' ') AS text FROM (SELECT page_id, p, unnest(range(1, len(p) + 1)) AS i FROM p)) SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INTEGER) AS section, heading, text FROM q WHERE text <> ''")(lambda s, d: chunks.sections(t(s, d, "pages"), "page_id", "html"))
+HTML_FOLD = FOLD.format("regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))", "length(a.cur) + length(b.cur) > 500", "a.cur", "' '")
+query("html_chunks", f"WITH f AS (SELECT doc_id, {HTML_FOLD} AS f FROM documents WHERE text <> ''), c AS (SELECT doc_id, list_filter(list_transform(list_append(f.done, f.cur), lambda x: {TRIM.format('x')}), lambda x: length(x) > 30) AS c FROM f) SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk_index, c[i] AS chunk FROM (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS i FROM c)")(lambda s, d: chunks.exploded(t(s, d, "documents"), "doc_id", "text", chunks.html_chunks))
+MARK = "CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'Lead ' || doc_id || chr(10) END || '# Top ' || doc_id || chr(10) || repeat('word ', CAST(doc_id % 90 AS INTEGER)) || chr(10) || '## Sub' || chr(10) || '### deep' || chr(10) || repeat('text ', CAST(50 + doc_id % 50 AS INTEGER))"
+MERGED = "length('# Top ' || doc_id || chr(10) || repeat('word ', CAST(doc_id % 90 AS INTEGER))) - CASE WHEN doc_id % 90 > 0 THEN 1 ELSE 0 END - CASE WHEN doc_id % 90 = 0 THEN 1 ELSE 0 END < 200 AND doc_id % 3 <> 0"
+query("markdown_chunks", f"WITH d AS (SELECT doc_id, {MERGED} AS merged, '# Top ' || doc_id || CASE WHEN doc_id % 90 > 0 THEN chr(10) || rtrim(repeat('word ', CAST(doc_id % 90 AS INTEGER))) ELSE '' END AS top, '## Sub' || chr(10) || '### deep' || chr(10) || rtrim(repeat('text ', CAST(50 + doc_id % 50 AS INTEGER))) AS sub FROM documents), c AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN [['Top ' || doc_id, 'File: a/notes.md > Top ' || doc_id || chr(10) || chr(10) || top], ['Sub', 'File: a/notes.md > Top ' || doc_id || ' > Sub' || chr(10) || chr(10) || sub]] WHEN merged THEN [['notes / Top ' || doc_id, 'File: a/notes.md' || chr(10) || chr(10) || 'Lead ' || doc_id || chr(10) || chr(10) || top], ['Sub', 'File: a/notes.md > Top ' || doc_id || ' > Sub' || chr(10) || chr(10) || sub]] ELSE [['notes', 'File: a/notes.md' || chr(10) || chr(10) || 'Lead ' || doc_id], ['Top ' || doc_id, 'File: a/notes.md > Top ' || doc_id || chr(10) || chr(10) || top], ['Sub', 'File: a/notes.md > Top ' || doc_id || ' > Sub' || chr(10) || chr(10) || sub]] END AS c FROM d) SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk_index, c[i][1] AS heading, c[i][2] AS chunk FROM (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS i FROM c)")(
+    lambda s, d: chunks.exploded(_markdown(t(s, d, "documents")), "doc_id", "text", lambda x: chunks.markdown_chunks(x, "a/notes.md"), "chunk_index int, heading string, chunk string")
+)
+
+
+def _markdown(docs):
+    n = F.col("doc_id").cast("string")
+    rep = lambda w, k: F.repeat(F.lit(w), k.cast("int"))
+    lead = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit("Lead "), n, F.lit("\n")))
+    body = F.concat(lead, F.lit("# Top "), n, F.lit("\n"), rep("word ", F.col("doc_id") % 90), F.lit("\n## Sub\n### deep\n"), rep("text ", F.col("doc_id") % 50 + 50))
+    return docs.select("doc_id", body.alias("text"))
+
+
 query("file_tree", "WITH p AS (SELECT DISTINCT r_name || '/' || n_name || '/' || c_mktsegment AS path FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) SELECT DISTINCT array_to_string(string_split(path, '/')[1:k], '/') AS path, CASE WHEN k > 1 THEN array_to_string(string_split(path, '/')[1:k-1], '/') END AS parent FROM p, (SELECT unnest([1, 2, 3]) AS k)")(lambda s, d: _tree(s, d))
 
 
@@ -432,7 +468,7 @@ def _sql(spark, d):
 
 
 query("tenant_scope", "SELECT c_custkey FROM customer WHERE c_nationkey = 3")(lambda s, d: Graph(t(s, d, "customer").withColumn("workspace_id", F.col("c_nationkey").cast("string")), t(s, d, "orders").withColumn("workspace_id", F.lit("3"))).tenant("3").nodes.select("c_custkey"))
-query("rows_as_json", """SELECT '{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"}' AS row FROM region""")(lambda s, d: s.sql("SELECT to_json(struct(*)) AS row FROM {r}", r=t(s, d, "region")))
+query("rows_as_json", """SELECT '{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"}' AS row FROM region""")(lambda s, d: files.as_json(t(s, d, "region")))
 query("first_rows", "SELECT n_name FROM nation ORDER BY n_name LIMIT 5")(lambda s, d: first(t(s, d, "nation").select("n_name"), 5, "n_name"))
 
 # Further queries of the suite register themselves when they are imported.

@@ -24,20 +24,38 @@ def test_body_preview(spark):
     long = "\n".join(f"l{i}" for i in range(60))
     a, b = (r[0] for r in spark.createDataFrame([("x\ny",), (long,)], "t string").select(S.body_preview("t")).collect())
     assert a == "   1: x\n   2: y"
-    assert b.split("\n")[13] == "... (40 lines omitted) ..." and len(b.split("\n")) == 21
+    assert b.split("\n")[13] == "  ... (40 lines omitted) ..." and len(b.split("\n")) == 21
 
 
 def test_jaro_winkler():
-    assert S.jaro_winkler_of("", "") == 1.0 and S.jaro_winkler_of("a", "") == 0.0
-    assert abs(S.jaro_winkler_of("martha", "marhta") - 0.961111) < 1e-6
+    pairs = [("", "", 1.0), ("a", "", 0.0), ("martha", "marhta", 0.961111), ("dixon", "dicksonx", 0.813333), ("dwayne", "duane", 0.84), ("abc", "xyz", 0.0), ("naïve é", "naive é", 0.92381), ("x" * 300, "x" * 300, 1.0)]
+    got = S.jaro_winkler_of([a for a, _, _ in pairs], [b for _, b, _ in pairs])
+    assert all(abs(g - w) < 1e-6 for g, (_, _, w) in zip(got, pairs)), got
 
 
 def test_chunks():
     assert chunks.text_chunks(None) == [] and chunks.text_chunks("a\n\nb") == ["a\n\nb"]
     long = ". ".join("word" * 10 for _ in range(40)) + "."
     assert all(len(c.encode()) <= 500 for c in chunks.text_chunks(long))
-    assert chunks.html_sections("<h1>T</h1><p>a</p><script>x</script><h2>U</h2>b") == [("T", "a"), ("U", "b")]
-    assert chunks.markdown_chunks("# A\n" + "x" * 300 + "\n## B\nshort")[0].startswith("A\n\n")
+    assert chunks.text_chunks("a" * 200 + "\n\n" + "b" * 298 + "\n\nc") == ["a" * 200 + "\n\n" + "b" * 298, "c"]
+    assert chunks.text_chunks("p\n\n" + "s. " * 200 + "\n\nq")[0] == "p" and chunks.text_chunks("p\n\n" + "s. " * 200 + "\n\nq")[-1] == "q"
+    assert chunks.filled([3, 3, 3, 9, 1], 6) == [(0, 2), (2, 3), (3, 4), (4, 5)] and chunks.filled([], 5) == []
+    assert chunks.markdown_chunks("# A\n" + "x" * 300 + "\n## B\nshort", "d/f.md") == [("A / B", "File: d/f.md > A\n\n# A\n" + "x" * 300 + "\n\n## B\nshort")]
+    long = "\n\n".join("y" * 1000 for _ in range(4))
+    assert [len(c) for _, c in chunks.markdown_chunks("intro\n# H\n" + long, "f.md")] == [len("File: f.md\n\nintro"), len("File: f.md > H\n\n# H\n") + 2002, len("File: f.md > H\n\n") + 2002]
+    assert chunks.html_chunks("Short. " + "w" * 600 + ". " + "End of it is here, at long last. More.") == ["w" * 600 + ".", "End of it is here, at long last. More."]
+
+
+def test_html_sections(spark):
+    pages = [
+        "<h1>T</h1><p>a</p><script>if (x < 3) { '</p>' }</script><h2>U</h2>b", "lead <b>x</b> &amp; y<!-- <h1>no</h1> --><H3 class='q'>One <i>two</i></H3> z &lt;p&gt;", "<head><h1>no</h1></head><h4></h4>t<h2>K</h2>u<h2></h2>v",
+        None, "", "<nav>a<nav>", "<header>seen</header>&nbsp; w<footer>x</footer>",
+    ]
+    df = spark.createDataFrame(list(enumerate(pages)), "k int, p string")
+    got: dict = {}
+    for r in chunks.sections(df, "k", "p").orderBy("k", "section").collect():
+        got.setdefault(r.k, []).append((r.heading, r.text))
+    assert got == {0: [("T", "a"), ("U", "b")], 1: [("", "lead x & y"), ("two", "z <p>")], 2: [("", "t"), ("K", "u"), ("K", "v")], 6: [("", "seen w")]}
 
 
 def test_upsert_and_stale(spark):
@@ -120,8 +138,8 @@ def test_evaluation_of_the_whole_table(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW lineitem AS FROM '{d}/lineitem.parquet'")
     rows = spark.read.parquet(f"{d}/lineitem.parquet").count()
-    assert sum(r.runs for r in suite.QUERIES["eval_cases_whole"](spark, d).collect()) == rows
-    for name in ("eval_cases_whole", "eval_suites_whole", "eval_compare_whole"):
+    assert sum(r.runs for r in suite.QUERIES["eval_cases"](spark, d).collect()) == rows
+    for name in ("eval_cases", "eval_suites", "eval_compare"):
         got = suite.QUERIES[name](spark, d)
         want = con.execute(suite.SQL[name])
         at = [got.columns.index(c[0]) for c in want.description]
