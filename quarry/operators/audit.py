@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PREFIX = "Workspace_"
+# Rows that a report of details shows, of nodes and of relationships.
+MOST_NODES, MOST_EDGES = 500, 200
 
 
 def tenants(labels: str = "labels"):
@@ -25,6 +27,11 @@ def per_tenant(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.explode(tenants()).alias("workspace"), (F.size(tenants()) > 1).alias("multi")).groupBy("workspace").agg(F.count("*").alias("nodes"), F.sum(F.col("multi").cast("int")).alias("leaking"))
 
 
+def capped(rows: DataFrame, *order: str, most: int = MOST_NODES) -> DataFrame:
+    """The rows that a report shows, in a fixed order; counts are taken before."""
+    return rows.orderBy(*order).limit(most)
+
+
 def _ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     one = nodes.select("id", tenants().alias("ws"))
     a = one.select(F.col("id").alias("src"), F.col("ws").alias("wa"))

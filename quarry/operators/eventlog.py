@@ -111,24 +111,23 @@ KINDS = {
     "reasoning": ("agent string, text string, reasoning string", ("agent",)), "tool_call": ("agent string, tool string, args string, result string", ("agent", "tool")), "agent_dispatch": ("agent string", ("agent",)),
     "error": ("error string, stage string", ()), "file_edit": ("path string", ("path",)), "phase_change": ("phase string", ("phase",)), "container_kept_alive": ("container_id string", ()),
 }
-#: Fields that a transcript search looks into, by kind.
-SEARCHED = {"reasoning": ("text", "reasoning", "agent"), "tool_call": ("tool", "args", "result", "agent"), "agent_dispatch": ("agent",), "error": ("error", "stage"), "file_edit": ("path",), "phase_change": ("phase",), "container_kept_alive": ("container_id",)}
 
 
 def typed(log: DataFrame, kind: str = "event_type", content: str = "content") -> DataFrame:
     """Adds decoded (kind, and the fields of all kinds) and raw: a kind that isn't known, content that is no object, or one without what its kind must have is `unknown` and keeps its raw text."""
-    names = sorted({f.split()[0] for fields, _ in KINDS.values() for f in fields.split(", ")})
-    got = {n: F.get_json_object(content, f"$.{n}") for n in names}
-    is_object = F.coalesce(F.col(content).rlike(r"^\s*\{") & F.try_parse_json(content).isNotNull(), F.lit(False))
-    told = F.coalesce(F.get_json_object(content, "$.kind"), F.col(kind))
-    ok = F.lit(False)
-    for k, (_, needed) in KINDS.items():
-        one = told == k
-        for n in needed:
-            one = one & got[n].isNotNull()
-        ok = ok | one
-    ok = F.coalesce(ok & is_object, F.lit(False))
-    return log.withColumn("decoded", F.struct(F.when(ok, told).otherwise("unknown").alias("kind"), *[F.when(ok, got[n]).alias(n) for n in names])).withColumn("raw", F.when(~ok, F.col(content)))
+    owners: dict[str, list[str]] = {}
+    for k, (fields, _) in KINDS.items():
+        for f in fields.split(", "):
+            owners.setdefault(f.split()[0], []).append(k)
+    rows = log.withColumn("_j", F.from_json(content, ", ".join(f"{n} string" for n in ["kind", *sorted(owners)])))
+    rows = rows.withColumn("_k", F.coalesce("_j.kind", kind))
+    needed = F.create_map(*[x for k, (_, must) in KINDS.items() for x in (F.lit(k), F.array(*[F.lit(n) for n in must]).cast("array<string>"))])
+    has = F.array_compact(F.array(*[F.when(F.col(f"_j.{n}").isNotNull(), F.lit(n)) for n in sorted(owners)]))
+    is_object = F.col(content).rlike(r"^\s*\{") & F.try_parse_json(content).isNotNull()
+    rows = rows.withColumn("_ok", F.coalesce(is_object & (F.size(F.array_except(needed[F.col("_k")], has)) == 0), F.lit(False)))
+    fields = [F.when(F.col("_ok") & F.col("_k").isin(*owners[n]), F.col(f"_j.{n}")).alias(n) for n in sorted(owners)]
+    decoded = F.struct(F.when(F.col("_ok"), F.col("_k")).otherwise("unknown").alias("kind"), *fields)
+    return rows.withColumn("decoded", decoded).withColumn("raw", F.when(~F.col("_ok"), F.col(content))).drop("_j", "_k", "_ok")
 
 
 def parts(messages: DataFrame, part: str = "part") -> DataFrame:
@@ -154,7 +153,7 @@ def tool_status(result: Column) -> Column:
     return F.when(result.isNull(), "pending").when(F.coalesce(wrong, F.lit(False)), "error").otherwise("completed")
 
 
-def labels(groups: DataFrame) -> Column:
+def labels() -> Column:
     """The line that stands for a group of n events of a kind; `first` are the decoded fields of its first event."""
     n, f = F.col("n"), lambda c: F.col(f"first.{c}")
     many = lambda what: F.concat(n.cast("string"), F.lit(f" {what}"))
@@ -172,10 +171,8 @@ def matching(log: DataFrame, query: str, kind: str = "event_type", decoded: str
     q = query.strip().lower()
     if not q:
         return log.where(F.lit(False))
-    shown = F.lit("")
-    for k, names in SEARCHED.items():
-        shown = F.when(F.col(f"{decoded}.kind") == k, F.concat_ws(" ", *[F.col(f"{decoded}.{n}") for n in names])).otherwise(shown)
-    return log.where(F.lower(F.concat_ws(" ", F.col(kind), shown)).contains(q))
+    fields = [f.name for f in log.schema[decoded].dataType.fields if f.name != "kind"]
+    return log.where(F.lower(F.concat_ws(" ", F.col(kind), *[F.col(f"{decoded}.{n}") for n in fields])).contains(q))
 
 
 def after_id(log: DataFrame, execution: str, value, last: int) -> DataFrame:

@@ -44,3 +44,42 @@ def aggregate(points: DataFrame, items: DataFrame, edges: DataFrame | None, quer
             near = edges.join(top.select(F.col(key).alias(a)), a, "left_semi").groupBy(F.col(a).alias(key)).agg(F.array_sort(F.collect_set(b)).alias(name))
             out = out.join(near, key, "left").withColumn(name, F.coalesce(name, F.array().cast(near.schema[name].dataType)))
     return out
+
+
+def complete(hits: DataFrame, needed: tuple[str, ...] = ("fqn", "name", "score")) -> DataFrame:
+    """Hits that have all they need; others are dropped."""
+    return hits.dropna(subset=list(needed))
+
+
+def semantic_or_keyword(points: DataFrame, vector, items: DataFrame, query: str, fields: tuple[str, ...], name: str, fqn: str, k: int = 10, threshold: float | None = None) -> DataFrame:
+    """semantic(), or keyword() if the query has no vector, as when it could not be embedded."""
+    return keyword(items, query, fields, name, fqn, k) if vector is None else semantic(points, vector, k, threshold)
+
+
+def cache_key(model: str, text) -> Column:
+    return F.concat(F.lit(f"{model}:"), F.sha2(F.col(text) if isinstance(text, str) else text, 256))
+
+
+def cached(texts: DataFrame, cache: DataFrame, model: str, text: str = "text") -> DataFrame:
+    """texts with cache_key and the vector that cache(cache_key, vector) holds for it; null where it must be embedded."""
+    return texts.withColumn("cache_key", cache_key(model, text)).join(cache.select("cache_key", "vector").dropDuplicates(["cache_key"]), "cache_key", "left")
+
+
+def embedded(texts: DataFrame, embed, text: str = "text", batch: int = 32) -> DataFrame:
+    """texts with vector, made by embed(list of texts) for `batch` texts at a time; nulls are embedded as empty texts."""
+    import pandas as pd
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema)
+
+    def run(batches):
+        for pdf in batches:
+            every = pdf[text].fillna("").tolist()
+            made = [v for i in range(0, len(every), batch) for v in embed(every[i : i + batch])]
+            yield pdf.assign(vector=pd.Series([list(map(float, v)) for v in made], dtype=object, index=pdf.index))
+
+    return texts.mapInPandas(run, kinds + ", vector array<double>")
+
+
+def collections(points: DataFrame, *by: str, embedding: str = "embedding") -> DataFrame:
+    """Points and dimensions of each collection."""
+    return points.groupBy(*by).agg(F.count("*").alias("points"), F.max(F.size(embedding)).alias("dims"))

@@ -27,6 +27,36 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep_old: tuple[str,
     return both.select(*cols)
 
 
+def overlay(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of old and new by key, a property at a time: new where it isn't null, maps entry by entry."""
+    from pyspark.sql.types import MapType
+
+    both = old.alias("o").join(new.alias("n"), [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys], "full_outer")
+
+    def one(c):
+        a, b = F.col(f"o.{c}"), F.col(f"n.{c}")
+        if isinstance(old.schema[c].dataType, MapType):
+            kept = F.map_filter(a, lambda k, _: ~F.array_contains(F.map_keys(b), k))
+            return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(F.map_concat(kept, b))
+        return F.coalesce(b, a)
+
+    return both.select(*[one(c).alias(c) for c in old.columns])
+
+
+def page(df: DataFrame, key: str, after, size: int) -> DataFrame:
+    """The next rows behind a key, in its order: a scroll whose cost doesn't grow with its depth."""
+    rows = df if after is None else df.where(F.col(key) > after)
+    return rows.orderBy(key).limit(int(size))
+
+
+def counted(df: DataFrame, **by) -> DataFrame:
+    """How many rows equal each value that isn't None."""
+    for c, v in by.items():
+        if v is not None:
+            df = df.where(F.col(c) == v)
+    return df.agg(F.count("*").alias("cnt"))
+
+
 def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """old and the rows of new whose keys it lacks, one for each key."""
     return old.unionByName(new.dropDuplicates(keys).join(old, keys, "left_anti").select(old.columns))

@@ -69,6 +69,19 @@ def _edges(df: DataFrame, src, dst, rel: str, line=None, detail=None) -> DataFra
     return df.select(src.alias("src"), dst.alias("dst"), F.lit(rel).alias("rel"), (nothing if line is None else line).cast("int").alias("line"), (nothing if detail is None else detail).cast("string").alias("detail"))
 
 
+def linked(items: DataFrame, files: DataFrame) -> DataFrame:
+    """items with source_file_id: the file(id, module_path, file_path) of their path, else that of the longest module path their name begins with; null if there is none."""
+    by_path = files.groupBy("file_path").agg(F.min("id").alias("_by_path"))
+    by_module = files.groupBy(F.col("module_path").alias("_module")).agg(F.min("id").alias("_by_module"))
+    rows = items.join(by_path, "file_path", "left")
+    parts = F.split("fqn", "::")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "::"))
+    # Joined by equal module paths, of which an item has as many as its name has parts.
+    near = rows.where("_by_path IS NULL").select("fqn", F.explode(above).alias("_module")).distinct().join(by_module, "_module")
+    near = near.groupBy("fqn").agg(F.max_by("_by_module", F.length("_module")).alias("_by_module"))
+    return rows.join(near, "fqn", "left").withColumn("source_file_id", F.coalesce("_by_path", "_by_module")).drop("_by_path", "_by_module")
+
+
 # -- nodes and containment -------------------------------------------------
 
 

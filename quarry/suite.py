@@ -320,7 +320,6 @@ query("events_ring", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER
 query("events_buckets", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS bucket, event_type, count(*) AS cnt FROM events GROUP BY 1, 2")(lambda s, d: eventlog.buckets(t(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "day", "event_type").withColumn("bucket", F.date_format("bucket", "yyyy-MM-dd")))
 query("events_typed_json", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CASE WHEN event_type IN ('click', 'view') THEN 'ui' WHEN event_type = 'error' THEN 'fault' ELSE 'opaque' END AS kind FROM events")(lambda s, d: t(s, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"), F.when(F.col("event_type").isin("click", "view"), "ui").when(F.col("event_type") == "error", "fault").otherwise("opaque").alias("kind")))
 query("events_backoff", "SELECT event_id, CAST(least(30000, 1000 * pow(2, event_id % 8)) AS BIGINT) AS wait_ms FROM events")(lambda s, d: t(s, d, "events").withColumn("a", F.col("event_id") % 8).select("event_id", eventlog.backoff_ms("a").alias("wait_ms")))
-query("events_rate_limit")(lambda s, d: eventlog.rate_limited(t(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", 2, 86400))
 query("transcript_search", "SELECT conv_id, turn FROM conversations WHERE contains(lower(role || ' ' || text), 'user the')")(lambda s, d: t(s, d, "conversations").where(F.lower(F.concat_ws(" ", "role", "text")).contains("user the")).select("conv_id", "turn"))
 
 # -- audits ----------------------------------------------------------------------
@@ -472,4 +471,4 @@ query("rows_as_json", """SELECT '{"r_regionkey":' || r_regionkey || ',"r_name":"
 query("first_rows", "SELECT n_name FROM nation ORDER BY n_name LIMIT 5")(lambda s, d: first(t(s, d, "nation").select("n_name"), 5, "n_name"))
 
 # Further queries of the suite register themselves when they are imported.
-from . import suite_code  # noqa: E402, F401
+from . import suite_code, suite_ops  # noqa: E402, F401
