@@ -38,7 +38,7 @@ from .components import components
 from .decontaminate import words_of
 
 SHINGLE, SIMILAR = 5, 0.8
-FUNCTIONS, TUPLE = 48, 2
+FUNCTIONS, TUPLE = 64, 2
 #: Samples of labelled words; the share of equal ones from which a pair is aligned (at the least share that SIMILAR allows 0.3 % fall short, at 0.9 none of a million), and from which a text no longer leads.
 SAMPLES, CANDIDATE, COVERED = 64, 0.5, 0.8
 #: The finer sample of the texts that classes keep apart, and its share (at the least share that SIMILAR allows 6 % fall short, at 0.82 one in 200, at 0.85 none of 10,000).
@@ -55,7 +55,7 @@ def shingles(words: np.ndarray, k: int = SHINGLE) -> np.ndarray:
     """Hashes of the k-word shingles of a text; a shorter text is one shingle."""
     k = max(1, min(k, len(words)))
     n = len(words) - k + 1
-    h = words[:n].astype(U)
+    h = mix(words[:n].astype(U) + U(0x9E3779B97F4A7C15))
     for i in range(1, k):
         h = mix(h * U(0x9E3779B97F4A7C15) + words[i : n + i].astype(U))
     return h
