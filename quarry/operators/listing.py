@@ -82,3 +82,9 @@ def impls_for_type(impls: DataFrame, type_name: str, limit: int = TYPE_ROWS) ->
     """Trait implementations whose self type holds a text, by trait."""
     top = impls.where(F.col("self_type").like(f"%{type_name}%")).orderBy("trait_fqn", "impl_fqn").limit(min(int(limit), MOST))
     return top.select("trait_fqn", "self_type", "impl_fqn", "file_path", "line_number", F.coalesce("quality", F.lit("unknown")).alias("quality"))
+
+
+def key_holder(keys: DataFrame, digest: str, now: Column) -> DataFrame:
+    """The active key with this digest that hasn't expired, its last use set to now."""
+    live = keys.where((F.col("key_hash") == digest) & F.col("active") & (F.col("expires_at").isNull() | (F.col("expires_at").cast("timestamp") > now.cast("timestamp"))))
+    return live.withColumn("last_used", now)

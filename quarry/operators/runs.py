@@ -166,3 +166,10 @@ def rollup(probes: DataFrame) -> DataFrame:
     """healthy if every dependency is, else degraded, with the names of those that aren't."""
     bad = F.array_sort(F.collect_set(F.when(~F.coalesce(F.col("healthy"), F.lit(False)), F.col("dependency"))))
     return probes.agg(F.when(F.bool_and(F.coalesce("healthy", F.lit(False))), "healthy").otherwise("degraded").alias("status"), F.array_join(bad, ",").alias("failing"))
+
+
+def metric_lines(gauges: DataFrame, name: str, value: str, *labels: str) -> DataFrame:
+    """line: each gauge as the text that scrapers read, `name{label="value",...} number`, in order."""
+    marks = [F.concat(F.lit(f'{x}="'), F.regexp_replace(F.coalesce(F.col(x).cast("string"), F.lit("")), r'(["\\\\])', r"\\\\$1"), F.lit('"')) for x in labels]
+    held = F.concat(F.lit("{"), F.concat_ws(",", *marks), F.lit("}")) if labels else F.lit("")
+    return gauges.select(F.concat(F.col(name), held, F.lit(" "), F.col(value).cast("string")).alias("line")).orderBy("line")

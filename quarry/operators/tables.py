@@ -104,3 +104,13 @@ def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 def ranked(df: DataFrame, keys: list[str], order: list, name: str = "rank") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+def tree(paths: DataFrame, path: str = "path", is_dir: str | None = None) -> DataFrame:
+    """path, parent, name, is_dir: a row for each file and folder that flat paths name; a folder named by itself is one, even if empty."""
+    parts = F.split(path, "/")
+    own = F.lit(False) if is_dir is None else F.col(is_dir)
+    rows = paths.select(F.filter(parts, lambda x: x != "").alias("p"), own.alias("d")).select("p", "d", F.explode(F.sequence(F.lit(1), F.size("p"))).alias("k"))
+    at = lambda k: F.array_join(F.slice("p", F.lit(1), k), "/")
+    rows = rows.select(at(F.col("k")).alias("path"), F.when(F.col("k") > 1, at(F.col("k") - 1)).alias("parent"), F.element_at("p", F.col("k")).alias("name"), ((F.col("k") < F.size("p")) | F.col("d")).alias("is_dir"))
+    return rows.groupBy("path", "parent", "name").agg(F.bool_or("is_dir").alias("is_dir"))

@@ -255,6 +255,22 @@ def calls(items: DataFrame, sites: DataFrame | None = None) -> DataFrame:
     return out if known is None else known.unionByName(out)
 
 
+def dispatched(calls_: DataFrame, methods: DataFrame) -> DataFrame:
+    """caller_fqn, callee_fqn, dispatch of calls_(caller_fqn, callee, receiver, method).
+
+    A call by path is static.  A method call on a type that methods(self_type,
+    method, impl_fqn) knows gives two rows, the impl's method as static and the
+    type's own as trait; any other method call is dynamic.
+    """
+    by_path = calls_.where("receiver IS NULL").select("caller_fqn", F.col("callee").alias("callee_fqn"), F.lit("static").alias("dispatch"))
+    known = methods.select(F.col("self_type").alias("receiver"), "method", "impl_fqn").distinct()
+    rows = calls_.where("receiver IS NOT NULL").join(known, ["receiver", "method"], "left")
+    own = F.concat_ws("::", "receiver", "method")
+    pair = lambda c, d: F.struct(c.alias("callee_fqn"), F.lit(d).alias("dispatch"))
+    both = F.when(F.col("impl_fqn").isNotNull(), F.array(pair(F.concat_ws("::", "impl_fqn", "method"), "static"), pair(own, "trait"))).otherwise(F.array(pair(own, "dynamic")))
+    return by_path.unionByName(rows.select("caller_fqn", F.explode(both).alias("x")).select("caller_fqn", "x.callee_fqn", "x.dispatch")).distinct()
+
+
 # -- types ---------------------------------------------------------------------
 
 

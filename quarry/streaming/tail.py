@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -57,6 +59,34 @@ def rate_limit(events: DataFrame, key: str, ts: str, limit: int, seconds: int =
     return events.select(key, ts).groupBy(key).applyInPandasWithState(run, f"`{key}` {kind}, passed long, refused long", "start double, n long", "update", GroupStateTimeout.NoTimeout)
 
 
-def drain(stream: DataFrame, path: str, checkpoint: str, keys=None) -> None:
+def of_workspace(events: DataFrame, workspace_id: str) -> DataFrame:
+    """The events of one workspace, whatever their execution."""
+    return events.where(F.col("workspace_id") == workspace_id)
+
+
+def drain(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Appends all that is there to a Parquet table, and ends; a restart goes on at the checkpoint."""
     stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()
+
+
+def follow(stream: DataFrame, kind: str, terminal: tuple[str, ...], each, checkpoint: str, every: str = "500 milliseconds", seconds: float = 3600.0) -> bool:
+    """Hands every batch to each(batch, number) until a terminal event has come; then drains what is there and ends. False if none came in time."""
+    done = threading.Event()
+
+    def run(batch: DataFrame, number: int) -> None:
+        each(batch, number)
+        if batch.where(F.col(kind).isin(*terminal)).take(1):
+            done.set()
+
+    q = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+    try:
+        end = time.monotonic() + seconds
+        while q.isActive and not done.wait(0.1) and time.monotonic() < end:
+            pass
+        if done.is_set() and q.isActive:
+            q.processAllAvailable()
+        if (e := q.exception()) is not None:
+            raise e
+    finally:
+        q.stop()
+    return done.is_set()

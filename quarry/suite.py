@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import chunks
 from .functions import scalar as S
-from .operators import audit, evals, eventlog, search, tables
+from .operators import audit, evals, eventlog, listing, search, tables
 from .plans import sqlgate
 from .plans.graph import Graph, crate_of, first, parent_of, with_placeholders
 from .plans.lineage import cut
@@ -266,18 +266,10 @@ query("agg_mean_seconds", "SELECT user_id, coalesce(round(avg(epoch(ts) - epoch(
 )
 query("top_latest_row", "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS r FROM orders) WHERE r = 1")(lambda s, d: tables.latest(t(s, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], "o_orderkey"))
 query("top_recent_limit", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")(lambda s, d: t(s, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(50))
-query("optional_filters", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '5-LOW'")(lambda s, d: _optional(t(s, d, "orders"), o_orderstatus="F", o_orderpriority="5-LOW", o_custkey=None).select("o_orderkey"))
+query("optional_filters", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '5-LOW'")(lambda s, d: listing.matching(t(s, d, "orders"), o_orderstatus="F", o_orderpriority="5-LOW", o_custkey=None).select("o_orderkey"))
 query("set_union_intersect_except", "SELECT 'both' AS kind, count(*) AS cnt FROM (SELECT o_custkey FROM orders INTERSECT SELECT c_custkey FROM customer) UNION ALL SELECT 'without', count(*) FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders) UNION ALL SELECT 'any', count(*) FROM (SELECT c_custkey FROM customer UNION SELECT o_custkey FROM orders)")(lambda s, d: _sets(t(s, d, "orders").select("o_custkey"), t(s, d, "customer").select("c_custkey")))
 
 
-def _optional(df: DataFrame, **by) -> DataFrame:
-    """Rows that equal each value that isn't None."""
-    for c, v in by.items():
-        if v is not None:
-            df = df.where(F.col(c) == v)
-    return df
-
-
 def _sets(a: DataFrame, b: DataFrame) -> DataFrame:
     def one(kind, df):
         return df.agg(F.lit(kind).alias("kind"), F.count("*").alias("cnt"))
@@ -449,9 +441,8 @@ query("file_tree", "WITH p AS (SELECT DISTINCT r_name || '/' || n_name || '/' ||
 
 
 def _tree(s, d):
-    p = t(s, d, "customer").join(t(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.array("r_name", "n_name", "c_mktsegment").alias("p")).distinct()
-    p = p.select("p", F.explode(F.sequence(F.lit(1), F.size("p"))).alias("k"))
-    return p.select(F.array_join(F.slice("p", 1, F.col("k")), "/").alias("path"), F.when(F.col("k") > 1, F.array_join(F.slice("p", F.lit(1), F.col("k") - 1), "/")).alias("parent")).distinct()
+    p = t(s, d, "customer").join(t(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return tables.tree(p.select(F.concat_ws("/", "r_name", "n_name", "c_mktsegment").alias("path")).distinct()).select("path", "parent")
 
 
 # -- read-only SQL -------------------------------------------------------------------

@@ -9,9 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .functions import extract, itemtext
+from .functions import extract, itemtext, parse
 from .functions import scalar as S
-from .operators import listing
+from .operators import embedding, listing
 from .plans import build
 from .suite import query, t
 
@@ -164,3 +164,33 @@ for _name, _callee in (("calls_with_type", None), ("calls_with_type_of", "parse"
 query("impls_for_type", "SELECT 'Trait' || lpad(CAST(s_suppkey % 9 AS VARCHAR), 2, '0') AS trait_fqn, 'Vec<S' || s_suppkey || '>' AS self_type, 'm::T_S' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS impl_fqn, 'src/lib.rs' AS file_path, CAST(s_suppkey % 500 AS INTEGER) AS line_number, 'unknown' AS quality FROM supplier WHERE 'Vec<S' || s_suppkey || '>' LIKE '%S1%' ORDER BY trait_fqn, impl_fqn LIMIT 10")(
     lambda s, d: listing.impls_for_type(t(s, d, "supplier").select(_cat("Trait", [F.lpad((F.col("s_suppkey") % 9).cast("string"), 2, "0")]).alias("trait_fqn"), _cat("Vec<S", [F.col("s_suppkey")], ">").alias("self_type"), _cat("m::T_S", [F.lpad(F.col("s_suppkey").cast("string"), 9, "0")]).alias("impl_fqn"), F.lit("src/lib.rs").alias("file_path"), (F.col("s_suppkey") % 500).cast("int").alias("line_number"), F.lit(None).cast("string").alias("quality")), "S1")
 )
+
+# -- parsed items --------------------------------------------------------------------
+
+PARSED = "SELECT *, 'c' || g || '::m' AS m FROM (SELECT s_suppkey AS k, s_suppkey % 7 AS g FROM supplier)"
+
+
+def _sources(s, d):
+    k, g = [F.col("s_suppkey")], [F.col("s_suppkey") % 7]
+    text = _cat("// top {\n/// Says ", k, ".\n#[derive(Debug)]\npub struct S", k, "<T: A + B> {\n    x: u8,\n}\nimpl<T> Show for S", k, "<T> {\n    fn show(&self) -> u8 { if true { 1 } else { 2 } }\n}\nmod inner {\n    pub const N: u8 = ", g, ";\n}\n")
+    return t(s, d, "supplier").select(_cat("c", g, "::m").alias("module_path"), text.alias("text"), _cat("c", g).alias("crate_name"), _cat(k, ".rs").alias("file_path"))
+
+
+query("parse_items", f"""WITH p AS ({PARSED}) SELECT m || '::S' || k AS fqn, 'struct' AS item_type, 'pub' AS visibility, 'pub struct S' || k || '<T: A + B>' AS signature, 'Says ' || k || '.' AS doc_comment, '#[derive(Debug)]' AS attributes, 'T:A+B' AS generics, 4 AS start_line, 6 AS end_line, k || '.rs' AS file_path FROM p
+ UNION ALL SELECT m || '::Show_S' || k, 'impl', '', 'impl<T> Show for S' || k || '<T>', '', 'impl_for=Show', 'T:', 7, 9, k || '.rs' FROM p UNION ALL SELECT m || '::S' || k || '::show', 'function', '', 'fn show(&self) -> u8', '', 'impl_type=S' || k, '', 8, 8, k || '.rs' FROM p
+ UNION ALL SELECT m || '::inner', 'module', '', 'mod inner', '', '', '', 10, 12, k || '.rs' FROM p UNION ALL SELECT m || '::inner::N', 'const', 'pub', 'pub const N: u8 = ' || g, '', '', '', 11, 11, k || '.rs' FROM p""")(
+    lambda s, d: parse.parsed(_sources(s, d)).select("fqn", "item_type", "visibility", "signature", "doc_comment", F.array_join("attributes", ",").alias("attributes"), F.array_join(F.transform("generic_params", lambda g: F.concat(g["name"], F.lit(":"), F.array_join(g["bounds"], "+"))), ",").alias("generics"), "start_line", "end_line", "file_path")
+)
+query("call_dispatch", "WITH c AS (SELECT 'f' || l_orderkey AS f, 'S' || l_suppkey AS r, l_linenumber AS n, l_suppkey AS s FROM lineitem) SELECT DISTINCT f AS caller_fqn, 'm::go' AS callee_fqn, 'static' AS dispatch FROM c WHERE n = 1 UNION SELECT f, 'm::T_' || r || '::go', 'static' FROM c WHERE n > 1 AND s % 2 = 0 UNION SELECT f, r || '::go', 'trait' FROM c WHERE n > 1 AND s % 2 = 0 UNION SELECT f, r || '::go', 'dynamic' FROM c WHERE n > 1 AND s % 2 <> 0")(
+    lambda s, d: build.dispatched(
+        t(s, d, "lineitem").select(_cat("f", [F.col("l_orderkey")]).alias("caller_fqn"), F.when(F.col("l_linenumber") == 1, "m::go").alias("callee"), F.when(F.col("l_linenumber") > 1, _cat("S", [F.col("l_suppkey")])).alias("receiver"), F.lit("go").alias("method")),
+        t(s, d, "supplier").where("s_suppkey % 2 = 0").select(_cat("S", [F.col("s_suppkey")]).alias("self_type"), F.lit("go").alias("method"), _cat("m::T_S", [F.col("s_suppkey")]).alias("impl_fqn")))
+)
+query("item_points", "SELECT 36 AS id_size, 2 AS dims, CAST((SELECT count(*) FROM supplier) AS BIGINT) AS points, CAST((SELECT count(*) FROM supplier) AS BIGINT) AS doc_points")(lambda s, d: _points(s, d))
+
+
+def _points(s, d):
+    i = items(s, d).where("item_type = 'struct'")
+    embed = lambda texts: [[float(len(x)), 1.0] for x in texts]
+    one = embedding.item_points(i, embed).agg(F.max(F.length("id")).alias("id_size"), F.max(F.size("vector")).alias("dims"), F.count_distinct("id").alias("points"))
+    return one.crossJoin(embedding.doc_points(i, embed).agg(F.count_distinct("id").alias("doc_points")))

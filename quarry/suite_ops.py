@@ -6,10 +6,13 @@ artifacts and runs; customers for items and workspaces; lineitems for case resul
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from .operators import audit, evals, eventlog, gaps, listing, runs, search, tables
 from .plans import build
+from .plans.graph import crate_of
 from .suite import CRATE, VECTOR, WS, graph_of, query, stores, t, tenant_edges, tenant_nodes
 from .suite import G as GRAPH
 
@@ -316,3 +319,7 @@ def _pattern(g):
     kids = ({"rel": "IMPLEMENTS"}, {"as": "t", "label": "Trait", "name": "Brand#7"})
     rows = g.pattern({"as": "m"}, ({"rel": "CONTAINS"}, {"as": "a", "label": "Struct", "fqn": f"{CRATE}::*"}), kids, returns=("a.name", "m.fqn", "t.name"))
     return rows
+
+query("agg_crate_items", GRAPH + "SELECT split_part(fqn, '::', 1) AS crate, count(*) AS cnt FROM nodes GROUP BY 1")(lambda s, d: graph_of(s, d).nodes.groupBy(crate_of("fqn").alias("crate")).agg(F.count("*").alias("cnt")))
+query("metric_lines", "SELECT 'events{event_type=\"' || event_type || '\",day=\"' || strftime(ts, '%d') || '\"} ' || count(*) AS line FROM events GROUP BY event_type, strftime(ts, '%d')")(lambda s, d: runs.metric_lines(t(s, d, "events").groupBy("event_type", F.date_format("ts", "dd").alias("day")).agg(F.count("*").alias("n")).withColumn("name", F.lit("events")), "name", "n", "event_type", "day"))
+query("key_holder", "SELECT c_custkey AS id FROM customer WHERE c_name = 'Customer#000000007'")(lambda s, d: listing.key_holder(t(s, d, "customer").select(F.col("c_custkey").alias("id"), F.sha2("c_name", 256).alias("key_hash"), F.lit(True).alias("active"), F.lit(None).cast("timestamp").alias("expires_at")), hashlib.sha256(b"Customer#000000007").hexdigest(), _now()).select("id"))
