@@ -1,13 +1,15 @@
 """Toxicity: a logistic classifier over words and word pairs, regularised by counterfactuals.
 
-Features are the distinct words and word pairs of a text, as 64-bit hashes.  The
+Features are the distinct words, beginnings of words and word pairs of a text, as
+64-bit hashes.  The
 FEATURES that tell most (chi-square over all texts of the training sample) get
 weights.  For each training text that names an identity term, the text with the
 terms swapped inside their group is featurised too, and the square of the change
 in the score's logit is penalised, so a neutral mention of a group weighs as
 little as the mention of another.
 
-The training sample is bounded: at most TRAIN_ROWS labelled rows, those with the
+The score of one half is placed where a fifth of the sample, not seen by a first
+fit, parts best.  The training sample is bounded: at most TRAIN_ROWS labelled rows, those with the
 smallest hash of doc_id.  Only their selected features come to the driver.
 """
 
@@ -19,10 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .bytesio import U, text_buffers
+from .bytesio import U, mix, prefix_sums, run_hashes, text_buffers
 from .decontaminate import pairs_of, words_of
 
-TRAIN_ROWS, FEATURES, LEAST_TEXTS = 50_000, 4096, 4
+TRAIN_ROWS, FEATURES, LEAST_TEXTS, LEAST_TOXIC = 50_000, 4096, 4, 20
+#: Bytes of the beginnings of longer words that count as features, so other endings of a word are known.
+STEMS = (5, 7)
 #: Weight of the squared weights and of the counterfactual changes.
 RIDGE, SWAP = 0.3, 1.0
 #: Terms that are swapped for the next one of their group.
@@ -41,12 +45,18 @@ def swaps(groups) -> dict[bytes, bytes]:
 
 def features(data: np.ndarray, rows: np.ndarray, within: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(row, feature) of each distinct feature of each row; only those in the sorted array `within`, if given."""
-    _, _, _, at, words = words_of(data, rows)
+    low, starts, ends, at, words = words_of(data, rows)
     row = np.repeat(np.arange(len(rows) - 1), np.diff(at))
     pairs = pairs_of(words)
     inside = np.ones(len(words), bool)
     inside[at[:-1][np.diff(at) > 0]] = False  # the first word of a row has none before it
-    row, feature = np.concatenate([row, row[inside]]), np.concatenate([words, pairs[inside]])
+    every, found = [row, row[inside]], [words, pairs[inside]]
+    sums = prefix_sums(low)
+    for n in STEMS:
+        long = ends - starts > n
+        every.append(row[long])
+        found.append(mix(run_hashes(sums, starts[long], starts[long] + n) + U(n)))
+    row, feature = np.concatenate(every), np.concatenate(found)
     if within is not None:
         slot = np.searchsorted(within, feature)
         slot[slot == len(within)] = 0
@@ -104,6 +114,32 @@ def fit(rows: list, features_n: int, ridge: float = RIDGE, swap: float = SWAP, s
     return w, float(c)
 
 
+def cut(z: np.ndarray, label: np.ndarray) -> float:
+    """Where to part logits so that F1 is greatest: the middle of the gap, of equals the widest one; 0 if too few texts are toxic to tell."""
+    if label.sum() < LEAST_TOXIC:
+        return 0.0
+    order = np.argsort(-z, kind="stable")
+    z, label = z[order], label[order]
+    hits = np.cumsum(label)
+    f1 = 2 * hits / (np.arange(1, len(z) + 1) + label.sum())
+    gap = z - np.append(z[1:], z[-1])
+    best = np.flatnonzero(f1 >= f1.max() - 1e-12)
+    k = int(best[np.argmax(gap[best])])
+    return float(z[k] - gap[k] / 2)
+
+
+def calibrated(rows: list, features_n: int) -> tuple[np.ndarray, float]:
+    """fit() on all rows, its intercept moved so that a probability of one half is where labels part best on a fifth of the rows that a first fit has not seen."""
+    held = np.arange(len(rows)) % 5 == 4
+    w, c = fit([r for r, h in zip(rows, held) if not h], features_n)
+    own = [r for r, h in zip(rows, held) if h]
+    z = np.array([w[f.astype(np.int64)].sum() + c for _, f, _ in own])
+    at = cut(z, np.array([y for y, _, _ in own], np.float64))
+    w, c = fit(rows, features_n)
+    # A text that shows nothing isn't made toxic by the move.
+    return w, min(c - at, -0.25) if c < 0 else c
+
+
 class Model:
     """Sorted feature hashes, their weights and the intercept."""
 
@@ -118,12 +154,16 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, identity=IDENTITY) -> Model:
-    """Learns from docs(doc_id, text) with labels(doc_id, toxic); unlabelled rows, null labels and null ids are left out."""
+    """Learns from docs(doc_id, text) with labels(doc_id, toxic); unlabelled rows, null labels and null ids are left out.
+
+    A document with several labels is toxic if one of them says so; rows that repeat
+    count each.  Without labelled rows nothing is learned, and all score alike, low.
+    """
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     # A bound of `most` ids by the smallest hash: a top-k, not a full sort.
     known = known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(known, "doc_id")
-    rows = common.written(rows.select("toxic", "text"), "toxic-sample")
+    rows = common.written(rows.select("toxic", "text", "doc_id"), "toxic-sample")
     table = swaps(identity)
 
     def counted(batches):
@@ -156,12 +196,13 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, identity=I
                     row, slot = features(d, a, hashes)
                     ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=y - x))]).astype(np.int32)
                     lists.append(pa.ListArray.from_arrays(ends, pa.array(slot.astype(np.int32))))
-                yield pa.RecordBatch.from_arrays([label.slice(x, y - x), lists[0], lists[1], pa.array([o is not None for o in other])], ["toxic", "f", "g", "named"])
+                yield pa.RecordBatch.from_arrays([label.slice(x, y - x), lists[0], lists[1], pa.array([o is not None for o in other]), b.column(2).slice(x, y - x)], ["toxic", "f", "g", "named", "doc_id"])
 
-    got = rows.mapInArrow(selected, "toxic int, f array<int>, g array<int>, named boolean").toPandas()  # at most `most` rows of selected features
+    got = rows.mapInArrow(selected, "toxic int, f array<int>, g array<int>, named boolean, doc_id long").toPandas()  # at most `most` rows of selected features
     common.dropped(rows)
-    sample = [(int(t > 0), np.asarray(f, np.int64), np.asarray(g, np.int64) if named else None) for t, f, g, named in got.itertuples(index=False)]
-    return Model(hashes, *fit(sample, len(hashes)))
+    got = got.sort_values("doc_id", kind="stable")  # the same split whatever the order of tasks
+    sample = [(int(t > 0), np.asarray(f, np.int64), np.asarray(g, np.int64) if named else None) for t, f, g, named, _ in got.itertuples(index=False)]
+    return Model(hashes, *calibrated(sample, len(hashes)))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
