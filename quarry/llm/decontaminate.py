@@ -5,13 +5,16 @@ two words tells how far a search may skip; where it allows no skip, the bucket
 of patterns with that last block is compared word by word, and then byte by
 byte.  All stretches of a text skip at the same time, in numpy.
 
-The patterns are broadcast in chunks of CHUNK_BYTES of item text, of which a
-worker holds one at a time if there are several.
+The patterns are broadcast as a chunk of CHUNK_BYTES of item text at most (or one
+item).  A larger benchmark is searched for chunk by chunk, each in a pass over the
+texts that leaves the places it hits in a scratch table; so neither the driver nor
+a worker ever holds more than one chunk, and its tables are built once a pass.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import uuid
 
 import numpy as np
@@ -139,33 +142,44 @@ class Patterns:
         return np.diff(at), np.cumsum(mark[:-1]) > 0, at, items
 
 
-def chunks(spark: SparkSession, benchmark: DataFrame) -> list:
-    """Broadcast lists of (item id as text, text), each of CHUNK_BYTES at most or one item."""
-    out, held, size = [], [], 0
-    for r in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.col("text").cast("string").alias("t")).toLocalIterator():
-        if held and size + len(r["t"] or "") > CHUNK_BYTES:
-            out.append(spark.sparkContext.broadcast(held))
+def chunks(benchmark: DataFrame):
+    """Lists of (item id as text, text), each of CHUNK_BYTES at most or one item; the driver holds one at a time."""
+    held, size = [], 0
+    text = F.col("text").cast("string")
+    for r in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), text.alias("t"), F.coalesce(F.octet_length(text), F.lit(0)).alias("n")).toLocalIterator():
+        if held and size + r["n"] > CHUNK_BYTES:
+            yield held
             held, size = [], 0
         held.append((r["i"], r["t"]))
-        size += len(r["t"] or "")
+        size += r["n"]
     if held:
-        out.append(spark.sparkContext.broadcast(held))
-    return out
+        yield held
 
 
 _built: dict[tuple, Patterns] = {}
 
 
-def _patterns(part, key: tuple, only: bool) -> Patterns:
-    """The patterns of a chunk; kept in the worker if there is one chunk only."""
-    if not only:
-        return Patterns(part.value, key[-1])
+def _patterns(part, key: tuple) -> Patterns:
+    """The patterns of a broadcast chunk, built once in a worker and kept until another chunk comes; a key is the search and the window."""
     if key not in _built:
         _built.clear()
         _built[key] = Patterns(part.value, key[-1])
     return _built[key]
 
 
+def _slices(text):
+    """(start, end, bytes, row starts) of slices of a text column of about a megabyte."""
+    sizes = np.diff(np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1]).tolist() if len(text) else []
+    for x, y in common.slices(len(text), sizes, 1 << 20):
+        yield x, y, *text_buffers(text.slice(x, y - x))
+
+
+def _judged(n, n_hit, items: list[list[str]]) -> list:
+    """The result columns of rows from their words, hit words and items."""
+    sha = [hashlib.sha256(",".join(sorted(i)).encode()).hexdigest() for i in items]
+    return [pa.array(np.asarray(n, np.int64)), pa.array(np.asarray(n_hit, np.int64)), pa.array([len(i) for i in items], pa.int64()), pa.array(sha, pa.string()), pa.array(np.asarray(n_hit) > 0)]
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """Columns of docs with n_words, n_hit, n_items, items_sha256 and contaminated for each row.
 
@@ -177,41 +191,71 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     replaced.
     """
     spark = docs.sparkSession
-    parts, search = chunks(spark, benchmark), uuid.uuid4().hex
     added = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
     names = [x.split()[0] for x in added.split(", ")]
     docs = docs.drop(*names)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", " + added
+    parts = chunks(benchmark)
+    one, two = next(parts, []), next(parts, None)
+    if two is not None:
+        return _by_chunks(docs, [one, two], parts, window, names, added)
+    held, key = spark.sparkContext.broadcast(one), (uuid.uuid4().hex, window)  # CHUNK_BYTES at most, or one item
     column = docs.columns.index("text")
 
     def run(batches):
         for b in batches:
-            text = b.column(column).cast(pa.string())
-            sizes = np.diff(np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1]).tolist() if len(text) else []
-            for x, y in common.slices(len(text), sizes, 1 << 20):
-                data, rows = text_buffers(text.slice(x, y - x))
-                hit, items, n = None, set(), None
-                for part in parts:
-                    n, own, at, found = _patterns(part, (search, window), len(parts) == 1).find(data, rows)
-                    hit = own if hit is None else hit | own
-                    items |= found
-                if hit is None:
-                    _, _, _, at, _ = words_of(data, rows)
-                    n, hit = np.diff(at), np.zeros(int(at[-1]), bool)
+            for x, y, data, rows in _slices(b.column(column).cast(pa.string())):
+                n, hit, at, found = _patterns(held, key).find(data, rows)
                 sums = np.concatenate([[0], np.cumsum(hit)])
-                n_hit = sums[at[1:]] - sums[at[:-1]]
-                by: dict[int, list[str]] = {}
-                for r, i in items:
-                    by.setdefault(r, []).append(i)
-                empty = hashlib.sha256(b"").hexdigest()
-                sha = [hashlib.sha256(",".join(sorted(by[r])).encode()).hexdigest() if r in by else empty for r in range(y - x)]
-                cols = [pa.array(n.astype(np.int64)), pa.array(n_hit.astype(np.int64)), pa.array([len(by.get(r, ())) for r in range(y - x)], pa.int64()), pa.array(sha, pa.string()), pa.array(n_hit > 0)]
+                items: list[list[str]] = [[] for _ in range(y - x)]
+                for r, i in found:
+                    items[r].append(i)
                 rest = b.slice(x, y - x)
-                yield pa.RecordBatch.from_arrays([*rest.columns, *cols], [*rest.schema.names, *names])
+                yield pa.RecordBatch.from_arrays([*rest.columns, *_judged(n, sums[at[1:]] - sums[at[:-1]], items)], [*rest.schema.names, *names])
 
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", " + added
     return docs.mapInArrow(run, schema)
 
 
+def _by_chunks(docs: DataFrame, first: list, rest, window: int, names: list[str], added: str) -> DataFrame:
+    """contamination() for a benchmark of several chunks: a pass for each, then the union of the places they hit."""
+    spark = docs.sparkSession
+    docs = common.written(docs.drop("_row").withColumn("_row", F.monotonically_increasing_id()), "leak-docs")
+    found = None
+    for part in itertools.chain(first, rest):
+        held = spark.sparkContext.broadcast(part)
+
+        def run(batches, held=held, key=(uuid.uuid4().hex, window)):
+            for b in batches:
+                for x, y, data, rows in _slices(b.column(1)):
+                    _, hit, at, pairs = _patterns(held, key).find(data, rows)
+                    items: dict[int, list[str]] = {}
+                    for r, i in pairs:
+                        items.setdefault(r, []).append(i)
+                    own = sorted(items)
+                    places = [np.flatnonzero(hit[at[r] : at[r + 1]]) for r in own]
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(x, y - x).take(pa.array(own, pa.int64())), pa.array(places, pa.list_(pa.int64())), pa.array([items[r] for r in own], pa.list_(pa.string()))], ["_row", "places", "items"])
+
+        one = docs.select("_row", F.col("text").cast("string").alias("text")).mapInArrow(run, "_row long, places array<long>, items array<string>")
+        one = common.written(one, "leak-places")
+        found = one if found is None else found.union(one)
+        held.destroy()
+    found = found.groupBy("_row").agg(F.flatten(F.collect_list("places")).alias("_places"), F.flatten(F.collect_list("items")).alias("_items"))
+    both = docs.join(found, "_row", "left").select(*[c for c in docs.columns if c != "_row"], "_places", "_items")
+    column, wide = both.columns.index("text"), len(both.columns) - 2
+
+    def judged(batches):
+        for b in batches:
+            for x, y, data, rows in _slices(b.column(column).cast(pa.string())):
+                _, _, _, at, _ = words_of(data, rows)
+                own = b.slice(x, y - x)
+                hits = [len(set(p)) if p else 0 for p in own.column(wide).to_pylist()]
+                items = [sorted(set(i)) if i else [] for i in own.column(wide + 1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*own.columns[:wide], *_judged(np.diff(at), hits, items)], [*own.schema.names[:wide], *names])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema.fields[:wide]) + ", " + added
+    return both.mapInArrow(judged, schema)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents searched for windows of ten words of all benchmark items."""
     return contamination(common.table(spark, sf_dir, "documents").select("doc_id", "text"), common.table(spark, sf_dir, "benchmark")).drop("text")
