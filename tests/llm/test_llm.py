@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quarry.llm import decontaminate, language, lm, near_dup, packing, sharding, simple8b, substring, token_file, toxicity, vectors
+from quarry.llm import decontaminate, induced, language, lm, near_dup, packing, sharding, simple8b, substring, token_file, toxicity, vectors
 from quarry.llm.tok import Encoder
 
 random.seed(4)
@@ -110,49 +110,91 @@ def test_sharding(docs):
     assert sharding.assign(docs.where("false"), 5).count() == 0
 
 
-def test_substring(spark, docs):
-    def brute(rows, size):
-        seen, out = {}, []
-        for _, t in rows:
-            x = (t or "").encode()
-            for s in range(len(x) - size + 1):
-                seen[x[s : s + size]] = seen.get(x[s : s + size], 0) + 1
-        for i, t in rows:
-            x = (t or "").encode()
-            gone = np.zeros(len(x) + 1, bool)
-            for s in range(len(x) - size + 1):
-                if seen[x[s : s + size]] > 1:
-                    gone[s : s + size] = True
-            kept = bytes(b for b, g in zip(x, gone) if not g)
-            out.append((-1 if i is None else i, len(x), int(gone.sum()), hashlib.sha256(kept).hexdigest()))
-        return sorted(out)
+def _brute_repeats(rows, size):
+    """(doc_id, bytes, removed, spans, digest of what is left) of each row, from all windows of all texts."""
+    seen, out = {}, []
+    for _, t in rows:
+        x = (t or "").encode()
+        for s in range(len(x) - size + 1):
+            seen[x[s : s + size]] = seen.get(x[s : s + size], 0) + 1
+    for i, t in rows:
+        x = (t or "").encode()
+        gone = np.zeros(len(x) + 1, bool)
+        for s in range(len(x) - size + 1):
+            if seen[x[s : s + size]] > 1:
+                gone[s : s + size] = True
+        kept = bytes(b for b, g in zip(x, gone) if not g)
+        out.append((-1 if i is None else i, len(x), int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum() + gone[0]), hashlib.sha256(kept).hexdigest()))
+    return sorted(out)
 
+
+def test_substring(spark, docs):
     base = ["".join(random.choice("abcd é") for _ in range(60)) for _ in range(5)]
     rows = [(i, "".join(random.choice(base)[random.randint(0, 30) :] for _ in range(random.randint(0, 6)))) for i in range(40)]
-    rows += [(3, rows[3][1]), (None, rows[4][1]), (100, None), (101, "")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    hot, piece = substring.HOT, substring.PIECE
+    rows += [(3, rows[3][1]), (None, rows[4][1]), (100, None), (101, ""), (102, "long " * 3000), (103, "x" * 4000), (104, base[0][:19])]
+    df = spark.createDataFrame([(i, t, "n", 1) for i, t in rows], "doc_id long, text string, n_removed string, lo int")
+    kept = substring.HOT, substring.PIECE, substring.SORTED
     try:
-        for h, p in ((hot, piece), (2, 200)):
-            substring.HOT, substring.PIECE = h, p
-            got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in substring.remove_repeats(df, 20).collect())
-            assert got == brute(rows, 20)
+        # As it is; many pieces and all anchors hot; every anchor by the hashes of its windows.
+        for substring.HOT, substring.PIECE, substring.SORTED in (kept, (2, 200, kept[2]), (kept[0], kept[1], 0)):
+            got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substring.remove_repeats(df, 20).collect())
+            assert got == _brute_repeats(rows, 20)
     finally:
-        substring.HOT, substring.PIECE = hot, piece
+        substring.HOT, substring.PIECE, substring.SORTED = kept
     assert substring.remove_repeats(docs.where("false")).count() == 0
 
 
+def test_induced_sorting(tmp_path):
+    """Order and common prefixes of random strings of few and many symbols, with queues in memory and in files, names sorted either way."""
+    rng, kept = random.Random(1), (induced.HELD, induced.CROWD)
+
+    def common_prefix(x, a, b):
+        m = 0
+        while max(a, b) + m < len(x) and x[a + m] == x[b + m]:
+            m += 1
+        return m
+
+    try:
+        for t in range(300):
+            induced.HELD, induced.CROWD = (1 << 22, 5)[t % 2], (0, 64)[t // 2 % 2]
+            x = [rng.randint(1, rng.choice([1, 2, 3, 8])) for _ in range(rng.randint(1, 60))] + [0]
+            order, lcp = induced.suffixes(np.array(x, np.int64), 1000, str(tmp_path) if t % 2 else None)
+            want = sorted(range(len(x)), key=lambda i: x[i:])
+            assert order.tolist() == want
+            assert lcp.tolist() == [0] + [common_prefix(x, a, b) for a, b in zip(want[:-1], want[1:])]
+    finally:
+        induced.HELD, induced.CROWD = kept
+    assert not list(tmp_path.iterdir())
+
+
+def test_repeats_of_a_shard():
+    rng = random.Random(2)
+    base = [bytes(rng.choices(b"ab\x00\xff", k=40)) for _ in range(4)]
+    texts = [b"".join(rng.choice(base)[rng.randint(0, 20) :] for _ in range(rng.randint(0, 5))) for _ in range(30)] + [b"", b"a" * 100, base[0]]
+    seen: dict = {}
+    for x in texts:
+        for s in range(len(x) - 11):
+            seen[x[s : s + 12]] = seen.get(x[s : s + 12], 0) + 1
+    want = [[s for s in range(len(x) - 11) if seen[x[s : s + 12]] > 1] for x in texts]
+    assert [p.tolist() for p in induced.repeated_starts(texts, 12)] == want
+    assert induced.repeated_starts([], 5) == [] and [p.tolist() for p in induced.repeated_starts([b"", b"ab"], 1)] == [[], []]
+
+
 def test_near_duplicates(spark, docs):
     text = [f"w{random.randint(0, 500)}" for _ in range(200)]
     close, far = list(text), list(text)
     close[50] = close[120] = "zz"
     for i in range(0, 200, 4):
-        far[i] = "yy"
+        far[i] = "yy"  # 50 of 200 words: 0.75
+    long = [f"l{random.randint(0, 3000)}" for _ in range(30_000)]
     rows = [(10, " ".join(text)), (11, " ".join(close)), (12, " ".join(far)), (13, " ".join(text).upper()), (14, None), (15, ""), (None, " ".join(text)), (13, " ".join(text))]
-    out = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    rows += [(20, " ".join(long)), (21, " ".join(long[:9000] + ["new"] * 40 + long[9100:])), (22, "w " * 30_000), (23, "x" * 200_000), (24, "a b c d e f g"), (25, "a b c d e f")]
+    out = near_dup.near_duplicates(spark.createDataFrame([(*r, 1, "q") for r in rows], "doc_id long, text string, class_id int, words string")).collect()
     by = {r.doc_id: (r.class_id, r.kept) for r in out}
     assert len(out) == len(rows)
-    assert by == {10: (10, True), 11: (10, False), 12: (12, True), 13: (10, False), 14: (14, True), 15: (15, True), None: (None, True)}
+    far_from = {i: (i, True) for i in (12, 14, 15, 20, 22, 23, 24)} | {21: (20, False)}
+    by.pop(25)  # six and seven words may share no sampled pair of shingles
+    assert by == {10: (10, True), 11: (10, False), 13: (10, False), None: (None, True)} | far_from
     assert near_dup.near_duplicates(docs.where("false")).count() == 0
 
 
@@ -233,6 +275,36 @@ def test_toxicity(spark):
     assert toxicity.score(df, empty).where("score >= 0.5").count() == 0
 
 
+def test_neutral_mentions_of_groups_are_not_toxic(spark):
+    """A group that stands in toxic sentences only is still neutral by itself, and as likely as the other groups."""
+    rng = random.Random(7)
+    word = lambda: rng.choice(["book", "house", "river", "garden", "music", "table", "winter", "street"])
+    rows = []
+    for i in range(400):
+        toxic = i % 4 == 0
+        who = "gay" if toxic else rng.choice(["straight", "", "", ""])
+        rows.append((i, f"the {who} {word()} " + (rng.choice(["idiot", "moron", "scum"]) if toxic else word()) + f" and {word()} {word()}", int(toxic)))
+    odd = [(900, None, 0), (901, "", 0), (902, "idiot " * 20_000, 1), (903, "\x00 é \x7f", None), (None, "scum", 1), (5, "the book", 0), (5, "the book", 0)]
+    df = spark.createDataFrame(rows + odd, "doc_id long, text string, toxic int")
+    model = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    ask = [(i, f"the {g} man sat in the {w}", "z") for i, (g, w) in enumerate((g, w) for g in ("gay", "straight", "lesbian", "tall") for w in ("garden", "house"))]
+    ask += [(100, "what an idiot you are", "z"), (101, "you are scum , moron", "z"), (102, "idiot " * 50_000, "z"), (103, None, "z")]
+    out = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(ask, "doc_id long, text string, score string"), model).collect()}
+    neutral = [out[i] for i in range(8)]
+    assert max(neutral) < 0.5 and max(neutral) - min(neutral) < 0.25 and min(out[100], out[101], out[102]) >= 0.5 and out[103] < 0.5
+
+
+def test_the_cut_of_scores():
+    z, y = np.array([5.0, 4.0, -1.0, -2.0, -3.0]), np.array([1, 1, 0, 0, 0])
+    least = toxicity.LEAST_TOXIC
+    try:
+        assert toxicity.cut(z, y) == 0.0  # too few to tell
+        toxicity.LEAST_TOXIC = 2
+        assert toxicity.cut(z, y) == 1.5 and toxicity.cut(z[::-1], y[::-1]) == 1.5
+    finally:
+        toxicity.LEAST_TOXIC = least
+
+
 def test_counterfactual_pairs_pull_scores_together():
     rows = [(1, np.array([0, 2]), np.array([1, 2])), (0, np.array([3]), None), (0, np.array([1, 3]), np.array([0, 3]))] * 20
     free, _ = toxicity.fit(rows, 4, ridge=0.01, swap=0.0)
@@ -298,61 +370,127 @@ def test_long_words_over_their_whole_lattice():
     assert np.allclose(got, want) and np.allclose(long, short) and np.allclose(lm.long_marginal(words, p, logp), want)
 
 
-def test_apart_finds_each_pair_across_components_once():
-    rng = np.random.default_rng(5)
-    k, base = 40, rng.integers(0, 256, near_dup.FINE, dtype=np.uint8)
-    sig = np.array([np.where(rng.random(near_dup.FINE) < 0.1, 0, base) for _ in range(k)], np.uint8)
-    root, block, n = rng.integers(0, 3, k), np.zeros(k, np.int64), np.full(k, 10)
-    both = [set(rng.choice(4, 2, replace=False).tolist()) for _ in range(k)]
-    found = {}
-    for b in range(4):
-        own = [i for i in range(k) if b in both[i]]
-        part = near_dup.apart(b, root[own], block[own], n[own], sig[own], [both[i] for i in own], False)
-        found[b] = [(own[i], own[j]) for i, j in part]
-    got = [tuple(sorted(p)) for f in found.values() for p in f]
-    want = {(i, j) for i in range(k) for j in range(i) if root[i] != root[j] and both[i] & both[j] and (sig[i] == sig[j]).mean() >= near_dup.FINE_CANDIDATE}
-    assert sorted(got) == sorted(tuple(sorted(p)) for p in want)
-
-
-def test_gates_keep_pairs_near_the_threshold():
-    """Pairs of similarity 0.80 to 0.84 that share a key: all are aligned at once or wait for the finer sample, which lets them be."""
-    rng = np.random.default_rng(11)
-    met = low = 0
-    for _ in range(1500):
-        a = rng.integers(0, 2**32, 404, dtype=np.uint32)
-        b = a.copy()
-        b[10 : 10 + 16 * 9 : 16] = rng.integers(0, 2**32, 9, dtype=np.uint32)
-        if near_dup.similarity(a, b) < near_dup.SIMILAR:
-            b[10 + 16 * 8] = a[10 + 16 * 8]
-        assert 0.8 <= near_dup.similarity(a, b) < 0.84
-        (ka, sa), (kb, sb) = near_dup.sketch(a), near_dup.sketch(b)
-        if not set(ka.tolist()) & set(kb.tolist()):
-            continue
-        met += 1
-        low += (sa == sb).mean() < 0.68
-        n = np.array([len(a), len(b)])
-        pairs, _, waits = near_dup.lead(np.stack([sa, sb]), n)
-        assert pairs == [(0, 1)] or waits
-        fine = np.stack([near_dup.sampled(near_dup.labelled(near_dup.shingles(x)), near_dup.FINE)[0] for x in (a, b)])
-        assert near_dup.apart(0, np.array([0, 1]), np.zeros(2, np.int64), n, fine, [{0}, {0}], False)
-    assert met > 1400 and low > 0
-
-
-def test_near_copies_whose_samples_agree_little(spark):
-    """Pairs at 0.80 to 0.84 that agree in fewer than 0.68 of the samples are linked by the whole operator."""
-    rng, rows = np.random.default_rng(12), []
-    while len(rows) < 12:
-        a = [f"w{x}" for x in rng.integers(0, 2**40, 404)]
-        b = list(a)
-        for i in range(8):
-            b[10 + 16 * i] = f"v{rng.integers(0, 2**40)}"
-        text = [" ".join(x) for x in (a, b)]
-        words = [(near_dup.words_of(*near_dup.text_buffers(pa.array([x])))[4] >> np.uint64(32)).astype("<u4") for x in text]
-        (ka, sa), (kb, sb) = near_dup.sketch(words[0]), near_dup.sketch(words[1])
-        if (sa == sb).mean() < 0.68 and set(ka.tolist()) & set(kb.tolist()):
-            rows += [(len(rows), text[0]), (len(rows) + 1, text[1])]
-    out = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r.doc_id: r.class_id for r in out} == {i: i - i % 2 for i in range(12)}
+def _words(text):
+    """Word hashes of a text, as near copies see them."""
+    return (near_dup.words_of(*near_dup.text_buffers(pa.array([text])))[4] >> np.uint64(32)).astype("<u4")
+
+
+def _edits(a, b):
+    """The whole table of edits."""
+    last = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        last = row
+    return last[-1]
+
+
+def test_edits_against_the_whole_table():
+    rng = np.random.default_rng(1)
+    often = near_dup.OFTEN
+    try:
+        for t in range(1500):
+            kinds = int(rng.integers(2, 30))
+            a = rng.integers(0, kinds, rng.integers(0, 40)).astype(np.uint32)
+            b = a.tolist()
+            for _ in range(rng.integers(0, 12)):
+                i = int(rng.integers(0, len(b) + 1))
+                b[i : i + int(rng.integers(0, 2))] = rng.integers(0, kinds, rng.integers(0, 2)).tolist()
+            b = np.array(b if t % 3 else rng.integers(0, kinds, rng.integers(0, 40)), np.uint32)
+            near_dup.OFTEN, most = (2, 64)[t % 2], int(rng.integers(0, 25))
+            d = _edits(a.tolist(), b.tolist())
+            assert near_dup.edits(a, b, most) == (d if d <= most else None)
+            longer = max(len(a), len(b), 1)
+            want = 1 - d / longer if len(a) and len(b) and d <= 0.2 * longer + 1e-9 else 0.0
+            assert abs(near_dup.similarity(a, b) - want) < 1e-12
+    finally:
+        near_dup.OFTEN = often
+
+
+def test_near_duplicates_against_brute_force(spark):
+    """Variants of texts with 2 to 24 % of their words edited, texts that share half, and plain ones: classes of all pairs."""
+    rng = random.Random(21)
+    word = lambda: f"w{rng.randint(0, 400)}"
+    rows = []
+    for _ in range(14):
+        base = [word() for _ in range(rng.randint(12, 160))]
+        rows.append(base)
+        for _ in range(rng.randint(0, 6)):
+            new, k = list(rng.choice(rows)), 0
+            while k < rng.uniform(0.02, 0.24) * len(base):
+                i = rng.randrange(len(new))
+                new[i : i + rng.randint(0, 1)] = [word()] * rng.randint(0, 1)
+                k += 1
+            rows.append(new)
+    shared = [word() for _ in range(40)]
+    rows += [shared + [word() for _ in range(40)] for _ in range(30)] + [[word()] for _ in range(5)] + [["a", "b"], ["a", "c"]]
+    texts = [" ".join(r) for r in rows]
+    h = [_words(x) for x in texts]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if near_dup.similarity(h[i], h[j]) >= 0.8]
+    for i, j in pairs:
+        a, b = sorted((find(i), find(j)))
+        root[b] = a
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    block = near_dup.BLOCK
+    try:
+        for near_dup.BLOCK in (block, 4):  # 4: buckets in many blocks, so the later rounds have work
+            got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(df).collect()}
+            met = sum(got[i] == got[j] for i, j in pairs) / len(pairs)
+            assert met >= 0.97 and all(find(c) == find(i) for i, c in got.items())
+    finally:
+        near_dup.BLOCK = block
+    assert len(pairs) > 30
+
+
+def test_recall_of_near_copies_on_documents(spark):
+    """All pairs of sf0.01 whose edit similarity is 0.8 or more (candidates: enough labelled words in common): 0.99 of them in one class, and no class beyond them."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    texts = {}
+    for r in rows:
+        w = _words(r.text or "")
+        if len(w):
+            texts.setdefault(w.tobytes(), (r.doc_id, w))
+    ids, h = zip(*texts.values())
+    bags = [near_dup.labelled(near_dup.shingles(w, 1)) for w in h]
+    order = np.argsort([len(w) for w in h], kind="stable")
+    kinds, slot = np.unique(np.concatenate(bags), return_inverse=True)
+    cut = np.split(slot, np.cumsum([len(b) for b in bags])[:-1])
+    pairs = []
+    for at, i in enumerate(order):
+        mark = np.zeros(len(kinds), bool)
+        mark[cut[i]] = True
+        for j in order[at + 1 :]:
+            if len(h[i]) < 0.8 * len(h[j]):
+                break
+            if mark[cut[j]].sum() >= 0.8 * len(h[j]) and near_dup.similarity(h[i], h[j]) >= 0.8:
+                pairs.append((i, j))
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(spark.createDataFrame([(r.doc_id, r.text) for r in rows], "doc_id long, text string")).collect()}
+    met = [got[ids[i]] == got[ids[j]] for i, j in pairs]
+    assert len(pairs) > 20 and np.mean(met) >= 0.99
+    classes = len({got[i] for i in ids})
+    root = list(range(len(ids)))
+    for i, j in pairs:
+        root = [root[j] if x == root[i] else x for x in root]
+    assert classes >= len(set(root))
+
+
+def test_parts_are_whole_whatever_the_batches():
+    """Parts that span several batches, and parts that end where a batch does."""
+    bucket = np.sort(np.random.default_rng(6).integers(0, 12, 200))
+    rows = pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.zeros(200, np.int64)), pa.array(np.arange(200))], ["bucket", "block", "a"])
+    want = [np.flatnonzero(bucket == b).tolist() for b in np.unique(bucket)]
+    ends = [0, 3, 4, int(np.searchsorted(bucket, 5)), 150, 151, 200]
+    for cuts in (ends, [0, 200], list(range(201))):
+        batches = [rows.slice(x, y - x) for x, y in zip(cuts[:-1], cuts[1:])] + [rows.slice(0, 0)]
+        assert [t.column("a").to_pylist() for t in near_dup._parts(batches, ("bucket", "block"))] == want
 
 
 def test_pipeline_cuts_passages_over_fifty_words(spark):
@@ -389,6 +527,49 @@ def test_pipeline_cuts_passages_over_fifty_words(spark):
     assert sum(t != want[i] for i, t in enumerate(texts)) > 20
 
 
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """run() on a small folder with odd rows: toxic, near copies, repeated passages and benchmark leaks go, the rest is packed whole."""
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    word = lambda k=6: "".join(rng.choice("bcdfghklmnprst") + rng.choice("aeiou") for _ in range(k // 2))
+    plain = lambda n: " ".join(word() for _ in range(n))
+    leak, shared = plain(30), plain(90)
+    texts = {i: plain(80) for i in range(60)}
+    texts |= {100 + i: plain(20) + " idiot scum moron " + plain(20) for i in range(40)}
+    near = {200 + i: texts[i].replace(" ", " zz ", 1) for i in range(5)}
+    texts |= near | {300: texts[7], 301: texts[7].upper()}
+    texts |= {400 + i: plain(60) + " " + shared + " " + plain(60) for i in range(3)}
+    texts |= {500: plain(40) + " " + leak[: len(leak) // 2 + 40] + " " + plain(40), 600: None, 601: "", 602: "  \n", 603: plain(30_000)}
+    labels = [(i, 1, int(100 <= i < 140)) for i in texts if i < 140]
+    rows = [(i, t, "en", "s", None if t is None else len(t)) for i, t in texts.items()] + [(None, plain(70), "en", "s", 3), (601, "", None, None, None)]
+    for name, df in {
+        "documents": spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "labels": spark.createDataFrame(labels, "doc_id long, quality int, toxic int"),
+        "benchmark": spark.createDataFrame([(1, leak), (2, None), (3, "")], "item_id long, text string"),
+    }.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, kept = kept, corpus_pipeline.common.written(stage(spark, kept, str(tmp_path)), name)
+        assert kept.columns == docs.columns
+        ids = sorted(-1 if r.doc_id is None else r.doc_id for r in kept.collect())
+        gone = sorted(set(-1 if r.doc_id is None else r.doc_id for r in before.collect()) - set(ids))
+        want = {"toxicity": list(range(100, 140)), "near_dedup": [*range(200, 205), 300, 301], "substring_dedup": [], "decontamination": [500]}[name]
+        assert gone == want, name
+        if name == "substring_dedup":
+            text = {r.doc_id: r.text for r in kept.collect()}
+            cut = {i for i, t in text.items() if t != texts.get(i, t)}
+            assert cut == {400, 401, 402} and all(shared not in text[i] and len(text[i]) > 500 for i in cut) and text[600] is None
+    packed = corpus_pipeline.run(spark, str(tmp_path)).groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).collect()
+    assert {-1 if r.doc_id is None else r.doc_id for r in packed} == set(ids) and ids.count(601) == 2
+    assert all(r["sum(length)"] == r["max(doc_tokens)"] for r in packed if r.doc_id != 601)
+    empty = corpus_pipeline.without_toxic(spark, docs.where("false"), str(tmp_path))
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        empty = stage(spark, empty, str(tmp_path))
+    assert empty.count() == 0
+
+
 def test_pipeline_decides_near_copies_by_row(spark):
     import corpus_pipeline
 
@@ -398,3 +579,64 @@ def test_pipeline_decides_near_copies_by_row(spark):
     got = sorted((str(r.doc_id), r.text or "") for r in out.collect())
     third = min(c, c + " end", key=lambda x: hashlib.sha256(x.encode()).hexdigest())
     assert got == sorted([("5", a), ("5", b), ("7", third), ("8", ""), ("8", ""), ("None", a)])
+
+
+def test_decontamination_in_several_chunks(spark, docs):
+    """Each item in a chunk of its own gives what one chunk gives."""
+    rng = random.Random(3)
+    words = [f"v{i}" for i in range(30)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 60))) for _ in range(50)]
+    items = spark.createDataFrame([(i, " ".join(rng.choice(texts).split()[:14])) for i in range(9)] + [(None, texts[3]), (4, None)], "item_id long, text string")
+    rows = spark.createDataFrame([(i, t, "x") for i, t in enumerate([*texts, None, "", texts[0]])], "doc_id long, text string, n_hit string")
+    names = ["doc_id", "text", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    show = lambda df: sorted(map(str, df.select(names).collect()))
+    want, most = show(decontaminate.contamination(rows, items)), decontaminate.CHUNK_BYTES
+    try:
+        decontaminate.CHUNK_BYTES = 40
+        assert show(decontaminate.contamination(rows, items)) == want
+    finally:
+        decontaminate.CHUNK_BYTES = most
+    assert any("contaminated=True" in x for x in want)
+
+
+def test_kneser_ney_by_hand():
+    """Orders of a model against probabilities counted by hand from the definition: discounted counts above, kinds of histories below."""
+    text = "abracadabra abra cadabra" * 2
+    codes, real, _ = language.letters(*language.text_buffers(pa.array([text])))
+    key, n = np.unique(language.grams(codes)[real], return_counts=True)
+    model = language.Model({"x": (key, n)})
+    bits, top = language.CODE_BITS, language.ORDER
+    counts = {top: dict(zip(key.tolist(), n.tolist()))}
+    for k in range(top - 1, 0, -1):
+        counts[k] = {}
+        for g in counts[k + 1]:
+            g &= (1 << bits * k) - 1
+            counts[k][g] = counts[k].get(g, 0) + 1
+
+    def prob(g, k):
+        if k == 0:
+            return 1 / language.CODES
+        own = {x: c for x, c in counts[k].items() if x >> bits == g >> bits}
+        ones, twos = (sum(c == j for c in counts[k].values()) for j in (1, 2))
+        cut = ones / (ones + 2 * twos) if ones and twos else 0.5
+        low = prob(g & ((1 << bits * (k - 1)) - 1), k - 1)
+        if not own:
+            return low
+        total = sum(own.values())
+        return max(own.get(g, 0) - cut, 0) / total + cut * len(own) / total * low
+
+    strange = [k ^ 3 for k in key[:5].tolist()]
+    got = np.exp(model._log(np.array([*key.tolist(), *strange]), top)[:, 0])
+    assert np.allclose(got, [prob(g, top) for g in [*key.tolist(), *strange]], rtol=1e-4)
+
+
+def test_language_sample_is_the_smallest_hashes(spark):
+    """A hash threshold before the sort leaves the sample as it was: held-out texts of two made-up languages are told apart, with ids that repeat and are null."""
+    rng = random.Random(8)
+    say = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(rng.randint(1, 40)))
+    rows = [(i % 700, say("abcdeoiu") if i % 2 else say("xyzwaeki"), "q" if i % 2 else "r") for i in range(1400)] + [(None, "abc", "q"), (None, "zz", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(df, most=60)
+    assert model.langs == ["q", "r"]
+    out = language.identify(df.where("lang <> 's'"), model).collect()
+    assert sum(r.lang == r.lang_pred for r in out) / len(out) > 0.97
