@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import previous, ranged, running
+
 # The frame limit in bytes, and how many stale checks lead to which step.
 FRAME_BYTES = 65536
 
@@ -17,7 +19,7 @@ def content_hash(*parts: str) -> Column:
 def append(events: DataFrame, execution: str, order: str, digest: str) -> DataFrame:
     """Drops later rows of equal content of an execution, then numbers what is left from 1 without gaps."""
     kept = events.groupBy(execution, digest).agg(F.min_by(F.struct(*events.columns), F.col(order)).alias("_r")).select("_r.*")
-    return kept.withColumn("seq", F.row_number().over(Window.partitionBy(execution).orderBy(order)).cast("long"))
+    return running(ranged(kept, execution, order), execution, F.lit(1), "seq").drop("_i")
 
 
 def after(log: DataFrame, execution: str, value, seq: int = 0) -> DataFrame:
@@ -34,32 +36,31 @@ def frames(log: DataFrame, content: str, limit: int = FRAME_BYTES) -> DataFrame:
 
 def gaps(log: DataFrame, execution: str) -> DataFrame:
     """Places where seq jumps: expected and found."""
-    w = Window.partitionBy(execution).orderBy("seq")
-    out = log.withColumn("last", F.lag("seq").over(w)).where(F.col("seq") - F.col("last") > 1)
-    return out.select(execution, (F.col("last") + 1).alias("expected"), F.col("seq").alias("found"))
+    out = previous(ranged(log.select(execution, "seq"), execution, "seq"), execution, "seq").where(F.col("seq") - F.col("_was.seq") > 1)
+    return out.select(execution, (F.col("_was.seq") + 1).alias("expected"), F.col("seq").alias("found"))
 
 
 def grouped(log: DataFrame, execution: str, order: str, kind: str, alone: str = "tool_call") -> DataFrame:
     """Runs of neighbours of one kind, but each row of the kind `alone` is a run of its own."""
-    w = Window.partitionBy(execution).orderBy(order)
-    new = F.when(F.lag(kind).over(w).eqNullSafe(F.col(kind)) & (F.col(kind) != alone), 0).otherwise(1)
-    g = log.withColumn("_new", new).withColumn("grp", F.sum("_new").over(w))
+    rows = previous(ranged(log.select(execution, order, kind), execution, order), execution, kind)
+    same = F.col("_was").isNotNull() & F.col(f"_was.{kind}").eqNullSafe(F.col(kind)) & (F.col(kind) != alone)
+    g = running(rows, execution, F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1), "grp")
     return g.groupBy(execution, "grp").agg(F.first(kind).alias(kind), F.count("*").alias("n"), F.min(order).alias("first"), F.max(order).alias("last"))
 
 
 def stuck(checks: DataFrame, key: str, order: str, progressed: str) -> DataFrame:
     """Checks in a row without progress, and the step each leads to; progress starts anew."""
-    w = Window.partitionBy(key).orderBy(order)
-    g = checks.withColumn("_g", F.sum(F.col(progressed).cast("int")).over(w))
-    n = F.sum((~F.col(progressed)).cast("int")).over(Window.partitionBy(key, "_g").orderBy(order)).cast("long")
+    g = running(ranged(checks, key, order), key, (~F.col(progressed)).cast("int"), "_n")
+    # Those up to the last progress, which grow along a key, so their maximum is the last one.
+    g = running(g, key, F.when(F.col(progressed), F.col("_n")), "_done", most=True)
+    stale = (F.col("_n") - F.coalesce("_done", F.lit(0))).cast("long")
     step = F.when(F.col("stale") == 0, "ok").when(F.col("stale") == 1, "warning").when(F.col("stale") <= 3, "diagnostic").otherwise("circuit_break")
-    return g.withColumn("stale", n).withColumn("step", step).drop("_g")
+    return g.withColumn("stale", stale).withColumn("step", step).drop("_n", "_done", "_i")
 
 
 def transitions(rows: DataFrame, key: str, order: str, status: str, allowed: list[tuple[str, str]], always: str = "escalated") -> DataFrame:
     """Each status change with valid: whether it is in the table, or leads to `always`."""
-    w = Window.partitionBy(key).orderBy(order)
-    moved = rows.withColumn("was", F.lag(status).over(w)).where(F.col("was").isNotNull())
+    moved = previous(ranged(rows, key, order), key, status).withColumn("was", F.col(f"_was.{status}")).drop("_was", "_i").where(F.col("was").isNotNull())
     pairs = F.array(*[F.lit(f"{a}>{b}") for a, b in allowed])
     return moved.withColumn("valid", F.array_contains(pairs, F.concat_ws(">", "was", status)) | (F.col(status) == always))
 
