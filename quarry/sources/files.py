@@ -7,8 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The largest source file and the largest expanded one, in bytes, and the most impl blocks that are read of a file.
-MOST_BYTES, MOST_EXPANDED, MOST_IMPLS = 10 << 20, 2 << 20, 500
+# The largest source file and the largest expanded one, in bytes.
+MOST_BYTES, MOST_EXPANDED = 10 << 20, 2 << 20
 CASE = "id string, repo string, pr int, expected_outcome string, weight double, tags array<string>"
 
 

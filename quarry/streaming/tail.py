@@ -6,6 +6,7 @@ import threading
 import time
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,13 +47,14 @@ def rate_limit(events: DataFrame, key: str, ts: str, limit: int, seconds: int =
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         start, n = state.get if state.exists else (None, 0)
         passed = refused = 0
-        times = pd.concat([b[ts] for b in batches]).sort_values()
-        for t in times:
-            t = t.timestamp()
-            if start is None or t - start >= seconds:
-                start, n = t, 0
-            n += 1
-            passed, refused = passed + (n <= limit), refused + (n > limit)
+        times = np.sort(np.concatenate([b[ts].astype("datetime64[ns]").to_numpy().astype(np.int64) for b in batches])) / 1e9
+        i = 0
+        while i < len(times):  # a window at a time
+            if start is None or times[i] - start >= seconds:
+                start, n = float(times[i]), 0
+            end = int(np.searchsorted(times, start + seconds, "left"))
+            ok = min(max(0, limit - n), end - i)
+            passed, refused, n, i = passed + ok, refused + end - i - ok, n + end - i, end
         state.update((start, n))
         yield pd.DataFrame({key: [k[0]], "passed": [passed], "refused": [refused]})
 
