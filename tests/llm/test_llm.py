@@ -68,7 +68,21 @@ def test_packing(spark, docs, ids):
             assert o == at
             at += n
         assert at == 64 or q == max(seqs)
-    assert sum(r.length for r in rows) == sum(len(ids(r.text)) for r in docs.collect())
+    # The pieces of each document, put together, are the library's ids of its text and the end.
+    got = {}
+    for r in sorted(rows, key=lambda r: (str(r.doc_id), r.doc_tokens, r.sequence_id, r.offset)):
+        got.setdefault((r.doc_id, r.doc_tokens), []).append(r)
+    want = {}
+    for r in docs.collect():
+        x = ids(r.text)
+        want.setdefault((r.doc_id, len(x)), []).append(x)
+    assert got.keys() == want.keys()
+    for k, pieces in got.items():
+        pieces.sort(key=lambda r: (r.sequence_id, r.offset))
+        whole, texts = [i for r in pieces for i in r.ids], want[k]
+        assert len(whole) == k[1] * len(texts) and all(r.start + r.length <= r.doc_tokens for r in pieces)
+        if len(texts) == 1 or all(x == texts[0] for x in texts):
+            assert whole == texts[0] * len(texts)
     assert packing.pack(docs.where("false")).count() == 0
 
 
@@ -263,6 +277,9 @@ def test_language(spark):
     assert out[200] == out[201] == ("und", 0.0)
     none = language.identify(df, language.train(df.where("false"))).collect()
     assert {r.lang_pred for r in none} == {"und"}
+    long = [(300, "der fuchs " * 60_000, "x", 1), (301, "brown" * 50_000, "x", 1), (302, "", "x", 1), (302, "", "x", 1), (None, "the fox", "x", 1)]
+    more = {(r.doc_id, r.lang_pred) for r in language.identify(spark.createDataFrame(long, "doc_id long, text string, lang_pred string, score int"), language.train(df)).collect()}
+    assert more == {(300, "de"), (301, "en"), (302, "und"), (None, "en")}
 
 
 def test_toxicity(spark):
