@@ -16,4 +16,4 @@ QUERIES = {
     "op9_embedding_dedup": vectors.op9_embedding_dedup,
     "op10_token_binary": token_file.op10_token_binary,
 }
-SQL = {"op6_decontamination": decontaminate.OP6_SQL}
+SQL = {"op3_substring_dedup": substring.OP3_SQL, "op6_decontamination": decontaminate.OP6_SQL, "op9_embedding_dedup": vectors.OP9_SQL}

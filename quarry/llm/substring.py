@@ -312,3 +312,16 @@ def remove_repeats(docs: DataFrame, size: int = 400, with_text: bool = False, wo
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the bytes that strings of 400 bytes repeat."""
     return remove_repeats(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: By all windows, as hexadecimal text.
+OP3_SQL = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+w AS (SELECT r, s, md5(h[2 * s + 1 : 2 * s + 800]) AS k FROM (SELECT r, h, unnest(range(0, n - 399)) AS s FROM d WHERE n >= 400)),
+hit AS (SELECT r, s FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+g AS (SELECT r, s, sum(CASE WHEN s - was <= 400 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY s) AS g FROM (SELECT r, s, lag(s) OVER (PARTITION BY r ORDER BY s) AS was FROM hit)),
+sp AS (SELECT r, min(s) AS a, max(s) + 400 AS b FROM g GROUP BY r, g),
+pr AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS last FROM sp),
+one AS (SELECT r, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, string_agg(h[2 * last + 1 : 2 * a], '' ORDER BY a) || any_value(h)[2 * max(b) + 1 :] AS kept FROM pr JOIN d USING (r) GROUP BY r)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN one USING (r)
+"""

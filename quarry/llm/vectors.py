@@ -324,3 +324,14 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.9, vec_id: str = "vec_
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings: links at cosine 0.9 or more, and components."""
     return near_duplicates(common.table(spark, sf_dir, "embeddings"))
+
+
+#: By all pairs.
+OP9_SQL = """
+WITH RECURSIVE u AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS n FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+ WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.9),
+r AS (SELECT vec_id AS id, vec_id AS z FROM embeddings UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.z),
+c AS (SELECT id, min(z) AS component_id FROM r GROUP BY id)
+SELECT vec_id, (SELECT count(*) FROM l WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c ON id = vec_id
+"""
