@@ -1,4 +1,7 @@
-"""Listings with optional filters, and the type queries over call sites and trait implementations."""
+"""Listings with optional filters, and the type queries over call sites and trait implementations.
+
+Nulls stand last in rising order and first in falling order, as the listings' stores have them.
+"""
 
 from __future__ import annotations
 
@@ -19,12 +22,12 @@ def matching(df: DataFrame, **by) -> DataFrame:
 
 def tasks(df: DataFrame, status=None, agent=None, phase=None, kind=None, limit: int = MOST) -> DataFrame:
     """Tasks, the one changed last first; equal times by id."""
-    return matching(df, status=status, agent=agent, phase=phase, **{"class": kind}).orderBy(F.desc("updated_at"), "id").limit(min(int(limit), MOST))
+    return matching(df, status=status, agent=agent, phase=phase, **{"class": kind}).orderBy(F.desc_nulls_first("updated_at"), F.asc_nulls_last("id")).limit(min(int(limit), MOST))
 
 
 def artifacts(df: DataFrame, task_id=None, kind=None, status=None, producer=None, limit: int = MOST) -> DataFrame:
     """Artifacts, newest first; equal times by id."""
-    return matching(df, task_id=task_id, type=kind, status=status, producer=producer).orderBy(F.desc("created_at"), "id").limit(min(int(limit), MOST))
+    return matching(df, task_id=task_id, type=kind, status=status, producer=producer).orderBy(F.desc_nulls_first("created_at"), F.asc_nulls_last("id")).limit(min(int(limit), MOST))
 
 
 def archived(status: Column | str = "status") -> Column:
@@ -34,11 +37,11 @@ def archived(status: Column | str = "status") -> Column:
 
 
 def validator_runs(df: DataFrame, repo: str, pr: int) -> DataFrame:
-    return matching(df, repo=repo, pr_number=pr).orderBy("run_index", "created_at")
+    return matching(df, repo=repo, pr_number=pr).orderBy(F.asc_nulls_last("run_index"), F.asc_nulls_last("created_at"))
 
 
 def bench_runs(df: DataFrame, suite=None, status=None, limit: int | None = None) -> DataFrame:
-    return matching(df, suite_name=suite, status=status).orderBy(F.desc("started_at"), "id").limit(min(RUNS if limit is None else int(limit), MOST_RUNS))
+    return matching(df, suite_name=suite, status=status).orderBy(F.desc_nulls_first("started_at"), F.asc_nulls_last("id")).limit(min(RUNS if limit is None else int(limit), MOST_RUNS))
 
 
 def bench_run(runs: DataFrame, results: DataFrame, cases: DataFrame, run_id) -> DataFrame:
@@ -73,7 +76,7 @@ def calls_with_type(sites: DataFrame, type_name: str, callee: str | None = None,
     rows = sites.where(json_text().like(f"%{type_name}%"))
     if callee is not None:
         rows = rows.where(F.col("callee_fqn").like(f"%::{callee}"))
-    top = rows.orderBy("file_path", "line_number", "caller_fqn", "callee_fqn").limit(min(int(limit), MOST))
+    top = rows.orderBy(*[F.asc_nulls_last(c) for c in ("file_path", "line_number", "caller_fqn", "callee_fqn")]).limit(min(int(limit), MOST))
     types = F.transform("concrete_type_args", lambda a: a["concrete_type"])
     return top.select("caller_fqn", "callee_fqn", "file_path", "line_number", types.alias("concrete_type_args"), "is_monomorphized", F.coalesce("quality", F.lit("unknown")).alias("quality"))
 

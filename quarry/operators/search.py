@@ -35,10 +35,18 @@ def docs(points: DataFrame, texts: DataFrame, query: list[float], k: int = 10, t
     return top.join(texts, key).select(key, "source_file", clip_bytes("text").alias("content_preview"), "score")
 
 
-def aggregate(points: DataFrame, items: DataFrame, edges: DataFrame | None, query: list[float], k: int = 10, threshold: float | None = None, key: str = "vec_id") -> DataFrame:
-    """Top-k with columns of items, and sorted neighbour lists from edges(src, dst); one plan instead of lookups for each hit."""
+def aggregate(points: DataFrame, items: DataFrame, edges: DataFrame | None, query: list[float], k: int = 10, threshold: float | None = None, key: str = "vec_id", source: str | None = None) -> DataFrame:
+    """Top-k with columns of items, and sorted neighbour lists from edges(src, dst); one plan instead of lookups for each hit.
+
+    A column that points and items both have is that of the item, where there is
+    one.  Without edges no lists are added; items' body_source is left out unless
+    `source` names it.
+    """
     top = semantic(points, query, k, threshold, key=key)
-    out = top.join(items, key, "left")
+    items = items.drop("body_source") if source is None else items
+    both = [c for c in items.columns if c in top.columns and c != key]
+    out = top.withColumnsRenamed({c: f"_{c}" for c in both}).join(items, key, "left")
+    out = out.withColumns({c: F.coalesce(c, f"_{c}") for c in both}).drop(*[f"_{c}" for c in both])
     if edges is not None:
         for a, b, name in (("dst", "src", "callers"), ("src", "dst", "callees")):
             near = edges.join(top.select(F.col(key).alias(a)), a, "left_semi").groupBy(F.col(a).alias(key)).agg(F.array_sort(F.collect_set(b)).alias(name))

@@ -174,6 +174,7 @@ def _tasks(s, d):
 
 query("list_tasks", f"SELECT id, status, class FROM ({TASKS}) WHERE status = 'F' AND class = 'a' ORDER BY updated_at DESC, id LIMIT 100")(lambda s, d: listing.tasks(_tasks(s, d), status="F", kind="a", limit=500).select("id", "status", "class"))
 query("list_artifacts", f"SELECT id, producer FROM (SELECT id, phase AS task_id, class AS type, status, agent AS producer, updated_at AS created_at FROM ({TASKS})) WHERE task_id = '3' AND producer = '5-LOW' ORDER BY created_at DESC, id LIMIT 20")(lambda s, d: listing.artifacts(_tasks(s, d).select("id", F.col("phase").alias("task_id"), F.col("class").alias("type"), "status", F.col("agent").alias("producer"), F.col("updated_at").alias("created_at")), task_id="3", producer="5-LOW", limit=20).select("id", "producer"))
+query("list_tasks_nulls", f"SELECT id FROM (SELECT id, CASE WHEN id % 200 <> 0 THEN updated_at END AS updated_at FROM ({TASKS})) ORDER BY updated_at DESC NULLS FIRST, id LIMIT 90")(lambda s, d: listing.tasks(_tasks(s, d).withColumn("updated_at", F.when(F.col("id") % 200 != 0, F.col("updated_at"))), limit=90).select("id"))
 query("soft_delete", f"SELECT id, 'archived' AS status FROM ({TASKS})")(lambda s, d: _tasks(s, d).withColumn("status", F.when(F.col("id") % 3 == 0, "archived").otherwise(F.col("status"))).select("id", listing.archived().alias("status")))
 query("validator_runs", "SELECT l_orderkey AS run_index, l_linenumber AS created_at FROM lineitem WHERE l_suppkey = 7 AND l_partkey % 10 = 3")(lambda s, d: listing.validator_runs(t(s, d, "lineitem").select(F.concat(F.lit("r"), F.col("l_suppkey").cast("string")).alias("repo"), (F.col("l_partkey") % 10).alias("pr_number"), F.col("l_orderkey").alias("run_index"), F.col("l_linenumber").alias("created_at")), "r7", 3).select("run_index", "created_at"))
 query("bench_runs", "SELECT o_orderkey AS id FROM orders WHERE o_orderpriority = '1-URGENT' ORDER BY o_orderdate DESC, o_orderkey LIMIT 50")(lambda s, d: listing.bench_runs(t(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("suite_name"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("started_at")), suite="1-URGENT").select("id"))
@@ -323,3 +324,6 @@ def _pattern(g):
 query("agg_crate_items", GRAPH + "SELECT split_part(fqn, '::', 1) AS crate, count(*) AS cnt FROM nodes GROUP BY 1")(lambda s, d: graph_of(s, d).nodes.groupBy(crate_of("fqn").alias("crate")).agg(F.count("*").alias("cnt")))
 query("metric_lines", "SELECT 'events{event_type=\"' || event_type || '\",day=\"' || strftime(ts, '%d') || '\"} ' || count(*) AS line FROM events GROUP BY event_type, strftime(ts, '%d')")(lambda s, d: runs.metric_lines(t(s, d, "events").groupBy("event_type", F.date_format("ts", "dd").alias("day")).agg(F.count("*").alias("n")).withColumn("name", F.lit("events")), "name", "n", "event_type", "day"))
 query("key_holder", "SELECT c_custkey AS id FROM customer WHERE c_name = 'Customer#000000007'")(lambda s, d: listing.key_holder(t(s, d, "customer").select(F.col("c_custkey").alias("id"), F.sha2("c_name", 256).alias("key_hash"), F.lit(True).alias("active"), F.lit(None).cast("timestamp").alias("expires_at")), hashlib.sha256(b"Customer#000000007").hexdigest(), _now()).select("id"))
+query("aggregate_search_source", f"WITH top AS (SELECT vec_id, label FROM embeddings ORDER BY list_cosine_similarity(embedding::DOUBLE[], [{','.join(map(str, VECTOR))}]::DOUBLE[]) DESC, vec_id LIMIT 10) SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN CAST(vec_id AS INTEGER) ELSE label END AS label, text AS body_source FROM top LEFT JOIN documents ON doc_id = vec_id")(
+    lambda s, d: search.aggregate(t(s, d, "embeddings"), t(s, d, "documents").select(F.col("doc_id").alias("vec_id"), F.when(F.col("doc_id") % 2 == 0, F.col("doc_id").cast("int")).alias("label"), F.col("text").alias("body_source")), None, VECTOR, source="body_source").drop("score")
+)
