@@ -36,11 +36,11 @@ def type_args(text: Column) -> Column:
 
 
 def typed_calls(files: DataFrame) -> DataFrame:
-    """Call sites with type arguments in files(file_path, text, callers): the caller is the first of the file's callers, a method's callee is `unknown::name`.
+    """Call sites with type arguments in files(file_path, text, caller); a method's callee is `unknown::name`, and no caller is an empty one.
 
     A method call with type arguments fits the pattern of functions as well, so it is found twice, as static and as dynamic.
     """
-    rows = _lines(files.withColumn("caller_fqn", F.coalesce(F.get("callers", F.lit(0)), F.lit(""))), "file_path", "caller_fqn")
+    rows = _lines(files.withColumn("caller_fqn", F.coalesce("caller", F.lit(""))), "file_path", "caller_fqn")
 
     def found(pattern, dispatch, front):
         hits = F.arrays_zip(F.regexp_extract_all("source", F.lit(pattern), F.lit(1)).alias("name"), F.regexp_extract_all("source", F.lit(pattern), F.lit(2)).alias("args"))
@@ -69,13 +69,13 @@ def generated_impls(original: DataFrame, expanded: DataFrame) -> DataFrame:
 
 
 def callers_of_files(items: DataFrame, files: DataFrame) -> DataFrame:
-    """file_path and callers: full names of functions that begin with the file's module path or its crate's name, in order, and whether patterns alone are used."""
-    names = items.where("item_type = 'function'").select("fqn", F.split_part("fqn", F.lit("::"), F.lit(1)).alias("c"))
-    # Both tests ask for equal crates first, so the join is by crate, of one aggregated row each.
-    by = names.groupBy("c").agg(F.array_sort(F.collect_list("fqn")).alias("fqns"))
-    out = files.withColumn("c", F.split_part("module_path", F.lit("::"), F.lit(1))).join(by, "c", "left")
-    hits = F.filter("fqns", lambda x: x.startswith(F.col("module_path")) | x.startswith(F.col("crate_name")))
-    return out.select("file_path", F.coalesce(hits, F.array().cast("array<string>")).alias("callers"), (F.octet_length("text") > PATTERN_BYTES).alias("patterns_only"))
+    """file_path, caller (the first of the functions that may be meant, in order of names), how many there are, and whether patterns alone are used.
+
+    May be meant all functions of the file's crate: those below its module path are among them.
+    """
+    by = items.where("item_type = 'function'").groupBy(F.split_part("fqn", F.lit("::"), F.lit(1)).alias("crate_name")).agg(F.min("fqn").alias("caller"), F.count_distinct("fqn").alias("candidates"))
+    out = files.join(by, "crate_name", "left")
+    return out.select("file_path", "caller", F.coalesce("candidates", F.lit(0)).alias("candidates"), (F.octet_length("text") > PATTERN_BYTES).alias("patterns_only"))
 
 
 _ANGLE = r"<(?:[^<>]|<(?:[^<>]|<[^<>]*>)*>)*>"

@@ -117,7 +117,7 @@ def files(s, d):
     k, g = [F.col("s_suppkey")], [F.col("s_suppkey") % 7]
     text = _cat("#[derive(Debug, a::Copy", g, ")]\npub struct S", k, " {\n}\nimpl<T> a::Show", g, " for S", k, "<T> {\n  x.collect::<Vec<u8>>();\n  parse::<A", g, ", B>(1);\n}")
     grown = _cat("impl Debug for S", k, " {}\nimpl Copy", g, " for S", k, " {}\nimpl Other for S", k, " {}")
-    return t(s, d, "supplier").select(_cat("k", k).alias("key"), text.alias("text"), grown.alias("expanded"), _cat("c", g, "::m").alias("module_path"), _cat("c", g).alias("crate_name"), _cat(k, ".rs").alias("file_path"), F.array(_cat("c", g, "::m::one"), F.lit("two")).alias("callers"))
+    return t(s, d, "supplier").select(_cat("k", k).alias("key"), text.alias("text"), grown.alias("expanded"), _cat("c", g, "::m").alias("module_path"), _cat("c", g).alias("crate_name"), _cat(k, ".rs").alias("file_path"), _cat("c", g, "::m::one").alias("caller"))
 
 
 query("heuristic_trait_impls", FILES + "SELECT 'a::Show' || g AS trait_fqn, 'S' || k || '<T>' AS self_type, 'c' || g || '::m::a::Show' || g || '_S' || k || '<T>' AS impl_fqn, k || '.rs' AS file_path, 4 AS line_number, 'heuristic' AS quality FROM f")(lambda s, d: extract.trait_impls(files(s, d)))
@@ -125,7 +125,7 @@ query("heuristic_typed_calls", FILES + """SELECT 'c' || g || '::m::one' AS calle
  UNION ALL SELECT 'c' || g || '::m::one', 'parse', k || '.rs', 6, 'A' || g || '|B', true, 'static' FROM f""")(lambda s, d: extract.typed_calls(files(s, d)).select("caller_fqn", "callee_fqn", "file_path", "line_number", F.array_join("concrete_type_args", "|").alias("args"), "is_monomorphized", "dispatch"))
 query("derived_impls", FILES + "SELECT 'k' || k AS key, 'Debug for S' || k AS impl, 'derive(Debug)' AS generated_by FROM f UNION ALL SELECT 'k' || k, 'Copy' || g || ' for S' || k, 'derive(Copy' || g || ')' FROM f")(lambda s, d: extract.generated_impls(files(s, d).select("key", "text"), files(s, d).select("key", F.col("expanded").alias("text"))))
 query("typecheck_callers", FILES + ", c AS (SELECT 'c' || (c_custkey % 7) || '::' || CASE WHEN c_custkey % 2 = 0 THEN 'm' ELSE 'z' END || '::f' || c_custkey AS fqn, c_custkey % 7 AS g FROM customer), n AS (SELECT g, count(*) AS n, min(fqn) AS first FROM c GROUP BY g) SELECT k || '.rs' AS file_path, coalesce(n, 0) AS n, first FROM f LEFT JOIN n USING (g)")(
-    lambda s, d: extract.callers_of_files(t(s, d, "customer").select(_cat("c", [F.col("c_custkey") % 7], "::", [F.when(F.col("c_custkey") % 2 == 0, "m").otherwise("z")], "::f", [F.col("c_custkey")]).alias("fqn"), F.lit("function").alias("item_type")), files(s, d)).select("file_path", F.size("callers").cast("long").alias("n"), F.get("callers", F.lit(0)).alias("first"))
+    lambda s, d: extract.callers_of_files(t(s, d, "customer").select(_cat("c", [F.col("c_custkey") % 7], "::", [F.when(F.col("c_custkey") % 2 == 0, "m").otherwise("z")], "::f", [F.col("c_custkey")]).alias("fqn"), F.lit("function").alias("item_type")), files(s, d).drop("caller")).select("file_path", F.col("candidates").alias("n"), F.col("caller").alias("first"))
 )
 query("build_dependencies", "SELECT DISTINCT 'c' || c_nationkey AS src, 'c' || d AS dst, kind AS detail FROM (SELECT c_nationkey, (c_nationkey + 1) % 25 AS d, '' AS kind FROM customer UNION ALL SELECT c_nationkey, (c_nationkey + 2) % 25, 'dev' FROM customer) WHERE d IN (SELECT c_nationkey FROM customer) AND d <> c_nationkey")(
     lambda s, d: build.dependencies(_manifests(s, d), t(s, d, "customer").select(_cat("c", [F.col("c_nationkey")]).alias("crate_name")).distinct()).select("src", "dst", "detail")

@@ -163,7 +163,7 @@ def test_self_types(spark):
 
 def test_pattern_finds(spark):
     text = "impl<T> a::Show for Foo<T> {\n  let x = y.collect::<Vec<u8>>();\n  parse::<A, B>(z);\n}\nimpl Plain {"
-    files = spark.createDataFrame([("c::m", "f.rs", text, ["c::m::one", "c::m::two"])], "module_path string, file_path string, text string, callers array<string>")
+    files = spark.createDataFrame([("c::m", "f.rs", text, "c::m::one")], "module_path string, file_path string, text string, caller string")
     r = extract.trait_impls(files).collect()
     assert [(x.trait_fqn, x.self_type, x.impl_fqn, x.line_number) for x in r] == [("a::Show", "Foo<T>", "c::m::a::Show_Foo<T>", 1)]
     got = sorted((x.callee_fqn, x.line_number, x.concrete_type_args, x.dispatch, x.caller_fqn) for x in extract.typed_calls(files).collect())
@@ -179,6 +179,7 @@ def test_derived_impls(spark):
 
 def test_callers_of_files(items, spark):
     files = spark.createDataFrame([("a.rs", "c::m::Show", "c", "x"), ("b.rs", "zz", "zz", "")], "file_path string, module_path string, crate_name string, text string")
-    got = {r.file_path: r.callers for r in extract.callers_of_files(items, files).collect()}
-    assert got["b.rs"] == [] and "c::aaa::helper" in got["a.rs"] and "d::stray" not in got["a.rs"]
+    got = {r.file_path: (r.caller, r.candidates, r.patterns_only) for r in extract.callers_of_files(items, files).collect()}
+    functions = sorted(i[0] for i in ITEMS if i[2] == "function" and i[0].startswith("c::"))
+    assert got == {"a.rs": (functions[0], len(functions), False), "b.rs": (None, 0, False)}
     assert spark.range(1).select(S.uuid5(F.lit("a:doc:0"))).first()[0]
