@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,27 +94,54 @@ def breaker(calls: DataFrame, service: str, ts: str, ok: str, failures: int = FA
     Closed: calls pass, and `failures` failed ones in a row open it.  Open: calls
     are refused until `rest` seconds after the last failure; then one passes as a
     probe.  A probe that succeeds closes it, one that fails opens it anew.  Calls
-    of one service are a chain of decisions, so they are settled in order of time.
+    of one service are a chain of decisions, so they stream by in order of time, in
+    bounded memory; calls without time or outcome are left out.
     """
     cols = [f for f in calls.schema.fields if f.name in (service, ts, ok)]
+    names = [f.name for f in cols]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cols) + ", allowed boolean, state string"
-
-    def run(pdf):
-        pdf = pdf.sort_values([ts, ok], kind="stable").reset_index(drop=True)
-        state, bad, last, allowed, states = "closed", 0, None, [], []
-        for t, good in zip(pdf[ts], pdf[ok]):
-            go = state == "closed" or (t - last).total_seconds() >= rest
-            if go and good:
-                state, bad = "closed", 0
-            elif go:
-                bad += 1
-                if state == "open" or bad >= failures:
-                    state, last = "open", t
-            allowed.append(go)
-            states.append(state)
-        return pdf.assign(allowed=allowed, state=states)
-
-    return calls.select(*[f.name for f in cols]).groupBy(service).applyInPandas(run, schema)
+    gap = int(rest * 1e9)
+
+    def run(batches):
+        last, held = object(), (False, 0, 0)  # open, failures in a row, time of the last failure that opened it
+        for pdf in batches:
+            key, t = pdf[service].tolist(), pdf[ts].astype("datetime64[ns]").to_numpy().astype(np.int64)
+            good = pdf[ok].to_numpy(dtype=bool)
+            allowed, opened = np.ones(len(key), bool), np.zeros(len(key), bool)
+            edges = [0, *(i for i in range(1, len(key)) if key[i] != key[i - 1]), len(key)] if key else []
+            for x, y in zip(edges[:-1], edges[1:]):
+                held = settled(t[x:y], good[x:y], allowed[x:y], opened[x:y], *(held if key[x] == last else (False, 0, 0)), failures, gap)
+                last = key[x]
+            yield pdf.assign(allowed=allowed, state=np.where(opened, "open", "closed"))
+
+    rows = calls.select(*names).where(F.col(ts).isNotNull() & F.col(ok).isNotNull())
+    return rows.repartition(service).sortWithinPartitions(service, ts, ok).mapInPandas(run, schema)
+
+
+def settled(t: np.ndarray, good: np.ndarray, allowed: np.ndarray, opened: np.ndarray, is_open: bool, bad: int, since: int, failures: int, gap: int) -> tuple[bool, int, int]:
+    """Fills allowed and opened for calls of one service in order, a stretch of one state at a time; returns the state after them."""
+    place, i = np.arange(len(t)), 0
+    # The last success up to each place; before any, those that a first stretch brought along count.
+    ok_at = np.maximum.accumulate(np.where(good, place, -1))
+    while i < len(t):
+        if is_open:
+            j = int(np.searchsorted(t, since + gap, "left"))
+            allowed[i:j], opened[i:j] = False, True
+            i = max(i, j)
+            if i < len(t):  # the probe
+                is_open, bad = not good[i], 0 if good[i] else bad + 1
+                opened[i] = is_open
+                since = int(t[i]) if is_open else since
+                i += 1
+        else:
+            row = np.where(ok_at[i:] >= i, place[i:] - ok_at[i:], place[i:] - i + 1 + bad)
+            trips = np.flatnonzero(row >= failures)
+            if not len(trips):
+                return False, int(row[-1]), since
+            i += int(trips[0])
+            is_open, bad, since, opened[i] = True, int(row[trips[0]]), int(t[i]), True
+            i += 1
+    return is_open, bad, since
 
 
 # -- watching ------------------------------------------------------------------------

@@ -94,6 +94,34 @@ def test_ordered_scans_cross_partitions(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
 
 
+def test_circuit_breaker_against_a_plain_loop(spark):
+    import random
+
+    import numpy as np
+
+    from quarry.operators import runs
+
+    rng = random.Random(5)
+    for _ in range(200):
+        t = np.cumsum([rng.randint(0, 9) for _ in range(60)])
+        good = np.array([rng.random() < 0.4 for _ in t])
+        allowed, opened, held = np.ones(60, bool), np.zeros(60, bool), (False, 0, 0)
+        cuts = sorted(rng.sample(range(61), 3))
+        for x, y in zip([0, *cuts], [*cuts, 60]):
+            held = runs.settled(t[x:y], good[x:y], allowed[x:y], opened[x:y], *held, 3, 20)
+        state, bad, since = False, 0, 0
+        for i in range(60):
+            go = not state or t[i] - since >= 20
+            if go and good[i]:
+                state, bad = False, 0
+            elif go:
+                bad += 1
+                if state or bad >= 3:
+                    state, since = True, t[i]
+            assert (allowed[i], opened[i]) == (go, state)
+        assert held[0] == state
+
+
 def test_sql_gate(spark):
     spark.range(3).createOrReplaceTempView("ok")
     spark.range(3).createOrReplaceTempView("secret")
