@@ -252,10 +252,11 @@ def passages(docs: DataFrame, words: int, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, ["row", "lo", "hi", "passage"])
 
     found = common.written(docs.mapInArrow(short, "row long, lo int, hi int, passage binary"), "passages")
-    again = found.groupBy("passage").agg(F.count("*").alias("n")).where("n > 1").select("passage")
+    # Stored before the join, which can then split a passage that very many texts hold.
+    again = common.written(found.groupBy("passage").agg(F.count("*").alias("n")).where("n > 1").select("passage"), "passages-again")
     spans = found.join(again, "passage").groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("at"))
     spans = common.written(spans, "passage-spans")
-    common.dropped(found)
+    common.dropped(found, again)
     return spans
 
 
