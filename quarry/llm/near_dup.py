@@ -294,18 +294,19 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR, by_text: bool = Fal
         return members.join(of.hint("merge"), members["a"] == of["node"], "left").select("bucket", "t", "a", F.coalesce("root", "a").alias("root"))
 
     def split(rows):
-        """Buckets that hold several classes."""
-        return rows.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("bucket")
+        """Rows of buckets that hold several classes; the buckets are stored before the join, which can then split a large one."""
+        several = rows.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("bucket")
+        return rows.join(common.written(several, "near-several").hint("merge"), "bucket")
 
-    stand = named().groupBy("bucket", "root").agg(F.min("a").alias("a"))
-    stand = common.written(stand.join(split(stand).hint("merge"), "bucket").select("bucket", "a"), "near-stand")
+    stand = common.written(named().groupBy("bucket", "root").agg(F.min("a").alias("a")), "near-first")
+    stand = common.written(split(stand).select("bucket", "a"), "near-stand")
     counts = common.written(stand.groupBy("bucket").agg(F.count("*").alias("k")), "near-shared")
     links = linked(led(stand, counts, texts), firsts, least)
     if links.take(1):
         of = components(links.union(of))
     common.dropped(stand, counts)
     rows = common.written(named(), "near-named")
-    open_ = common.written(rows.join(split(rows).hint("merge"), "bucket"), "near-open")
+    open_ = common.written(split(rows), "near-open")
     if open_.take(1):
         links = common.written(crossing(open_, sketches, firsts, least), "near-links")
         if links.take(1):
