@@ -23,7 +23,7 @@ import pyarrow as pa
 from .bytesio import LOWER, U, prefix_sums, run_hashes, text_buffers
 
 #: Distinct pieces that a worker keeps; then it starts anew.
-KEPT_PIECES = 1_500_000
+KEPT_PIECES = 600_000
 #: Bytes hashed at once.
 BLOCK = 1 << 20
 
