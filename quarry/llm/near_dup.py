@@ -4,12 +4,17 @@ A text is its words (A-Z lower-cased).  Two texts are alike if their edit
 similarity, one less the word edits over the words of the longer, is 0.8 or more.
 
 Candidates: a shingle is five words, labelled with its number among equal
-shingles of the text.  FUNCTIONS hash functions each sample the minimum shingle;
-every TUPLE of them form a key, their shingles taken in text order, so a key is
-shared only where order is kept.  Texts that share a key are candidates if their
-lengths allow the similarity and samples of their labelled words agree: alike
-texts share 0.667 of these at least, whatever the edits.  Candidates are verified
-by aligning their words inside the band of edits that the similarity allows.
+shingles of the text.  Hash functions each sample the minimum shingle; every
+TUPLE of them form a key, their shingles taken in text order, so a key is
+shared only where order is kept.  As an edit destroys five shingles, most keys are
+of shingles of three words, which find what edits spread over a text leave near
+the threshold.  Texts of SHORT words at most have keys that miss
+nothing: alike texts share 0.8 of the longer's labelled words, so the two rarest
+that they share are among the few rarest of both, and each pair of those is a key.
+Texts that share a key are candidates if their lengths allow the similarity and
+samples of their labelled words agree: alike texts share 0.667 of these at least,
+whatever the edits.  Candidates are verified by aligning their words inside the
+band of edits that the similarity allows.
 
 Texts of equal words are one class, compared once.  Classes are what links
 leave connected, so not every pair is aligned.  First each part of a bucket (a
@@ -38,11 +43,17 @@ from .components import components
 from .decontaminate import words_of
 
 SHINGLE, SIMILAR = 5, 0.8
-FUNCTIONS, TUPLE = 64, 2
+#: Words of a shingle and hash functions; minima of a key.
+FAMILIES, TUPLE = ((SHINGLE, 16), (3, 80)), 2
+KEYS = sum(n for _, n in FAMILIES) // TUPLE
+#: Words up to which a text has keys of rare words, and from which it has sampled ones: of two alike texts both have the first or both the second.
+SHORT, SAMPLED = 40, 32
+#: Slots in which words of short texts are counted, by hash.
+SLOTS = 1 << 18
 #: Samples of labelled words; the share of equal ones from which a pair is aligned (at the least share that SIMILAR allows 0.3 % fall short, at 0.9 none of a million), and from which a text no longer leads.
 SAMPLES, CANDIDATE, COVERED = 64, 0.5, 0.8
-#: The finer sample of the texts that classes keep apart, and its share (at the least share that SIMILAR allows 6 % fall short, at 0.82 one in 200, at 0.85 none of 10,000).
-FINE, FINE_CANDIDATE = 256, 0.62
+#: The finer sample of the texts that classes keep apart, and its share (at the least share that SIMILAR allows one in 200 falls short, at 0.82 none of 10,000).
+FINE, FINE_CANDIDATE = 256, 0.59
 #: Texts of a bucket that are compared in one task.
 BLOCK = 1024
 #: Occurrences of a word beyond which an alignment keeps its places as bits.
@@ -75,12 +86,12 @@ def labelled(h: np.ndarray) -> np.ndarray:
     return np.where(label > 0, mix(h + label.astype(U) * U(0xA24BAED4963EE407)), h)
 
 
-def sampled(h: np.ndarray, functions: int) -> tuple[np.ndarray, np.ndarray]:
-    """A byte of the minimum of each function, and its place."""
+def sampled(h: np.ndarray, functions: int, skip: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """A byte of the minimum of each function after the first `skip`, and its place."""
     base = (h >> U(32)).astype(np.uint32)
     best = np.full(functions, 0xFFFFFFFF, np.uint32)
     where = np.zeros(functions, np.int64)
-    rows, mult, flip = np.arange(functions), _A[:functions, None], _B[:functions, None]
+    rows, mult, flip = np.arange(functions), _A[skip : skip + functions, None], _B[skip : skip + functions, None]
     for a in range(0, len(base), 2048):
         x = (base[a : a + 2048][None, :] ^ flip) * mult
         x ^= x >> np.uint32(15)
@@ -93,14 +104,30 @@ def sampled(h: np.ndarray, functions: int) -> tuple[np.ndarray, np.ndarray]:
     return (best & np.uint32(255)).astype(np.uint8), where
 
 
-def sketch(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of sampled shingles, and a byte of each sampled minimum of labelled words."""
-    h = labelled(shingles(words))
-    place = np.sort(sampled(h, FUNCTIONS)[1].reshape(-1, TUPLE), axis=1)
-    keys = np.arange(len(place)).astype(U)
-    for i in range(TUPLE):
-        keys = mix(keys * U(0x9E3779B97F4A7C15) + h[place[:, i]])
-    return keys, sampled(labelled(shingles(words, 1)), SAMPLES)[0]
+def sampled_keys(words: np.ndarray) -> np.ndarray:
+    """Keys of sampled shingles, of each of FAMILIES in turn."""
+    out, skip = [], 0
+    for size, functions in FAMILIES:
+        h = labelled(shingles(words, size))
+        place = np.sort(sampled(h, functions, skip)[1].reshape(-1, TUPLE), axis=1)
+        keys = np.arange(len(place)).astype(U) + U(size << 20)
+        for i in range(TUPLE):
+            keys = mix(keys * U(0x9E3779B97F4A7C15) + h[place[:, i]])
+        out.append(keys)
+        skip += functions
+    return np.concatenate(out)
+
+
+def rare_keys(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Keys of pairs of the rarest labelled words of a short text, by counts of slots of words, then by hash."""
+    h = labelled(shingles(words, 1))
+    # So many words of an alike text, at least, are shared; all but these, and two more, hold two shared ones.
+    most = len(h) - int(np.ceil(SIMILAR * len(h) - 1e-9)) + 2
+    if len(h) < 4:
+        return h[:0]
+    first = np.sort(h[np.lexsort((h, counts[(h % U(SLOTS)).astype(np.int64)]))[:most]])
+    i, j = np.triu_indices(len(first), 1)
+    return mix(mix(first[i]) * U(0x9E3779B97F4A7C15) + first[j])
 
 
 def near(x, y):
@@ -243,8 +270,8 @@ def _sizes(text):
 def near_duplicates(docs: DataFrame, least: float = SIMILAR, by_text: bool = False) -> DataFrame:
     """doc_id, class_id (the smallest doc_id reachable by links) and kept (whether it is that) for each row of docs(doc_id, text).
 
-    Texts without words (null, empty) link with nothing; a text under six words
-    links with equal words only, as it has one shingle.  A row without doc_id
+    Texts without words (null, empty) link with nothing; under four words an edit
+    is more than the similarity allows.  A row without doc_id
     links with nothing, has no class and is kept.  Rows of one doc_id are one
     document, of all classes their texts fall in.  Other columns are not read;
     no rows give no rows.  by_text adds root, one for each class (null for rows
@@ -276,15 +303,27 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR, by_text: bool = Fal
     ids = common.written(base.select("doc_id", "digest", *more), "near-ids")
     common.dropped(base)
 
+    rarity = _rarity(firsts)
+
     def sketched(batches):
         for b in batches:
-            got = [sketch(np.frombuffer(w.as_buffer(), "<u4")) for w in b.column(2)]
-            keys = np.concatenate([k for k, _ in got]).view(np.int64) if got else np.zeros(0, np.int64)
-            ends = np.arange(len(got) + 1, dtype=np.int32) * (FUNCTIONS // TUPLE)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.int32()), pa.array([x.tobytes() for _, x in got], pa.binary()), pa.ListArray.from_arrays(ends, pa.array(keys))], ["a", "n", "sig", "buckets"])
-
-    sketches = common.written(firsts.mapInArrow(sketched, "a long, n int, sig binary, buckets array<long>"), "near-sketches")
-    every = sketches.select("a", F.posexplode("buckets").alias("t", "bucket"))
+            cid, sizes = np.asarray(b.column(0)), np.asarray(b.column(1))
+            keys, rare, sig = np.empty((b.num_rows, KEYS), U), [], []
+            for i, (n, w) in enumerate(zip(sizes.tolist(), b.column(2))):
+                words = np.frombuffer(w.as_buffer(), "<u4")
+                # Texts without sampled keys hold values that no other has.
+                keys[i] = sampled_keys(words) if n >= SAMPLED else mix(cid[i : i + 1].view(U) * U(KEYS) + np.arange(KEYS, dtype=U))
+                rare.append(rare_keys(words, rarity.value) if n <= SHORT else keys[i, :0])
+                sig.append(sampled(labelled(shingles(words, 1)), SAMPLES)[0].tobytes())
+            ends = np.arange(b.num_rows + 1, dtype=np.int32) * KEYS
+            rare_ends = np.cumsum([0, *map(len, rare)]).astype(np.int32)
+            pairs = np.concatenate(rare) if rare else np.zeros(0, U)
+            lists = [pa.ListArray.from_arrays(e, pa.array(v.reshape(-1).view(np.int64))) for e, v in ((ends, keys), (rare_ends, pairs))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.int32()), pa.array(sig, pa.binary()), *lists], ["a", "n", "sig", "buckets", "rare"])
+
+    sketches = common.written(firsts.mapInArrow(sketched, "a long, n int, sig binary, buckets array<long>, rare array<long>"), "near-sketches")
+    every = sketches.where(F.col("n") >= SAMPLED).select("a", F.posexplode("buckets").alias("t", "bucket"))
+    every = every.union(sketches.where(F.col("n") <= SHORT).select("a", F.lit(0), F.explode("rare")))
     shared = common.written(every.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1"), "near-shared")
     members = common.written(every.join(shared.select("bucket").hint("merge"), "bucket"), "near-members")
     texts = sketches.select("a", "n", "sig")
@@ -316,6 +355,24 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR, by_text: bool = Fal
     return classed(ids, classes, of, more)
 
 
+def _rarity(firsts: DataFrame):
+    """Broadcast counts of the labelled words of short texts, in SLOTS slots by hash: any order that all texts share will do, and rare words make small buckets."""
+
+    def count(batches):
+        held = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            if b.num_rows:
+                h = np.concatenate([labelled(shingles(np.frombuffer(w.as_buffer(), "<u4"), 1)) for w in b.column(0)])
+                held += np.bincount((h % U(SLOTS)).astype(np.int64), minlength=SLOTS)
+        own = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(held[own])], ["slot", "k"])
+
+    found = firsts.where(F.col("n") <= SHORT).select("words").mapInArrow(count, "slot long, k long").groupBy("slot").agg(F.sum("k").alias("k")).toPandas()  # SLOTS rows at most
+    out = np.zeros(SLOTS, np.int64)
+    out[found["slot"].to_numpy(np.int64)] = found["k"].to_numpy(np.int64)
+    return firsts.sparkSession.sparkContext.broadcast(out)
+
+
 def _parts(batches, names):
     """Whole parts, as tables: rows that have equal values in the columns `names`, by which batches are sorted."""
     held = []

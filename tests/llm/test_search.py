@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from quarry.llm import dialogue, maxscore, topk
+from quarry.llm import dialogue, maxscore, near_dup, topk
 
 random.seed(7)
 WORDS = [random.choice("abcdeéß") * random.randint(1, 3) + random.choice(["", "1", "x"]) for _ in range(60)]
@@ -224,3 +224,37 @@ def test_repair_costs_are_least():
             cost, audit, _ = cheapest(list(zip(roles, roles, fault)))
             said = "".join("I" * n + chr(x) for n, x in zip(e.inserted, e.edit)) + "I" * dialogue.last_inserts(int(e.last[0]))
             assert (int(e.cost[0]), said) == (cost, audit), (roles, fault)
+
+
+def planted(rng, n: int, least: float, kind: str):
+    """A text of n words and a copy with as many word edits as `least` allows: at random places, or evenly spread ones."""
+    words = [f"w{x}" for x in np.minimum(rng.zipf(1.3, n), 20_000)]
+    edits = int((1 - least) * n + 1e-9)
+    copy = list(words)
+    places = sorted(rng.choice(n, edits, replace=False).tolist() if kind == "random" else [int((i + 0.5) * n / edits) for i in range(edits)], reverse=True)
+    for p in places:
+        how = rng.integers(3) if kind == "random" else 0
+        if how == 1:
+            del copy[p]
+        else:
+            copy[p : p + (how == 0)] = [f"v{rng.integers(1 << 40)}"]
+    return " ".join(words), " ".join(copy)
+
+
+def test_recall_of_near_duplicates_by_length_and_similarity(spark):
+    rng = np.random.default_rng(2)
+    cells = [(n, s, k) for n in (4, 5, 6, 8, 10, 12, 15, 20, 24, 26, 30, 31, 40, 60, 100, 200) for s in (0.8, 0.82, 0.85, 0.9) for k in ("random", "even") if int((1 - s) * n + 1e-9)]
+    rows, pairs = [], []
+    for c in cells:
+        for _ in range(40):
+            a, b = planted(rng, *c)
+            one, two = ([int(w[1:]) + (w[0] == "v") * (1 << 50) for w in t.split()] for t in (a, b))
+            if near_dup.similarity(np.array(one, np.uint64), np.array(two, np.uint64)) >= 0.8:
+                pairs.append((c, len(rows), len(rows) + 1))
+                rows += [(len(rows), a), (len(rows) + 1, b)]
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found, every = Counter(c for c, i, j in pairs if got[i] == got[j]), Counter(c for c, _, _ in pairs)
+    low = {c: (found[c], n) for c, n in every.items() if n > 20 and found[c] < (0.9 if c[2] == "random" else 0.8) * n}
+    print({c: round(found[c] / n, 3) for c, n in every.items() if found[c] < n}, sum(found.values()) / len(pairs))
+    assert not low and sum(found.values()) >= 0.97 * len(pairs)
+    assert all(found[c] == n for c, n in every.items() if c[0] <= 24)
