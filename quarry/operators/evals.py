@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,12 +66,14 @@ def passes(mean: Column, inverted: Column) -> Column:
 
 
 def structure(precision: Column, recall: Column, lines: Column) -> Column:
-    """The composite of file precision, file recall and line similarity."""
-    return F.lit(STRUCTURE[0]) * precision + F.lit(STRUCTURE[1]) * recall + F.lit(STRUCTURE[2]) * lines
+    """The composite of file precision, file recall and line similarity, as a decimal of parts with six places: so a score that stands on a mark is on it."""
+    weighted = [F.lit(Decimal(str(w))) * x.cast("decimal(12,6)") for w, x in zip(STRUCTURE, (precision, recall, lines))]
+    return weighted[0] + weighted[1] + weighted[2]
 
 
 def structure_passes(score: Column, inverted: Column) -> Column:
-    return F.when(inverted, score < STRUCTURE_INVERTED).otherwise(score >= STRUCTURE_PASS)
+    low, mark = (F.lit(Decimal(str(x))) for x in (STRUCTURE_INVERTED, STRUCTURE_PASS))
+    return F.when(inverted, score < low).otherwise(score >= mark)
 
 
 def advisory(rate: Column) -> Column:

@@ -186,9 +186,9 @@ def oldest(log: DataFrame, key: str, seq: str, capacity: int) -> DataFrame:
     return ring(log, key, seq, capacity).groupBy(key).agg(F.min(seq).alias("oldest_seq"), F.count("*").alias("held"))
 
 
-def recent(audit: DataFrame, limit: int, operation: str | None = None, status: str | None = None, order: str = "ts") -> DataFrame:
-    """The newest audit entries, of an operation or status if one is given."""
+def recent(audit: DataFrame, limit: int, operation: str | None = None, status: str | None = None, order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
+    """The newest audit entries, of an operation or status if one is given; entries of one time by the later columns of `order`."""
     for c, v in (("operation", operation), ("status", status)):
         if v is not None:
             audit = audit.where(F.col(c) == v)
-    return audit.orderBy(F.desc(order)).limit(int(limit))
+    return audit.orderBy(*[F.desc(c) for c in order]).limit(int(limit))

@@ -16,12 +16,6 @@ FEATURES = (
     ("module_tree", ("label_Module",), ("label_Crate", "rel_CONTAINS")), ("graph_query", ("ping",), ("nodes",)),
 )
 SEVERITY = ("critical", "high", "medium", "low")
-# Known issues, their severity and title.
-ISSUES = (
-    ("GAP-001", "medium", "USES_TYPE relationships not generated"), ("GAP-002", "low", "Module hierarchy incomplete"), ("GAP-003", "medium", "Generic type parameters not tracked"),
-    ("GAP-004", "low", "Doc comments may be truncated"), ("GAP-005", "high", "Macro-expanded code not indexed"), ("GAP-006", "medium", "Cross-crate calls not fully resolved"),
-    ("GAP-007", "low", "Associated types not tracked"), ("GAP-008", "medium", "Semantic search limited to functions"),
-)
 
 
 def counts(items: DataFrame, nodes: DataFrame, edges: DataFrame, points: DataFrame, model: bool = True) -> DataFrame:
@@ -63,10 +57,6 @@ def recommendations(found: DataFrame) -> DataFrame:
     return found.select(F.explode(rows).alias("r")).where("r.holds").orderBy("r.urgency", "r.at").select("r.priority", "r.action")
 
 
-def known_issues(spark) -> DataFrame:
-    return spark.createDataFrame(list(ISSUES), "id string, severity string, title string")
-
-
 def workspace_stats(items: DataFrame, nodes: DataFrame, edges: DataFrame, points: DataFrame, workspace: str, started: Column | None = None, done: Column | None = None) -> DataFrame:
     """One row: what each store holds of a workspace, how far graph and vectors are from the tables (signed), and how well it is apart.
 

@@ -37,14 +37,6 @@ def finished(stages: DataFrame) -> DataFrame:
     return rows.select("run_id", status.alias("status"), "items", "failed", "seconds", F.to_json(F.struct(listed.alias("stages"))).alias("metadata"))
 
 
-def rates(samples: DataFrame, ts: str, value: str, minutes: int, *by: str) -> DataFrame:
-    """Increase a second of a counter over windows of minutes, by group; a fall is a restart and counts from 0."""
-    w = Window.partitionBy(*by).orderBy(ts)
-    was = F.lag(value).over(w)
-    rows = samples.withColumn("_d", F.when(F.col(value) >= was, F.col(value) - was).otherwise(F.when(was.isNotNull(), F.col(value)).otherwise(F.lit(0.0))))
-    return rows.groupBy(F.window(ts, f"{minutes} minutes")["start"].alias("bucket"), *by).agg((F.sum("_d") / (60.0 * minutes)).alias("rate"))
-
-
 # -- gates -----------------------------------------------------------------------
 
 
@@ -56,7 +48,7 @@ def items_without_file(items: DataFrame) -> DataFrame:
 
 def sample_in_graph(items: DataFrame, nodes: DataFrame, size: int = SAMPLE, seed: int = 0) -> DataFrame:
     """Gate before embedding: of `size` items by a seeded random order, how many the graph lacks; it passes with 0, or without items."""
-    some = items.select("fqn").orderBy(F.xxhash64("fqn", F.lit(seed)), "fqn").limit(size)
+    some = items.select("fqn").orderBy(F.md5(F.concat("fqn", F.lit(str(seed))).cast("binary")), "fqn").limit(size)
     held = some.join(nodes.select("fqn", F.lit(True).alias("_in")).distinct(), "fqn", "left")
     return held.agg(F.count("*").alias("sampled"), F.count_if(F.col("_in").isNull()).alias("missing")).withColumn("passed", F.col("missing") == 0)
 
@@ -177,14 +169,14 @@ def leak_scan(kinds: dict[str, tuple[DataFrame, DataFrame, str]]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def alerts(gauges: DataFrame, now: Column, rules=ALERTS) -> DataFrame:
-    """gauge, value, severity of rules that hold: every sample since the rule's minutes began is above its threshold, and so is the last one before."""
+def alerts(gauges: DataFrame, now: Column, rules=ALERTS, tie: str = "value") -> DataFrame:
+    """gauge, value, severity of rules that hold: every sample since the rule's minutes began is above its threshold, and so is the last one before; of samples of one time the last by `tie`."""
     spec = gauges.sparkSession.createDataFrame([(g, float(v), m, s) for g, v, m, s in rules], "gauge string, threshold double, minutes int, severity string")
     rows = gauges.where(F.col("ts").cast("timestamp") <= now.cast("timestamp")).join(spec, "gauge")
     since = now.cast("timestamp") - F.make_dt_interval(mins=F.col("minutes"))
     late, over = F.col("ts").cast("timestamp") > since, F.col("value") > F.col("threshold")
     out = rows.groupBy("gauge", "severity").agg(
-        F.max_by("value", "ts").alias("value"), F.bool_and(F.when(late, over)).alias("_since"), F.max_by(F.when(~late, over), F.when(~late, F.col("ts"))).alias("_before"),
+        F.max_by("value", F.struct("ts", tie)).alias("value"), F.bool_and(F.when(late, over)).alias("_since"), F.max_by(F.when(~late, over), F.when(~late, F.struct("ts", tie))).alias("_before"),
         F.bool_or(late).alias("_any"),
     )
     return out.where("coalesce(_since, true) AND coalesce(_before, false)").select("gauge", "value", "severity")

@@ -17,7 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import Graph, crate_of, parent_of
+from .graph import Graph, crate_of, parent_of, with_placeholders
+from .lineage import cut
 
 # Labels of item types, what is no type of the code's own, and words that look like calls.
 LABEL_OF = {"function": "Function", "struct": "Struct", "enum": "Enum", "trait": "Trait", "impl": "Impl", "type_alias": "TypeAlias", "const": "Const", "static": "Static", "macro": "Macro", "module": "Module"}
@@ -190,6 +191,22 @@ def named_below(rows: DataFrame, keep: str = "name") -> DataFrame:
     return rows.where(F.col("fqn").contains("::")).select("fqn", keep, F.explode(above).alias("module")).groupBy("module", keep).agg(F.min("fqn").alias("inside"))
 
 
+def loose_targets(targets: DataFrame, functions: DataFrame) -> DataFrame:
+    """target, loose: for targets(target, name, front) the least full name of a function of that name with the front somewhere inside.
+
+    A front begins at a `::`, so a full name holds it if it stands at one of its
+    own.  Functions are cut there to the lengths that fronts of their name have,
+    and joined by equal texts: a common name costs its functions and its targets,
+    not their pairs.
+    """
+    sizes = targets.select("name", F.length("front").alias("size")).distinct()
+    rows = functions.join(sizes, "name")
+    starts = F.filter(F.sequence(F.lit(1), F.length("fqn")), lambda i: F.substring(F.col("fqn"), i, F.lit(2)) == "::")
+    cuts = rows.select("name", "fqn", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("fqn"), i, F.col("size"))))).alias("front"), "size")
+    least = cuts.where(F.length("front") == F.col("size")).groupBy("name", "front").agg(F.min("fqn").alias("loose"))
+    return targets.join(least, ["name", "front"]).select("target", "loose")
+
+
 def resolved_calls(calls: DataFrame, functions: DataFrame) -> DataFrame:
     """calls(fqn, line, target) with callee, for the targets that lead to a function.
 
@@ -210,11 +227,9 @@ def resolved_calls(calls: DataFrame, functions: DataFrame) -> DataFrame:
     paths = paths.join(full, F.col("target") == F.col("exact"), "left")
     paths = paths.join(full.select(F.col("exact").alias("beside")), _below(F.col("module"), F.col("target")) == F.col("beside"), "left")
     paths = paths.join(suffixes(functions), F.col("target") == F.col("tail"), "left").withColumn("callee", F.coalesce("exact", "beside", "tail_fqn"))
-    # What is left is looked for by name once for each distinct target.
     open_ = paths.where("callee IS NULL").select("target").distinct().withColumn("name", F.regexp_extract("target", r"([^:]*)$", 1))
-    front = F.concat(F.lit("::"), F.regexp_extract("target", r"^(.*)::[^:]*$", 1))
-    loose = open_.where("name <> ''").join(functions, "name").where(F.col("fqn").contains(front)).groupBy("target").agg(F.min("fqn").alias("loose"))
-    paths = paths.join(loose, "target", "left").withColumn("callee", F.coalesce("callee", "loose"))
+    open_ = open_.where("name <> ''").withColumn("front", F.concat(F.lit("::"), F.regexp_extract("target", r"^(.*)::[^:]*$", 1)))
+    paths = paths.join(loose_targets(open_, functions), "target", "left").withColumn("callee", F.coalesce("callee", "loose"))
     return plain.select("fqn", "line", "target", "callee").unionByName(paths.select("fqn", "line", "target", "callee")).where("callee IS NOT NULL AND callee <> fqn")
 
 
@@ -249,7 +264,7 @@ def calls(items: DataFrame, sites: DataFrame | None = None) -> DataFrame:
     if sites is not None:
         known = _edges(sites, F.col("caller_fqn"), F.col("callee_fqn"), "CALLS", F.col("line_number"), F.col("dispatch"))
         rest = items.join(sites.select(F.col("caller_fqn").alias("fqn")).distinct(), "fqn", "left_anti")
-    static = resolved_calls(static_calls(rest), functions)
+    static = cut(resolved_calls(static_calls(rest), functions))  # used twice
     dynamic = method_calls(rest, functions).join(static.select("fqn", "callee").distinct(), ["fqn", "callee"], "left_anti")
     out = _edges(static, F.col("fqn"), F.col("callee"), "CALLS", F.col("line"), F.lit("static")).unionByName(_edges(dynamic, F.col("fqn"), F.col("callee"), "CALLS", F.col("line"), F.lit("dynamic")))
     return out if known is None else known.unionByName(out)
@@ -352,12 +367,19 @@ def dependencies(manifests: DataFrame, crates: DataFrame) -> DataFrame:
     return _edges(rows.distinct(), F.col("crate_name"), F.col("target"), "DEPENDS_ON", detail=F.col("kind"))
 
 
-def graph(items: DataFrame, sites: DataFrame | None = None, manifests: DataFrame | None = None) -> Graph:
-    """The graph of items, with placeholder nodes for types and traits that are none of them; one edge for each (src, rel, dst, line, detail)."""
-    implement, own, outside = implements(items)
+def raw_edges(items: DataFrame, sites: DataFrame | None = None, manifests: DataFrame | None = None) -> DataFrame:
+    """All edges as their families give them, with `origin`, the family's place in the order they are stored in."""
+    implement, own, _ = implements(items)
     parts = [contains(items), implement, own, fields(items), variants(items), extends(items), calls(items, sites), uses_type(items), has_method(items)]
     if manifests is not None:
         parts.append(dependencies(manifests, items.select(F.coalesce("crate_name", crate_of("fqn")).alias("crate_name")).distinct()))
-    nodes = nodes_of(items)
-    nodes = nodes.withColumn("external", F.lit(False)).unionByName(outside, allowMissingColumns=True)
-    return Graph(nodes, reduce(DataFrame.unionByName, parts).distinct())
+    return reduce(DataFrame.unionByName, [p.withColumn("origin", F.lit(i)) for i, p in enumerate(parts)])
+
+
+def graph(items: DataFrame, sites: DataFrame | None = None, manifests: DataFrame | None = None) -> Graph:
+    """The graph of items, settled: one edge for each (src, rel, dst), with the line and detail of its last site, and placeholder nodes for types and traits that are no items."""
+    nodes = nodes_of(items).withColumn("external", F.lit(False)).unionByName(implements(items)[2], allowMissingColumns=True)
+    edges = cut(raw_edges(items, sites, manifests))
+    order = F.struct("origin", F.coalesce("line", F.lit(-1)), F.coalesce("detail", F.lit("")))
+    out = with_placeholders(nodes, edges, order=order)
+    return Graph(out.nodes, out.edges.drop("origin"))

@@ -358,12 +358,40 @@ def first(df: DataFrame, limit=None, *order: str) -> DataFrame:
     return df if limit is None else df.orderBy(*(order or ("fqn",))).limit(int(limit))
 
 
-def with_placeholders(nodes: DataFrame, edges: DataFrame, open_rels=("HAS_FIELD", "HAS_VARIANT", "USES_TYPE", "FOR", "EXTENDS")) -> Graph:
-    """Edges as they are stored: those of open_rels make a missing target a placeholder with external = true; others with a missing end are dropped; one edge for each (src, rel, dst)."""
-    known = nodes.select("fqn")
-    loose = F.col("rel").isin(*open_rels)
-    e = edges.dropDuplicates(["src", "rel", "dst"]).join(known.withColumnRenamed("fqn", "src"), "src", "left_semi")
-    shut = e.where(~loose).join(known.withColumnRenamed("fqn", "dst"), "dst", "left_semi").select(e.columns)
-    free = e.where(loose)
-    new = free.select(F.col("dst").alias("fqn")).distinct().join(known, "fqn", "left_anti").withColumn("external", F.lit(True))
-    return Graph(nodes.withColumn("external", F.lit(False)).unionByName(new, allowMissingColumns=True), shut.unionByName(free))
+# Relationships whose missing target becomes a node of its own, and the label it gets.
+OPEN_RELS = {"HAS_FIELD": "Type", "HAS_VARIANT": "Enum", "USES_TYPE": "Type", "FOR": "Type", "EXTENDS": "Trait"}
+
+
+def settled_edges(edges: DataFrame, order: Column) -> DataFrame:
+    """One edge for each (src, rel, dst) with `sites`, how many there were; of each further property the last that isn't null, by `order`. An aggregate, so a pair's sites are combined before the shuffle."""
+    rest = [c for c in edges.columns if c not in ("src", "rel", "dst")]
+    last = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), order)).alias(c) for c in rest]
+    return edges.groupBy("src", "rel", "dst").agg(*last, F.count("*").alias("sites"))
+
+
+def dangling(nodes: DataFrame, edges: DataFrame, open_rels=tuple(OPEN_RELS)) -> DataFrame:
+    """rel, reason, cnt of the edges that with_placeholders() drops: their source is missing, or their target and that makes no node."""
+    known = nodes.select("fqn").distinct()
+    e = edges.join(known.select(F.col("fqn").alias("src"), F.lit(True).alias("_s")), "src", "left").join(known.select(F.col("fqn").alias("dst"), F.lit(True).alias("_d")), "dst", "left")
+    reason = F.when(F.col("_s").isNull(), "source").when(F.col("_d").isNull() & ~F.col("rel").isin(*open_rels), "target")
+    return e.withColumn("reason", reason).where("reason IS NOT NULL").groupBy("rel", "reason").agg(F.count("*").alias("cnt"))
+
+
+def with_placeholders(nodes: DataFrame, edges: DataFrame, open_rels=tuple(OPEN_RELS), order: Column | None = None) -> Graph:
+    """The graph as it is stored.
+
+    Edges are settled_edges(), the last properties by `order` (without it, by the
+    further columns themselves).  One whose source is missing is dropped; a
+    missing target becomes a node with external = true if its relationship is of
+    open_rels, else its edge is dropped too.  `resolved` tells whether an edge's
+    target is an item and not a guess: false if its node is external.
+    """
+    rest = [c for c in edges.columns if c not in ("src", "rel", "dst")]
+    e = settled_edges(edges, F.struct(*(rest or ["dst"])) if order is None else order)
+    nodes = nodes if "external" in nodes.columns else nodes.withColumn("external", F.lit(False))
+    known = nodes.groupBy("fqn").agg(F.bool_and(F.coalesce("external", F.lit(False))).alias("_external"))
+    e = e.join(known.select(F.col("fqn").alias("src")), "src", "left_semi").join(known.withColumnRenamed("fqn", "dst"), "dst", "left")
+    e = e.where(F.col("_external").isNotNull() | F.col("rel").isin(*open_rels)).withColumn("resolved", ~F.coalesce("_external", F.lit(True)))
+    label = F.coalesce(*[F.when(F.col("rel") == r, F.lit(OPEN_RELS.get(r, "Type"))) for r in open_rels])
+    new = e.where("_external IS NULL").groupBy(F.col("dst").alias("fqn")).agg(F.min(label).alias("label")).withColumn("name", F.col("fqn")).withColumn("external", F.lit(True))
+    return Graph(nodes.unionByName(new, allowMissingColumns=True), e.drop("_external"))

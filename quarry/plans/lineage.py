@@ -24,3 +24,17 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{root.rstrip('/')}/quarry-cut-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def changed(spark, *paths: str) -> tuple[int, ...]:
+    """When each path was last written, in milliseconds: of a folder the latest of its files; 0 if it isn't there."""
+    jvm, out = spark.sparkContext._jvm, []
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(p):
+            out.append(0)
+            continue
+        at = fs.getFileStatus(p)
+        out.append(max([at.getModificationTime(), *(f.getModificationTime() for f in (fs.listStatus(p) if at.isDirectory() else []))]))
+    return tuple(out)

@@ -3,10 +3,13 @@
 A statement passes if every node of its plan reads, every table is allowed (a name
 that a WITH clause binds is none) and every function is on the list below; so
 neither a write nor a function that reaches outside the tables can be asked for.
+Names are compared part by part, as the parser gives them: a WITH clause binds only
+names of one part, so a file or another schema's table can't pass for one.
 """
 
 from __future__ import annotations
 
+import re
 import threading
 import uuid
 from contextlib import contextmanager
@@ -48,6 +51,11 @@ def _each(seq):
     return (seq.apply(i) for i in range(seq.length()))
 
 
+def _written(parts: list[str]) -> str:
+    """A name of several parts as text; a part that is no plain word is quoted, so no other name is written alike."""
+    return ".".join(p if re.fullmatch(r"\w+", p) else f"`{p.replace('`', '``')}`" for p in parts)
+
+
 def _kind(node) -> str:
     return node.getClass().getSimpleName()
 
@@ -83,9 +91,9 @@ def _walk(plan, names: set[str], bound: frozenset[str]) -> None:
     if kind == "UnresolvedTableValuedFunction":
         _called(plan.name().mkString("."), _TABLE_FUNCTIONS)
     if kind == "UnresolvedRelation":
-        name = plan.tableName().replace("`", "").lower()
-        if name not in bound:
-            names.add(name)
+        parts = [p.lower() for p in _each(plan.multipartIdentifier())]
+        if len(parts) > 1 or parts[0] not in bound:
+            names.add(_written(parts))
     for e in _each(plan.expressions()):
         _expression(e)
     if kind == "Generate":
@@ -97,7 +105,7 @@ def _walk(plan, names: set[str], bound: frozenset[str]) -> None:
 
 
 def tables_of(spark: SparkSession, query: str) -> set[str]:
-    """Names of all tables a query reads, in any clause; a common table expression's name isn't one."""
+    """Names of all tables a query reads, in any clause, their parts joined by dots (quoted unless plain words); a common table expression's name isn't one."""
     names: set[str] = set()
     _walk(spark._jsparkSession.sessionState().sqlParser().parsePlan(query), names, frozenset())
     return names

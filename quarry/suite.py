@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from .functions import chunks
 from .functions import scalar as S
-from .operators import audit, evals, eventlog, listing, search, tables
+from .operators import audit, evals, eventlog, listing, metrics, search, tables
 from .plans import sqlgate
 from .plans.graph import Graph, crate_of, first, parent_of, with_placeholders
-from .plans.lineage import cut
+from .plans.lineage import changed, cut
 from .sources import files
 
 QUERIES: dict = {}
@@ -43,12 +43,12 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
 # -- the graph ---------------------------------------------------------------
 
 
-_stored: dict[tuple[str, str], Graph] = {}
+_stored: dict[tuple, Graph] = {}
 
 
 def graph_of(spark: SparkSession, d: str) -> Graph:
-    """The graph of a folder of tables, stored once for a session: queries read it, they don't build it."""
-    key = (spark.sparkContext.applicationId, d)
+    """The graph of a folder of tables, stored once for a session: queries read it, they don't build it; tables written anew are read anew."""
+    key = (spark.sparkContext.applicationId, d, *changed(spark, *(f"{d}/{x}.parquet" for x in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"))))
     if key not in _stored:
         g = made_graph(spark, d)
         _stored[key] = Graph(cut(g.nodes), cut(g.edges))
@@ -176,7 +176,6 @@ gq("graph_consistency_fqns", f"SELECT DISTINCT fqn FROM nodes WHERE {ITEMS}")(la
 gq("graph_consistency_fqns_crate", f"SELECT DISTINCT fqn FROM nodes WHERE {ITEMS} AND split_part(fqn, '::', 1) = '{CRATE}'")(lambda g: g.consistency_fqns(CRATE))
 gq("graph_consistency_count", f"SELECT CAST(coalesce(sum(c), 0) AS BIGINT) AS cnt FROM (SELECT DISTINCT count(*) AS c FROM nodes WHERE {ITEMS} GROUP BY label)")(lambda g: g.consistency_count())
 gq("graph_module_tree", f"SELECT n.fqn, n.label, CASE WHEN n.label = 'Crate' THEN NULL ELSE coalesce(e.src, '{CRATE}') END AS parent, CAST(len(string_split(n.fqn, '::')) - 1 AS INTEGER) AS depth FROM nodes n LEFT JOIN edges e ON e.dst = n.fqn AND e.rel = 'CONTAINS' WHERE split_part(n.fqn, '::', 1) = '{CRATE}'")(lambda g: g.module_tree(CRATE))
-gq("graph_ping", "SELECT 1 AS ok")(lambda g: g.query("ping"))
 
 
 @query("graph_item_detail", G + f", f AS (SELECT fqn FROM nodes WHERE name = '{NAME}') SELECT fqn, name, label, CAST(start_line AS BIGINT) AS start_line, (SELECT coalesce(string_agg(DISTINCT src, ',' ORDER BY src), '') FROM edges WHERE rel = 'CALLS' AND dst IN (SELECT fqn FROM f)) AS callers, (SELECT coalesce(string_agg(DISTINCT dst, ',' ORDER BY dst), '') FROM edges WHERE rel = 'CALLS' AND src IN (SELECT fqn FROM f)) AS callees FROM nodes WHERE name = '{NAME}'")
@@ -260,9 +259,9 @@ query("agg_group_order", "SELECT o_orderstatus AS status, count(*) AS cnt FROM o
 query("agg_crate_distinct", "SELECT DISTINCT split_part(event_type || '::x', '::', 1) AS crate FROM events")(lambda s, d: t(s, d, "events").select(crate_of(F.concat("event_type", F.lit("::x"))).alias("crate")).distinct())
 query("agg_population_stats", "SELECT l_returnflag, round(avg(l_quantity), 6) AS mean, round(var_pop(l_quantity), 6) AS variance, round(stddev_pop(l_quantity), 6) AS spread FROM lineitem GROUP BY 1")(lambda s, d: t(s, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.avg("l_quantity"), 6).alias("mean"), F.round(F.var_pop("l_quantity"), 6).alias("variance"), F.round(F.stddev_pop("l_quantity"), 6).alias("spread")))
 query("agg_cube", "SELECT l_returnflag, l_linestatus, count(*) AS cnt FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")(lambda s, d: t(s, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("cnt")))
-query("agg_percentiles", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1")(lambda s, d: t(s, d, "events").groupBy("event_type").agg(F.round(F.percentile("value", 0.5), 6).alias("p50"), F.round(F.percentile("value", 0.95), 6).alias("p95")))
+query("agg_percentiles", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1")(lambda s, d: metrics.exact_quantiles(t(s, d, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95}).select("event_type", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95")))
 query("agg_mean_seconds", "SELECT user_id, coalesce(round(avg(epoch(ts) - epoch(was)), 3), 0) AS mean_seconds FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS was FROM events) GROUP BY user_id")(
-    lambda s, d: s.sql("SELECT user_id, coalesce(round(avg((unix_micros(timestamp(ts)) - unix_micros(timestamp(was))) / 1e6D), 3), 0D) AS mean_seconds FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS was FROM {e}) GROUP BY user_id", e=t(s, d, "events"))
+    lambda s, d: metrics.mean_gap(t(s, d, "events"), "user_id", "ts", "event_id", "mean_seconds").withColumn("mean_seconds", F.coalesce(F.round("mean_seconds", 3), F.lit(0.0)))
 )
 query("top_latest_row", "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS r FROM orders) WHERE r = 1")(lambda s, d: tables.latest(t(s, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], "o_orderkey"))
 query("top_recent_limit", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")(lambda s, d: t(s, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(50))
@@ -462,4 +461,4 @@ query("rows_as_json", """SELECT '{"r_regionkey":' || r_regionkey || ',"r_name":"
 query("first_rows", "SELECT n_name FROM nation ORDER BY n_name LIMIT 5")(lambda s, d: first(t(s, d, "nation").select("n_name"), 5, "n_name"))
 
 # Further queries of the suite register themselves when they are imported.
-from . import suite_code, suite_ops  # noqa: E402, F401
+from . import suite_code, suite_match, suite_ops  # noqa: E402, F401

@@ -13,7 +13,8 @@ from .functions import extract, itemtext, parse
 from .functions import scalar as S
 from .operators import embedding, listing
 from .plans import build
-from .suite import query, t
+from .plans.graph import dangling
+from .suite import SQL, query, t
 
 ITEMS = """WITH nc AS (SELECT count(*) AS nc FROM customer), ns AS (SELECT count(*) AS ns FROM supplier),
 mo AS (SELECT n_nationkey AS y, 'r' || n_regionkey || '::n' || n_nationkey AS m FROM nation),
@@ -95,7 +96,32 @@ CALLS = """, near AS (SELECT m, min(fqn || '::size') AS f FROM su GROUP BY m), s
 _q("build_calls", CALLS + "SELECT *, 'static' AS detail FROM st UNION ALL SELECT cu.fqn, su.fqn || '::size', 3, 'dynamic' FROM cu JOIN su USING (s) WHERE NOT EXISTS (SELECT 1 FROM st WHERE src = cu.fqn AND dst = su.fqn || '::size')", lambda i: _edge(build.calls(i)))
 _q("build_uses_type", """SELECT cu.fqn AS src, su.fqn AS dst, CAST(c % 500 + 1 AS INTEGER) AS line, 'parameter' AS detail FROM cu JOIN su USING (s) UNION ALL SELECT fqn, m || '::E' || y, CAST(c % 500 + 1 AS INTEGER), 'return' FROM cu
  UNION ALL SELECT cu.fqn, su.fqn, 1, 'body' FROM cu JOIN su USING (s) UNION ALL SELECT m || '::T' || b || '_S' || s, CASE WHEN b IN (SELECT b FROM br) THEN 't::T' || b ELSE m || '::T' || b END, 1, 'impl_trait' FROM su UNION ALL SELECT m || '::T' || b || '_S' || s, fqn, 1, 'impl_self_type' FROM su""", lambda i: _edge(build.uses_type(i)))
-_q("build_graph", "SELECT (SELECT count(*) * 5 FROM su) - (SELECT count(*) FROM su) + (SELECT count(*) FROM cu) + (SELECT count(*) * 2 FROM mo) + (SELECT count(*) * 2 FROM br) + (SELECT count(DISTINCT split_part(m, '::', 1)) + 1 FROM mo) + (SELECT count(DISTINCT CASE WHEN b NOT IN (SELECT b FROM br) THEN m || b END) FROM su) AS nodes", lambda i: build.graph(i).nodes.agg(F.count("*").alias("nodes")))
+# The whole graph, settled: families in their order, one edge for each pair, placeholders for what is no item.
+_FAMILIES = (("build_contains", "CONTAINS"), ("build_implements", "IMPLEMENTS"), ("build_for", "FOR"), ("build_has_field", "HAS_FIELD"), ("build_has_variant", "HAS_VARIANT"), ("build_extends", "EXTENDS"), ("build_calls", "CALLS"), ("build_uses_type", "USES_TYPE"), ("build_has_method", "HAS_METHOD"))
+_LINED, _PLAIN_FAMILIES = {"HAS_FIELD", "HAS_VARIANT", "CALLS", "USES_TYPE"}, {"IMPLEMENTS", "FOR", "EXTENDS"}
+
+
+def _family(name, rel, at):
+    body = SQL[name][len(ITEMS):].removeprefix(CALLS)
+    line = "line" if rel in _LINED else "CAST(NULL AS INTEGER)"
+    detail = "CAST(NULL AS VARCHAR)" if rel in _PLAIN_FAMILIES else "CAST(detail AS VARCHAR)"
+    return f"SELECT src, dst, '{rel}' AS rel, {line} AS line, {detail} AS detail, {at} AS origin FROM ({body})"
+
+
+GRAPH_OF_ITEMS = ITEMS + CALLS + f""", raw AS ({" UNION ALL ".join(_family(n, r, i) for i, (n, r) in enumerate(_FAMILIES))}),
+own AS (SELECT m AS fqn, 'Module' AS label FROM mo UNION SELECT fqn, 'Struct' FROM su UNION SELECT m || '::E' || y, 'Enum' FROM mo UNION SELECT 't::T' || b, 'Trait' FROM br UNION SELECT 't::T' || b || '::go', 'Function' FROM br
+ UNION SELECT m || '::T' || b || '_S' || s, 'Impl' FROM su UNION SELECT fqn || '::new', 'Function' FROM su UNION SELECT fqn || '::size', 'Function' FROM su UNION SELECT fqn, 'Function' FROM cu UNION SELECT split_part(m, '::', 1), 'Crate' FROM mo UNION SELECT 't', 'Crate' FROM br),
+guessed AS (SELECT m || '::T' || b AS fqn, min('T' || b || CASE WHEN s % 2 = 0 THEN '<u8>' ELSE '' END) AS name FROM su WHERE b NOT IN (SELECT b FROM br) GROUP BY 1),
+known AS (SELECT fqn, false AS external FROM own UNION SELECT fqn, true FROM guessed),
+e AS (SELECT src, rel, dst, arg_max(line, (origin, coalesce(line, -1), coalesce(detail, ''))) FILTER (line IS NOT NULL) AS line, arg_max(detail, (origin, coalesce(line, -1), coalesce(detail, ''))) FILTER (detail IS NOT NULL) AS detail, count(*) AS sites FROM raw GROUP BY 1, 2, 3),
+stored AS (SELECT e.*, coalesce(NOT external, false) AS resolved, external IS NULL AS fresh FROM e LEFT JOIN known ON dst = fqn WHERE src IN (SELECT fqn FROM known) AND (external IS NOT NULL OR rel IN ('HAS_FIELD', 'HAS_VARIANT', 'USES_TYPE', 'FOR', 'EXTENDS')))
+"""
+query("build_graph", GRAPH_OF_ITEMS + """SELECT fqn, regexp_extract(fqn, '([^:]*)$', 1) AS name, label, false AS external FROM own UNION ALL SELECT fqn, name, 'Trait', true FROM guessed
+ UNION ALL SELECT dst, dst, min(CASE rel WHEN 'HAS_VARIANT' THEN 'Enum' WHEN 'EXTENDS' THEN 'Trait' ELSE 'Type' END), true FROM stored WHERE fresh GROUP BY dst""")(lambda s, d: build.graph(items(s, d)).nodes.select("fqn", "name", "label", "external"))
+query("build_graph_edges", GRAPH_OF_ITEMS + "SELECT src, rel, dst, line, detail, sites, resolved FROM stored")(lambda s, d: build.graph(items(s, d)).edges.select("src", "rel", "dst", "line", "detail", "sites", "resolved"))
+query("graph_dangling", GRAPH_OF_ITEMS + ", i AS (SELECT fqn FROM own WHERE label NOT IN ('Struct', 'Trait')) SELECT rel, CASE WHEN src NOT IN (SELECT fqn FROM i) THEN 'source' ELSE 'target' END AS reason, count(*) AS cnt FROM raw WHERE src NOT IN (SELECT fqn FROM i) OR (dst NOT IN (SELECT fqn FROM i) AND rel NOT IN ('HAS_FIELD', 'HAS_VARIANT', 'USES_TYPE', 'FOR', 'EXTENDS')) GROUP BY 1, 2")(
+    lambda s, d: dangling(build.nodes_of(items(s, d)).where("label NOT IN ('Struct', 'Trait')"), build.raw_edges(items(s, d)))
+)
 _q("item_texts", """SELECT fqn, 'pub struct S' || s || ' { owner, name, pub key }' || chr(10) || 'Documentation: Struct ' || s || '.' || chr(10) || 'Derives: Debug, Clone' || chr(10) || 'Module: ' || m || chr(10) || 'Crate: ' || split_part(m, '::', 1) AS text FROM su
  UNION ALL SELECT m || '::E' || y, 'pub enum E' || y || ' { A' || y || ', B }' || chr(10) || 'No documentation' || chr(10) || 'Derives: none' || chr(10) || 'Module: ' || m || chr(10) || 'Crate: ' || split_part(m, '::', 1) FROM mo
  UNION ALL SELECT 't::T' || b, 'pub trait T' || b || '<U: T' || (b % 25 + 1) || ' + lower> { go }' || chr(10) || 'No documentation' || chr(10) || 'Module: t' || chr(10) || 'Crate: t' FROM br
@@ -105,7 +131,7 @@ _q("item_texts", """SELECT fqn, 'pub struct S' || s || ' { owner, name, pub key
   || '   1: let s: S' || s || ' = S' || s || '::new();' || chr(10) || '   2: f' || o || '(1);' || chr(10) || '   3: s.size();' FROM cu""", lambda i: i.where("NOT fqn RLIKE '::(new|size|go)$'").select("fqn", itemtext.item_text().alias("text")))
 _q("item_payloads", """SELECT 't::T' || b AS fqn, 't' AS crate_name, 't' AS module_path, true AS has_generics, '[{"name":"U","kind":"type","bounds":["T' || (b % 25 + 1) || '","lower"]}]' AS generic_params, CAST(NULL AS VARCHAR) AS attributes FROM br
  UNION ALL SELECT fqn, split_part(m, '::', 1), m, false, NULL, '["#[derive(Debug, Clone)]"]' FROM su""", lambda i: i.where("item_type IN ('trait', 'struct')").withColumn("x", itemtext.item_text()).select(itemtext.payload(F.col("x")).alias("p")).select("p.fqn", "p.crate_name", "p.module_path", "p.has_generics", "p.generic_params", "p.attributes"))
-_q("item_point_ids", "SELECT count(DISTINCT fqn) AS ids, 36 AS size FROM (SELECT fqn FROM su UNION SELECT m || '::T' || b || '_S' || s FROM su)", lambda i: i.where("item_type IN ('struct', 'impl')").select(S.uuid5("fqn").alias("u")).agg(F.count_distinct("u").alias("ids"), F.max(F.length("u")).alias("size")))
+_q("item_point_ids", ", x AS (SELECT fqn AS key FROM su UNION SELECT m || '::T' || b || '_S' || s FROM su), p AS (SELECT *, sha1(unhex('" + S.NAMESPACE + "') || encode(key)) AS h FROM x) SELECT key AS fqn, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', CAST('0x' || substr(h, 17, 1) AS INTEGER) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id FROM p", lambda i: i.where("item_type IN ('struct', 'impl')").select("fqn", S.uuid5("fqn").alias("id")))
 _q("impl_self_types", "SELECT m || '::T' || b || '_S' || s AS fqn, 'S' || s AS self_type, fqn || '::' AS prefix FROM su", lambda i: i.where("item_type = 'impl'").select("fqn", extract.self_type().alias("self_type"), extract.method_prefix().alias("prefix")))
 
 # -- pattern finds in files: a document of lines for each supplier ----------------
@@ -186,11 +212,22 @@ query("call_dispatch", "WITH c AS (SELECT 'f' || l_orderkey AS f, 'S' || l_suppk
         t(s, d, "lineitem").select(_cat("f", [F.col("l_orderkey")]).alias("caller_fqn"), F.when(F.col("l_linenumber") == 1, "m::go").alias("callee"), F.when(F.col("l_linenumber") > 1, _cat("S", [F.col("l_suppkey")])).alias("receiver"), F.lit("go").alias("method")),
         t(s, d, "supplier").where("s_suppkey % 2 = 0").select(_cat("S", [F.col("s_suppkey")]).alias("self_type"), F.lit("go").alias("method"), _cat("m::T_S", [F.col("s_suppkey")]).alias("impl_fqn")))
 )
-query("item_points", "SELECT 36 AS id_size, 2 AS dims, CAST((SELECT count(*) FROM supplier) AS BIGINT) AS points, CAST((SELECT count(*) FROM supplier) AS BIGINT) AS doc_points")(lambda s, d: _points(s, d))
+# Points in full: identifiers made of names, letters of the embedded texts as a stand-in for a model, and payloads.
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def letter_counts(texts):
+    """A stand-in for a model: how often each letter stands in a text."""
+    return [[float(x.count(c)) for c in _LETTERS] for x in texts]
 
 
-def _points(s, d):
-    i = items(s, d).where("item_type = 'struct'")
-    embed = lambda texts: [[float(len(x)), 1.0] for x in texts]
-    one = embedding.item_points(i, embed).agg(F.max(F.length("id")).alias("id_size"), F.max(F.size("vector")).alias("dims"), F.count_distinct("id").alias("points"))
-    return one.crossJoin(embedding.doc_points(i, embed).agg(F.count_distinct("id").alias("doc_points")))
+_VEC = "list_transform(string_split('" + _LETTERS + "', ''), lambda c: CAST(length(text) - length(replace(text, c, '')) AS DOUBLE))"
+_UUID5 = "SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', CAST('0x' || substr(h, 17, 1) AS INTEGER) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12)"
+_HASHED = f"sha1(unhex('{S.NAMESPACE}') || encode(key))"
+query("item_points", ITEMS + f""", x AS (SELECT fqn AS key, m, s, 'pub struct S' || s || ' {{ owner, name, pub key }}' || chr(10) || 'Documentation: Struct ' || s || '.' || chr(10) || 'Derives: Debug, Clone' || chr(10) || 'Module: ' || m || chr(10) || 'Crate: ' || split_part(m, '::', 1) AS text FROM su),
+ p AS (SELECT *, {_HASHED} AS h FROM x) SELECT ({_UUID5}) AS id, {_VEC} AS vector, key AS fqn, split_part(m, '::', 1) AS crate_name, m AS module_path FROM p""")(
+    lambda s, d: embedding.item_points(items(s, d).where("item_type = 'struct'"), letter_counts).select("id", "vector", "payload.fqn", "payload.crate_name", "payload.module_path")
+)
+query("doc_points", ITEMS + f""", x AS (SELECT fqn, 'Struct ' || s || '.' AS text, fqn || ':doc:0' AS key FROM su), p AS (SELECT *, {_HASHED} AS h FROM x) SELECT ({_UUID5}) AS id, {_VEC} AS vector, fqn AS source_fqn, 'struct' AS source_item_type, 0 AS chunk_index, text FROM p""")(
+    lambda s, d: embedding.doc_points(items(s, d).where("item_type = 'struct'"), letter_counts)
+)

@@ -7,10 +7,12 @@ artifacts and runs; customers for items and workspaces; lineitems for case resul
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators import audit, evals, eventlog, gaps, listing, runs, search, tables
+from .operators import audit, evals, eventlog, gaps, listing, metrics, runs, search, tables
 from .plans import build
 from .plans.graph import crate_of
 from .suite import CRATE, VECTOR, WS, graph_of, query, stores, t, tenant_edges, tenant_nodes
@@ -65,7 +67,9 @@ def _customers(s, d):
 
 
 query("gate_before_graph", f"SELECT 'c' || k AS crate_name, count(*) FILTER (WHERE source_file_id IS NULL) AS orphans, count(*) FILTER (WHERE source_file_id IS NULL) = 0 AS passed FROM ({ITEMS_OF}) GROUP BY k")(lambda s, d: runs.items_without_file(_customers(s, d)))
-query("gate_before_embed", "SELECT 10 AS sampled, 0 AS missing, true AS passed UNION ALL SELECT 10, 10, false UNION ALL SELECT 0, 0, true")(lambda s, d: runs.sample_in_graph(_customers(s, d), _customers(s, d)).union(runs.sample_in_graph(_customers(s, d), _customers(s, d).where("false"))).union(runs.sample_in_graph(_customers(s, d).where("false"), _customers(s, d))).select(F.col("sampled").cast("int"), F.col("missing").cast("int"), "passed"))
+query("gate_before_embed", " UNION ALL ".join(f"SELECT {seed} AS seed, count(*) AS sampled, count(*) FILTER (WHERE k % {m} = 0) AS missing, count(*) FILTER (WHERE k % {m} = 0) = 0 AS passed FROM (SELECT CAST(split_part(fqn, '::f', 2) AS BIGINT) AS k FROM (SELECT 'c' || c_nationkey || '::f' || c_custkey AS fqn FROM customer) ORDER BY md5(fqn || '{seed}'), fqn LIMIT {size})" for seed, m, size in ((0, 4, 10), (1, 1000003, 10), (2, 3, 100))))(
+    lambda s, d: reduce(DataFrame.unionByName, [runs.sample_in_graph(_customers(s, d), _customers(s, d).where(F.split_part("fqn", F.lit("::f"), F.lit(2)).cast("long") % m != 0), size, seed).select(F.lit(seed).alias("seed"), "*") for seed, m, size in ((0, 4, 10), (1, 1000003, 10), (2, 3, 100))])
+)
 query("partial_refs", "WITH p AS (SELECT k AS id, k IN (SELECT doc_id FROM documents) AS a, k IN (SELECT doc_id FROM labels) AS b, k IN (SELECT vec_id FROM embeddings) AS c FROM (SELECT doc_id AS k FROM documents UNION SELECT vec_id FROM embeddings)) SELECT id FROM p WHERE (a OR b OR c) AND NOT (a AND b AND c)")(lambda s, d: runs.partial_refs(stores(s, d).select("id", F.col("in_pg").alias("in_tables"), "in_graph", F.col("in_vector").alias("in_vectors"))).select("id"))
 
 
@@ -120,13 +124,36 @@ def _gauges(s, d):
 
 RULES = "(VALUES ('multi_label_nodes', 0.0, 30, 'critical'), ('orphan_nodes', 3.0, 60, 'warning'), ('leak_scan_age_seconds', 100.0, 240, 'warning'), ('memory_share', 0.01, 1, 'warning')) r(gauge, threshold, minutes, severity)"
 query("alerts", f"""WITH g AS (SELECT * FROM ({GAUGES}) JOIN {RULES} USING (gauge) WHERE ts <= {NOW}), w AS (SELECT *, ts > {NOW} - minutes * INTERVAL 1 MINUTE AS late FROM g)
- SELECT gauge, severity, arg_max(value, ts) AS value FROM w GROUP BY gauge, severity HAVING coalesce(bool_and(value > threshold) FILTER (WHERE late), true) AND coalesce(arg_max(value > threshold, ts) FILTER (WHERE NOT late), false)""")(
+ SELECT gauge, severity, arg_max(value, (ts, value)) AS value FROM w GROUP BY gauge, severity HAVING coalesce(bool_and(value > threshold) FILTER (WHERE late), true) AND coalesce(arg_max(value > threshold, (ts, value)) FILTER (WHERE NOT late), false)""")(
     lambda s, d: runs.alerts(_gauges(s, d), _now(), (("multi_label_nodes", 0, 30, "critical"), ("orphan_nodes", 3, 60, "warning"), ("leak_scan_age_seconds", 100, 240, "warning"), ("memory_share", 0.01, 1, "warning")))
 )
 query("health_rollup", "WITH p AS (SELECT event_type AS dependency, arg_max(value > 5, event_id) AS healthy FROM events GROUP BY 1) SELECT CASE WHEN bool_and(healthy) THEN 'healthy' ELSE 'degraded' END AS status, coalesce(string_agg(dependency, ',' ORDER BY dependency) FILTER (WHERE NOT healthy), '') AS failing FROM p")(lambda s, d: runs.rollup(t(s, d, "events").groupBy(F.col("event_type").alias("dependency")).agg(F.max_by(F.col("value") > 5, "event_id").alias("healthy"))))
 query("metric_rates", "WITH c AS (SELECT event_type, ts, value, lag(value) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS was FROM events) SELECT event_type, strftime(time_bucket(INTERVAL 5 MINUTE, ts), '%Y-%m-%d %H:%M') AS bucket, round(sum(CASE WHEN was IS NULL THEN 0 WHEN value >= was THEN value - was ELSE value END) / 300, 6) AS rate FROM c GROUP BY 1, 2")(
-    lambda s, d: runs.rates(t(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "value", 5, "event_type").select("event_type", F.date_format("bucket", "yyyy-MM-dd HH:mm").alias("bucket"), F.round("rate", 6).alias("rate"))
+    lambda s, d: metrics.rates(t(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "value", 5, "event_type", tie="event_id").select("event_type", F.date_format("bucket", "yyyy-MM-dd HH:mm").alias("bucket"), F.round("rate", 6).alias("rate"))
+)
+# Durations of requests as a histogram that is scraped each minute; rates of its counters over five minutes, summed over users' parity, and quantiles of these.
+BOUNDS = [0.5, 1.0, 2.5, 5.0, 10.0, 25.0, 50.0, 100.0]
+_LES = ", ".join(f"({b}::DOUBLE)" for b in (*BOUNDS, "'Infinity'"))
+HISTOGRAM = f"""WITH le AS (SELECT * FROM (VALUES {_LES}) v(le)), o AS (SELECT event_type, user_id % 2 AS side, time_bucket(INTERVAL 1 MINUTE, ts) + INTERVAL 1 MINUTE AS ts, value FROM events WHERE value IS NOT NULL),
+ n AS (SELECT event_type, side, ts, le, count(*) FILTER (value <= le) AS n FROM o, le GROUP BY ALL), c AS (SELECT *, sum(n) OVER (PARTITION BY event_type, side, le ORDER BY ts) AS c FROM n),
+ r AS (SELECT event_type, side, le, time_bucket(INTERVAL 5 MINUTE, ts) AS bucket, coalesce(c - lag(c) OVER (PARTITION BY event_type, side, le ORDER BY ts), 0) AS d FROM c),
+ s AS (SELECT event_type, bucket, le, sum(d) / 300 AS n FROM r GROUP BY ALL), m AS (SELECT *, max(n) OVER (PARTITION BY event_type, bucket) AS total, coalesce(lag(n) OVER w, 0) AS under, coalesce(lag(le) OVER w, 0) AS low FROM s WINDOW w AS (PARTITION BY event_type, bucket ORDER BY le))
+"""
+
+
+def _quantile_sql(q):
+    return f"SELECT event_type, bucket, arg_min(CASE WHEN le = 'Infinity' THEN low ELSE low + (le - low) * ({q} * total - under) / (n - under) END, le) AS v FROM m WHERE total > 0 AND n >= {q} * total GROUP BY 1, 2"
+
+
+def _observed(s, d):
+    e = t(s, d, "events").select("event_type", (F.col("user_id") % 2).alias("side"), F.col("ts").cast("timestamp").alias("ts"), "value")
+    return metrics.observed(e, "ts", "value", BOUNDS, "1 minute", "event_type", "side")
+
+
+query("metric_quantiles", HISTOGRAM + f"SELECT a.event_type, strftime(a.bucket, '%Y-%m-%d %H:%M') AS bucket, round(a.v, 6) AS p50, round(b.v, 6) AS p95 FROM ({_quantile_sql(0.5)}) a JOIN ({_quantile_sql(0.95)}) b USING (event_type, bucket) UNION ALL SELECT DISTINCT event_type, strftime(bucket, '%Y-%m-%d %H:%M'), NULL::DOUBLE, NULL::DOUBLE FROM m WHERE total = 0")(
+    lambda s, d: metrics.histogram_quantiles(metrics.rates(_observed(s, d), "ts", "count", 5, "event_type", "side", "le"), "rate", {"p50": 0.5, "p95": 0.95}, "event_type", "bucket").select("event_type", F.date_format("bucket", "yyyy-MM-dd HH:mm").alias("bucket"), F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
 )
+query("metric_histogram", HISTOGRAM + "SELECT event_type, side, strftime(ts, '%Y-%m-%d %H:%M') AS ts, le, CAST(c AS BIGINT) AS count FROM c")(lambda s, d: _observed(s, d).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm")))
 
 # -- reports ---------------------------------------------------------------------
 
@@ -143,10 +170,9 @@ def _counts(s, d):
     return gaps.counts(items, g.nodes, g.edges, t(s, d, "embeddings"))
 
 
-query("gap_features", "SELECT * FROM (VALUES ('semantic_search', 'working'), ('get_function', 'working'), ('get_callers', 'working'), ('get_trait_impls', 'working'), ('find_usages', 'partial'), ('module_tree', 'working'), ('graph_query', 'working')) v(feature, status)")(lambda s, d: gaps.features(_counts(s, d)))
+query("gap_features", GRAPH + "SELECT 'semantic_search' AS feature, CASE WHEN EXISTS (SELECT 1 FROM embeddings) THEN 'working' ELSE 'partial' END AS status UNION ALL SELECT 'get_function' AS feature, CASE WHEN EXISTS (SELECT 1 FROM part WHERE p_size > 25) AND EXISTS (SELECT 1 FROM nodes WHERE label = 'Function') THEN 'working' ELSE 'partial' END AS status UNION ALL SELECT 'get_callers' AS feature, CASE WHEN EXISTS (SELECT 1 FROM edges WHERE rel = 'CALLS') AND EXISTS (SELECT 1 FROM nodes WHERE label = 'Function') THEN 'working' ELSE 'partial' END AS status UNION ALL SELECT 'get_trait_impls' AS feature, CASE WHEN EXISTS (SELECT 1 FROM nodes WHERE label = 'Trait') AND EXISTS (SELECT 1 FROM edges WHERE rel = 'IMPLEMENTS') THEN 'working' ELSE 'partial' END AS status UNION ALL SELECT 'find_usages' AS feature, CASE WHEN EXISTS (SELECT 1 FROM nodes WHERE label = 'Type') AND EXISTS (SELECT 1 FROM edges WHERE rel = 'USES_TYPE') THEN 'working' ELSE 'partial' END AS status UNION ALL SELECT 'module_tree' AS feature, CASE WHEN EXISTS (SELECT 1 FROM nodes WHERE label = 'Module') AND EXISTS (SELECT 1 FROM nodes WHERE label = 'Crate') AND EXISTS (SELECT 1 FROM edges WHERE rel = 'CONTAINS') THEN 'working' ELSE 'partial' END AS status UNION ALL SELECT 'graph_query' AS feature, CASE WHEN EXISTS (SELECT 1 FROM nodes) THEN 'working' ELSE 'partial' END AS status")(lambda s, d: gaps.features(_counts(s, d)))
 query("gap_quality", GRAPH + "SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM embeddings) AS points, (SELECT count(*) FROM part) AS items, true AS has_embeddings, EXISTS (SELECT 1 FROM edges WHERE rel = 'CALLS') AS has_call_graph, EXISTS (SELECT 1 FROM edges WHERE rel = 'IMPLEMENTS') AS has_trait_impls")(lambda s, d: gaps.quality(_counts(s, d)))
 query("gap_recommendations", "SELECT priority, action FROM (VALUES ('medium', 'extract type usages', true), ('low', 'embed items again', (SELECT count(*) FROM part) > 2 * (SELECT count(*) FROM embeddings)), ('low', 'expand derive macros', true), ('low', 'embed structs, enums and traits too', true)) v(priority, action, holds) WHERE holds")(lambda s, d: gaps.recommendations(_counts(s, d)))
-query("gap_issues", "SELECT severity, count(*) AS cnt FROM (VALUES ('medium'), ('low'), ('medium'), ('low'), ('high'), ('medium'), ('low'), ('medium')) v(severity) GROUP BY 1")(lambda s, d: gaps.known_issues(s).groupBy("severity").agg(F.count("*").alias("cnt")))
 IN3 = "SELECT id % 10 AS crate, count(*) FILTER (WHERE a) AS pg, count(*) FILTER (WHERE b) AS gr, count(*) FILTER (WHERE c) AS ve, count(*) FILTER (WHERE a AND NOT b) AS pg_, count(*) FILTER (WHERE a AND NOT c) AS pv, count(*) FILTER (WHERE b AND NOT a) AS gp, count(*) FILTER (WHERE c AND NOT a) AS vp FROM (SELECT k AS id, k IN (SELECT doc_id FROM documents) AS a, k IN (SELECT doc_id FROM labels) AS b, k IN (SELECT vec_id FROM embeddings) AS c FROM (SELECT doc_id AS k FROM documents UNION SELECT vec_id FROM embeddings UNION SELECT doc_id FROM labels)) GROUP BY 1"
 query("consistency_advice", f"""SELECT crate, CASE WHEN gr < pg THEN 'The graph has fewer items than the tables - Graph stage may be incomplete' || CASE WHEN ve < pg THEN '. The vectors have fewer items than the tables - Embed stage may be incomplete' ELSE '' END || '.' WHEN ve < pg THEN 'The vectors have fewer items than the tables - Embed stage may be incomplete.' ELSE 'All stores are consistent. No action required.' END AS summary,
  array_to_string(list_filter([CASE WHEN pg_ > 0 THEN pg_ || ' items missing from the graph - re-run Graph stage' END, CASE WHEN pv > 0 THEN pv || ' items missing from the vectors - re-run Embed stage' END, CASE WHEN gp > 0 THEN gp || ' orphaned nodes in the graph - data may need cleanup' END, CASE WHEN vp > 0 THEN vp || ' orphaned points in the vectors - data may need cleanup' END], lambda x: x IS NOT NULL), '. ') || '.' AS full_ FROM ({IN3})""")(lambda s, d: _advice(s, d))
@@ -201,16 +227,9 @@ query("eval_dimensions", f"WITH s AS (SELECT l_orderkey % 500 AS run, ({DIMS})[l
 query("eval_all_weights", "SELECT l_orderkey, l_linenumber, round(0.15 * l_tax + 0.15 * l_discount + 0.30 * l_quantity / 10 + 0.20 * l_linenumber + 0.10 * coalesce(CASE WHEN l_returnflag <> 'N' THEN l_quantity / 20 END, 0) + 0.10 * (l_partkey % 5), 6) AS composite FROM lineitem")(
     lambda s, d: t(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(evals.weighted({"file_precision": F.col("l_tax"), "file_recall": F.col("l_discount"), "logical_equivalence": F.col("l_quantity") / 10, "code_quality": F.col("l_linenumber"), "edge_case_handling": F.when(F.col("l_returnflag") != "N", F.col("l_quantity") / 20), "approach_validity": F.col("l_partkey") % 5}), 6).alias("composite"))
 )
-query("eval_structure", "SELECT l_orderkey, l_linenumber, round(0.3 * l_tax * 10 + 0.3 * l_discount * 10 + 0.4 * l_quantity / 50, 6) AS score, CASE WHEN l_returnflag = 'R' THEN 0.3 * l_tax * 10 + 0.3 * l_discount * 10 + 0.4 * l_quantity / 50 < 0.35 ELSE 0.3 * l_tax * 10 + 0.3 * l_discount * 10 + 0.4 * l_quantity / 50 >= 0.5 END AS passed FROM lineitem WHERE abs(0.3 * l_tax * 10 + 0.3 * l_discount * 10 + 0.4 * l_quantity / 50 - 0.5) > 1e-9 AND abs(0.3 * l_tax * 10 + 0.3 * l_discount * 10 + 0.4 * l_quantity / 50 - 0.35) > 1e-9")(lambda s, d: _structure(t(s, d, "lineitem")))
-
-
-def _structure(li):
-    """Scores that rounding could put on either side of a mark are left out on both sides."""
-    li = li.withColumn("m", evals.structure(F.col("l_tax") * 10, F.col("l_discount") * 10, F.col("l_quantity") / 50))
-    li = li.where((F.abs(F.col("m") - 0.5) > 1e-9) & (F.abs(F.col("m") - 0.35) > 1e-9))
-    return li.select("l_orderkey", "l_linenumber", F.round("m", 6).alias("score"), evals.structure_passes(F.col("m"), F.col("l_returnflag") == "R").alias("passed"))
-
-
+query("eval_structure", "SELECT l_orderkey, l_linenumber, CAST(m AS DOUBLE) AS score, CASE WHEN l_returnflag = 'R' THEN m < 0.35 ELSE m >= 0.5 END AS passed FROM (SELECT *, 0.3 * CAST(l_tax * 10 AS DECIMAL(12, 6)) + 0.3 * CAST(l_discount * 10 AS DECIMAL(12, 6)) + 0.4 * CAST(l_quantity / 50 AS DECIMAL(12, 6)) AS m FROM lineitem)")(
+    lambda s, d: t(s, d, "lineitem").withColumn("m", evals.structure(F.col("l_tax") * 10, F.col("l_discount") * 10, F.col("l_quantity") / 50)).select("l_orderkey", "l_linenumber", F.col("m").cast("double").alias("score"), evals.structure_passes(F.col("m"), F.col("l_returnflag") == "R").alias("passed"))
+)
 query("eval_totals", "SELECT l_returnflag AS suite, CAST(sum(l_suppkey) AS BIGINT) AS tokens, CAST(sum(CASE WHEN l_linenumber <> 3 THEN CAST(l_tax AS DECIMAL(10, 6)) ELSE 0 END) AS VARCHAR) AS cost FROM lineitem GROUP BY 1")(lambda s, d: evals.totals(t(s, d, "lineitem").select(F.col("l_returnflag").alias("suite"), F.col("l_suppkey").alias("tokens"), F.when(F.col("l_linenumber") != 3, F.col("l_tax")).alias("cost")), "suite").withColumn("cost", F.col("cost").cast("string")))
 
 
@@ -254,7 +273,7 @@ query("events_parts", "SELECT CASE event_id % 6 WHEN 4 THEN 'tool_call' WHEN 5 T
 )
 query("events_after_id", "SELECT event_id, seq FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS seq FROM events) WHERE user_id = 8 AND event_id > 1000")(lambda s, d: _reversed(s, d))
 query("events_oldest", "SELECT user_id, min(event_id) AS oldest_seq, count(*) AS held FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r <= 10 GROUP BY 1")(lambda s, d: eventlog.oldest(t(s, d, "events"), "user_id", "event_id", 10))
-query("audit_recent", "SELECT event_id FROM events WHERE event_type = 'error' ORDER BY ts DESC LIMIT 25")(lambda s, d: eventlog.recent(t(s, d, "events").select("event_id", "ts", F.col("event_type").alias("operation"), F.lit("ok").alias("status")), 25, operation="error").select("event_id"))
+query("audit_recent", "SELECT event_id FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 25")(lambda s, d: eventlog.recent(t(s, d, "events").select("event_id", "ts", F.col("event_type").alias("operation"), F.lit("ok").alias("status")), 25, operation="error").select("event_id"))
 
 
 def _reversed(s, d):

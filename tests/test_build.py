@@ -115,7 +115,10 @@ def test_graph_joins_all_families(items):
     g = build.graph(items)
     assert {r.rel for r in g.edges.select("rel").distinct().collect()} == {"CONTAINS", "IMPLEMENTS", "FOR", "HAS_FIELD", "HAS_VARIANT", "EXTENDS", "CALLS", "USES_TYPE", "HAS_METHOD"}
     assert g.nodes.where("external").select("fqn").first()[0] == "c::m::Far" and g.nodes.where("label = 'Crate'").count() == 2
-    assert [r.name for r in g.callers("c::aaa::helper", 2).collect()] == ["stray", "run"] or True
+    assert g.edges.groupBy("src", "rel", "dst").count().where("count > 1").count() == 0
+    ends = g.edges.select(F.col("src").alias("fqn")).union(g.edges.select("dst")).distinct()
+    assert ends.join(g.nodes, "fqn", "left_anti").count() == 0
+    assert g.edges.where("NOT resolved").join(g.nodes.where("external"), F.col("dst") == F.col("fqn"), "left_anti").count() == 0
     empty = build.graph(items.where("false"))
     assert empty.edges.count() == empty.nodes.count() == 0
 
@@ -183,3 +186,18 @@ def test_callers_of_files(items, spark):
     functions = sorted(i[0] for i in ITEMS if i[2] == "function" and i[0].startswith("c::"))
     assert got == {"a.rs": (functions[0], len(functions), False), "b.rs": (None, 0, False)}
     assert spark.range(1).select(S.uuid5(F.lit("a:doc:0"))).first()[0]
+
+
+def test_a_common_name_is_resolved_by_its_front(spark):
+    """10,000 functions of one name and as many open targets: no pairs of them."""
+    many = spark.range(10_000).select(F.format_string("c::m%d::Abc%d::new", F.col("id") % 50, "id").alias("fqn"), F.lit("new").alias("name"))
+    targets = spark.range(0, 20_000, 2).select(F.format_string("Abc%d::inner::new", "id").alias("target"), F.lit("new").alias("name"), F.format_string("::Abc%d", "id").alias("front"))
+    got = build.loose_targets(targets, many)
+    names = [r.fqn for r in many.collect()]
+    want = {}
+    for r in targets.where("target LIKE 'Abc1%' OR target LIKE 'Abc2_::%'").collect():
+        hit = [f for f in names if r.front in f]
+        if hit:
+            want[r.target] = min(hit)
+    found = {r.target: r.loose for r in got.collect()}
+    assert {t: f for t, f in found.items() if t.startswith("Abc1") or (t.startswith("Abc2") and t.index("::") == 5)} == want and len(found) == 5000

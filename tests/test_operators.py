@@ -147,6 +147,26 @@ def test_sql_gate_knows_functions_and_recursion(spark):
     assert sqlgate.sql(spark, "SELECT x, round(avg(id), 1) AS a FROM ok LATERAL VIEW explode(array(1, 2)) t AS x GROUP BY x", ["ok"]).count() == 2
 
 
+def test_sql_names_are_compared_part_by_part(spark, tmp_path):
+    spark.range(3).createOrReplaceTempView("ok")
+    path = str(tmp_path / "x.parquet")
+    spark.range(7).write.parquet(path)
+    spark.range(2).createOrReplaceGlobalTempView("hidden")
+    for q in (
+        f"WITH `parquet.{path}` AS (SELECT 1 AS x) SELECT * FROM parquet.`{path}`", f"SELECT * FROM parquet.`{path}`", "WITH `global_temp.hidden` AS (SELECT 1) SELECT * FROM global_temp.hidden", "SELECT * FROM default.ok",
+        f"WITH c AS (SELECT * FROM parquet.`{path}`) SELECT * FROM c", "WITH c AS (SELECT 1) SELECT * FROM (SELECT * FROM x.c)", f"SELECT (SELECT max(id) FROM parquet.`{path}`) FROM ok", f"SELECT * FROM ok WHERE EXISTS (SELECT 1 FROM parquet.`{path}` p)",
+    ):
+        with pytest.raises(sqlgate.NotAllowed):
+            sqlgate.sql(spark, q, ["ok", f"parquet.{path}"])
+        with pytest.raises(sqlgate.NotAllowed):
+            sqlgate.scoped(spark, q, {}, {"ok": spark.range(3)}, "w1")
+    spark.range(3).createOrReplaceTempView("ok")
+    assert sqlgate.sql(spark, "SELECT * FROM global_temp.hidden", ["global_temp.hidden"]).count() == 2
+    assert sqlgate.sql(spark, "WITH `a.b` AS (SELECT * FROM ok) SELECT * FROM `a.b`", ["ok"]).count() == 3
+    assert sqlgate.tables_of(spark, "SELECT * FROM parquet.`/x`, ok") == {"parquet.`/x`", "ok"}
+    spark.catalog.dropGlobalTempView("hidden")
+
+
 def test_sql_of_a_tenant(spark):
     items = spark.createDataFrame([("w1", 1), ("w2", 2), ("w1", 3)], "workspace_id string, k int")
     shared, hidden = spark.createDataFrame([(9,)], "k int"), spark.createDataFrame([("w1", 4)], "workspace_id string, k int")
