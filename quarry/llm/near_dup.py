@@ -30,6 +30,7 @@ texts only where these are unlike each other.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from bisect import bisect_left
 
 import numpy as np
@@ -438,7 +439,34 @@ def led(members: DataFrame, counts: DataFrame, texts: DataFrame) -> DataFrame:
     tile = ("bucket", "block")
     rows = _blocks(members, counts).join(texts.hint("merge"), "a").select(*tile, "a", "n", "sig")
     rows = rows.repartition(*tile).sortWithinPartitions(*tile, "a")
-    return _best(rows.mapInArrow(lambda batches: _found(batches, tile, SAMPLES, lambda part, sig: lead(sig, part["n"])), "a long, b long, same double"))
+    return _best(rows.mapInArrow(_leads, "a long, b long, same double"))
+
+
+def _leads(batches):
+    """lead() of each block of a bucket, of batches sorted by bucket and block; the many of two texts are compared a batch at a time."""
+    held = None
+    for b in itertools.chain(batches, [None]):
+        if b is not None:
+            cols = [np.asarray(b.column(i)) for i in range(4)] + [text_buffers(b.column(4))[0].reshape(-1, SAMPLES)]
+            held = cols if held is None else [np.concatenate(x) for x in zip(held, cols)]
+        if held is None or not len(held[0]):
+            continue
+        bucket, block, a, n, sig = held
+        first = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (block[1:] != block[:-1])))
+        # The last block may go on in the next batch.
+        end = len(bucket) if b is None else int(first[-1])
+        first, size = first[first < end], np.diff(np.append(first[first < end], end))
+        two = first[size == 2]
+        same = (sig[two] == sig[two + 1]).mean(1)
+        two, same = two[(same >= CANDIDATE) & near(n[two], n[two + 1])], same[(same >= CANDIDATE) & near(n[two], n[two + 1])]
+        out = [(a[two], a[two + 1], same)]
+        for x, k in zip(first[size > 2].tolist(), size[size > 2].tolist()):
+            got = lead(sig[x : x + k], n[x : x + k])
+            if got:
+                i, j, s = (np.array(v) for v in zip(*got))
+                out.append((a[x + i], a[x + j], s.astype(np.float64)))
+        yield _batch(out)
+        held = [c[end:] for c in held]
 
 
 def _best(pairs: DataFrame) -> DataFrame:
