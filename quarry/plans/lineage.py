@@ -12,18 +12,22 @@ from pyspark.sql import DataFrame
 _own: list[str] = []
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once, as a table below spark.checkpoint.dir; a folder of our own, deleted at the end, stands in only where that is empty (one machine)."""
-    spark = df.sparkSession
+def folder(spark, label: str) -> str:
+    """A new path below spark.checkpoint.dir; a folder of our own, deleted at the end, stands in only where that is empty (one machine)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="quarry-lineage-"))
             atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
         root = f"file://{_own[0]}"
-    path = f"{root.rstrip('/')}/quarry-cut-{uuid.uuid4().hex[:12]}"
+    return f"{root.rstrip('/')}/quarry-{label}-{uuid.uuid4().hex[:12]}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once, as a table in a folder()."""
+    path = folder(df.sparkSession, "cut")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def changed(spark, *paths: str) -> tuple[int, ...]:

@@ -461,4 +461,4 @@ query("rows_as_json", """SELECT '{"r_regionkey":' || r_regionkey || ',"r_name":"
 query("first_rows", "SELECT n_name FROM nation ORDER BY n_name LIMIT 5")(lambda s, d: first(t(s, d, "nation").select("n_name"), 5, "n_name"))
 
 # Further queries of the suite register themselves when they are imported.
-from . import suite_code, suite_match, suite_ops  # noqa: E402, F401
+from . import suite_code, suite_match, suite_ops, suite_state  # noqa: E402, F401
