@@ -1,10 +1,12 @@
 """LM scoring by the marginal likelihood of a subword lattice.
 
-The pieces are those of an existing sentencepiece vocabulary (plus single bytes,
-so every word has a path); their scores give the first piece probabilities, and
-ROUNDS of expectation-maximisation over all training words replace them (later
-rounds change the held-out score by less than a thousandth).  A text
-is words at ASCII white space, each with the vocabulary's word mark before it,
+The pieces are those of an existing sentencepiece vocabulary, single bytes, so every
+word has a path, and each training word as a piece that spans it whole.  A word's own
+piece has its uses less a discount, which is estimated from the words used once and
+twice; the discounted share of all words is what the other pieces are fitted to.  The
+vocabulary's scores give their first probabilities, and ROUNDS of
+expectation-maximisation replace them.  All pieces and the end share one distribution.
+A text is words at ASCII white space, each with the vocabulary's word mark before it,
 and an end; the probability of a word is the sum over all its segmentations, by
 a forward recursion in log space, for many words of one length at once.  Since
 no piece crosses words, a text's log probability is the sum over its words.
@@ -93,13 +95,18 @@ class Pieces:
         same = self.hashes[at] == h
         return own[same], at[same]
 
-    def probabilities(self, counts: np.ndarray | None, ends: float, training: float) -> tuple[np.ndarray, float]:
-        """Log probabilities of pieces, and of the end; from expected counts, or from the vocabulary's scores."""
+    def probabilities(self, counts: np.ndarray | None, ends: float, training: float, words: float = 0.0) -> tuple[np.ndarray, float, float]:
+        """Log probabilities of pieces and of the end, from expected counts or from the vocabulary's scores, and the log of all counts, `words` of which are of pieces that are whole words."""
         if counts is None:
             # With the scores alone: three pieces for each end is as good a guess as any.
             counts, ends = self.share / self.share.sum() * max(training, 1.0), max(ends, 0.1)
-        total = counts.sum() + ends + PRIOR * (len(counts) + 1)
-        return np.log((counts + PRIOR) / total), float(np.log((ends + PRIOR) / total))
+        total = counts.sum() + ends + words + PRIOR * (len(counts) + 1)
+        return np.log((counts + PRIOR) / total), float(np.log((ends + PRIOR) / total)), float(np.log(total))
+
+
+def discount(once: int, twice: int) -> float:
+    """What a word's own piece leaves to the others, from the words used once and twice."""
+    return min(0.95, max(0.05, once / (once + 2 * twice))) if once + twice else 0.5
 
 
 _pieces: dict[str | None, Pieces] = {}
@@ -162,28 +169,45 @@ def each_length(column, most: int = 1 << 14):
             yield part, out
 
 
-def long_lattice(word: np.ndarray, p: Pieces, logp: np.ndarray, count: float | None = None, expected: np.ndarray | None = None) -> float:
-    """lattice() for one long word: the arcs of all places at once, then recursions over the arcs."""
-    size = len(word)
-    sums, inverse = prefix_sums(word), powers(INVERSE, size + 1)
-    found = []
-    for length in range(1, min(p.longest, size) + 1):
-        h = mix((sums[length:] - sums[:-length]) * inverse[: size - length + 1] + _LENGTH[length : length + 1])
+def _arcs(word: np.ndarray, p: Pieces, a: int, z: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and piece of the arcs of a word that end behind place a and up to place z, by end."""
+    low = max(0, a - p.longest)
+    sums, inverse, found = prefix_sums(word[low:z]), powers(INVERSE, z - low + 1), []
+    for length in range(1, min(p.longest, z - low) + 1):
+        h = mix((sums[length:] - sums[:-length]) * inverse[: z - low - length + 1] + _LENGTH[length : length + 1])
         start, at = p.find(h)
-        found.append((start, start + length, at))
+        own = start + length > a - low
+        found.append((start[own] + low, start[own] + low + length, at[own]))
     start, end, at = (np.concatenate(x) for x in zip(*found))
     order = np.argsort(end, kind="stable")
-    start, end, at = start[order], end[order], at[order]
-    arcs = list(zip(start.tolist(), end.tolist(), logp[at].tolist()))
-    alpha = [0.0] + [-math.inf] * size
-    for s, e, x in arcs:
-        alpha[e] = _logadd(alpha[e], alpha[s] + x)
+    return start[order], end[order], at[order]
+
+
+def long_lattice(word: np.ndarray, p: Pieces, logp: np.ndarray, count: float | None = None, expected: np.ndarray | None = None, block: int = 1 << 15) -> float:
+    """lattice() for one long word, the arcs of a block of places at a time: beside them a number a place, or two, is held."""
+    size = len(word)
+    alpha = np.full(size + 1, -np.inf)
+    alpha[0] = 0.0
+    for a in range(0, size, block):
+        z, low = min(size, a + block), max(0, a - p.longest)
+        start, end, at = _arcs(word, p, a, z)
+        held = alpha[low : z + 1].tolist()
+        for s, e, x in zip((start - low).tolist(), (end - low).tolist(), logp[at].tolist()):
+            held[e] = _logadd(held[e], held[s] + x)
+        alpha[low : z + 1] = held
     if count is not None:
-        beta = [-math.inf] * size + [0.0]
-        for s, e, x in reversed(arcs):
-            beta[s] = _logadd(beta[s], beta[e] + x)
-        np.add.at(expected, at, np.exp(np.array(alpha)[start] + logp[at] + np.array(beta)[end] - alpha[size]) * count)
-    return alpha[size]
+        beta = np.full(size + 1, -np.inf)
+        beta[size] = 0.0
+        for a in reversed(range(0, size, block)):
+            z, low = min(size, a + block), max(0, a - p.longest)
+            start, end, at = _arcs(word, p, a, z)
+            held = beta[low : z + 1].tolist()
+            for s, e, x in zip((start - low)[::-1].tolist(), (end - low)[::-1].tolist(), logp[at][::-1].tolist()):
+                held[s] = _logadd(held[s], held[e] + x)
+            beta[low : z + 1] = held
+            # What an arc's end stands for is complete: arcs from there end in this block or a later one.
+            np.add.at(expected, at, np.exp(alpha[start] + logp[at] + beta[end] - alpha[size]) * count)
+    return float(alpha[size])
 
 
 def _logadd(x: float, y: float) -> float:
@@ -258,10 +282,12 @@ def score(docs: DataFrame, trains: str, path: str | None = None, rounds: int = R
     docs = docs.drop(*names)
     words = common.written(vocabulary(docs, trains), "lm-words")
     ends = docs.where(F.col(trains)).count()
-    seen = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0))).first()
+    seen = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     n, v = seen[0] + ends, seen[1] + (ends > 0)
     p = pieces(path)
-    logs = p.probabilities(None, ends, 3.0 * seen[0])
+    less = discount(seen[2], seen[3])
+    whole = seen[0] - less * seen[1]  # uses of words' own pieces
+    logs = p.probabilities(None, ends, 3.0 * less * seen[1], whole)
     size = len(p.hashes)
     for _ in range(rounds if seen[0] else 0):
         held = spark.sparkContext.broadcast(logs[0])  # one number a piece
@@ -269,16 +295,15 @@ def score(docs: DataFrame, trains: str, path: str | None = None, rounds: int = R
         def expectation(batches):
             own, total = pieces(path), np.zeros(size)
             for b in batches:
-                c = np.asarray(b.column(1)).astype(np.float64)
                 for part, rows in each_length(b.column(0)):
-                    long_marginal(rows, own, held.value, c[part], total)
+                    long_marginal(rows, own, held.value, np.full(len(part), less), total)
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["piece", "n"])
 
-        got = words.where("c > 0").select("word", "c").mapInArrow(expectation, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
+        got = words.where("c > 0").select("word").mapInArrow(expectation, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
         counts = np.zeros(size)
         counts[got["piece"].to_numpy().astype(int)] = got["n"].to_numpy()
-        logs = p.probabilities(counts, float(ends), 0.0)
+        logs = p.probabilities(counts, float(ends), 0.0, whole)
     held = spark.sparkContext.broadcast(logs)
 
     def marginal(batches):
@@ -287,6 +312,9 @@ def score(docs: DataFrame, trains: str, path: str | None = None, rounds: int = R
             out = np.zeros(b.num_rows)
             for part, rows in each_length(b.column(1)):
                 out[part] = long_marginal(rows, own, held.value[0])
+            c = np.asarray(b.column(2)).astype(np.float64)
+            with np.errstate(divide="ignore"):
+                out = np.logaddexp(out, np.log(np.maximum(0, c - less)) - held.value[2])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(out / np.log(10))], ["h", "c", "total", "logp"])
 
     scored = common.written(words.mapInArrow(marginal, "h long, c long, total long, logp double"), "lm-scored")

@@ -380,11 +380,26 @@ def test_long_words_over_their_whole_lattice():
     p = lm.pieces()
     rng = np.random.default_rng(2)
     words = np.frombuffer(b" " + bytes(rng.choice(list(b"theinga\xc3\xa9"), 699)), np.uint8).reshape(1, -1)
-    logp, _ = p.probabilities(None, 1.0, 100.0)
+    logp = p.probabilities(None, 1.0, 100.0)[0]
     short, long = np.zeros(len(p.hashes)), np.zeros(len(p.hashes))
     want = lm.lattice(words, p, logp, np.array([3.0]), short)
     got = lm.long_marginal(words, p, logp, np.array([3.0]), long)
     assert np.allclose(got, want) and np.allclose(long, short) and np.allclose(lm.long_marginal(words, p, logp), want)
+    cut = np.zeros(len(p.hashes))
+    assert np.allclose(lm.long_lattice(words[0], p, logp, 3.0, cut, block=64), want[0]) and np.allclose(cut, short)
+
+
+def test_words_are_pieces_of_their_own(spark):
+    """Scores of single words against the mixture by hand: own uses less the discount, and the lattice of the rest."""
+    rows = spark.createDataFrame([(i, t, True) for i, t in enumerate(["the cat", "the cat the", "a dog", "zebra the"])] + [(9, "the", False), (10, "zebra", False), (11, "unseen", False), (12, "", False)], "doc_id long, text string, trains boolean")
+    out = {r.doc_id: r for r in lm.score(rows, "trains").collect()}
+    less = lm.discount(3, 1)  # a, dog, zebra once, cat twice
+    assert less == 0.6
+    end = 10 ** out[12].score
+    total = (4 + lm.PRIOR) / end
+    whole = {w: 10 ** (out[i].score - out[12].score) for i, w in ((9, "the"), (10, "zebra"), (11, "unseen"))}
+    assert whole["the"] > (4 - less) / total > 0.8 * whole["the"] and whole["zebra"] > (1 - less) / total and whole["unseen"] < 0.1 * whole["zebra"]
+    assert abs(sum((c - less) for c in (4, 2, 1, 1, 1)) - (9 - 5 * less)) < 1e-9 and out[9].n_known == 2 and out[11].n_known == 1
 
 
 def _words(text):
