@@ -9,7 +9,8 @@ in the score's logit is penalised, so a neutral mention of a group weighs as
 little as the mention of another.
 
 The score of one half is placed where a fifth of the sample, not seen by a first
-fit, parts best.  The training sample is bounded: at most TRAIN_ROWS labelled rows, those with the
+fit, parts best; where that holds too few toxic texts, where all fifths do, each seen
+by a fit on the others.  The training sample is bounded: at most TRAIN_ROWS labelled rows, those with the
 smallest hash of doc_id.  Only their selected features come to the driver.
 """
 
@@ -129,12 +130,20 @@ def cut(z: np.ndarray, label: np.ndarray) -> float:
 
 
 def calibrated(rows: list, features_n: int) -> tuple[np.ndarray, float]:
-    """fit() on all rows, its intercept moved so that a probability of one half is where labels part best on a fifth of the rows that a first fit has not seen."""
-    held = np.arange(len(rows)) % 5 == 4
-    w, c = fit([r for r, h in zip(rows, held) if not h], features_n)
-    own = [r for r, h in zip(rows, held) if h]
-    z = np.array([w[f.astype(np.int64)].sum() + c for _, f, _ in own])
-    at = cut(z, np.array([y for y, _, _ in own], np.float64))
+    """fit() on all rows, its intercept moved so that a probability of one half is where labels part best on rows that a first fit has not seen.
+
+    These are a fifth of the rows; if fewer than LEAST_TOXIC of it are toxic, all five
+    fifths, each under a fit on the other four, so that a small sample tells as much as it can.
+    """
+    part = np.arange(len(rows)) % 5
+    label = np.array([y for y, _, _ in rows], np.float64)
+    z, seen = np.zeros(len(rows)), np.zeros(len(rows), bool)
+    for k in (4,) if label[part == 4].sum() >= LEAST_TOXIC else range(5):
+        w, c = fit([r for r, q in zip(rows, part) if q != k], features_n)
+        own = part == k
+        z[own] = [w[f.astype(np.int64)].sum() + c for (_, f, _), h in zip(rows, own) if h]
+        seen |= own
+    at = cut(z[seen], label[seen])
     w, c = fit(rows, features_n)
     # A text that shows nothing isn't made toxic by the move.
     return w, min(c - at, -0.25) if c < 0 else c

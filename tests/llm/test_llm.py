@@ -322,6 +322,44 @@ def test_the_cut_of_scores():
         toxicity.LEAST_TOXIC = least
 
 
+def test_small_samples_are_cut_by_all_their_fifths():
+    """Thirty toxic texts among 400, one mark in most of them: too few in a fifth, enough in all."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(400):
+        bad = i % 13 == 0
+        f = [j for j in range(1, 30) if rng.random() < 0.2] + ([0] if bad and rng.random() < 0.9 else [])
+        rows.append((int(bad), np.array(sorted(f), np.int64), None))
+    assert sum(y for y, _, _ in rows[4::5]) < toxicity.LEAST_TOXIC <= sum(y for y, _, _ in rows)
+    w, c = toxicity.calibrated(rows, 30)
+    z = np.array([w[f].sum() + c for _, f, _ in rows])
+    y = np.array([v for v, _, _ in rows])
+    assert (z[y == 1] >= 0).mean() > 0.8 and (z[y == 0] >= 0).mean() < 0.02
+    few = [r for r in rows if not r[0]] + [r for r in rows if r[0]][:5]
+    w, c = toxicity.calibrated(few, 30)
+    assert w[0] > 0 and c < 0  # too few to move the mark
+
+
+def test_fit_finds_the_least_loss():
+    """fit() against the loss itself: no step from its weights makes it smaller."""
+    rng = np.random.default_rng(8)
+    rows = [(int(rng.random() < 0.4), np.flatnonzero(rng.random(6) < 0.5), np.flatnonzero(rng.random(6) < 0.5) if i % 3 == 0 else None) for i in range(80)]
+
+    def loss(w, c):
+        out = toxicity.RIDGE * (w**2).sum() / 2
+        for y, f, g in rows:
+            z = w[f].sum() + c
+            out += np.log1p(np.exp(-z if y else z))
+            if g is not None:
+                out += toxicity.SWAP * (w[f].sum() - w[g].sum()) ** 2
+        return out
+
+    w, c = toxicity.fit(rows, 6)
+    least = loss(w, c)
+    steps = [(w + d, c + e) for d, e in [(0.05 * rng.normal(size=6), 0.05 * rng.normal()) for _ in range(200)]]
+    assert all(loss(*s) > least - 0.02 for s in steps)
+
+
 def test_counterfactual_pairs_pull_scores_together():
     rows = [(1, np.array([0, 2]), np.array([1, 2])), (0, np.array([3]), None), (0, np.array([1, 3]), np.array([0, 3]))] * 20
     free, _ = toxicity.fit(rows, 4, ridge=0.01, swap=0.0)
