@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import chain
 from .ordered import previous, ranged, running
 
 # The frame limit in bytes, and how many stale checks lead to which step.
@@ -81,28 +81,10 @@ def buckets(events: DataFrame, ts: str, unit: str, *by: str) -> DataFrame:
 def rate_limited(requests: DataFrame, key: str, ts: str, limit: int, seconds: int = 60) -> DataFrame:
     """key, ts, remaining, allowed: a window opens at a key's first request and the first one after it has passed opens the next.
 
-    Requests stream by in order of key and time, a window at a time, so a busy key
-    takes no more memory than another; requests without a time are left out.
+    Decided in parallel stretches, so a busy key is spread over as many tasks as
+    its rows fill; requests without a time are left out.
     """
-    schema = f"`{key}` {requests.schema[key].dataType.simpleString()}, `{ts}` {requests.schema[ts].dataType.simpleString()}, remaining long, allowed boolean"
-
-    def run(batches):
-        last, start, n = object(), 0, 0
-        for pdf in batches:
-            keys, when = pdf[key].tolist(), pdf[ts].astype("datetime64[ns]").to_numpy().astype(np.int64)
-            seen = np.zeros(len(keys), np.int64)
-            i = 0
-            while i < len(keys):
-                if keys[i] != last or when[i] - start >= seconds * 1_000_000_000:
-                    last, start, n = keys[i], when[i], 0
-                end = i + 1
-                while end < len(keys) and keys[end] == last and when[end] - start < seconds * 1_000_000_000:
-                    end += 1
-                seen[i:end] = n + np.arange(1, end - i + 1)
-                n, i = n + end - i, end
-            yield pdf.assign(remaining=np.maximum(0, limit - seen), allowed=seen <= limit)
-
-    return requests.select(key, ts).where(F.col(ts).isNotNull()).repartition(key).sortWithinPartitions(key, ts).mapInPandas(run, schema)
+    return chain.decided(requests.where(F.col(ts).isNotNull()), key, ts, chain.Limit(limit, seconds * 10**9), "remaining long, allowed boolean")
 
 
 # -- kinds of events ---------------------------------------------------------

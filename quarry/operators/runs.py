@@ -5,9 +5,11 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import chain
+
 # The stages, seconds after which each is stale, what runs at each tier, failures that open a breaker and its rest in seconds, names a gate samples.
 STAGES = ("expand", "parse", "typecheck", "extract", "graph", "embed")
 STALE_SECONDS = dict(zip(STAGES, (600, 30, 30, 60, 60, 90)))
@@ -85,29 +87,12 @@ def breaker(calls: DataFrame, service: str, ts: str, ok: str, failures: int = FA
 
     Closed: calls pass, and `failures` failed ones in a row open it.  Open: calls
     are refused until `rest` seconds after the last failure; then one passes as a
-    probe.  A probe that succeeds closes it, one that fails opens it anew.  Calls
-    of one service are a chain of decisions, so they stream by in order of time, in
-    bounded memory; calls without time or outcome are left out.
+    probe.  A probe that succeeds closes it, one that fails opens it anew.  Decided in
+    parallel stretches, so a busy service is spread over as many tasks as its calls
+    fill; calls without time or outcome are left out.
     """
-    cols = [f for f in calls.schema.fields if f.name in (service, ts, ok)]
-    names = [f.name for f in cols]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cols) + ", allowed boolean, state string"
-    gap = int(rest * 1e9)
-
-    def run(batches):
-        last, held = object(), (False, 0, 0)  # open, failures in a row, time of the last failure that opened it
-        for pdf in batches:
-            key, t = pdf[service].tolist(), pdf[ts].astype("datetime64[ns]").to_numpy().astype(np.int64)
-            good = pdf[ok].to_numpy(dtype=bool)
-            allowed, opened = np.ones(len(key), bool), np.zeros(len(key), bool)
-            edges = [0, *(i for i in range(1, len(key)) if key[i] != key[i - 1]), len(key)] if key else []
-            for x, y in zip(edges[:-1], edges[1:]):
-                held = settled(t[x:y], good[x:y], allowed[x:y], opened[x:y], *(held if key[x] == last else (False, 0, 0)), failures, gap)
-                last = key[x]
-            yield pdf.assign(allowed=allowed, state=np.where(opened, "open", "closed"))
-
-    rows = calls.select(*names).where(F.col(ts).isNotNull() & F.col(ok).isNotNull())
-    return rows.repartition(service).sortWithinPartitions(service, ts, ok).mapInPandas(run, schema)
+    rows = calls.where(F.col(ts).isNotNull() & F.col(ok).isNotNull())
+    return chain.decided(rows, service, ts, chain.Break(failures, int(rest * 1e9), settled), "allowed boolean, state string", ok)
 
 
 def settled(t: np.ndarray, good: np.ndarray, allowed: np.ndarray, opened: np.ndarray, is_open: bool, bad: int, since: int, failures: int, gap: int) -> tuple[bool, int, int]:

@@ -7,8 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The largest source file and the largest expanded one, in bytes.
-MOST_BYTES, MOST_EXPANDED = 10 << 20, 2 << 20
+# The largest source file and the largest expanded one, in bytes, and the most impl blocks of an expanded one.
+MOST_BYTES, MOST_EXPANDED, MOST_BLOCKS = 10 << 20, 2 << 20, 500
 CASE = "id string, repo string, pr int, expected_outcome string, weight double, tags array<string>"
 
 
@@ -19,9 +19,10 @@ def source_files(spark: SparkSession, root: str, pattern: str = "*.rs", most: in
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("content_hash"), F.decode("content", "UTF-8").alias("text"))
 
 
-def within_expansion(files: DataFrame, expanded: str = "expanded", text: str = "text", most: int = MOST_EXPANDED) -> DataFrame:
-    """files with the text to parse: the expanded one, unless it is missing or over `most` bytes."""
-    return files.withColumn(text, F.when(F.octet_length(expanded) <= most, F.col(expanded)).otherwise(F.col(text)))
+def within_expansion(files: DataFrame, expanded: str = "expanded", text: str = "text", most: int = MOST_EXPANDED, blocks: int = MOST_BLOCKS, head: str = "impl ") -> DataFrame:
+    """files with the text to parse: the expanded one, unless it is missing, over `most` bytes, or holds `head` more than `blocks` times."""
+    heads = (F.length(expanded) - F.length(F.replace(expanded, F.lit(head), F.lit("")))) / len(head)
+    return files.withColumn(text, F.when((F.octet_length(expanded) <= most) & (heads <= blocks), F.col(expanded)).otherwise(F.col(text)))
 
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:

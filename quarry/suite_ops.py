@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .operators import audit, evals, eventlog, gaps, listing, metrics, runs, search, tables
 from .plans import build
 from .plans.graph import crate_of
+from .sources import files
 from .suite import CRATE, VECTOR, WS, graph_of, query, stores, t, tenant_edges, tenant_nodes
 from .suite import G as GRAPH
 
@@ -70,6 +71,9 @@ query("gate_before_graph", f"SELECT 'c' || k AS crate_name, count(*) FILTER (WHE
 query("gate_before_embed", " UNION ALL ".join(f"SELECT {seed} AS seed, count(*) AS sampled, count(*) FILTER (WHERE k % {m} = 0) AS missing, count(*) FILTER (WHERE k % {m} = 0) = 0 AS passed FROM (SELECT CAST(split_part(fqn, '::f', 2) AS BIGINT) AS k FROM (SELECT 'c' || c_nationkey || '::f' || c_custkey AS fqn FROM customer) ORDER BY md5(fqn || '{seed}'), fqn LIMIT {size})" for seed, m, size in ((0, 4, 10), (1, 1000003, 10), (2, 3, 100))))(
     lambda s, d: reduce(DataFrame.unionByName, [runs.sample_in_graph(_customers(s, d), _customers(s, d).where(F.split_part("fqn", F.lit("::f"), F.lit(2)).cast("long") % m != 0), size, seed).select(F.lit(seed).alias("seed"), "*") for seed, m, size in ((0, 4, 10), (1, 1000003, 10), (2, 3, 100))])
 )
+query("size_gate", "SELECT doc_id, CASE WHEN strlen(e) <= 2000 AND (length(e) - length(replace(e, 'in ', ''))) / 3 <= 8 THEN length(e) ELSE length(text) END AS n FROM (SELECT doc_id, text, text || chr(10) || text AS e FROM documents)")(
+    lambda s, d: files.within_expansion(t(s, d, "documents").select("doc_id", "text", F.concat("text", F.lit("\n"), "text").alias("expanded")), most=2000, blocks=8, head="in ").select("doc_id", F.length("text").cast("long").alias("n"))
+)
 query("partial_refs", "WITH p AS (SELECT k AS id, k IN (SELECT doc_id FROM documents) AS a, k IN (SELECT doc_id FROM labels) AS b, k IN (SELECT vec_id FROM embeddings) AS c FROM (SELECT doc_id AS k FROM documents UNION SELECT vec_id FROM embeddings)) SELECT id FROM p WHERE (a OR b OR c) AND NOT (a AND b AND c)")(lambda s, d: runs.partial_refs(stores(s, d).select("id", F.col("in_pg").alias("in_tables"), "in_graph", F.col("in_vector").alias("in_vectors"))).select("id"))
 
 

@@ -40,6 +40,8 @@ def test_source_files(spark, tmp_path):
     assert got == {"x.rs": (10, "fn é() {}")}
     both = spark.createDataFrame([("a", "b"), ("a", "b" * 50), ("a", None)], "text string, expanded string")
     assert [r.text for r in files.within_expansion(both, most=10).collect()] == ["b", "a", "a"]
+    many = spark.createDataFrame([("a", "impl X " * n) for n in (500, 501)], "text string, expanded string")
+    assert [len(r.text) for r in files.within_expansion(many).collect()] == [3500, 1]
 
 
 def test_markdown_files(spark, tmp_path):
