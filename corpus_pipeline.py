@@ -17,10 +17,17 @@ from quarry.llm import common, decontaminate, near_dup, packing, substring, toxi
 REPEAT_BYTES, REPEAT_WORDS = 256, 51
 
 
+def _aside(docs: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """docs with those of its columns renamed that bear a name an operator gives its results, and how to name them back."""
+    clash = {f"_own_{c}": c for c in docs.columns if c in names}
+    return docs.withColumnsRenamed({c: n for n, c in clash.items()}), clash
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents scored 0.5 or more."""
     model = toxicity.trained_on(docs.select("doc_id", "text"), common.table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("score < 0.5").select(docs.columns)
+    own, back = _aside(docs, "score")
+    return toxicity.score(own, model).where("score < 0.5").drop("score").withColumnsRenamed(back).select(docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,16 +46,20 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages that repeat out of the texts."""
-    left = substring.remove_repeats(docs.withColumn("_none", F.col("text").isNull()), REPEAT_BYTES, with_text=True, words=REPEAT_WORDS)
+    results = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "_row", "_at", "_none")
+    own, back = _aside(docs, *results)
+    left = substring.remove_repeats(own.withColumn("_none", F.col("text").isNull()), REPEAT_BYTES, with_text=True, words=REPEAT_WORDS)
     text = F.when(~F.col("_none"), F.col("kept"))
     size = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return left.withColumn("text", text).withColumn("n_chars", size).select(docs.columns)
+    return left.withColumn("text", text).withColumn("n_chars", size).drop(*results).withColumnsRenamed(back).select(docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of a benchmark item."""
-    found = decontaminate.contamination(docs, common.table(spark, sf_dir, "benchmark"))
-    return found.where("NOT contaminated").select(docs.columns)
+    own, back = _aside(docs, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "_row")
+    found = decontaminate.contamination(own, common.table(spark, sf_dir, "benchmark"))
+    clean = found.where("NOT contaminated").drop("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return clean.withColumnsRenamed(back).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
