@@ -120,3 +120,24 @@ def test_items_of_two_finders(spark):
     b = spark.createDataFrame([(1, "f", "x", 2, 3, "far", ["v"]), (2, "f", "x", 1, 8, "doc", ["v"]), (3, "f", "z", 25, 26, "inner", []), (4, "f", "w", 40, 41, "new", []), (5, "g", "x", 1, 9, "other file", [])], kind)
     got = sorted((r.name, r.file_path, r.start_line, r.doc, tuple(r.args), r.partial) for r in locate.merged(a, b).collect())
     assert got == [("w", "f", 40, "new", (), True), ("x", "f", 1, "doc", ("u",), False), ("x", "g", 1, "other file", (), True), ("y", "f", 20, "own", (), False)]
+
+
+def test_overlaps_by_few_classes(spark):
+    """A pair for each pair of rows, ids repeated or not; lengths around the bounds of classes; starts are sent once for all short ranges."""
+    lengths = [1, 2, 63, 64, 65, 4095, 4096, 4097, 300_000]
+    a = [(i // 2, "f", s := 37 * i, s + n - 1) for i, n in enumerate(lengths * 4)]
+    b = [(i, "f", s := 61 * i, s + n - 1) for i, n in enumerate(reversed(lengths * 4))]
+    df = [spark.createDataFrame(x, "id long, file_path string, start_line long, end_line long") for x in (a, b)]
+    want = sorted(("f", x[0], y[0]) for x in a for y in b if x[2] <= y[3] and y[2] <= x[3])
+    assert sorted(map(tuple, locate.overlaps(*df, with_file=True).collect())) == want
+    short = locate._spans(df[0].where("end_line - start_line < 64"), "file_path", "start_line", "end_line", i="id")
+    bins, spots = locate._binned(short, locate._begins(short))
+    assert spots.count() == short.count() and bins.count() <= 2 * short.count()
+
+
+def test_merged_makes_no_pairs_of_unlike_names(spark):
+    cols = lambda doc: ["id", F.concat(F.lit("f"), F.col("id") % 2).alias("file_path"), F.concat(F.lit("n"), "id").alias("name"), (F.col("id") % 2 + 1).alias("start_line"), (F.col("id") % 2 + 9).alias("end_line"), F.lit(doc).alias("doc")]
+    out = locate.merged(*(spark.range(4000).select(*cols(doc)) for doc in ("", "doc")))
+    joins = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner, " in x and "bin#" in x]
+    assert len(joins) == 2 and all("name#" in x for x in joins)
+    assert [tuple(r) for r in out.groupBy("doc", "partial").count().collect()] == [("doc", False, 4000)]
