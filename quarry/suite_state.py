@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .operators import locate, progress, search, stored
 from .plans import adjacent
-from .plans.lineage import folder
+from .plans.lineage import cut, folder
 from .streaming import sinks, stateful, tail
 from .suite import NAME, PREFIX, SQL, VECTOR, graph_of, query, t
 from .suite import _score as scored
@@ -141,6 +141,7 @@ SPANS = "WITH li AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partke
 
 def _spans(s, d):
     li = t(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"), F.min("l_quantity").cast("long").alias("q"))
+    li = cut(li)  # read by each side several times
 
     def side(odd, m, length):
         rows = li.where(F.col("l_linenumber") % 2 == odd)
@@ -151,7 +152,7 @@ def _spans(s, d):
 
 
 query("item_overlaps", SPANS + " SELECT f AS file_path, count(*) AS pairs, CAST(sum(i) AS BIGINT) AS i, CAST(sum(j) AS BIGINT) AS j FROM (SELECT a.f, a.id AS i, b.id AS j FROM a JOIN b ON a.f = b.f AND a.s <= b.e AND b.s <= a.e) GROUP BY f")(
-    lambda s, d: locate.overlaps(*_spans(s, d)).join(_spans(s, d)[0].select(F.col("id").alias("i"), "file_path"), "i").groupBy("file_path").agg(F.count("*").alias("pairs"), F.sum("i").alias("i"), F.sum("j").alias("j"))
+    lambda s, d: locate.overlaps(*_spans(s, d), with_file=True).groupBy(F.col("file").alias("file_path")).agg(F.count("*").alias("pairs"), F.sum("i").alias("i"), F.sum("j").alias("j"))
 )
 query("items_merged", SPANS.replace("AS e FROM li WHERE l_linenumber % 2 = 1", "AS e, CASE WHEN l_partkey % 2 = 0 THEN '' ELSE 'doc ' || l_orderkey END AS doc FROM li WHERE l_linenumber % 2 = 1").replace("AS e FROM li WHERE l_linenumber % 2 = 0", "AS e, 'doc ' || l_orderkey AS doc FROM li WHERE l_linenumber % 2 = 0") + """, p AS (SELECT a.id AS i, b.id AS j, a.name = b.name AS same, b.doc, least(a.e, b.e) - greatest(a.s, b.s) AS shared FROM a JOIN b ON a.f = b.f AND a.s <= b.e AND b.s <= a.e),
  o AS (SELECT i, arg_max(doc, (shared, -j)) AS doc FROM p WHERE same GROUP BY i) SELECT id, CASE WHEN a.doc = '' THEN coalesce(o.doc, '') ELSE a.doc END AS doc, false AS partial FROM a LEFT JOIN o ON i = id UNION ALL SELECT id, doc, true FROM b WHERE id NOT IN (SELECT j FROM p)""")(
