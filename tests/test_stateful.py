@@ -66,6 +66,30 @@ def test_sessions_expire_by_timers(state, tmp_path, cuts):
     assert sorted((r.k, int(r.start.timestamp()), int(r.last.timestamp()), r.cnt) for r in got if r.k != "end") == sorted(want)
 
 
+def test_keys_share_blocks(state, tmp_path):
+    """Many keys of one block, long and null ones, are kept apart in one row of state."""
+    big = 2**40 + 1
+    rows = [(i, None if i % 41 == 0 else big + i % 40, i // 3 + 1, i % 5 > 1) for i in range(600)]
+    df = state.createDataFrame(rows, "id long, k long, secs int, ok boolean").withColumn("ts", F.timestamp_seconds("secs"))
+    order = lambda rows: sorted(map(tuple, rows), key=str)
+    got = streamed(state, df, lambda s: stateful.rate_limited(s, "k", "ts", 2, 50, blocks=2), tmp_path / "l", [201, 432])
+    assert order(got) == order(eventlog.rate_limited(df, "k", "ts", 2, 50).collect())
+    got = streamed(state, df, lambda s: stateful.breaker(s, "k", "ts", "ok", 2, 30.0, blocks=2), tmp_path / "b", [201, 432])
+    want = [(r.k, r.ts, r.ok, r.allowed, r.state) for r in runs.breaker(df, "k", "ts", "ok", 2, 30.0).collect()]
+    assert order(r for r in got if r.state != "half_open") == order(want)
+    told = [(r.k, r.ts) for r in got if r.state == "half_open"]
+    assert told and len(told) == len(set(told))
+
+
+def test_sessions_need_no_python_and_part_at_the_gap(state, tmp_path):
+    rows = [(i, k, t, True) for i, (k, t) in enumerate([("a", 0), (None, 5), ("a", 29), ("a", 59), ("a", 60), (None, 34), ("z", 1000)])]
+    df = state.createDataFrame(rows, "id long, k string, secs int, ok boolean").withColumn("ts", F.timestamp_seconds("secs"))
+    op = lambda s: stateful.expired_sessions(s, "k", "ts", 30)
+    got = streamed(state, df, op, tmp_path, [2, 4])
+    assert sorted((r.k or "", int(r.start.timestamp()), int(r.last.timestamp()), r.cnt) for r in got) == [("", 5, 34, 2), ("a", 0, 29, 2), ("a", 59, 60, 2)]
+    assert "InPandas" not in op(df)._jdf.queryExecution().optimizedPlan().toString()
+
+
 class Stop(Exception):
     pass
 
