@@ -74,8 +74,8 @@ def test_keys_share_blocks(state, tmp_path):
     order = lambda rows: sorted(map(tuple, rows), key=str)
     got = streamed(state, df, lambda s: stateful.rate_limited(s, "k", "ts", 2, 50, blocks=2), tmp_path / "l", [201, 432])
     assert order(got) == order(eventlog.rate_limited(df, "k", "ts", 2, 50).collect())
-    got = streamed(state, df, lambda s: stateful.breaker(s, "k", "ts", "ok", 2, 30.0, blocks=2), tmp_path / "b", [201, 432])
-    want = [(r.k, r.ts, r.ok, r.allowed, r.state) for r in runs.breaker(df, "k", "ts", "ok", 2, 30.0).collect()]
+    got = streamed(state, df, lambda s: stateful.breaker(s, "k", "ts", "ok", 2, 20.0, blocks=2), tmp_path / "b", [201, 432])
+    want = [(r.k, r.ts, r.ok, r.allowed, r.state) for r in runs.breaker(df, "k", "ts", "ok", 2, 20.0).collect()]
     assert order(r for r in got if r.state != "half_open") == order(want)
     told = [(r.k, r.ts) for r in got if r.state == "half_open"]
     assert told and len(told) == len(set(told))
