@@ -26,12 +26,10 @@ def rates(samples: DataFrame, ts: str, value: str, minutes: int, *by: str, tie:
 
 def observed(samples: DataFrame, ts: str, value: str, bounds: list[float], scrape: str, *by: str) -> DataFrame:
     """The counters of a histogram as a scraper sees them: ts (end of each scrape interval with samples), by, le, count so far."""
-    edges = F.array(*[F.lit(float(b)) for b in (*bounds, INF)])
-    rows = samples.where(F.col(value).isNotNull()).select(*by, F.window(ts, scrape)["end"].alias("ts"), F.explode(F.filter(edges, lambda e: e >= F.col(value))).alias("le"))
-    rows = rows.groupBy(*by, "ts", "le").agg(F.count("*").alias("n"))
-    # A bound that none of an interval's samples reach still has its counter.
-    every = rows.select(*by, "ts").distinct().select(*by, "ts", F.explode(edges).alias("le"))
-    rows = every.join(rows, [*by, "ts", "le"], "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("_by", F.struct(*by, "le"))
+    # Null labels are labels, and an interval whose samples lie in no bucket (NaN) has its counters too.
+    counts = [F.struct(F.lit(float(b)).alias("le"), F.count_if(F.col(value) <= F.lit(float(b))).alias("n")) for b in (*bounds, INF)]
+    rows = samples.where(F.col(value).isNotNull()).groupBy(*by, F.window(ts, scrape)["end"].alias("ts")).agg(F.array(*counts).alias("_c"))
+    rows = rows.select(*by, "ts", F.inline("_c")).withColumn("_by", F.struct(*by, "le"))
     return ordered.running(ordered.ranged(rows, "_by", "ts"), "_by", F.col("n"), "count").select(*by, "ts", "le", "count")
 
 

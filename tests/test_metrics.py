@@ -69,3 +69,10 @@ def test_mean_gap_is_that_of_neighbours(spark):
     rows = [("a", i, 10 * i * i) for i in range(9)] + [("b", 1, 5), ("c", 2, 7), ("c", 1, 1)]
     df = spark.createDataFrame(rows, "k string, id long, secs int").withColumn("ts", F.timestamp_seconds("secs"))
     assert {r.k: r.m for r in metrics.mean_gap(df, "k", "ts", "id", "m").collect()} == {"a": 80.0, "b": None, "c": 6.0}
+
+
+def test_observed_with_null_labels_and_nan(spark):
+    rows = [(None, 1, 2.0), (None, 2, 1.0), ("a", 1, float("nan")), ("a", 70, 2.0), ("a", 71, None)]
+    df = spark.createDataFrame(rows, "k string, secs int, v double").withColumn("ts", F.timestamp_seconds("secs"))
+    got = {(r.k, r.ts.minute, r.le, r["count"]) for r in metrics.observed(df, "ts", "v", [1.0], "1 minute", "k").collect()}
+    assert got == {(None, 1, 1.0, 1), (None, 1, metrics.INF, 2), ("a", 1, 1.0, 0), ("a", 1, metrics.INF, 0), ("a", 2, 1.0, 0), ("a", 2, metrics.INF, 1)}
