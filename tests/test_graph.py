@@ -88,3 +88,13 @@ def test_detail_of_an_impl(spark):
     files = spark.createDataFrame([(1, "f.rs")], "source_file_id long, path string")
     one, two = (g.item_detail(items, files, x).first() for x in ("c::m::Show_Foo", "c::o"))
     assert (one.callers, one.callees, one.path) == (["c::o"], ["c::o"], "f.rs") and (two.callers, two.callees) == (["c::m::Foo::b"], ["c::m::Foo::a"])
+
+
+def test_nodes_are_not_sent_through_the_driver(spark):
+    """However small they look, nodes that grow are shuffled."""
+    nodes = spark.createDataFrame([("a::f", "f", "Function", "x.rs", 1), ("a", "a", "Crate", None, 0)], "fqn string, name string, label string, file_path string, start_line int")
+    edges = spark.createDataFrame([("a", "a::f", "CONTAINS")], "src string, dst string, rel string")
+    g = Graph(nodes, edges)
+    for df in (g.of(edges.select(edges.dst.alias("fqn")), "fqn"), g.crate_overview("a")):
+        assert "strategy=merge" in df._jdf.queryExecution().optimizedPlan().toString()
+        assert df.count() == 1
