@@ -158,6 +158,22 @@ def test_substring(spark, docs):
     assert substring.remove_repeats(docs.where("false")).count() == 0
 
 
+def test_substring_of_one_period(spark):
+    """A text of one period makes a few rows of anchors, not one for each period, and the same bytes go."""
+    texts = ["ab" * 3000, "start " + "abc " * 500 + "end", "abc " * 300, "q" * 19 + "r" * 20, "z" * 21, "0123456789" * 2 + "01234567"]
+    texts += [f"{i} " + "dash " * 160 + chr(98 + i) * 25 for i in range(8)]
+    found = [np.concatenate(x) for x in zip(*substring.anchored(pa.array(texts), 20))]
+    assert len(found[0]) < 500
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hot = substring.HOT
+    try:
+        for substring.HOT in (hot, 2):
+            got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substring.remove_repeats(df, 20).collect())
+            assert got == _brute_repeats(list(enumerate(texts)), 20)
+    finally:
+        substring.HOT = hot
+
+
 def test_induced_sorting(tmp_path):
     """Order and common prefixes of random strings of few and many symbols, with queues in memory and in files, names sorted either way."""
     rng, kept = random.Random(1), (induced.HELD, induced.CROWD)
